@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, training_order
+from . import bpe, fingerprints, language, packing, toxicity, training_order, urls
 
 QUERIES = {
     "op1_training_order": training_order.op1_training_order,
     "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
+    "op3_url_filter": urls.op3_url_filter,
+    "op5_document_fingerprints": fingerprints.op5_document_fingerprints,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_language_id": language.op7_language_id,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}

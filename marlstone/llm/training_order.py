@@ -25,7 +25,7 @@ from .bpe import crc
 from .common import scratch, table
 from .tokens import END_ID, default_ranks, ids_of
 
-WIDTH, SHARD_BYTES, HEAD = 256, 24 << 20, 16
+WIDTH, SHARD_BYTES, HEAD = 256, 8 << 20, 16
 MASK = (1 << 64) - 1
 
 
@@ -109,45 +109,37 @@ def manifest(spark: SparkSession, path: str, width: int = WIDTH, wide: bool = Fa
     return sized.withColumn("first_slot", F.sum("records").over(Window.orderBy("shard")) - F.col("records"))
 
 
-def read_slots(spark: SparkSession, path: str, first: int = 0, count: int | None = None, width: int = WIDTH, wide: bool = False) -> DataFrame:
+def read_slots(spark: SparkSession, path: str, first: int = 0, count: int | None = None, width: int = WIDTH, wide: bool = False, digest: bool = False) -> DataFrame:
     """The sequences of slots first .. first + count - 1 (all from first, if count is None): slot, shard, doc_id, piece,
-    length, ids. Files that hold none of them are not opened."""
+    length and ids, or with digest the CRC-32 of the ids as little-endian unsigned 32-bit integers. Files that hold none of
+    them are not opened."""
     size, kind = stride(width, wide), "<u4" if wide else "<u2"
+    schema = "slot long, shard int, doc_id long, piece int, length int, " + ("ids_crc32 long" if digest else "ids array<int>")
     last = (1 << 62) if count is None else first + count
     wanted = manifest(spark, path, width, wide).filter((F.col("first_slot") < last) & (F.col("first_slot") + F.col("records") > first))
     at = {r["file"]: (r["shard"], r["first_slot"]) for r in wanted.collect()}  # a row for each shard of shard_bytes
     if not at:
-        return spark.createDataFrame([], "slot long, shard int, doc_id long, piece int, length int, ids array<int>")
+        return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for file, content in zip(b["path"], b["content"]):
                 shard, begin = at[file]
-                n = len(content) // size
-                lo, hi = max(0, first - begin), min(n, last - begin)
+                lo, hi = max(0, first - begin), min(len(content) // size, last - begin)
                 for s in range(lo, hi, 4096):
                     e = min(hi, s + 4096)
                     raw = np.frombuffer(content, dtype=np.uint8, count=(e - s) * size, offset=s * size).reshape(-1, size)
                     head = np.ascontiguousarray(raw[:, :HEAD])
                     numbers = head[:, 8:].copy().view("<u4")
-                    ids = np.ascontiguousarray(raw[:, HEAD:-1]).view(kind)
-                    yield pd.DataFrame({"slot": begin + np.arange(s, e), "shard": shard, "doc_id": head[:, :8].copy().view("<i8").ravel(), "piece": numbers[:, 0].astype("int32"), "length": numbers[:, 1].astype("int32"), "ids": [x[:k].astype("int32") for x, k in zip(ids, numbers[:, 1])]})
+                    ids = [x[:k] for x, k in zip(np.ascontiguousarray(raw[:, HEAD:-1]).view(kind), numbers[:, 1])]
+                    values = {"ids_crc32": [crc(x.astype("<u4").tobytes()) for x in ids]} if digest else {"ids": [x.astype("int32") for x in ids]}
+                    yield pd.DataFrame({"slot": begin + np.arange(s, e), "shard": shard, "doc_id": head[:, :8].copy().view("<i8").ravel(), "piece": numbers[:, 0].astype("int32"), "length": numbers[:, 1].astype("int32")} | values)
 
     files = spark.read.format("binaryFile").load(list(at)).select("path", "content")
-    return files.mapInPandas(run, "slot long, shard int, doc_id long, piece int, length int, ids array<int>")
-
-
-def digest_slots(spark: SparkSession, path: str, width: int = WIDTH) -> DataFrame:
-    """slot, shard, doc_id, piece, length, ids_crc32 (of little-endian unsigned 32-bit ids) of every sequence in the shards."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.drop(columns="ids").assign(ids_crc32=[crc(np.asarray(x, dtype="<u4").tobytes()) for x in b["ids"]])
-
-    return read_slots(spark, path, width=width).mapInPandas(run, "slot long, shard int, doc_id long, piece int, length int, ids_crc32 long")
+    return files.mapInPandas(run, schema)
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "shards")
     write_shards(table(spark, sf_dir, "documents"), path, default_ranks())
-    return digest_slots(spark, path)
+    return read_slots(spark, path, digest=True)
