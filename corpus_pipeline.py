@@ -1,26 +1,63 @@
-"""A corpus pipeline: each stage works on what its predecessor kept."""
+"""A corpus pipeline: toxic documents go, then those in no known language, then near duplicates but one of each group; what is
+left is packed into sequences. Each stage works on what its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marlstone.llm import packing
-from marlstone.llm.common import materialise
+from marlstone.llm import jaccard, language, packing, toxicity
+from marlstone.llm.common import materialise, table
 from marlstone.llm.tokens import default_ranks
 
 
+def _aside(docs: DataFrame, taken: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of the names an operator adds put aside, and how to name them back."""
+    clash = {c: f"__aside_{c}" for c in docs.columns if c in taken}
+    return docs.withColumnsRenamed(clash), {v: k for k, v in clash.items()}
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model does not judge toxic. Null and empty texts stay for the next stage."""
+    held, back = _aside(docs, {"severity", "p_toxic", "toxic"})
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.judge(held, model).filter(~F.col("toxic")).withColumnsRenamed(back).select(*docs.columns)
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language the model knows; it says `und` to null texts and texts without a letter, and these go. Where no
+    document has a language label nothing is learned and nothing but such texts goes."""
+    held, back = _aside(docs, {"lang_pred", "score"})
+    model = language.train(docs.select("doc_id", "text", "lang"))
+    if not model["langs"]:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return language.identify(held, model).filter(F.col("lang_pred") != language.NONE).withColumnsRenamed(back).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of near duplicates (texts without words are in no group). Of
+    rows that repeat a doc_id one stays. Rows without a doc_id stay."""
+    classes = materialise(jaccard.jaccard_classes(docs), "classes")
+    gone = classes.filter(F.col("component_id") != F.col("doc_id")).select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if classes.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        kept = kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.filter(F.col("doc_id").isNull()))
+    return kept
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document and their places in sequences of 2048 tokens."""
     return packing.pack_documents(docs, default_ranks())
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
+STAGES = [("toxicity", drop_toxic), ("language ID", keep_languages), ("n-gram Jaccard join", drop_near_duplicates), ("best-fit packing", best_fit_packing)]
 
 #: The stages learn models and tokenise: SQL cannot express them. tests/llm holds them against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, language, packing, toxicity, training_order, urls
+from . import bpe, fingerprints, jaccard, language, packing, topk, toxicity, training_order, urls, warc
 
 QUERIES = {
     "op1_training_order": training_order.op1_training_order,
     "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
     "op3_url_filter": urls.op3_url_filter,
+    "op4_exact_top_k": topk.op4_exact_top_k,
     "op5_document_fingerprints": fingerprints.op5_document_fingerprints,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_language_id": language.op7_language_id,
+    "op8_jaccard_join": jaccard.op8_jaccard_join,
+    "op9_warc": warc.op9_warc,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
