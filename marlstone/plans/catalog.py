@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from . import relational_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
-FLAGSHIP = ""
+FLAGSHIP = "e8_tokens"
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
