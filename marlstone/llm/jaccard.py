@@ -5,14 +5,16 @@ Distance is 1 - Jaccard similarity, a metric; documents link at distance 0.25 or
 1. Documents of equal sets collapse into one class; only classes are joined.
 2. First-level pivots are single shingles in one global order: shingles that a sample shows to be frequent come last, others
    by hash. A document belongs to the region of its first pivot. The distance bound limits how far a partner's first
-   common pivot can stand: with n shingles, a document is replicated into the regions of its first n - ceil(3n/4) + 1
-   pivots as the larger partner, n - ceil(6n/7) + 1 of them also as the smaller one; sizes differ by a factor 3/4 at most.
-   Two linked documents therefore meet in a region, with these roles.
-3. Regions of ordinary shingles are small and are joined directly. Regions of frequent shingles are joined recursively: each
-   size band gets a document as its pivot, all members are compared with it (a row a member, never all pairs), and what is
-   linked to it is one component. Only members of different components can still lack a link that matters; they are compared
-   where the triangle inequality allows it: |d(x, p) - d(y, p)| <= 0.25 for a common pivot p.
-4. Candidates are compared exactly on their whole texts.
+   common pivot can stand: with n shingles, a document is replicated into the regions of its first n - ceil(3n/4) + 1 pivots,
+   so two linked documents meet in a region; sizes differ by a factor 3/4 at most. By the same bound two linked documents
+   of n and m shingles, n <= m, share at least ceil(3(n + m)/7) - ceil(3m/4) + 1 of these regions: pairs that meet in fewer
+   are ruled out without a look at the texts.
+3. Regions of ordinary shingles are small and are joined directly. Large ones, those of frequent shingles above all, are
+   joined recursively: each size band gets a document as its pivot, all members are compared with it (a row a member, never
+   all pairs), and what is linked to it is one component. Only members of different components can still lack a link that
+   matters; they are paired where the triangle inequality allows it: |d(x, p) - d(y, p)| <= 0.25 for a common pivot p.
+4. Candidates are compared exactly on their whole texts: first each document with its smallest candidate, then those pairs
+   that are still in different components.
 
 Components are found by distributed label propagation with pointer jumping. Nothing is capped: which shingles count as
 frequent changes the order, not the result.
@@ -21,12 +23,11 @@ frequent changes the order, not the result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,9 +35,9 @@ from .common import materialise, table
 
 SHINGLE = 5
 #: One document in SAMPLE is read to find frequent shingles; frequent: in FREQUENT of them. At most MOST_FREQUENT are told apart.
-SAMPLE, FREQUENT, MOST_FREQUENT = 16, 8, 2_000_000
+SAMPLE, FREQUENT, MOST_FREQUENT = 16, 5, 2_000_000
 #: Regions up to this many members are joined pair by pair, larger ones by a pivot first.
-SMALL = 24
+SMALL = 64
 KEPT_WORDS = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -73,14 +74,11 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(z ^ (z >> np.uint64(31)))
 
 
-def larger_prefix(n: int) -> int:
+def prefix(n: int) -> int:
+    """How many of its first pivots a document of n shingles is replicated to."""
     return n - -(-3 * n // 4) + 1
 
 
-def smaller_prefix(n: int) -> int:
-    return n - -(-6 * n // 7) + 1
-
-
 def frequent_shingles(docs: DataFrame, sample: int = SAMPLE, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
     """Sorted hashes of shingles that are in `least` sampled documents or more; the bar rises until at most `most` are left."""
 
@@ -117,7 +115,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     s = shingle_set(text)
                     n = len(s)
                     name = xxhash.xxh3_128_digest(s.tobytes())
-                    k = larger_prefix(n) if n else 0
+                    k = prefix(n) if n else 0
                     if n and len(bad):
                         place = np.minimum(np.searchsorted(bad, s), len(bad) - 1)
                         hot = bad[place] == s
@@ -133,47 +131,62 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def replicate(classes: DataFrame) -> DataFrame:
-    """A row for each class (rep, n) and region: pivot, small (it may be the smaller partner there), hot (a frequent pivot)."""
+    """A row for each class (rep, n) and region: pivot, hot (a frequent pivot)."""
     r = classes.select("rep", "n", "ordinary", F.posexplode("pivots").alias("at", "pivot"))
-    small = F.col("at") < F.col("n") - F.ceil(6 * F.col("n") / 7) + 1
-    return r.select("pivot", "rep", (F.col("n") * 2 + small.cast("long")).alias("size"), (F.col("at") >= F.col("ordinary")).alias("hot"))
-
+    return r.select("pivot", "rep", "n", (F.col("at") >= F.col("ordinary")).alias("hot"))
 
-def _pairs(members: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Pairs (a < b) among (size, id) members that roles and sizes allow."""
-    for (s, a), (t, b) in combinations(members, 2):
-        if s >> 1 > t >> 1:
-            s, t = t, s
-        n, m = s >> 1, t >> 1
-        if 4 * n >= 3 * m and (s & 1 or (n == m and t & 1)):
-            yield (a, b) if a < b else (b, a)
 
-
-def region_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of ordinary regions: candidate pairs (a, b) of small ones, and the rows (pivot, rep, size) of large ones."""
+def regions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ordinary regions: the member lists of small ones (members, weight: how many regions have just these members), and the
+    rows (pivot, rep, n) of large ones."""
     w = Window.partitionBy("pivot")
-    met = rows.select("pivot", "rep", "size", F.count(F.lit(1)).over(w).alias("c")).filter("c > 1")
-    grouped = met.filter(F.col("c") <= SMALL).groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct("size", "rep"))).alias("members"))
-    # Near copies share most regions: equal regions count once.
-    return grouped.select("members").distinct(), met.filter(F.col("c") > SMALL).select("pivot", "rep", "size")
+    met = rows.select("pivot", "rep", "n", F.count(F.lit(1)).over(w).alias("c")).filter("c > 1")
+    grouped = met.filter(F.col("c") <= SMALL).groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct("n", "rep"))).alias("members"))
+    return grouped.groupBy("members").agg(F.count(F.lit(1)).alias("weight")), met.filter(F.col("c") > SMALL).select("pivot", "rep", "n")
+
 
+def meetings(lists: DataFrame) -> DataFrame:
+    """a, b, na, nb, c: pairs (a < b) whose sizes allow a link, and how many small regions they share."""
 
-def _direct(regions: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = {p for m in b["members"] for p in _pairs([(r["size"], r["rep"]) for r in m])}
-            yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
+            found: list[np.ndarray] = []
+            for members, weight in zip(b["members"], b["weight"]):
+                n = np.array([r["n"] for r in members], dtype=np.int64)
+                rep = np.array([r["rep"] for r in members], dtype=np.int64)
+                ends = np.searchsorted(n, 4 * n // 3, side="right")
+                for i in range(len(n) - 1):
+                    k = ends[i] - i - 1
+                    if k > 0:
+                        found.append(np.stack([np.full(k, rep[i]), rep[i + 1 : ends[i]], np.full(k, n[i]), n[i + 1 : ends[i]], np.full(k, weight)], axis=1))
+            if found:
+                x = np.concatenate(found)
+                flip = x[:, 0] > x[:, 1]
+                x[flip] = x[flip][:, [1, 0, 3, 2, 4]]
+                yield pd.DataFrame(x, columns=["a", "b", "na", "nb", "c"]).groupby(["a", "b", "na", "nb"], as_index=False)["c"].sum()
+
+    return lists.mapInPandas(run, "a long, b long, na long, nb long, c long").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+
+
+def _enough(c: Column) -> Column:
+    """Whether c common regions leave a link possible between sizes na and nb."""
+    most = F.greatest("na", "nb")
+    return c >= F.ceil(3 * (F.col("na") + F.col("nb")) / 7) - F.ceil(3 * most / 4) + 1
+
 
-    return regions.mapInPandas(run, "a long, b long")
+def _elsewhere(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds `more`: an upper bound on the regions that a and b share besides those counted (counts: rep, k)."""
+    both = pairs.join(counts.select(F.col("rep").alias("a"), F.col("k").alias("ka")), "a", "left").join(counts.select(F.col("rep").alias("b"), F.col("k").alias("kb")), "b", "left")
+    return both.withColumn("more", F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0)))).drop("ka", "kb")
 
 
-def _band(size: str = "size"):
-    return F.floor(F.log(F.shiftright(F.col(size), 1).cast("double")) / F.log(F.lit(4 / 3))).cast("int")
+def _band() -> Column:
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
 
 
-def star_pairs(rows: DataFrame) -> DataFrame:
+def centres_of(wide: DataFrame) -> DataFrame:
     """pivot, band, centre: the document pivot of each size band of the large regions."""
-    return rows.groupBy("pivot", _band().alias("band")).agg(F.min(F.struct((1 - F.col("size").bitwiseAND(1)).alias("role"), "rep")).alias("m")).select("pivot", "band", F.col("m.rep").alias("centre"))
+    return wide.groupBy("pivot", _band().alias("band")).agg(F.min("rep").alias("centre"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -238,43 +251,48 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     usable = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = usable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("pivots").alias("pivots"), F.first("ordinary").alias("ordinary"))
     rows = replicate(classes)
-    cold = rows.filter(~F.col("hot"))
-    small, large = region_pairs(cold.repartition("pivot"))
+    small, large = regions(rows.filter(~F.col("hot")).repartition("pivot"))
     none = F.lit(None).cast("long")
-    lists = small.select("members", *(none.alias(c) for c in ("pivot", "rep", "size")))
-    singles = large.unionByName(rows.filter("hot").select("pivot", "rep", "size")).select(F.lit(None).cast(lists.schema["members"].dataType).alias("members"), "pivot", "rep", "size")
+    lists = small.select("members", "weight", *(none.alias(c) for c in ("pivot", "rep", "n")))
+    singles = large.unionByName(rows.filter("hot").select("pivot", "rep", "n")).select(F.lit(None).cast(lists.schema["members"].dataType).alias("members"), none.alias("weight"), "pivot", "rep", "n")
     met = materialise(lists.unionByName(singles), "regions")
-    wide = met.filter("members is null").select("pivot", "rep", "size")
+    lists = met.filter("members is not null").select("members", "weight")
+    wide = met.filter("members is null").select("pivot", "rep", "n")
     _release(spark)
+    # Small regions.
+    in_wide = wide.groupBy("rep").agg(F.count(F.lit(1)).alias("k"))
+    direct = materialise(_elsewhere(meetings(lists), in_wide).filter(_enough(F.col("c") + F.col("more"))).select("a", "b"), "direct")
+    # Large regions: documents as pivots.
+    centres = materialise(centres_of(wide), "centres")
     banded = wide.withColumn("band", _band())
-    centres = materialise(star_pairs(wide), "centres")
-    star = banded.join(centres, ["pivot", "band"]).select("rep", "centre").filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-    candidates = materialise(_direct(met.filter("members is not null").select("members")).unionByName(star).distinct(), "candidates")
-    compared = materialise(verify(candidates, named), "compared")
+    star = banded.join(centres, ["pivot", "band"]).filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
+    first = direct.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(star).distinct()
     linked = F.col("common") * 100 >= F.col("either") * 75
+    compared = materialise(verify(materialise(first, "first"), named), "compared")
     links = compared.filter(linked).select("a", "b")
     labels = components(links)
-    # What the pivots have not settled.
+    # What is not settled: pairs in different components.
+    at = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias("l" + c))
+    apart = lambda p: p.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
     mine = banded.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    by_label = mine.groupBy("pivot", "label").count()
-    open_ = by_label.groupBy("pivot").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("count", "label")).alias("main")).filter("labels > 1").select("pivot", "main")
+    open_ = mine.groupBy("pivot", "label").count().groupBy("pivot").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("count", "label")).alias("main")).filter("labels > 1").select("pivot", "main")
     distance = compared.select("a", "b", (1 - F.col("common") / F.col("either")).alias("d"))
     distance = distance.unionByName(distance.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     left = mine.join(open_, "pivot").join(centres, ["pivot", "band"]).join(distance.select(F.col("a").alias("rep"), F.col("b").alias("centre"), "d"), ["rep", "centre"], "left")
-    left = materialise(left.select("pivot", "rep", "size", "label", "main", "centre", F.when(F.col("rep") == F.col("centre"), 0.0).otherwise(F.col("d")).alias("d")), "unsettled")
-    if left.limit(1).count():
-        x = left.filter("label <> main").select("pivot", *(F.col(c).alias("x" + c) for c in ("rep", "size", "label", "main", "centre", "d")))
-        y = left.select("pivot", *(F.col(c).alias("y" + c) for c in ("rep", "size", "label", "main", "centre", "d")))
-        n, m = F.shiftright("xsize", 1), F.shiftright("ysize", 1)
-        xs, ys = F.col("xsize").bitwiseAND(1) == 1, F.col("ysize").bitwiseAND(1) == 1
-        fit = (F.col("xlabel") != F.col("ylabel")) & ((F.col("ylabel") == F.col("ymain")) | (F.col("xrep") < F.col("yrep")))
-        sizes = ((n <= m) & xs & (4 * n >= 3 * m)) | ((m <= n) & ys & (4 * m >= 3 * n))
-        window = (F.col("xcentre") != F.col("ycentre")) | F.coalesce(F.abs(F.col("xd") - F.col("yd")) <= 0.25 + 1e-9, F.lit(True))
-        more = x.join(y, (x["pivot"] == y["pivot"]) & fit & sizes & window).select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b")).distinct()
-        more = materialise(more.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "more")
-        again = materialise(verify(more, named), "compared-more").filter(linked).select("a", "b")
-        if again.limit(1).count():
-            labels = components(links.unionByName(again))
+    left = materialise(left.select("pivot", "rep", "n", "label", "main", "centre", F.when(F.col("rep") == F.col("centre"), 0.0).otherwise(F.col("d")).alias("d")), "unsettled")
+    x = left.filter("label <> main").select("pivot", *(F.col(c).alias("x" + c) for c in ("rep", "n", "label", "centre", "d")))
+    y = left.select(F.col("pivot").alias("ypivot"), *(F.col(c).alias("y" + c) for c in ("rep", "n", "label", "main", "centre", "d")))
+    fit = (F.col("xlabel") != F.col("ylabel")) & ((F.col("ylabel") == F.col("ymain")) | (F.col("xrep") < F.col("yrep")))
+    sizes = (4 * F.col("xn") >= 3 * F.col("yn")) & (4 * F.col("yn") >= 3 * F.col("xn"))
+    window = (F.col("xcentre") != F.col("ycentre")) | F.coalesce(F.abs(F.col("xd") - F.col("yd")) <= 0.25 + 1e-9, F.lit(True))
+    less = F.col("xrep") < F.col("yrep")
+    pairs = x.join(y, (F.col("pivot") == F.col("ypivot")) & fit & sizes & window).select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b"), F.when(less, F.col("xn")).otherwise(F.col("yn")).alias("na"), F.when(less, F.col("yn")).otherwise(F.col("xn")).alias("nb"))
+    in_small = lists.select("weight", F.explode("members.rep").alias("rep")).groupBy("rep").agg(F.sum("weight").alias("k"))
+    across = _elsewhere(pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")), in_small).filter(_enough(F.col("c") + F.col("more"))).select("a", "b")
+    second = apart(direct).unionByName(across).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    again = materialise(verify(materialise(second, "second"), named), "compared-more").filter(linked).select("a", "b")
+    if again.limit(1).count():
+        labels = components(links.unionByName(again))
     groups = usable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     grouped = groups.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").filter("label is not null or last > rep").select("k1", "k2", "n", F.coalesce("label", "rep").alias("component"))
     out = signed.select("doc_id", "n", "k1", "k2").join(grouped, ["k1", "k2", "n"], "left")
