@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational_queries, text_queries  # noqa: F401
+from . import label_queries, relational_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "e8_tokens"
