@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import label_queries, relational_queries, text_queries  # noqa: F401
+from . import label_queries, relational_queries, retrieval_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
-FLAGSHIP = "e8_tokens"
+FLAGSHIP = "f3_rank_fusion"
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
