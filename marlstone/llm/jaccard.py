@@ -3,18 +3,16 @@
 Distance is 1 - Jaccard similarity, a metric; documents link at distance 0.25 or less.
 
 1. Documents of equal sets collapse into one class; only classes are joined.
-2. First-level pivots are single shingles in one global order: shingles that a sample shows to be frequent come last, others
-   by hash. A document belongs to the region of its first pivot. The distance bound limits how far a partner's first
-   common pivot can stand: with n shingles, a document is replicated into the regions of its first n - ceil(3n/4) + 1 pivots,
-   so two linked documents meet in a region; sizes differ by a factor 3/4 at most. By the same bound two linked documents
-   of n and m shingles, n <= m, share at least ceil(3(n + m)/7) - ceil(3m/4) + 1 of these regions: pairs that meet in fewer
-   are ruled out without a look at the texts.
-3. Regions of ordinary shingles are small and are joined directly. Large ones, those of frequent shingles above all, are
-   joined recursively: each size band gets a document as its pivot, all members are compared with it (a row a member, never
-   all pairs), and what is linked to it is one component. Only members of different components can still lack a link that
-   matters; they are paired where the triangle inequality allows it: |d(x, p) - d(y, p)| <= 0.25 for a common pivot p.
-4. Candidates are compared exactly on their whole texts: first each document with its smallest candidate, then those pairs
-   that are still in different components.
+2. First-level pivots are single shingles in one global order: shingles that a sample shows to be frequent come last, by
+   their frequency, others by hash. A document belongs to the region of its first pivot. The distance bound limits how far a
+   partner's first common pivot can stand: with n shingles, a document is replicated into the regions of its first
+   n - ceil(3n/4) + 1 pivots, so two linked documents meet in a region; sizes differ by a factor 3/4 at most. By the same
+   bound two linked documents of n and m shingles, n <= m, share at least ceil(3(n + m)/7) - ceil(3m/4) + 1 of these regions:
+   pairs that meet in fewer are ruled out without a look at the texts.
+3. In each region a document is the next pivot (in large regions one for each size band); members are compared with it, a row
+   a member, and what is linked is one component. Regions then join recursively only what is still in different components;
+   in large regions, where the triangle inequality allows it: |d(x, p) - d(y, p)| <= 0.25 for a common pivot p.
+4. Candidates are compared exactly on their whole texts.
 
 Components are found by distributed label propagation with pointer jumping. Nothing is capped: which shingles count as
 frequent changes the order, not the result.
@@ -35,9 +33,11 @@ from .common import materialise, table
 
 SHINGLE = 5
 #: One document in SAMPLE is read to find frequent shingles; frequent: in FREQUENT of them. At most MOST_FREQUENT are told apart.
-SAMPLE, FREQUENT, MOST_FREQUENT = 16, 5, 2_000_000
-#: Regions up to this many members are joined pair by pair, larger ones by a pivot first.
-SMALL = 64
+SAMPLE, FREQUENT, MOST_FREQUENT = 16, 4, 2_000_000
+#: Regions of ordinary shingles with more members than this are treated as those of frequent ones.
+SMALL = 96
+#: Bits of the filter that keeps texts nobody asks for out of an exchange; its size is fixed.
+FILTER_BITS = 1 << 23
 KEPT_WORDS = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -79,8 +79,9 @@ def prefix(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
-def frequent_shingles(docs: DataFrame, sample: int = SAMPLE, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
-    """Sorted hashes of shingles that are in `least` sampled documents or more; the bar rises until at most `most` are left."""
+def frequent_shingles(docs: DataFrame, sample: int = SAMPLE, least: int = FREQUENT, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of shingles that are in `least` sampled documents or more; the bar rises until at most `most` are
+    left."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -97,16 +98,19 @@ def frequent_shingles(docs: DataFrame, sample: int = SAMPLE, least: int = FREQUE
         if total > most:
             bar = c + 1
             break
-    return np.sort(np.array([r["h"] for r in counts.filter(F.col("count") >= bar).select("h").toLocalIterator()], dtype=np.int64).view(np.uint64))
+    found = np.array([(r["h"], r["count"]) for r in counts.filter(F.col("count") >= bar).select("h", "count").toLocalIterator()], dtype=np.int64).reshape(-1, 2)
+    hashes = found[:, 0].copy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.minimum(found[order, 1], 1 << 30)
 
 
-def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, n, k1, k2 (a 128-bit name of the set), pivots (its first pivots in the global order), ordinary (how many of
     them are not frequent)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bad = shared.value
+        bad, often = shared.value
         for b in batches:
             for at in range(0, len(b), 1000):
                 part = b.iloc[at : at + 1000]
@@ -120,7 +124,10 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                         place = np.minimum(np.searchsorted(bad, s), len(bad) - 1)
                         hot = bad[place] == s
                         cold = s[~hot]
-                        first = np.concatenate([cold[:k], s[hot][: max(0, k - len(cold))]])
+                        first = cold[:k]
+                        if len(first) < k:
+                            last = np.lexsort((s[hot], often[place[hot]]))
+                            first = np.concatenate([first, s[hot][last[: k - len(first)]]])
                         ordinary = min(k, len(cold))
                     else:
                         first, ordinary = s[:k], k
@@ -145,25 +152,53 @@ def regions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return grouped.groupBy("members").agg(F.count(F.lit(1)).alias("weight")), met.filter(F.col("c") > SMALL).select("pivot", "rep", "n")
 
 
+def list_stars(lists: DataFrame) -> DataFrame:
+    """a, b, na, nb, c: each member of a small region with its first member of a fitting size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for members, weight in zip(b["members"], b["weight"]):
+                start, size = members[0]["rep"], members[0]["n"]
+                for r in members[1:]:
+                    if 4 * size >= 3 * r["n"]:
+                        x, y = ((start, size), (r["rep"], r["n"])) if start < r["rep"] else ((r["rep"], r["n"]), (start, size))
+                        rows.append((x[0], y[0], x[1], y[1], weight))
+                    else:
+                        start, size = r["rep"], r["n"]
+            yield pd.DataFrame(rows, columns=["a", "b", "na", "nb", "c"], dtype="int64").groupby(["a", "b", "na", "nb"], as_index=False)["c"].sum()
+
+    return lists.mapInPandas(run, "a long, b long, na long, nb long, c long").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+
+
 def meetings(lists: DataFrame) -> DataFrame:
-    """a, b, na, nb, c: pairs (a < b) whose sizes allow a link, and how many small regions they share."""
+    """a, b, na, nb, c: pairs (a < b) of different labels whose sizes allow a link, and how many small regions they share.
+    lists: members (array of struct n, rep, label, in order of n), weight."""
+
+    def flush(found: list[np.ndarray]) -> pd.DataFrame:
+        x = np.concatenate(found)
+        flip = x[:, 0] > x[:, 1]
+        x[flip] = x[flip][:, [1, 0, 3, 2, 4]]
+        return pd.DataFrame(x, columns=["a", "b", "na", "nb", "c"]).groupby(["a", "b", "na", "nb"], as_index=False)["c"].sum()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[np.ndarray] = []
+        size = 0
         for b in batches:
-            found: list[np.ndarray] = []
             for members, weight in zip(b["members"], b["weight"]):
-                n = np.array([r["n"] for r in members], dtype=np.int64)
-                rep = np.array([r["rep"] for r in members], dtype=np.int64)
+                m = np.array([(r["n"], r["rep"], r["label"]) for r in members], dtype=np.int64)
+                n, rep, label = m[:, 0], m[:, 1], m[:, 2]
                 ends = np.searchsorted(n, 4 * n // 3, side="right")
                 for i in range(len(n) - 1):
-                    k = ends[i] - i - 1
-                    if k > 0:
-                        found.append(np.stack([np.full(k, rep[i]), rep[i + 1 : ends[i]], np.full(k, n[i]), n[i + 1 : ends[i]], np.full(k, weight)], axis=1))
-            if found:
-                x = np.concatenate(found)
-                flip = x[:, 0] > x[:, 1]
-                x[flip] = x[flip][:, [1, 0, 3, 2, 4]]
-                yield pd.DataFrame(x, columns=["a", "b", "na", "nb", "c"]).groupby(["a", "b", "na", "nb"], as_index=False)["c"].sum()
+                    k = i + 1 + np.flatnonzero(label[i + 1 : ends[i]] != label[i])
+                    if len(k):
+                        found.append(np.stack([np.full(len(k), rep[i]), rep[k], np.full(len(k), n[i]), n[k], np.full(len(k), weight)], axis=1))
+                        size += len(k)
+                if size > 500_000:
+                    yield flush(found)
+                    found, size = [], 0
+        if found:
+            yield flush(found)
 
     return lists.mapInPandas(run, "a long, b long, na long, nb long, c long").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
 
@@ -189,10 +224,22 @@ def centres_of(wide: DataFrame) -> DataFrame:
     return wide.groupBy("pivot", _band().alias("band")).agg(F.min("rep").alias("centre"))
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, share (of links: 100 x intersection >= 75 x union; distance 1 - share) by exact comparison of whole texts."""
+def asked_for(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of docs that may be in wanted (distinct doc_id): tested against a bit table of fixed size, so that most texts nobody
+    asks for never enter an exchange, however many ids are wanted."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = wanted.select((place / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    own = docs.withColumn("word", (place / 64).cast("long"))
+    return own.join(F.broadcast(bits), "word").filter(F.getbit("bits", (place % 64).cast("int")) == 1).select("doc_id", "text")  # FILTER_BITS / 64 rows at most
+
+
+def verify(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """a, b, common, either (sizes of intersection and union; linked: 100 x common >= 75 x either) by exact comparison of whole
+    texts. pairs: a written table; repeated: whether a doc_id may repeat in docs."""
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = asked_for(docs, wanted).join(wanted, "doc_id", "left_semi")
+    if repeated:
+        texts = texts.dropDuplicates(["doc_id"])
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,6 +297,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     signed = materialise(signatures(docs, frequent_shingles(named)), "signatures")
     usable = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = usable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("pivots").alias("pivots"), F.first("ordinary").alias("ordinary"))
+    repeated = bool(signed.groupBy("doc_id").count().filter("count > 1").limit(1).count())
     rows = replicate(classes)
     small, large = regions(rows.filter(~F.col("hot")).repartition("pivot"))
     none = F.lit(None).cast("long")
@@ -259,21 +307,24 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     lists = met.filter("members is not null").select("members", "weight")
     wide = met.filter("members is null").select("pivot", "rep", "n")
     _release(spark)
-    # Small regions.
+    # First: every region's members with its document pivots.
     in_wide = wide.groupBy("rep").agg(F.count(F.lit(1)).alias("k"))
-    direct = materialise(_elsewhere(meetings(lists), in_wide).filter(_enough(F.col("c") + F.col("more"))).select("a", "b"), "direct")
-    # Large regions: documents as pivots.
+    in_small = lists.select("weight", F.explode("members.rep").alias("rep")).groupBy("rep").agg(F.sum("weight").alias("k"))
     centres = materialise(centres_of(wide), "centres")
     banded = wide.withColumn("band", _band())
-    star = banded.join(centres, ["pivot", "band"]).filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-    first = direct.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(star).distinct()
+    star = banded.join(centres, ["pivot", "band"]).filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    stars = _elsewhere(list_stars(lists), in_wide).filter(_enough(2 * F.col("c") + F.col("more"))).select("a", "b")
+    compared = materialise(verify(materialise(stars.unionByName(star).distinct(), "first"), named, repeated), "compared")
     linked = F.col("common") * 100 >= F.col("either") * 75
-    compared = materialise(verify(materialise(first, "first"), named), "compared")
     links = compared.filter(linked).select("a", "b")
     labels = components(links)
-    # What is not settled: pairs in different components.
-    at = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias("l" + c))
-    apart = lambda p: p.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    # Then: what is still in different components. Small regions:
+    numbered = lists.withColumn("list", F.xxhash64("members", "weight"))
+    flat = numbered.select("list", "weight", F.explode("members").alias("m")).select("list", "weight", "m.n", "m.rep")
+    flat = flat.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = flat.groupBy("list", "weight").agg(F.sort_array(F.collect_list(F.struct("n", "rep", "label"))).alias("members"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("members", "weight")
+    direct = _elsewhere(meetings(mixed), in_wide).filter(_enough(F.col("c") + F.col("more"))).select("a", "b")
+    # Large regions:
     mine = banded.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     open_ = mine.groupBy("pivot", "label").count().groupBy("pivot").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("count", "label")).alias("main")).filter("labels > 1").select("pivot", "main")
     distance = compared.select("a", "b", (1 - F.col("common") / F.col("either")).alias("d"))
@@ -287,10 +338,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     window = (F.col("xcentre") != F.col("ycentre")) | F.coalesce(F.abs(F.col("xd") - F.col("yd")) <= 0.25 + 1e-9, F.lit(True))
     less = F.col("xrep") < F.col("yrep")
     pairs = x.join(y, (F.col("pivot") == F.col("ypivot")) & fit & sizes & window).select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b"), F.when(less, F.col("xn")).otherwise(F.col("yn")).alias("na"), F.when(less, F.col("yn")).otherwise(F.col("xn")).alias("nb"))
-    in_small = lists.select("weight", F.explode("members.rep").alias("rep")).groupBy("rep").agg(F.sum("weight").alias("k"))
     across = _elsewhere(pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")), in_small).filter(_enough(F.col("c") + F.col("more"))).select("a", "b")
-    second = apart(direct).unionByName(across).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    again = materialise(verify(materialise(second, "second"), named), "compared-more").filter(linked).select("a", "b")
+    second = direct.unionByName(across).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    again = materialise(verify(materialise(second, "second"), named, repeated), "compared-more").filter(linked).select("a", "b")
     if again.limit(1).count():
         labels = components(links.unionByName(again))
     groups = usable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
