@@ -38,7 +38,7 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 16, 4, 2_000_000
 SMALL = 96
 #: Bits of the filter that keeps texts nobody asks for out of an exchange; its size is fixed.
 FILTER_BITS = 1 << 23
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 

@@ -5,7 +5,7 @@ looked up, then 4-grams, down to single characters, until an order has any known
 stands for the word. The language with the highest sum, with the languages' shares as a prior, wins.
 
 The model is fitted on at most DOCS_PER_LANGUAGE labelled documents of each language (chosen by a hash of doc_id) and keeps
-the WORDS most frequent words of each; both are parameters.
+the WORDS most frequent words of each and the GRAMS most frequent n-grams of each order; all are parameters.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from .common import table
 
-DOCS_PER_LANGUAGE, WORDS, ORDERS, KEPT_WORDS, LONG_WORD = 1500, 20_000, 5, 100_000, 64
+DOCS_PER_LANGUAGE, WORDS, GRAMS, ORDERS, KEPT_WORDS, LONG_WORD, SLICE = 1500, 20_000, 30_000, 5, 60_000, 64, 1000
 LETTERS = re.compile(r"[^\W\d_]+")
 NONE = "und"
 
@@ -58,14 +58,16 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, words: int = W
     if not known:
         return {"langs": []}
 
-    def logs(found: dict[str, np.ndarray], least: int) -> dict[str, np.ndarray]:
+    def logs(found: dict[str, np.ndarray], least: int, most: int | None = None) -> tuple[dict[str, int], np.ndarray]:
+        """Entries seen `least` times, the `most` most frequent ones, as rows of one matrix of log frequencies."""
         total = sum(found.values())
         smooth = 0.5
         floor = np.log(total + smooth * len(found))
-        return {k: (np.log(v + smooth) - floor).astype(np.float32) for k, v in found.items() if v.sum() >= least}
+        kept = sorted((k for k, v in found.items() if v.sum() >= least), key=lambda k: (-found[k].sum(), k))[:most]
+        return {k: i for i, k in enumerate(kept)}, np.array([np.log(found[k] + smooth) - floor for k in kept], dtype=np.float32).reshape(-1, len(langs))
 
     every = sum(sizes.values())
-    return {"langs": langs, "prior": np.array([math.log(sizes[x] / every) for x in langs]), "words": logs(known, 2), "grams": [{}] + [logs(g, 3) for g in grams[1:]]}
+    return {"langs": langs, "prior": np.array([math.log(sizes[x] / every) for x in langs]), "words": logs(known, 2), "grams": [None] + [logs(g, 3, GRAMS) for g in grams[1:]]}
 
 
 class Scorer:
@@ -79,15 +81,16 @@ class Scorer:
         self.matrix = np.zeros((1024, len(self.langs)), dtype=np.float64)
 
     def vector(self, word: str) -> np.ndarray:
-        found = self.model["words"].get(word)
+        known, values = self.model["words"]
+        found = known.get(word)
         if found is not None:
-            return found
+            return values[found]
         edged = f" {word} "
         for order in range(min(ORDERS, len(edged)), 0, -1):
-            table = self.model["grams"][order]
-            hits = [v for i in range(len(edged) - order + 1) if (v := table.get(edged[i : i + order])) is not None]
+            known, values = self.model["grams"][order]
+            hits = [v for i in range(len(edged) - order + 1) if (v := known.get(edged[i : i + order])) is not None]
             if hits:
-                return np.mean(hits, axis=0)
+                return values[hits].mean(axis=0)
         return np.zeros(len(self.langs))
 
     def row(self, word: str) -> int:
@@ -135,7 +138,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             found = [scorer.predict(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import table
 
 SAMPLE, FEATURES, LEAST_Z, CUT, GRADES = 12_000, 512, 6.5, 0.5, 3
-PREFIXES, KEPT_WORDS, LONG_WORD = (5, 6, 7), 200_000, 64
+PREFIXES, KEPT_WORDS, LONG_WORD, SLICE = (5, 6, 7), 60_000, 64, 1000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -53,7 +53,7 @@ def _features(text: str) -> Counter:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
         rows = [_features(t) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array([list(r) for r in rows], pa.list_(pa.string())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))], names=["doc_id", "grade", "words", "counts"])
 
@@ -153,7 +153,7 @@ def judge(docs: DataFrame, model: dict, cut: float = CUT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judged = Judge(model)
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             p = [judged.above(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([sum(x) for x in p], pa.float64()), pa.array([x[0] for x in p], pa.float64()), pa.array([x[0] >= cut for x in p], pa.bool_())], names=[*names, "severity", "p_toxic", "toxic"])
 
