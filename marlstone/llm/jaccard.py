@@ -10,8 +10,9 @@ Distance is 1 - Jaccard similarity, a metric; documents link at distance 0.25 or
    bound two linked documents of n and m shingles, n <= m, share at least ceil(3(n + m)/7) - ceil(3m/4) + 1 of these regions:
    pairs that meet in fewer are ruled out without a look at the texts.
 3. In each region a document is the next pivot (in large regions one for each size band); members are compared with it, a row
-   a member, and what is linked is one component. Regions then join recursively only what is still in different components;
-   in large regions, where the triangle inequality allows it: |d(x, p) - d(y, p)| <= 0.25 for a common pivot p.
+   a member, and what is linked is one component. Regions then join recursively only what is still in different components.
+   In large regions the triangle inequality must allow it, |d(x, p) - d(y, p)| <= 0.25 for a common pivot p, and the pivot's
+   places must: if it is the first common one, nothing before it is shared, and what is left must be enough.
 4. Candidates are compared exactly on their whole texts.
 
 Components are found by distributed label propagation with pointer jumping. Nothing is capped: which shingles count as
@@ -138,18 +139,18 @@ def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Data
 
 
 def replicate(classes: DataFrame) -> DataFrame:
-    """A row for each class (rep, n) and region: pivot, hot (a frequent pivot)."""
+    """A row for each class (rep, n) and region: pivot, at (the pivot's place among the class's own), hot (a frequent pivot)."""
     r = classes.select("rep", "n", "ordinary", F.posexplode("pivots").alias("at", "pivot"))
-    return r.select("pivot", "rep", "n", (F.col("at") >= F.col("ordinary")).alias("hot"))
+    return r.select("pivot", "rep", "n", F.col("at").cast("long").alias("at"), (F.col("at") >= F.col("ordinary")).alias("hot"))
 
 
 def regions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of ordinary regions: the member lists of small ones (members, weight: how many regions have just these members), and the
-    rows (pivot, rep, n) of large ones."""
+    rows (pivot, rep, n, at) of large ones."""
     w = Window.partitionBy("pivot")
-    met = rows.select("pivot", "rep", "n", F.count(F.lit(1)).over(w).alias("c")).filter("c > 1")
+    met = rows.select("pivot", "rep", "n", "at", F.count(F.lit(1)).over(w).alias("c")).filter("c > 1")
     grouped = met.filter(F.col("c") <= SMALL).groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct("n", "rep"))).alias("members"))
-    return grouped.groupBy("members").agg(F.count(F.lit(1)).alias("weight")), met.filter(F.col("c") > SMALL).select("pivot", "rep", "n")
+    return grouped.groupBy("members").agg(F.count(F.lit(1)).alias("weight")), met.filter(F.col("c") > SMALL).select("pivot", "rep", "n", "at")
 
 
 def list_stars(lists: DataFrame) -> DataFrame:
@@ -205,8 +206,7 @@ def meetings(lists: DataFrame) -> DataFrame:
 
 def _enough(c: Column) -> Column:
     """Whether c common regions leave a link possible between sizes na and nb."""
-    most = F.greatest("na", "nb")
-    return c >= F.ceil(3 * (F.col("na") + F.col("nb")) / 7) - F.ceil(3 * most / 4) + 1
+    return c >= F.ceil(3 * (F.col("na") + F.col("nb")) / 7) - F.ceil(3 * F.greatest("na", "nb") / 4) + 1
 
 
 def _elsewhere(pairs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -219,9 +219,11 @@ def _band() -> Column:
     return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
 
 
-def centres_of(wide: DataFrame) -> DataFrame:
-    """pivot, band, centre: the document pivot of each size band of the large regions."""
-    return wide.groupBy("pivot", _band().alias("band")).agg(F.min("rep").alias("centre"))
+def centres_of(wide: DataFrame, in_wide: DataFrame) -> DataFrame:
+    """pivot, band, centre: the document pivot of each size band of the large regions. The member with most pivots in large
+    regions has least of its own: it is near the middle of its family."""
+    key = F.struct((-F.col("k")).alias("k"), "rep")
+    return wide.join(in_wide, "rep").groupBy("pivot", _band().alias("band")).agg(F.min(key).alias("m")).select("pivot", "band", F.col("m.rep").alias("centre"))
 
 
 def asked_for(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -301,16 +303,15 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     rows = replicate(classes)
     small, large = regions(rows.filter(~F.col("hot")).repartition("pivot"))
     none = F.lit(None).cast("long")
-    lists = small.select("members", "weight", *(none.alias(c) for c in ("pivot", "rep", "n")))
-    singles = large.unionByName(rows.filter("hot").select("pivot", "rep", "n")).select(F.lit(None).cast(lists.schema["members"].dataType).alias("members"), none.alias("weight"), "pivot", "rep", "n")
+    lists = small.select("members", "weight", *(none.alias(c) for c in ("pivot", "rep", "n", "at")))
+    singles = large.unionByName(rows.filter("hot").select("pivot", "rep", "n", "at")).select(F.lit(None).cast(lists.schema["members"].dataType).alias("members"), none.alias("weight"), "pivot", "rep", "n", "at")
     met = materialise(lists.unionByName(singles), "regions")
     lists = met.filter("members is not null").select("members", "weight")
-    wide = met.filter("members is null").select("pivot", "rep", "n")
+    wide = met.filter("members is null").select("pivot", "rep", "n", "at")
     _release(spark)
     # First: every region's members with its document pivots.
     in_wide = wide.groupBy("rep").agg(F.count(F.lit(1)).alias("k"))
-    in_small = lists.select("weight", F.explode("members.rep").alias("rep")).groupBy("rep").agg(F.sum("weight").alias("k"))
-    centres = materialise(centres_of(wide), "centres")
+    centres = materialise(centres_of(wide, in_wide), "centres")
     banded = wide.withColumn("band", _band())
     star = banded.join(centres, ["pivot", "band"]).filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
     stars = _elsewhere(list_stars(lists), in_wide).filter(_enough(2 * F.col("c") + F.col("more"))).select("a", "b")
@@ -329,16 +330,18 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     open_ = mine.groupBy("pivot", "label").count().groupBy("pivot").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("count", "label")).alias("main")).filter("labels > 1").select("pivot", "main")
     distance = compared.select("a", "b", (1 - F.col("common") / F.col("either")).alias("d"))
     distance = distance.unionByName(distance.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    # The largest partner with which this pivot may be the first common one: nothing before it is shared.
+    mine = mine.withColumn("cap", F.floor(7 * (F.col("n") - F.col("at")) / 3) - F.col("n"))
     left = mine.join(open_, "pivot").join(centres, ["pivot", "band"]).join(distance.select(F.col("a").alias("rep"), F.col("b").alias("centre"), "d"), ["rep", "centre"], "left")
-    left = materialise(left.select("pivot", "rep", "n", "label", "main", "centre", F.when(F.col("rep") == F.col("centre"), 0.0).otherwise(F.col("d")).alias("d")), "unsettled")
-    x = left.filter("label <> main").select("pivot", *(F.col(c).alias("x" + c) for c in ("rep", "n", "label", "centre", "d")))
-    y = left.select(F.col("pivot").alias("ypivot"), *(F.col(c).alias("y" + c) for c in ("rep", "n", "label", "main", "centre", "d")))
+    left = materialise(left.select("pivot", "rep", "n", "cap", "label", "main", "centre", F.when(F.col("rep") == F.col("centre"), 0.0).otherwise(F.col("d")).alias("d")), "unsettled")
+    span = left.groupBy("pivot").agg(F.min("n").alias("n0"))
+    able = left.join(span, "pivot").filter(F.col("cap") >= F.greatest("n0", F.ceil(3 * F.col("n") / 4)))
+    x = able.filter("label <> main").select("pivot", *(F.col(c).alias("x" + c) for c in ("rep", "n", "cap", "label", "centre", "d")))
+    y = able.select(F.col("pivot").alias("ypivot"), *(F.col(c).alias("y" + c) for c in ("rep", "n", "cap", "label", "main", "centre", "d")))
     fit = (F.col("xlabel") != F.col("ylabel")) & ((F.col("ylabel") == F.col("ymain")) | (F.col("xrep") < F.col("yrep")))
-    sizes = (4 * F.col("xn") >= 3 * F.col("yn")) & (4 * F.col("yn") >= 3 * F.col("xn"))
+    sizes = (4 * F.col("xn") >= 3 * F.col("yn")) & (4 * F.col("yn") >= 3 * F.col("xn")) & (F.col("yn") <= F.col("xcap")) & (F.col("xn") <= F.col("ycap"))
     window = (F.col("xcentre") != F.col("ycentre")) | F.coalesce(F.abs(F.col("xd") - F.col("yd")) <= 0.25 + 1e-9, F.lit(True))
-    less = F.col("xrep") < F.col("yrep")
-    pairs = x.join(y, (F.col("pivot") == F.col("ypivot")) & fit & sizes & window).select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b"), F.when(less, F.col("xn")).otherwise(F.col("yn")).alias("na"), F.when(less, F.col("yn")).otherwise(F.col("xn")).alias("nb"))
-    across = _elsewhere(pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")), in_small).filter(_enough(F.col("c") + F.col("more"))).select("a", "b")
+    across = x.join(y, (F.col("pivot") == F.col("ypivot")) & fit & sizes & window).select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b"))
     second = direct.unionByName(across).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
     again = materialise(verify(materialise(second, "second"), named, repeated), "compared-more").filter(linked).select("a", "b")
     if again.limit(1).count():
