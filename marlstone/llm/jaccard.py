@@ -239,7 +239,7 @@ def verify(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     """a, b, common, either (sizes of intersection and union; linked: 100 x common >= 75 x either) by exact comparison of whole
     texts. pairs: a written table; repeated: whether a doc_id may repeat in docs."""
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = asked_for(docs, wanted).join(wanted, "doc_id", "left_semi")
+    texts = asked_for(docs, wanted).join(wanted, "doc_id")  # an inner join: a semi-join would be pushed below the filter
     if repeated:
         texts = texts.dropDuplicates(["doc_id"])
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
