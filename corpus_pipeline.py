@@ -19,19 +19,21 @@ def _aside(docs: DataFrame, taken: set[str]) -> tuple[DataFrame, dict[str, str]]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model does not judge toxic. Null and empty texts stay for the next stage."""
-    held, back = _aside(docs, {"severity", "p_toxic", "toxic"})
+    added = {"severity", "p_toxic", "toxic"}
+    held, back = _aside(docs, added)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.judge(held, model).filter(~F.col("toxic")).withColumnsRenamed(back).select(*docs.columns)
+    return toxicity.judge(held, model).filter(~F.col("toxic")).drop(*added).withColumnsRenamed(back).select(*docs.columns)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the model knows; it says `und` to null texts and texts without a letter, and these go. Where no
     document has a language label nothing is learned and nothing but such texts goes."""
-    held, back = _aside(docs, {"lang_pred", "score"})
+    added = {"lang_pred", "score"}
+    held, back = _aside(docs, added)
     model = language.train(docs.select("doc_id", "text", "lang"))
     if not model["langs"]:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return language.identify(held, model).filter(F.col("lang_pred") != language.NONE).withColumnsRenamed(back).select(*docs.columns)
+    return language.identify(held, model).filter(F.col("lang_pred") != language.NONE).drop(*added).withColumnsRenamed(back).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

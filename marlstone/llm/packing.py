@@ -4,6 +4,8 @@ The packing depends only on how many pieces there are of each length, so it is p
 `capacity` counts, whatever the size of the corpus. A bin is filled greedily with the longest piece that fits; then its
 smallest piece is replaced by two unpacked pieces if together they fit the expanded gap more tightly. A bin so made is a
 pattern; it is repeated while the counts last, and each round uses up at least one length, so there are few patterns.
+The replacement can use up short pieces that later bins would need; the plan without it is made too, and taken if it has
+fewer bins.
 Pieces then find their places by rank among those of their length.
 """
 
@@ -51,6 +53,10 @@ def pieces_of(docs: DataFrame, ranks: str, capacity: int = CAPACITY, end_id: int
 
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a bin, number of such bins) for counts of pieces by length."""
+    return min((_plan(counts, capacity, two) for two in (True, False)), key=lambda plan: sum(bins for _, bins in plan))
+
+
+def _plan(counts: dict[int, int], capacity: int, two_fit: bool) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(capacity + 1, dtype=np.int64)
     for n, c in counts.items():
         left[n] = c
@@ -67,7 +73,7 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
             left[n] -= 1
             room -= n
         # Best-two-fit: the smallest member makes way for two pieces that leave a smaller gap.
-        while room and members:
+        while two_fit and room and members:
             small = members[-1]
             wide = room + small
             have = np.flatnonzero(left[: wide + 1])

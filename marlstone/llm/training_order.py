@@ -109,6 +109,11 @@ def manifest(spark: SparkSession, path: str, width: int = WIDTH, wide: bool = Fa
     return sized.withColumn("first_slot", F.sum("records").over(Window.orderBy("shard")) - F.col("records"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_slots(spark: SparkSession, path: str, first: int = 0, count: int | None = None, width: int = WIDTH, wide: bool = False, digest: bool = False) -> DataFrame:
     """The sequences of slots first .. first + count - 1 (all from first, if count is None): slot, shard, doc_id, piece,
     length and ids, or with digest the CRC-32 of the ids as little-endian unsigned 32-bit integers. Files that hold none of
@@ -116,6 +121,8 @@ def read_slots(spark: SparkSession, path: str, first: int = 0, count: int | None
     size, kind = stride(width, wide), "<u4" if wide else "<u2"
     schema = "slot long, shard int, doc_id long, piece int, length int, " + ("ids_crc32 long" if digest else "ids array<int>")
     last = (1 << 62) if count is None else first + count
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)  # the table was empty
     wanted = manifest(spark, path, width, wide).filter((F.col("first_slot") < last) & (F.col("first_slot") + F.col("records") > first))
     at = {r["file"]: (r["shard"], r["first_slot"]) for r in wanted.collect()}  # a row for each shard of shard_bytes
     if not at:
