@@ -8,7 +8,7 @@ from ..functions import labels, text
 from ..operators import graph, resample, splits
 from ..operators import classify as K
 from ..operators import relational as R
-from ..sources import files
+from ..sources import catalog, files
 from ..streaming import incremental
 from .base import SCORES, r6, scores, t
 from .registry import query
@@ -263,6 +263,12 @@ def a13(spark, sf):
     return r.select("r_regionkey", files.canonical_json(r).alias("js"))
 
 
+@query("a11_catalog_views", "SELECT c_mktsegment, count(*)::BIGINT AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
+def a11(spark, sf):
+    catalog.register(spark, sf, ("orders", "customer"), "cat_")
+    return spark.sql("SELECT c_mktsegment, count(*) AS n FROM cat_orders JOIN cat_customer ON c_custkey = o_custkey GROUP BY c_mktsegment")
+
+
 @query("x1_tumbling_windows", "SELECT time_bucket(INTERVAL '6 hours', ts)::VARCHAR AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def x1(spark, sf):
     return incremental.windowed_counts(t(spark, sf, "events"), "6 hours").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))

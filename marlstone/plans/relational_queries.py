@@ -313,9 +313,9 @@ def u2(spark, sf):
     return s.join(s.withColumnRenamed("a", "b"), "k").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("u3_difference", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("u3_difference", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def u3(spark, sf):
-    return t(spark, sf, "part").select(F.col("p_partkey").alias("k")).subtract(t(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("k")))
+    return t(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(t(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")))
 
 
 @query("u4_array_sets", "WITH g AS (SELECT o_custkey, list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'F') AS a, list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'O') AS b FROM orders GROUP BY 1), h AS (SELECT o_custkey, coalesce(a, []) AS a, coalesce(b, []) AS b FROM g) SELECT o_custkey, len(list_intersect(a, b))::BIGINT AS common, len(list_distinct(list_concat(a, b)))::BIGINT AS together, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ';') AS only_a FROM h")

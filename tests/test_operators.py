@@ -260,3 +260,16 @@ def test_pending(spark):
     assert sorted(r["id"] for r in incremental.pending(w, spark.range(3), ["id"]).collect()) == [3, 4]
     k = incremental.request_key({"b": F.col("id"), "a": F.lit("x")})
     assert w.select(k).distinct().count() == 5
+
+
+def test_config(tmp_path):
+    from marlstone.sources import catalog
+
+    f = tmp_path / "c.json"
+    f.write_text('{"paths": {"a": "/x", "b": "<set me>"}, "options": {"k": 3}}')
+    c = catalog.load_config(f, required=("a",))
+    assert c.path("a") == "/x" and c.options["k"] == 3
+    with pytest.raises(ValueError):
+        catalog.load_config(f, required=("b",))
+    with pytest.raises(KeyError):
+        c.path("z")
