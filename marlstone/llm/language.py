@@ -108,18 +108,18 @@ class Scorer:
         if len(self.rows) > KEPT_WORDS:
             self._reset()
         total = np.zeros(len(self.langs))
-        rows = self.rows
-        index = []
-        for w in words:
-            r = rows.get(w)
-            if r is None:
-                if len(w) > LONG_WORD:
-                    total += self.vector(w)
-                    continue
-                r = self.row(w)
-            index.append(r)
+        index = list(map(self.rows.get, words))
+        if None in index:
+            for i, r in enumerate(index):
+                if r is None:
+                    w = words[i]
+                    if len(w) > LONG_WORD:
+                        total += self.vector(w)
+                    else:
+                        index[i] = self.rows[w] if w in self.rows else self.row(w)
+            index = [r for r in index if r is not None]
         if index:
-            total += self.matrix[index].sum(axis=0)
+            total += np.bincount(index, minlength=len(self.rows)) @ self.matrix[: len(self.rows)] if len(index) > 4096 else self.matrix.take(index, axis=0).sum(axis=0)
         # The share of the best language, with the evidence of a long text counted as that of 20 words.
         total = total * (min(len(words), 20) / len(words)) + self.model["prior"]
         p = np.exp(total - total.max())

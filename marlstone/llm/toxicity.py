@@ -132,13 +132,12 @@ class Judge:
     def above(self, text: str | None) -> list[float]:
         """P(grade > k) for each threshold."""
         counts: Counter = Counter()
-        known = self.known
-        for w in WORD.findall(text.lower()) if text else ():
-            found = known.get(w)
-            if found is None:
-                found = self.hits(w)
-            if found:
-                counts.update(found)
+        words = WORD.findall(text.lower()) if text else []
+        found = list(map(self.known.get, words))
+        if None in found:
+            found = [self.hits(w) if f is None else f for w, f in zip(words, found)]
+        for f in filter(None, found):
+            counts.update(f)
         z = sum(self.weights[f] * (1 + np.log(c)) for f, c in counts.items())
         return [float(1 / (1 + np.exp(-np.clip(z - t, -30, 30)))) for t in self.cuts]
 
