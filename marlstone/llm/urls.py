@@ -66,7 +66,8 @@ def train(labelled: DataFrame) -> list[float]:
     by_feature = F.expr(f"transform(array_repeat(0, {DIMENSIONS}), x -> cast(array() as array<int>))")
     pairs = rows.agg(F.sort_array(F.collect_list(F.struct("y", F.col("features").alias("f")))).alias("rows")).select(F.posexplode("rows").alias("i", "r")).select("i", F.explode("r.f").alias("f"))
     lists = pairs.groupBy("f").agg(F.sort_array(F.collect_list("i")).alias("has")).agg(F.map_from_entries(F.collect_list(F.struct("f", "has"))).alias("has"))
-    one = one.crossJoin(lists).withColumn("empty", by_feature).withColumn("inverted", F.expr("transform(empty, (x, j) -> coalesce(has[j], x))"))  # one row each
+    one = one.select("rows", "n", "norm", F.lit(None).cast("map<int,array<int>>").alias("has")).unionByName(lists, allowMissingColumns=True)
+    one = one.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("rows", "n", "norm", "has")]).withColumn("empty", by_feature).withColumn("inverted", F.expr("transform(empty, (x, j) -> coalesce(has[j], x))"))
     step = f"""
       aggregate(sequence(1, {ROUNDS}), named_struct('w', array_repeat(0D, {DIMENSIONS}), 'b', 0D), (m, t) ->
         transform(array(transform(rows, (r, i) -> (r.y - 1 / (1 + exp(-(m.b + norm[i] * aggregate(r.f, 0D, (a, f) -> a + m.w[f]))))) / n)), e ->
