@@ -48,7 +48,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(written: DataFrame) -> None:
+    """Remove what materialise wrote, once nothing will be computed from it any more."""
+    _remove(written.sparkSession, written.written_at)
 
 
 def whole_text(name: str = "text") -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, table
+from .common import discard, materialise, table
 
 SHINGLE = 5
 #: One document in SAMPLE is read to find frequent shingles; frequent: in FREQUENT of them. At most MOST_FREQUENT are told apart.
@@ -306,6 +306,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     lists = small.select("members", "weight", *(none.alias(c) for c in ("pivot", "rep", "n", "at")))
     singles = large.unionByName(rows.filter("hot").select("pivot", "rep", "n", "at")).select(F.lit(None).cast(lists.schema["members"].dataType).alias("members"), none.alias("weight"), "pivot", "rep", "n", "at")
     met = materialise(lists.unionByName(singles), "regions")
+    names = materialise(signed.drop("pivots", "ordinary"), "names")
+    discard(signed)
     lists = met.filter("members is not null").select("members", "weight")
     wide = met.filter("members is null").select("pivot", "rep", "n", "at")
     _release(spark)
@@ -346,9 +348,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     again = materialise(verify(materialise(second, "second"), named, repeated), "compared-more").filter(linked).select("a", "b")
     if again.limit(1).count():
         labels = components(links.unionByName(again))
-    groups = usable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    groups = names.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     grouped = groups.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").filter("label is not null or last > rep").select("k1", "k2", "n", F.coalesce("label", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "k1", "k2").join(grouped, ["k1", "k2", "n"], "left")
+    out = names.join(grouped, ["k1", "k2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
