@@ -144,13 +144,18 @@ def replicate(classes: DataFrame) -> DataFrame:
     return r.select("pivot", "rep", "n", F.col("at").cast("long").alias("at"), (F.col("at") >= F.col("ordinary")).alias("hot"))
 
 
-def regions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of ordinary regions: the member lists of small ones (members, weight: how many regions have just these members), and the
-    rows (pivot, rep, n, at) of large ones."""
-    w = Window.partitionBy("pivot")
-    met = rows.select("pivot", "rep", "n", "at", F.count(F.lit(1)).over(w).alias("c")).filter("c > 1")
+def meeting_rows(rows: DataFrame) -> DataFrame:
+    """pivot, rep, n, at, c: the members of regions that have more than one. c: how many, null for frequent pivots, which are not
+    gathered here. Ordinary rows go through one exchange, without their places (at is 0 then, a weaker bound)."""
+    cold = rows.filter(~F.col("hot")).select("pivot", "rep", "n").repartition("pivot")
+    met = cold.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("pivot"))).filter("c > 1")
+    return met.select("pivot", "rep", "n", F.lit(0).cast("long").alias("at"), "c").unionByName(rows.filter("hot").select("pivot", "rep", "n", "at", F.lit(None).cast("long").alias("c")))
+
+
+def member_lists(met: DataFrame) -> DataFrame:
+    """members (n and rep, in order), weight: the small regions, and how many regions have just these members."""
     grouped = met.filter(F.col("c") <= SMALL).groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct("n", "rep"))).alias("members"))
-    return grouped.groupBy("members").agg(F.count(F.lit(1)).alias("weight")), met.filter(F.col("c") > SMALL).select("pivot", "rep", "n", "at")
+    return grouped.groupBy("members").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def list_stars(lists: DataFrame) -> DataFrame:
@@ -300,16 +305,11 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     usable = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = usable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("pivots").alias("pivots"), F.first("ordinary").alias("ordinary"))
     repeated = bool(signed.groupBy("doc_id").count().filter("count > 1").limit(1).count())
-    rows = replicate(classes)
-    small, large = regions(rows.filter(~F.col("hot")).repartition("pivot"))
-    none = F.lit(None).cast("long")
-    lists = small.select("members", "weight", *(none.alias(c) for c in ("pivot", "rep", "n", "at")))
-    singles = large.unionByName(rows.filter("hot").select("pivot", "rep", "n", "at")).select(F.lit(None).cast(lists.schema["members"].dataType).alias("members"), none.alias("weight"), "pivot", "rep", "n", "at")
-    met = materialise(lists.unionByName(singles), "regions")
+    met = materialise(meeting_rows(replicate(classes)), "regions")
     names = materialise(signed.drop("pivots", "ordinary"), "names")
     discard(signed)
-    lists = met.filter("members is not null").select("members", "weight")
-    wide = met.filter("members is null").select("pivot", "rep", "n", "at")
+    lists = materialise(member_lists(met), "lists")
+    wide = met.filter(F.col("c").isNull() | (F.col("c") > SMALL)).select("pivot", "rep", "n", "at")
     _release(spark)
     # First: every region's members with its document pivots.
     in_wide = wide.groupBy("rep").agg(F.count(F.lit(1)).alias("k"))
