@@ -74,8 +74,15 @@ def gate(rows: DataFrame, by: list[str], quantiles: list[float], beta: float = 0
 
 
 def reliability(rows: DataFrame, by: list[str], order: str, bins: int = 10) -> DataFrame:
-    """by, bin, n, mean_predicted, observed, n_positive: bins of equal numbers in score order."""
-    b = rows.withColumn("bin", F.ntile(bins).over(Window.partitionBy(*by).orderBy("p", order)))
+    """by, bin, n, mean_predicted, observed, n_positive: bins of equal numbers in score order (ties by `order`), the first ones
+    larger by one. A row's rank is the number of rows with lower scores, from sums by distinct score, and its place among equal
+    scores; no task sorts a whole class."""
+    per = rows.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("k"))
+    per = per.select(*by, "p", (F.sum("k").over(Window.partitionBy(*by).orderBy("p")) - F.col("k")).alias("before"), F.sum("k").over(Window.partitionBy(*by)).alias("total"))
+    ranked = rows.withColumn("i", F.row_number().over(Window.partitionBy(*by, "p").orderBy(order))).join(per, [*by, "p"]).withColumn("rank", F.col("before") + F.col("i"))
+    size, more = F.floor(F.col("total") / bins), F.col("total") % bins
+    head = (size + 1) * more
+    b = ranked.withColumn("bin", F.when(F.col("rank") <= head, F.ceil(F.col("rank") / (size + 1))).otherwise(more + F.ceil(F.try_divide((F.col("rank") - head).cast("double"), size.cast("double")))).cast("int"))
     return b.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_predicted"), F.avg(F.col("y").cast("double")).alias("observed"), F.sum("y").alias("n_positive"))
 
 
