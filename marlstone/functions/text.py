@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 WS = r"[\t\n\x0B\f\r ]+"
 #: What a section says when it says nothing.
 PLACEHOLDERS = ["", "none", "none.", "n/a", "na", "nan", "null", "-", "."]
+#: Fixed value: words (with an apostrophe part), numbers, single marks.
 TOKEN = r"[A-Za-z]+(?:'[a-z]+)?|\d+(?:\.\d+)?|[^\sA-Za-z\d]"
 
 
+#: Patterns of markup, of a heading at the start of a section, and of anonymised words.
+MARKUP = "<[^>]+>|&(?:amp|lt|gt|quot|nbsp);"
+HEADING = r"(?i)^\s*(?:findings?|impressions?|comparison|indication)\s*[:\-]\s*"
+ANONYMISED = r"\bX{2,}\b"
+
+
 def collapse(x: Column) -> Column:
     """White space runs to one space, ends trimmed; null is empty."""
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), WS, " "))
@@ -47,9 +54,9 @@ def section_status(first: Column, rest: Column) -> Column:
 
 def clean_section(x: Column) -> Column:
     """Tags, entities, a leading heading and placeholder letters removed, punctuation tightened; empty if nothing is left."""
-    s = F.regexp_replace(F.coalesce(x, F.lit("")), "<[^>]+>|&(?:amp|lt|gt|quot|nbsp);", " ")
-    s = F.regexp_replace(s, r"(?i)^\s*(?:findings?|impressions?|comparison|indication)\s*[:\-]\s*", "")
-    s = F.regexp_replace(s, r"\bX{2,}\b", " ")
+    s = F.regexp_replace(F.coalesce(x, F.lit("")), MARKUP, " ")
+    s = F.regexp_replace(s, HEADING, "")
+    s = F.regexp_replace(s, ANONYMISED, " ")
     s = F.trim(F.regexp_replace(F.regexp_replace(s, WS, " "), r" +([.,;:])", "$1"))
     s = F.regexp_replace(s, r"^[.,;: ]+", "")
     return F.when(F.lower(s).isin(PLACEHOLDERS) | ~s.rlike("[A-Za-z]{2,}"), F.lit("")).otherwise(s)

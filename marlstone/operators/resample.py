@@ -63,7 +63,8 @@ def mean_ci(values: DataFrame, n_boot: int = 1000, seed: int = 42) -> DataFrame:
 
     boots = values.sparkSession.range(0, n_boot, 1, 16).mapInPandas(run, "name string, b long, mean double").filter(~F.isnan("mean"))
     ci = boots.groupBy("name").agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return values.groupBy("name").agg(F.avg("x").alias("mean")).join(ci, "name", "left").select("name", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    seen = [(name, float(f.sum() / k.sum()) if k.sum() else None) for name, k, f in zip(names, known.T, filled.T)]
+    return values.sparkSession.createDataFrame(seen, "name string, mean double").join(ci, "name", "left").select("name", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def paired(values: DataFrame, a: str, b: str, n_boot: int = 1000, seed: int = 42) -> DataFrame:

@@ -81,12 +81,13 @@ def n2(spark, sf):
 
 def _systems(spark, sf):
     """name, unit, x: mean gain of the top 5 and top 1 of lexical retrieval, and of fusion's top 5."""
-    g = gains(spark, sf)
+    g = gains(spark, sf).filter("rank <= 5").groupBy(F.col("query").alias("unit")).agg(F.round(F.avg("gain"), 9).alias("five"), F.round(F.max(F.when(F.col("rank") == 1, F.col("gain"))), 9).alias("one"))
+    lexical = g.select("unit", F.explode(F.array(F.struct(F.lit("lexical5").alias("name"), F.col("five").alias("x")), F.struct(F.lit("lexical1").alias("name"), F.col("one").alias("x")))).alias("s")).select("s.name", "unit", "s.x")
     docs = sets(t(spark, sf, "documents"), "doc_id", "id")
     q = sets(t(spark, sf, "benchmark"), "item_id", "query").filter("size(s) > 0").withColumnRenamed("s", "qs")
     f = ret.top_k(fused(spark, sf), 5).join(docs, "id").join(q, "query").select("query", F.when(F.size("s") == 0, 0.0).otherwise(ret.jaccard("qs", "s")).alias("gain"))
-    mean = lambda df, name: df.groupBy(F.col("query").alias("unit")).agg(F.round(F.avg("gain"), 9).alias("x")).select(F.lit(name).alias("name"), "unit", "x")
-    return mean(g.filter("rank <= 5"), "lexical5").unionByName(mean(g.filter("rank = 1"), "lexical1")).unionByName(mean(f, "fusion5"))
+    fusion = f.groupBy(F.col("query").alias("unit")).agg(F.round(F.avg("gain"), 9).alias("x")).select(F.lit("fusion5").alias("name"), "unit", "x")
+    return lexical.unionByName(fusion)
 
 
 @query("n3_confidence_intervals")
