@@ -41,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows that repeat a doc_id one stays. Rows without a doc_id stay."""
     classes = materialise(jaccard.jaccard_classes(docs), "classes")
     gone = classes.filter(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = jaccard.without(docs, gone)
     if classes.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").limit(1).count():
         kept = kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.filter(F.col("doc_id").isNull()))
     return kept

@@ -240,6 +240,18 @@ def asked_for(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return own.join(F.broadcast(bits), "word").filter(F.getbit("bits", (place % 64).cast("int")) == 1).select("doc_id", "text")  # FILTER_BITS / 64 rows at most
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but those whose doc_id is in gone (one column, doc_id). Rows that the bit table shows not to be meant stay where they
+    are; only the others go through an exchange to find out. A null doc_id is never meant."""
+    cols = docs.columns
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
+    bits = gone.select((place / 64).cast("long").alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    marked = docs.withColumn("__word", (place / 64).cast("long")).join(F.broadcast(bits), "__word", "left").withColumn("__maybe", F.coalesce(F.getbit("__bits", (place % 64).cast("int")) == 1, F.lit(False)))  # FILTER_BITS / 64 rows at most
+    meant = gone.select("doc_id").distinct().withColumn("__gone", F.lit(True))
+    rest = marked.filter("__maybe").select(*cols).join(meant, "doc_id", "left").filter("__gone is null")  # not an anti-join: that would be pushed below the filter
+    return marked.filter("not __maybe").select(*cols).unionByName(rest.select(*cols))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     """a, b, common, either (sizes of intersection and union; linked: 100 x common >= 75 x either) by exact comparison of whole
     texts. pairs: a written table; repeated: whether a doc_id may repeat in docs."""
