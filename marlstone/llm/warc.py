@@ -24,7 +24,7 @@ from .common import scratch, table
 
 #: Fixed values of the format.
 MAGIC, END, BREAK = b"WARC/1.1\r\n", b"\r\n\r\n", "\r\n"
-LEAST_REVISIT, ARCHIVE_BYTES, MOST_HEADER, DATE = 100, 24 << 20, 1 << 16, "2024-01-01T00:00:00Z"
+LEAST_REVISIT, ARCHIVE_BYTES, DATE = 100, 24 << 20, "2024-01-01T00:00:00Z"
 
 
 def decide(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -65,12 +65,16 @@ _LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)[ \t]*\r?$", re.I | re.M)
 
 def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(offsets, ends of headers, successors) of all places in data that look like a record; successor -1: no valid header or
-    no record end where the header's length puts it."""
+    no record end where the header's length puts it. Headers may be of any size."""
     offsets, bodies, successors = [], [], []
-    at = data.find(MAGIC)
+    at, stop, found = data.find(MAGIC), 0, None
     while at >= 0:
-        stop = data.find(END, at, at + MOST_HEADER)
-        found = _LENGTH.search(data, at, stop + 2) if stop >= 0 else None
+        # The next end of a header and the next length serve all places before them: no byte is searched for them twice.
+        if 0 <= stop <= at:
+            stop = data.find(END, at)
+            found = _LENGTH.search(data, at, stop + 2) if stop >= 0 else None
+        elif found and found.start() < at:
+            found = _LENGTH.search(data, at, stop + 2)
         after = stop + 4 + int(found[1]) if found else -1
         offsets.append(at)
         bodies.append(stop + 4)
@@ -97,9 +101,14 @@ def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of the records of an archive."""
+    """(header fields in lower case, block) of the records of an archive; none if it does not begin with a record's mark. A
+    chain of records that does not end where the archive does is an error."""
     offsets, bodies, successors = candidates(data)
-    for k in np.flatnonzero(reachable(offsets, successors)):
+    chain = np.flatnonzero(reachable(offsets, successors))
+    end = int(successors[chain[-1]]) if len(chain) else 0
+    if end != len(data) and data.startswith(MAGIC):
+        raise ValueError(f"archive is damaged: its records end at byte {end} of {len(data)}")
+    for k in chain:
         lines = data[offsets[k] : bodies[k] - 4].decode("utf-8", errors="replace").split("\r\n")[1:]
         fields = {a.strip().lower(): b.strip() for a, _, b in (x.partition(":") for x in lines)}
         yield fields, data[bodies[k] : successors[k] - 4]
@@ -114,12 +123,14 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null for revisits, and
     without `payloads`) of every record. The
     digest and size of a response are those of the payload read; a revisit has them from its own headers. A response whose
-    payload does not have the digest its header states is an error."""
+    payload does not have the digest its header states is an error, and so is an archive that is damaged or cut off."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:
                 data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else bytes(content)
+                if data and not data.startswith(MAGIC):
+                    raise ValueError("archive is damaged: it does not begin with a record")
                 rows = []
                 size = 0
                 for fields, block in records(data):

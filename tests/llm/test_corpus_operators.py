@@ -362,6 +362,24 @@ def test_boundary_chain_rejects_what_is_inside():
     assert list(warc.records(b"junk" + data)) == [] and list(warc.records(b"")) == [] and gzip.decompress(gzip.compress(data)) == data
 
 
+def test_warc_long_headers_and_damage(spark, tmp_path):
+    rows = [(i, "http://h/" + "u" * n, f"page {i}") for i, n in enumerate((5, 70_000, 300_000, 5))]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    assert {(r["page_id"], r["url"], bytes(r["payload"])) for r in warc.read_archives(spark, path).collect()} == {(i, u, t.encode()) for i, u, t in rows}
+    record = lambda body: b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    marks = [warc.MAGIC * 20_000, b"WARC/1.1\r\nContent-Length: 7\r\n" * 20_000]  # many places without a header's end
+    data = b"".join(map(record, (b"a", *marks, b"b")))
+    assert [b for _, b in warc.records(data)] == [b"a", *marks, b"b"]
+    for bad in (data[:-1], data[:-50], data + b"x", data[:26] + b"9" + data[27:]):
+        with pytest.raises(ValueError, match="damaged"):
+            list(warc.records(bad))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0").write_bytes(b"junk" + data)
+    with pytest.raises(Exception, match="damaged"):
+        warc.read_archives(spark, str(tmp_path / "bad")).collect()
+
+
 # ---- 10: toxicity
 def test_ordinal_regression_recovers_order():
     r = np.random.default_rng(6)
