@@ -53,6 +53,15 @@ def test_bpe_equals_library(spark, docs):
     assert bpe.digest_documents(docs.limit(0), path).count() == 0
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", " \n"])
+def test_ids_of_a_million_blanks(blank):
+    from tokenizers import Tokenizer
+
+    text = "one" + blank * (1_100_000 // len(blank)) + "two <|endoftext|> three"
+    want = Tokenizer.from_file(bpe.default_vocabulary()).encode(text, add_special_tokens=False).ids
+    assert tokens.ids_of(text, tokens.default_ranks()).tolist() == want
+
+
 # ---- 1: training order
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 7, 1000, 4097):
