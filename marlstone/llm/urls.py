@@ -1,7 +1,7 @@
 """URL filters: rules, and logistic regression on hashed character n-grams of host and path for what no rule fits.
 
 The classifier is trained from a small labelled table of URLs, by full-batch gradient descent written as one SQL expression
-over its rows (at most a few hundred; LABELLED is the default). Weights are one array of DIMENSIONS numbers. Everything is
+over its rows (about a thousand; labelled_urls makes the default). Weights are one array of DIMENSIONS numbers. Everything is
 DataFrame functions.
 """
 
@@ -17,24 +17,51 @@ DIMENSIONS, GRAM, ROUNDS, RATE, RIDGE = 8192, 4, 80, 4.0, 0.0002
 #: Host, path prefix and verdict of the rules of the contract.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
-#: Labelled examples: what advertising names are made of, names of ordinary sites, and syllables for names of no meaning.
-_LURES = "casino bets pills spam ads slots lottery poker dating loans watches followers warez diet meds coins cams coupons".split()
-_BAITS = "free cheap best win hot fast online farm track bonus".split()
-_PLAIN = "city-library daily-news open-docs school-books garden-notes museum weather science travel cooking music radio river health law gallery birds film chess council".split()
-_SYLLABLES = "th er on ti an re he in ed nd or ble st en at to nt ha sh es wh ou".split()
+#: Labelled examples, from general knowledge of the classes: words of advertising, adult and spam sites by kind, what stands
+#: beside such words in names, and subjects and places of ordinary sites, some of which share letters with the former.
+_LURES = {
+    "gambling": "casino poker slots betting bets lottery",
+    "adult": "adult porn hentai sex nude escort erotic cams",
+    "pharmacy": "pills viagra cialis meds",
+    "money": "loans payday forex cash",
+    "advertising": "ads banner popup clicks affiliate pixel",
+    "spam": "spam bulkmail followers backlinks coupons",
+    "deception": "prize replica fake phishing",
+    "piracy": "warez torrent keygen",
+}
+_BESIDE = "best online bonus hot live top now club deals vip mega zone video tube instant 24 buy world".split()
+_PLAIN = (
+    "library museum school college university hospital council parliament theatre orchestra gallery archive observatory harbour airport railway station bridge castle cathedral "
+    "garden kitchen bakery brewery vineyard orchard meadow forest mountain river island lighthouse weather climate geology botany zoology astronomy physics chemistry biology "
+    "history poetry grammar dictionary alphabets philosophy economics journal gazette herald tribune chronicle magazine newspaper radio podcast cinema photography painting pottery "
+    "knitting carpentry plumbing roofing bicycle motorcycle tractor engine battery compiler database kernel python java network protocol software downloads uploads roads hardware "
+    "football cricket rugby tennis rowing sailing swimming climbing hiking chess bridgeclub scouts volunteers charity church synagogue mosque temple parish village borough county "
+    "essex sussex middlesex wessex oxford cambridge london paris berlin vienna madrid lisbon dublin glasgow toronto boston chicago denver seattle melbourne auckland nairobi mumbai "
+    "pharmacology nursing dentistry surgery vaccines nutrition recipes cooking breadmaking cashmere loanwords creditunion insurance accounting taxation justice lawyers notary "
+    "smith johnson williams miller wagner fischer martin bernard rossi garcia fernandez novak kowalski andersson hansen tanaka nguyen okafor cohen murphy "
+    "readers popular sexton prizefighters"
+).split()
+_FIELDS = "city open daily public national society research guide project notes online world video live club".split()
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """url, block (0 or 1): a small table, about 500 rows, made from the example names."""
-    lures = [f"{a}-{b}" if (i + k) % 2 else f"{b}-{a}" for i, a in enumerate(_LURES) for k, b in enumerate(_BAITS)]
-    made = [_SYLLABLES[i % 22] + _SYLLABLES[(i * 7 + i // 22) % 22] + _SYLLABLES[(i * 5 + 3) % 22] * (i % 2) for i in range(220)]
-    shape = [("www.", "/en/{}"), ("m.", "/de/{}.html"), ("", "/fr/{}/"), ("blog.", "/es/{}")]
-    top = ["com", "net", "org"]
+    """url, block (0 or 1): a small table, about a thousand rows, made from the example words. Both labels have the same
+    hosts' and paths' shapes, so only names tell them apart."""
+    lures, plain = [], []
+    for words in (kind.split() for kind in _LURES.values()):
+        for i, a in enumerate(words):
+            for k in range(9 + 16 * (len(a) < 6)):  # short words have few n-grams
+                b, c = words[(i + 1 + k % (len(words) - 1)) % len(words)], _BESIDE[(5 * i + 7 * k) % len(_BESIDE)]
+                lures.append((f"{a}-{b}", f"{c}-{a}-{b}", f"{a}-{b}-{c}", f"{b}{a}", f"{a}{c}-{b}", f"{a}-{c}", f"{c}-{a}")[k % 7])
+    for k in range(2):
+        for i, a in enumerate(_PLAIN):
+            b, c = _FIELDS[i * 7 % len(_FIELDS)], _PLAIN[(i * 11 + 5) % len(_PLAIN)]
+            plain.append((a, f"{b}-{a}", f"{a}-{b}", f"{a}-{c}", f"{a}{c}", f"{b}{a}")[(i + k * 2) % 6])
+    hosts, tops, paths = ("{}", "www.{}", "{}.hosted", "shop.{}"), ("com", "org", "net"), ("", "/index.php", "/about", "/2019/05/post-{}")
     rows = []
-    for y, names in ((1, lures), (0, _PLAIN * 3 + made)):
+    for y, names in ((1, lures), (0, plain)):
         for k, name in enumerate(names):
-            www, path = shape[k % 4]
-            rows.append((f"https://{www}{name}.example.{top[k % 3]}{path.format(k * 37 % 900)}", y))
+            rows.append((f"https://{hosts[k // 2 % 4].format(name)}.{tops[k % 3]}{paths[k % 4].format(k * 37 % 900)}", y))
     return spark.createDataFrame(rows, "url string, block int")
 
 

@@ -183,6 +183,19 @@ def test_url_classifier_learns(spark):
     assert urls.train(table.filter("block = 1")) == [0.0] * (urls.DIMENSIONS + 1)
 
 
+def test_url_classifier_on_names_it_has_not_seen(spark):
+    table = urls.labelled_urls(spark)
+    seen = " ".join(r["url"] for r in table.select("url").collect())
+    bad = "adult-x adult-friend porn-tube hotporn nude-pics escort-service casino-win casinoplay poker-room lottery-winner cheap-pills cheapviagra loans-today free-bets betting-tips banner-network spam-mailer spam-farm".split()
+    good = "thther velkaro mirandel tiontion river-house city-museum open-source-hub zimmermann wikipedia mozilla github lakeside-school essex-council sunny-day hartford linux-kernel".split()
+    assert not [n for n in bad + good if n in seen]
+    rows = [(k, f"http://{www}{n}.{top}{path}", n, n in bad) for k, (n, www, top, path) in enumerate((n, w, t, p) for n in bad + good for w in ("", "www.", "m.") for t in ("com", "org") for p in ("/", "/en/7", "/es/12.html"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, name string, bad boolean")
+    got = urls.judge(pages, urls.train(table), rules=[]).join(pages, "page_id").groupBy("name", "bad").agg(F.avg((F.col("verdict") == "block").cast("int")).alias("blocked")).collect()
+    by = {r["name"]: r["blocked"] for r in got}
+    assert by["adult-x"] >= 0.9 and sum(by[n] for n in bad) >= 0.95 * len(bad) and sum(by[n] for n in good) <= 0.05 * len(good), by
+
+
 # ---- 4: top k
 @pytest.mark.parametrize("page", [2048, 20])
 def test_top_k_equals_brute_force(spark, page, monkeypatch):
