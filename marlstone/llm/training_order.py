@@ -7,25 +7,30 @@ spreads evenly, so do the shards, whatever keys or documents are frequent. Each
 number of bytes, in order, so record r begins at r x stride. A sequence's global slot is its shard's first slot plus its
 record number: slots are 0 .. number of sequences - 1 without gaps, and any slot is found by one seek.
 
-Record: doc_id (int64), piece (uint32), length (uint32), `width` ids (uint16 or uint32), all little-endian, one newline byte.
+Tables with null doc_ids, or with ids too far apart for that, have their sequences counted and numbered 0 .. n - 1 instead, in
+order of doc_id (nulls last) and text, and range(n) is permuted.
+
+Record: doc_id (int64), piece (uint32), length (uint32; its highest bit is set where doc_id is null, which is 0 then), `width`
+ids (uint16 or uint32), all little-endian, one newline byte.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import crc
-from .common import scratch, table
+from .common import discard, materialise, scratch, table
 from .tokens import END_ID, default_ranks, ids_of
 
-WIDTH, SHARD_BYTES, HEAD = 256, 8 << 20, 16
+WIDTH, SHARD_BYTES, HEAD, UNNAMED = 256, 8 << 20, 16, 1 << 31
 MASK = (1 << 64) - 1
 
 
@@ -58,50 +63,92 @@ def stride(width: int, wide: bool = False) -> int:
     return HEAD + width * (4 if wide else 2) + 1
 
 
-def write_shards(docs: DataFrame, path: str, ranks: str, key: str = "order-0", width: int = WIDTH, shard_bytes: int = SHARD_BYTES, end_id: int = END_ID) -> int:
+def write_shards(docs: DataFrame, path: str, ranks: str, key: str = "order-0", width: int = WIDTH, shard_bytes: int = SHARD_BYTES, end_id: int = END_ID, unnamed: bool = False) -> int:
     """Write the shards under path; returns their number.
 
     Null and empty texts give one sequence that holds the end id alone. Repeated documents, and rows that repeat a doc_id,
-    keep a sequence each (equal places in the order are settled by content). Null doc_ids are an error. Document ids must
-    span less than 2^62 / pieces of the longest text. An empty table writes nothing and returns 0.
+    keep a sequence each (equal places in the order are settled by content). Rows with a null doc_id are an error, or with
+    `unnamed` documents of their own. They, and ids that span 2^62 / pieces of the longest text or more, cost another exchange
+    and two scratch tables. An empty table writes nothing and returns 0.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
     s = slim.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("t")), F.sum(F.octet_length("t")), F.count(F.lit(1)), F.count("doc_id")).first()
     low, high, longest, total, n, named = s
     if not n:
         return 0
-    if named < n:
+    if named < n and not unnamed:
         raise ValueError("doc_id is null in some rows")
     most = ((longest or 0) + 1 + width - 1) // width  # a token has a byte at least
-    domain = (high - low + 1) * most
-    if domain >= 1 << 62:
-        raise ValueError("document ids span too far; number the documents first")
+    domain = (high - low + 1) * most if named == n else 1 << 62
     wide = end_id > 0xFFFF
     size = stride(width, wide)
     shards = max(1, -(-((total or 0) * size // (3 * width) + n * size // 2) // shard_bytes))  # about three bytes a token, half a sequence of padding
     kind = "<u4" if wide else "<u2"
 
+    def records_of(doc: int, text: str | None, flag: int = 0) -> Iterator[bytes]:
+        ids = np.append(ids_of(text, ranks), end_id).astype(kind)
+        for piece, at in enumerate(range(0, len(ids), width)):
+            part = ids[at : at + width]
+            row = np.full(width, end_id, dtype=kind)
+            row[: len(part)] = part
+            yield np.int64(doc).astype("<i8").tobytes() + np.array([piece, len(part) | flag], dtype="<u4").tobytes() + row.tobytes()
+
+    def deal(numbers: list[int], records: list[bytes], domain: int) -> pd.DataFrame:
+        place = feistel(np.array(numbers, dtype=np.uint64), domain, key)
+        shard = (place.astype(object) * shards // domain).astype(np.int64) if domain.bit_length() + shards.bit_length() > 62 else place * shards // domain
+        return pd.DataFrame({"shard": shard.astype("int32"), "place": place, "record": records})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             numbers, records = [], []
             for doc, text in zip(b["doc_id"].tolist(), b["t"]):
-                ids = np.append(ids_of(text, ranks), end_id).astype(kind)
-                for piece, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    row = np.full(width, end_id, dtype=kind)
-                    row[: len(part)] = part
+                for piece, record in enumerate(records_of(doc, text)):
                     numbers.append((doc - low) * most + piece)
-                    records.append(np.int64(doc).astype("<i8").tobytes() + np.array([piece, len(part)], dtype="<u4").tobytes() + row.tobytes())
-            place = feistel(np.array(numbers, dtype=np.uint64), domain, key)
-            shard = (place.astype(object) * shards // domain).astype(np.int64) if domain.bit_length() + shards.bit_length() > 62 else place * shards // domain
-            yield pd.DataFrame({"shard": shard.astype("int32"), "place": place, "record": records})
-
-    rows = slim.mapInPandas(run, "shard int, place long, record binary")
+                    records.append(record)
+            yield deal(numbers, records, domain)
+
+    if domain < 1 << 62:
+        rows = slim.mapInPandas(run, "shard int, place long, record binary")
+    else:
+        counted = _counted(slim, records_of)
+        sizes = {r["part"]: r["n"] for r in counted.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each partition
+        starts, total_n = {}, 0
+        for part in sorted(sizes):
+            starts[part], total_n = total_n, total_n + sizes[part]
+
+        def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield deal([starts[p] + at for p, at in zip(b["part"].tolist(), b["at"].tolist())], b["record"].tolist(), total_n)
+
+        rows = counted.mapInPandas(number, "shard int, place long, record binary")
     dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "place", "record")
     dealt.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(path)
+    if domain >= 1 << 62:
+        discard(counted)
     return shards
 
 
+def _counted(slim: DataFrame, records_of: Callable[..., Iterator[bytes]]) -> DataFrame:
+    """part, at, record: the sequences in order of doc_id (nulls last), text and piece; `at` counts from 0 in each part, and parts
+    follow one another. Equal rows are told apart by any order, so that many of them are dealt out; the result is the same."""
+    named = F.col("doc_id").isNotNull()
+    # Nulls go as 0 with a flag: pandas would make floating point of them and of the ids beside them.
+    keyed = slim.select((~named).alias("last"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.sha2(F.coalesce("t", F.lit("")), 256).alias("name"), F.monotonically_increasing_id().alias("k"), "t")
+    keyed = materialise(keyed, "keyed")
+    placed = keyed.repartitionByRange("last", "doc_id", "name", "k").sortWithinPartitions("last", "doc_id", "name", "k")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = 0
+        for b in batches:
+            records = [r for last, doc, text in zip(b["last"].tolist(), b["doc_id"].tolist(), b["t"]) for r in records_of(doc, text, UNNAMED if last else 0)]
+            yield pd.DataFrame({"part": np.full(len(records), TaskContext.get().partitionId(), dtype="int32"), "at": np.arange(at, at + len(records)), "record": records})
+            at += len(records)
+
+    counted = materialise(placed.select("last", "doc_id", "t").mapInPandas(run, "part int, at long, record binary"), "counted")
+    discard(keyed)
+    return counted
+
+
 def manifest(spark: SparkSession, path: str, width: int = WIDTH, wide: bool = False) -> DataFrame:
     """shard, file, records, first_slot: one row for each shard, from the files' sizes alone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
@@ -138,9 +185,11 @@ def read_slots(spark: SparkSession, path: str, first: int = 0, count: int | None
                     raw = np.frombuffer(content, dtype=np.uint8, count=(e - s) * size, offset=s * size).reshape(-1, size)
                     head = np.ascontiguousarray(raw[:, :HEAD])
                     numbers = head[:, 8:].copy().view("<u4")
-                    ids = [x[:k] for x, k in zip(np.ascontiguousarray(raw[:, HEAD:-1]).view(kind), numbers[:, 1])]
+                    lengths = numbers[:, 1] & (UNNAMED - 1)
+                    docs = pd.arrays.IntegerArray(head[:, :8].copy().view("<i8").ravel(), numbers[:, 1] >= UNNAMED)
+                    ids = [x[:k] for x, k in zip(np.ascontiguousarray(raw[:, HEAD:-1]).view(kind), lengths)]
                     values = {"ids_crc32": [crc(x.astype("<u4").tobytes()) for x in ids]} if digest else {"ids": [x.astype("int32") for x in ids]}
-                    yield pd.DataFrame({"slot": begin + np.arange(s, e), "shard": shard, "doc_id": head[:, :8].copy().view("<i8").ravel(), "piece": numbers[:, 0].astype("int32"), "length": numbers[:, 1].astype("int32")} | values)
+                    yield pd.DataFrame({"slot": begin + np.arange(s, e), "shard": shard, "doc_id": docs, "piece": numbers[:, 0].astype("int32"), "length": lengths.astype("int32")} | values)
 
     files = spark.read.format("binaryFile").load(list(at)).select("path", "content")
     return files.mapInPandas(run, schema)
@@ -148,5 +197,5 @@ def read_slots(spark: SparkSession, path: str, first: int = 0, count: int | None
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "shards")
-    write_shards(table(spark, sf_dir, "documents"), path, default_ranks())
+    write_shards(table(spark, sf_dir, "documents"), path, default_ranks(), unnamed=True)
     return read_slots(spark, path, digest=True)

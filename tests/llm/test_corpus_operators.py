@@ -94,6 +94,24 @@ def test_shards_hold_every_sequence_once(spark, docs, tmp_path):
         training_order.write_shards(spark.createDataFrame([(None, "a")], "doc_id long, text string"), str(tmp_path / "bad"), ranks)
 
 
+def test_shards_of_null_and_wide_ids(spark, tmp_path):
+    ranks, big = tokens.default_ranks(), (1 << 63) - 1
+    rows = [(None, "no name " * 40), (None, None), (None, None), (big, "last " * 30), (-big, "first"), (big - 1, "a"), (5, "twice"), (5, "twice")] + [(None, f"other {i}") for i in range(40)]
+    got = []
+    for parts in (1, 5):
+        path = str(tmp_path / f"s{parts}")
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert training_order.write_shards(df, path, ranks, width=16, shard_bytes=900, unnamed=True) > 1
+        got.append([(r["slot"], r["doc_id"], r["piece"], r["ids"]) for r in training_order.read_slots(spark, path, width=16).orderBy("slot").collect()])
+    assert got[0] == got[1] and [r[0] for r in got[0]] == list(range(len(got[0])))
+    want = [(d, k // 16, ids[k : k + 16]) for d, t in rows for ids in [[*tokens.ids_of(t, ranks).tolist(), tokens.END_ID]] for k in range(0, len(ids), 16)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert sorted((r[1:] for r in got[0]), key=key) == sorted(want, key=key)
+    sf = tmp_path / "sf"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(sf / "documents.parquet"))
+    assert training_order.op1_training_order(spark, str(sf)).filter("doc_id is null").count() >= 43
+
+
 # ---- 6: packing
 def check_packing(rows, capacity):
     bins = defaultdict(list)
