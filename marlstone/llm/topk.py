@@ -12,7 +12,7 @@ of its k-th result; then only the regions whose covering radius lets them hold s
 ball is too far and entries whose stored distance to the centre rules them out by the triangle inequality are skipped. Scores
 are integer inner products, so the results are exact and ties go to the smaller id.
 
-Equal vectors are one entry with its k + 1 smallest ids (no more can be in any result), and equal queries search once.
+Equal vectors are one entry with its k + d smallest ids, d the most vectors of one query's id (no more can be in any result), and equal queries search once.
 """
 
 from __future__ import annotations
@@ -146,9 +146,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     once; every row with the query's id is its own. No rows or no queries give an empty table.
     """
     spark = rows.sparkSession
-    most = k + 1
-    found = materialise(distinct_vectors(rows, most), "vectors")
     asked = queries.select("vec_id", "v").distinct()
+    # A list has room for all rows of the query's own id: as many as that id has vectors.
+    own_rows = rows.select("vec_id", "v").distinct().join(asked.select("vec_id").distinct(), "vec_id").groupBy("vec_id").count()
+    most = k + max(1, own_rows.agg(F.max("count")).first()[0] or 0)
+    found = materialise(distinct_vectors(rows, most), "vectors")
     n, dim, top = found.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e * e))).first()
     q_top = asked.agg(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e * e)), F.max(F.size("v"))).first()
     if not n or q_top[0] is None:
@@ -207,7 +209,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return pd.DataFrame(rows, columns=["v", "scores", "ids"])
 
     def search(asking: DataFrame) -> DataFrame:
-        """v, score, vec_id: at most k + 1 for each query and page. asking: v, region, bound."""
+        """v, score, vec_id: at most `most` for each query and page. asking: v, region, bound."""
         packed = asking.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")).groupBy("region", "block").applyInPandas(gather, "region int, block int, q binary, bounds array<double>, sizes array<int>")
         packed = packed.withColumn("page", F.explode(F.sequence(F.lit(0), page_of[F.col("region")] - 1))).withColumn("part", (F.col("block") / 16).cast("int"))
         dealt = tree.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // 16))))

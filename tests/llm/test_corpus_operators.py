@@ -242,6 +242,13 @@ def test_top_k_small_tables(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
 
 
+def test_top_k_of_ids_with_several_vectors(spark):
+    rows = [(0, [9.0 + i, 1.0]) for i in range(8)] + [(50, [5.0, 5.0]), (50, [6.0, 1.0])] + [(i, [i / 10, 1.0]) for i in range(1, 9)]
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = topk.top_k(df, df.filter("vec_id = 0 and v[0] = 9 * 256")).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(1, 50), (2, 50), (3, 8), (4, 7), (5, 6)]
+
+
 # ---- 5: fingerprints
 def test_fingerprints(spark, docs):
     r = random.Random(2)
