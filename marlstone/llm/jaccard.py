@@ -10,8 +10,8 @@ Distance is 1 - Jaccard similarity, a metric; documents link at distance 0.25 or
    bound two linked documents of n and m shingles, n <= m, share at least ceil(3(n + m)/7) - ceil(3m/4) + 1 of these regions:
    pairs that meet in fewer are ruled out without a look at the texts.
 3. In each region a document is the next pivot (in large regions one for each size band); members are compared with it, a row
-   a member, and what is linked is one component. Regions then join recursively only what is still in different components.
-   In large regions the triangle inequality must allow it, |d(x, p) - d(y, p)| <= 0.25 for a common pivot p, and the pivot's
+   a member, and what is linked is one component. Regions then join once, without recursion, only what is still in different
+   components. In large regions the triangle inequality must allow it, |d(x, p) - d(y, p)| <= 0.25 for a common pivot p, and the pivot's
    places must: if it is the first common one, nothing before it is shared, and what is left must be enough.
 4. Candidates are compared exactly on their whole texts.
 
