@@ -22,12 +22,12 @@ from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sliced, table
 
 #: Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -201,35 +201,37 @@ def encoder(path: str) -> BacktrackingBpe:
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids (array of int) and the text decoded from them, for each row.
 
-    Null text encodes as empty, empty text as no ids; repeated rows give repeated rows; other columns are ignored; an empty
-    table gives an empty one. Rows keep their place: no shuffle.
+    Null text encodes as empty, empty text as no ids; a null id stays null; repeated rows give repeated rows; other columns
+    are ignored; an empty table gives an empty one. Rows keep their place: no shuffle.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for b in batches:
-            ids = [bpe.encode(t or "") for t in b["t"]]
-            yield pd.DataFrame({"id": b["id"], "ids": [x.astype("int32") for x in ids], "decoded": [bpe.decode(x) for x in ids]})
+        for b in sliced(batches):
+            ids = [bpe.encode(t or "") for t in b.column("t").to_pylist()]
+            packed = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)], dtype=np.int32), pa.array(np.concatenate([np.empty(0, "<u4"), *ids]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("id"), packed, pa.array([bpe.decode(x) for x in ids], pa.string())], names=["id", "ids", "decoded"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return slim.mapInPandas(run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes: encode_documents with its outputs digested inside the worker."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for b in batches:
+        for b in sliced(batches):
             rows = []
-            for t in b["t"]:
+            for t in b.column("t").to_pylist():
                 packed = bpe.encode_packed(t or "")
                 decoded = bpe.decode_bytes(np.frombuffer(packed, dtype="<u4"))
                 rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.decode("utf-8", errors="replace").encode("utf-8")).hexdigest(), len(decoded)))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"]).assign(doc_id=b["doc_id"].to_numpy())[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"]]
+            n, ids, text, size = zip(*rows)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(text), pa.array(size, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
-    return slim.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
 
 
 def crc(packed: bytes) -> int:
