@@ -1,11 +1,10 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens (best-two-fit).
 
 The packing depends only on how many pieces there are of each length, so it is planned on that histogram: at most
-`capacity` counts, whatever the size of the corpus. A bin is filled greedily with the longest piece that fits; then its
-smallest piece is replaced by two unpacked pieces if together they fit the expanded gap more tightly. A bin so made is a
-pattern; it is repeated while the counts last, and each round uses up at least one length, so there are few patterns.
-The replacement can use up short pieces that later bins would need; the plan without it is made too, and taken if it has
-fewer bins.
+`capacity` counts, whatever the size of the corpus. A bin is filled greedily with the longest piece that fits; then, if it
+holds several, its smallest piece is replaced by two unpacked pieces if together they fit the expanded gap more tightly. Only
+a piece of at most a third of the capacity makes way: two for a larger one would use up pieces that later bins need. A bin so
+made is a pattern; it is repeated while the counts last, and each round uses up at least one length, so there are few patterns.
 Pieces then find their places by rank among those of their length.
 """
 
@@ -14,18 +13,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import crc
-from .common import materialise, table
+from .common import materialise, sliced, table
 from .tokens import default_ranks, ids_of
 
 CAPACITY = 2048
-#: Ranks of one length are dealt over so many tasks.
-SPREAD = 512
+#: Pieces of one length are dealt out for ranking in shares of about so many.
+SHARE = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -38,25 +37,24 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces_of(docs: DataFrame, ranks: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row for each piece. Null text is empty: the document is then its end id alone. Repeated rows give repeated pieces."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype="<u4")
-        for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["t"]):
+        for b in sliced(batches):
+            own, rows = [], []
+            for i, text in enumerate(b.column("t").to_pylist()):
                 ids = np.concatenate([ids_of(text, ranks), end])
-                rows += [(doc, k, s, n, crc(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), capacity))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                for k, (s, n) in enumerate(cut(len(ids), capacity)):
+                    own.append(i)
+                    rows.append((k, s, n, crc(ids[s : s + n].tobytes())))
+            k, s, n, c = zip(*rows)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(own)), pa.array(k, pa.int32()), *(pa.array(x, pa.int64()) for x in (s, n, c))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
-    return slim.mapInPandas(run, PIECES)
+    return slim.mapInArrow(run, PIECES)
 
 
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a bin, number of such bins) for counts of pieces by length."""
-    return min((_plan(counts, capacity, two) for two in (True, False)), key=lambda plan: sum(bins for _, bins in plan))
-
-
-def _plan(counts: dict[int, int], capacity: int, two_fit: bool) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(capacity + 1, dtype=np.int64)
     for n, c in counts.items():
         left[n] = c
@@ -73,7 +71,7 @@ def _plan(counts: dict[int, int], capacity: int, two_fit: bool) -> list[tuple[tu
             left[n] -= 1
             room -= n
         # Best-two-fit: the smallest member makes way for two pieces that leave a smaller gap.
-        while two_fit and room and members:
+        while room and len(members) > 1 and 3 * members[-1] <= capacity:
             small = members[-1]
             wide = room + small
             have = np.flatnonzero(left[: wide + 1])
@@ -131,30 +129,34 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     on how rows are dealt out; fully equal rows are interchangeable. An empty table gives an empty one.
     """
     spark = pieces.sparkSession
-    dealt = pieces.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SPREAD)).cast("int"))
-    histogram = dealt.groupBy("length", "deal").count()  # at most capacity x SPREAD rows
-    by_length = histogram.groupBy("length").agg(F.sum("count").alias("c"))
-    counts = {r["length"]: r["c"] for r in by_length.collect()}  # at most `capacity` rows
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
+    if not counts:
+        return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     where = spark.sparkContext.broadcast(places(plan_packing(counts, capacity)))
+    shares = F.split(F.lit(",".join(str(1 + counts.get(n, 0) // SHARE) for n in range(capacity + 1))), ",").cast("array<long>")  # constant: folded once
+    dealt = pieces.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(shares, F.col("length").cast("int"))).cast("int"))
+    histogram = dealt.groupBy("length", "deal").count()  # a row for each share
     before = histogram.select("length", "deal", (F.sum("count").over(Window.partitionBy("length").orderBy("deal")) - F.col("count")).alias("before"))
     within = Window.partitionBy("length", "deal").orderBy("doc_id", "piece", "ids_crc32", "start")
     ranked = dealt.withColumn("rank", F.row_number().over(within)).join(before, ["length", "deal"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank") - 1).alias("rank"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = where.value
         for b in batches:
-            b = b.reset_index(drop=True)
-            seq, off = np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
-            for n, rows in b.groupby("length").indices.items():
-                starts, first, offsets = at[n]
-                rank = b["rank"].to_numpy()[rows]
+            lengths, ranks = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            seq, off = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
+            for n in np.unique(lengths):
+                rows = np.flatnonzero(lengths == n)
+                starts, first, offsets = at[int(n)]
+                rank = ranks[rows]
                 k = np.searchsorted(starts, rank, side="right") - 1
                 width = np.array([len(o) for o in offsets])[k]
                 seq[rows] = first[k] + (rank - starts[k]) // width
                 off[rows] = [offsets[j][r] for j, r in zip(k, (rank - starts[k]) % width)]
-            yield b.drop(columns="rank").assign(sequence_id=seq, offset=off)
+            kept = [c for c in b.schema.names if c != "rank"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(seq), pa.array(off)], names=[*kept, "sequence_id", "offset"])
 
-    return ranked.mapInPandas(run, PIECES + ", sequence_id long, offset long")
+    return ranked.mapInArrow(run, PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, ranks: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
