@@ -88,7 +88,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many of the next document's, in
     descending order of doc_id. Null texts are empty. Rows that repeat a doc_id each get a row; as a next document, the one
-    with the smallest text hash counts. Rows with a null doc_id are left out; they have no place in the order.
+    with the smallest text hash counts. Rows with a null doc_id have no place in the order: their next document is an empty
+    text, and they are nobody's next. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     base = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
@@ -105,7 +106,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     heads = as_next.select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, cast(floor(prev_n / 3) as int))").alias("head"), F.col("limit").alias("next_limit"), F.col("hashes").alias("next_hashes"))
     if repeated:
         heads = heads.dropDuplicates(["doc_id"])
-    both = own.join(heads, "doc_id").withColumn("n_chars", F.char_length("text").cast("long"))
+    unnamed = docs.filter(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    nothing = (F.lit("").alias("head"), F.lit(TOP).alias("next_limit"), F.array().cast("array<bigint>").alias("next_hashes"))
+    both = own.join(heads, "doc_id").unionByName(add_sketch(unnamed, "text").select("*", *nothing)).withColumn("n_chars", F.char_length("text").cast("long"))
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 3) as int)), substring(head, 1, cast(floor(n_chars / 3) as int)))"))
     out = add_sketch(both, "edited", "edited_")
     return out.select(
