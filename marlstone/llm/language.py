@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import sliced, table
 
-DOCS_PER_LANGUAGE, WORDS, GRAMS, ORDERS, KEPT_WORDS, LONG_WORD, SLICE = 1500, 20_000, 30_000, 5, 60_000, 64, 1000
+DOCS_PER_LANGUAGE, WORDS, GRAMS, ORDERS, KEPT_WORDS, LONG_WORD = 1500, 20_000, 30_000, 5, 60_000, 64
 LETTERS = re.compile(r"[^\W\d_]+")
 NONE = "und"
 
@@ -138,7 +138,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
+        for b in sliced(batches):
             found = [scorer.predict(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
