@@ -44,6 +44,8 @@ SHINGLE = 5
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 4, 2_000_000
 #: Regions of ordinary shingles with more members than this are treated as those of frequent ones.
 SMALL = 96
+#: Members of a large region are compared in shares of about so many.
+SHARE = 1024
 #: Bits of the filter that keeps texts nobody asks for out of an exchange; its size is fixed.
 FILTER_BITS = 1 << 23
 KEPT_WORDS = 100_000
@@ -377,14 +379,15 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     mine = mine.withColumn("cap", F.floor(7 * (F.col("n") - F.col("at")) / 3) - F.col("n"))
     left = mine.join(open_, "pivot").join(centres, ["pivot", "band"]).join(distance.select(F.col("a").alias("rep"), F.col("b").alias("centre"), "d"), ["rep", "centre"], "left")
     left = materialise(left.select("pivot", "rep", "n", "cap", "label", "main", "centre", F.when(F.col("rep") == F.col("centre"), 0.0).otherwise(F.col("d")).alias("d")), "unsettled")
-    span = left.groupBy("pivot").agg(F.min("n").alias("n0"))
+    # Members of a region are dealt out in shares; those outside its main component, the smaller side, go to each of them.
+    span = left.groupBy("pivot").agg(F.min("n").alias("n0"), (1 + F.floor(F.count(F.lit(1)) / SHARE)).cast("int").alias("shares"))
     able = left.join(span, "pivot").filter(F.col("cap") >= F.greatest("n0", F.ceil(3 * F.col("n") / 4)))
-    x = able.filter("label <> main").select("pivot", *(F.col(c).alias("x" + c) for c in ("rep", "n", "cap", "label", "centre", "d")))
-    y = able.select(F.col("pivot").alias("ypivot"), *(F.col(c).alias("y" + c) for c in ("rep", "n", "cap", "label", "main", "centre", "d")))
+    x = able.filter("label <> main").select("pivot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), *(F.col(c).alias("x" + c) for c in ("rep", "n", "cap", "label", "centre", "d")))
+    y = able.select(F.col("pivot").alias("ypivot"), F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int").alias("yshare"), *(F.col(c).alias("y" + c) for c in ("rep", "n", "cap", "label", "main", "centre", "d")))
     fit = (F.col("xlabel") != F.col("ylabel")) & ((F.col("ylabel") == F.col("ymain")) | (F.col("xrep") < F.col("yrep")))
     sizes = (4 * F.col("xn") >= 3 * F.col("yn")) & (4 * F.col("yn") >= 3 * F.col("xn")) & (F.col("yn") <= F.col("xcap")) & (F.col("xn") <= F.col("ycap"))
     window = (F.col("xcentre") != F.col("ycentre")) | F.coalesce(F.abs(F.col("xd") - F.col("yd")) <= 0.25 + 1e-9, F.lit(True))
-    across = x.join(y, (F.col("pivot") == F.col("ypivot")) & fit & sizes & window).select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b"))
+    across = x.join(y, (F.col("pivot") == F.col("ypivot")) & (F.col("share") == F.col("yshare")) & fit & sizes & window).select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b"))
     second = direct.unionByName(across).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
     again = materialise(verify(materialise(second, "second"), named, repeated), "compared-more").filter(linked).select("a", "b")
     if again.limit(1).count():
