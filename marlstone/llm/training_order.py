@@ -5,7 +5,8 @@ cycle-walking permutes the numbers of all possible (document, piece) pairs, so e
 where it is made, without counting anything first. Equal ranges of the permuted numbers are shards; since the permutation
 spreads evenly, so do the shards, whatever keys or documents are frequent. Each shard is one file of records of the same
 number of bytes, in order, so record r begins at r x stride. A sequence's global slot is its shard's first slot plus its
-record number: slots are 0 .. number of sequences - 1 without gaps, and any slot is found by one seek.
+record number: slots are 0 .. number of sequences - 1 without gaps, and any slot is found by one seek. A manifest beside the
+shards holds each one's first slot; MOST_SHARDS bounds it, beyond that shards grow.
 
 Tables with null doc_ids, or with ids too far apart for that, have their sequences counted and numbered 0 .. n - 1 instead, in
 order of doc_id (nulls last) and text, and range(n) is permuted.
@@ -30,7 +31,8 @@ from .bpe import crc
 from .common import discard, materialise, scratch, table
 from .tokens import END_ID, default_ranks, ids_of
 
-WIDTH, SHARD_BYTES, HEAD, UNNAMED = 256, 8 << 20, 16, 1 << 31
+WIDTH, SHARD_BYTES, MOST_SHARDS, HEAD, UNNAMED = 256, 8 << 20, 1 << 20, 16, 1 << 31
+MANIFEST = "_manifest"
 MASK = (1 << 64) - 1
 
 
@@ -63,26 +65,24 @@ def stride(width: int, wide: bool = False) -> int:
     return HEAD + width * (4 if wide else 2) + 1
 
 
-def write_shards(docs: DataFrame, path: str, ranks: str, key: str = "order-0", width: int = WIDTH, shard_bytes: int = SHARD_BYTES, end_id: int = END_ID, unnamed: bool = False) -> int:
+def write_shards(docs: DataFrame, path: str, ranks: str, key: str = "order-0", width: int = WIDTH, shard_bytes: int = SHARD_BYTES, end_id: int = END_ID) -> int:
     """Write the shards under path; returns their number.
 
     Null and empty texts give one sequence that holds the end id alone. Repeated documents, and rows that repeat a doc_id,
-    keep a sequence each (equal places in the order are settled by content). Rows with a null doc_id are an error, or with
-    `unnamed` documents of their own. They, and ids that span 2^62 / pieces of the longest text or more, cost another exchange
-    and two scratch tables. An empty table writes nothing and returns 0.
+    keep a sequence each (equal places in the order are settled by content). Rows with a null doc_id are documents of their own.
+    They, and ids that span 2^62 / pieces of the longest text or more, cost another exchange and two scratch tables. An empty
+    table writes nothing and returns 0.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
     s = slim.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("t")), F.sum(F.octet_length("t")), F.count(F.lit(1)), F.count("doc_id")).first()
     low, high, longest, total, n, named = s
     if not n:
         return 0
-    if named < n and not unnamed:
-        raise ValueError("doc_id is null in some rows")
     most = ((longest or 0) + 1 + width - 1) // width  # a token has a byte at least
     domain = (high - low + 1) * most if named == n else 1 << 62
     wide = end_id > 0xFFFF
     size = stride(width, wide)
-    shards = max(1, -(-((total or 0) * size // (3 * width) + n * size // 2) // shard_bytes))  # about three bytes a token, half a sequence of padding
+    shards = max(1, min(MOST_SHARDS, -(-((total or 0) * size // (3 * width) + n * size // 2) // shard_bytes)))  # about three bytes a token, half a sequence of padding
     kind = "<u4" if wide else "<u2"
 
     def records_of(doc: int, text: str | None, flag: int = 0) -> Iterator[bytes]:
@@ -121,10 +121,11 @@ def write_shards(docs: DataFrame, path: str, ranks: str, key: str = "order-0", w
                 yield deal([starts[p] + at for p, at in zip(b["part"].tolist(), b["at"].tolist())], b["record"].tolist(), total_n)
 
         rows = counted.mapInPandas(number, "shard int, place long, record binary")
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "place", "record")
+    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "place", "record")  # a range of places in each
     dealt.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(path)
     if domain >= 1 << 62:
         discard(counted)
+    _listed(docs.sparkSession, path, size).write.parquet(f"{path}/{MANIFEST}")
     return shards
 
 
@@ -149,53 +150,87 @@ def _counted(slim: DataFrame, records_of: Callable[..., Iterator[bytes]]) -> Dat
     return counted
 
 
-def manifest(spark: SparkSession, path: str, width: int = WIDTH, wide: bool = False) -> DataFrame:
+def _listed(spark: SparkSession, path: str, size: int) -> DataFrame:
     """shard, file, records, first_slot: one row for each shard, from the files' sizes alone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    sized = files.select(F.regexp_extract("path", r"/shard=(\d+)/", 1).cast("int").alias("shard"), F.col("path").alias("file"), (F.col("length") / stride(width, wide)).cast("long").alias("records"))
-    return sized.withColumn("first_slot", F.sum("records").over(Window.orderBy("shard")) - F.col("records"))
+    sized = files.select(F.regexp_extract("path", r"/shard=(\d+)/", 1).cast("int").alias("shard"), F.col("path").alias("file"), (F.col("length") / size).cast("long").alias("records"))
+    sized = sized.withColumn("group", F.floor(F.col("shard") / 1024))
+    groups = sized.groupBy("group").agg(F.sum("records").alias("s"))
+    before = groups.select("group", (F.sum("s").over(Window.orderBy("group")) - F.col("s")).alias("before"))  # MOST_SHARDS / 1024 rows at most
+    inside = F.sum("records").over(Window.partitionBy("group").orderBy("shard")) - F.col("records")
+    return sized.withColumn("inside", inside).join(before, "group").select("shard", "file", "records", (F.col("before") + F.col("inside")).alias("first_slot"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+def manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """shard, file, records, first_slot of the shards under path; None where an empty table was written."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema("shard int, file string, records long, first_slot long").parquet(f"{path}/{MANIFEST}")
+
+
+def unpack(content: bytes, width: int, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """doc_ids, whether they are null, piece numbers, lengths and ids of consecutive records."""
+    raw = np.frombuffer(content, dtype=np.uint8).reshape(-1, stride(width, wide))
+    head = np.ascontiguousarray(raw[:, :HEAD])
+    numbers = head[:, 8:].copy().view("<u4")
+    lengths = numbers[:, 1] & (UNNAMED - 1)
+    tokens = np.ascontiguousarray(raw[:, HEAD:-1]).view("<u4" if wide else "<u2")
+    return head[:, :8].copy().view("<i8").ravel(), numbers[:, 1] >= UNNAMED, numbers[:, 0], lengths, [x[:k] for x, k in zip(tokens, lengths)]
 
 
 def read_slots(spark: SparkSession, path: str, first: int = 0, count: int | None = None, width: int = WIDTH, wide: bool = False, digest: bool = False) -> DataFrame:
     """The sequences of slots first .. first + count - 1 (all from first, if count is None): slot, shard, doc_id, piece,
-    length and ids, or with digest the CRC-32 of the ids as little-endian unsigned 32-bit integers. Files that hold none of
+    length and ids, or with digest the CRC-32 of the ids as little-endian unsigned 32-bit integers. Shards that hold none of
     them are not opened."""
-    size, kind = stride(width, wide), "<u4" if wide else "<u2"
+    size = stride(width, wide)
     schema = "slot long, shard int, doc_id long, piece int, length int, " + ("ids_crc32 long" if digest else "ids array<int>")
     last = (1 << 62) if count is None else first + count
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)  # the table was empty
-    wanted = manifest(spark, path, width, wide).filter((F.col("first_slot") < last) & (F.col("first_slot") + F.col("records") > first))
-    at = {r["file"]: (r["shard"], r["first_slot"]) for r in wanted.collect()}  # a row for each shard of shard_bytes
-    if not at:
+    listed = manifest(spark, path)
+    wanted = None if listed is None else listed.filter((F.col("first_slot") < last) & (F.col("first_slot") + F.col("records") > first)).select("shard", "first_slot").toArrow().to_pandas()  # MOST_SHARDS rows at most
+    if wanted is None or wanted.empty:
         return spark.createDataFrame([], schema)
+    low, high = int(wanted["shard"].min()), int(wanted["shard"].max())
+    begins = np.zeros(high - low + 1, dtype=np.int64)
+    begins[wanted["shard"] - low] = wanted["first_slot"]
+    shared = spark.sparkContext.broadcast(begins)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for file, content in zip(b["path"], b["content"]):
-                shard, begin = at[file]
+            for shard, content in zip(b["shard"].tolist(), b["content"]):
+                begin = int(shared.value[shard - low])
                 lo, hi = max(0, first - begin), min(len(content) // size, last - begin)
                 for s in range(lo, hi, 4096):
                     e = min(hi, s + 4096)
-                    raw = np.frombuffer(content, dtype=np.uint8, count=(e - s) * size, offset=s * size).reshape(-1, size)
-                    head = np.ascontiguousarray(raw[:, :HEAD])
-                    numbers = head[:, 8:].copy().view("<u4")
-                    lengths = numbers[:, 1] & (UNNAMED - 1)
-                    docs = pd.arrays.IntegerArray(head[:, :8].copy().view("<i8").ravel(), numbers[:, 1] >= UNNAMED)
-                    ids = [x[:k] for x, k in zip(np.ascontiguousarray(raw[:, HEAD:-1]).view(kind), lengths)]
+                    docs, unnamed, pieces, lengths, ids = unpack(content[s * size : e * size], width, wide)
                     values = {"ids_crc32": [crc(x.astype("<u4").tobytes()) for x in ids]} if digest else {"ids": [x.astype("int32") for x in ids]}
-                    yield pd.DataFrame({"slot": begin + np.arange(s, e), "shard": shard, "doc_id": docs, "piece": numbers[:, 0].astype("int32"), "length": lengths.astype("int32")} | values)
+                    yield pd.DataFrame({"slot": begin + np.arange(s, e), "shard": shard, "doc_id": pd.arrays.IntegerArray(docs, unnamed), "piece": pieces.astype("int32"), "length": lengths.astype("int32")} | values)
 
-    files = spark.read.format("binaryFile").load(list(at)).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter(F.col("shard").between(low, high)).select(F.col("shard").cast("int").alias("shard"), "content")
     return files.mapInPandas(run, schema)
 
 
+def resume(spark: SparkSession, path: str, slot: int, count: int = 1, width: int = WIDTH, wide: bool = False) -> list[tuple[int, int | None, int, list[int]]]:
+    """(slot, doc_id, piece, ids) of up to `count` sequences from `slot` on, up to the end of its shard: one seek and one read in
+    this process, for a reader that goes on where it stopped. None are left beyond the last slot."""
+    listed = manifest(spark, path)
+    found = listed and listed.filter((F.col("first_slot") <= slot) & (F.col("first_slot") + F.col("records") > slot)).first()
+    if not found:
+        return []
+    size, jvm = stride(width, wide), spark.sparkContext._jvm
+    n = min(count, found["first_slot"] + found["records"] - slot)
+    at = jvm.org.apache.hadoop.fs.Path(found["file"])
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        stream.seek((slot - found["first_slot"]) * size)
+        content = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n * size))
+    finally:
+        stream.close()
+    docs, unnamed, pieces, _, ids = unpack(content, width, wide)
+    return [(slot + k, None if u else int(d), int(p), x.tolist()) for k, (d, u, p, x) in enumerate(zip(docs, unnamed, pieces, ids))]
+
+
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "shards")
-    write_shards(table(spark, sf_dir, "documents"), path, default_ranks(), unnamed=True)
+    write_shards(table(spark, sf_dir, "documents"), path, default_ranks())
     return read_slots(spark, path, digest=True)

@@ -90,8 +90,28 @@ def test_shards_hold_every_sequence_once(spark, docs, tmp_path):
     assert digest == zlib.crc32(np.array(next(r["ids"] for r in rows if r["slot"] == 3), dtype="<u4").tobytes())
     assert training_order.write_shards(docs.limit(0), str(tmp_path / "none"), ranks) == 0
     assert training_order.read_slots(spark, str(tmp_path / "none")).count() == 0
-    with pytest.raises(ValueError, match="null"):
-        training_order.write_shards(spark.createDataFrame([(None, "a")], "doc_id long, text string"), str(tmp_path / "bad"), ranks)
+    assert training_order.resume(spark, str(tmp_path / "none"), 0) == []
+    by_slot = {r["slot"]: (r["slot"], r["doc_id"], r["piece"], r["ids"]) for r in rows}
+    for slot in (0, 5, len(rows) - 1):
+        some = training_order.resume(spark, path, slot, 3, width=16)
+        assert some and some == [by_slot[slot + k] for k in range(len(some))]
+    assert training_order.resume(spark, path, len(rows), width=16) == []
+
+
+def test_order_is_a_sort_by_permuted_numbers(spark, tmp_path):
+    """Slots are ranks of the Feistel numbers of (document, piece), and each shard holds one range of them."""
+    ranks, r = tokens.default_ranks(), random.Random(11)
+    rows = [(i * 3 + 1, "word " * r.randrange(120)) for i in range(150)]
+    path = str(tmp_path / "s")
+    shards = training_order.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), path, ranks, key="k", width=16, shard_bytes=3000)
+    most = (max(len(t) for _, t in rows) + 1 + 15) // 16
+    low, high = rows[0][0], rows[-1][0]
+    pieces = [(d, k) for d, t in rows for k in range(-(-(len(tokens.ids_of(t, ranks)) + 1) // 16))]
+    place = training_order.feistel(np.array([(d - low) * most + k for d, k in pieces]), (high - low + 1) * most, "k")
+    want = [x for _, x in sorted(zip(place.tolist(), pieces))]
+    got = training_order.read_slots(spark, path, width=16).orderBy("slot").collect()
+    assert [(x["doc_id"], x["piece"]) for x in got] == want
+    assert [x["shard"] for x in got] == [p * shards // ((high - low + 1) * most) for p in sorted(place.tolist())] and shards > 5
 
 
 def test_shards_of_null_and_wide_ids(spark, tmp_path):
@@ -101,7 +121,7 @@ def test_shards_of_null_and_wide_ids(spark, tmp_path):
     for parts in (1, 5):
         path = str(tmp_path / f"s{parts}")
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
-        assert training_order.write_shards(df, path, ranks, width=16, shard_bytes=900, unnamed=True) > 1
+        assert training_order.write_shards(df, path, ranks, width=16, shard_bytes=900) > 1
         got.append([(r["slot"], r["doc_id"], r["piece"], r["ids"]) for r in training_order.read_slots(spark, path, width=16).orderBy("slot").collect()])
     assert got[0] == got[1] and [r[0] for r in got[0]] == list(range(len(got[0])))
     want = [(d, k // 16, ids[k : k + 16]) for d, t in rows for ids in [[*tokens.ids_of(t, ranks).tolist(), tokens.END_ID]] for k in range(0, len(ids), 16)]
