@@ -23,8 +23,8 @@ from .common import materialise, sliced, table
 from .tokens import default_ranks, ids_of
 
 CAPACITY = 2048
-#: Pieces of one length are dealt out for ranking in shares of about so many.
-SHARE = 4096
+#: Pieces of one length are dealt out for ranking in shares of about LEAST_SHARE, in all MOST_SHARES beside one a length.
+LEAST_SHARE, MOST_SHARES = 256, 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -133,7 +133,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if not counts:
         return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     where = spark.sparkContext.broadcast(places(plan_packing(counts, capacity)))
-    shares = F.split(F.lit(",".join(str(1 + counts.get(n, 0) // SHARE) for n in range(capacity + 1))), ",").cast("array<long>")  # constant: folded once
+    share = max(LEAST_SHARE, sum(counts.values()) // MOST_SHARES)
+    shares = F.split(F.lit(",".join(str(1 + counts.get(n, 0) // share) for n in range(capacity + 1))), ",").cast("array<long>")  # constant: folded once
     dealt = pieces.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(shares, F.col("length").cast("int"))).cast("int"))
     histogram = dealt.groupBy("length", "deal").count()  # a row for each share
     before = histogram.select("length", "deal", (F.sum("count").over(Window.partitionBy("length").orderBy("deal")) - F.col("count")).alias("before"))
