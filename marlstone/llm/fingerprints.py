@@ -106,9 +106,17 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     heads = as_next.select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, cast(floor(prev_n / 3) as int))").alias("head"), F.col("limit").alias("next_limit"), F.col("hashes").alias("next_hashes"))
     if repeated:
         heads = heads.dropDuplicates(["doc_id"])
+    out = _edited(own.join(heads, "doc_id"))
     unnamed = docs.filter(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    if not unnamed.limit(1).count():
+        return out  # under a union the join's two sides would no longer be one exchange
     nothing = (F.lit("").alias("head"), F.lit(TOP).alias("next_limit"), F.array().cast("array<bigint>").alias("next_hashes"))
-    both = own.join(heads, "doc_id").unionByName(add_sketch(unnamed, "text").select("*", *nothing)).withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.unionByName(_edited(add_sketch(unnamed, "text").select("*", *nothing)))
+
+
+def _edited(both: DataFrame) -> DataFrame:
+    """The result's columns, for rows with a document's text and sketch and its next one's head and sketch."""
+    both = both.withColumn("n_chars", F.char_length("text").cast("long"))
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 3) as int)), substring(head, 1, cast(floor(n_chars / 3) as int)))"))
     out = add_sketch(both, "edited", "edited_")
     return out.select(
