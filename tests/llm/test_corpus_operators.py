@@ -235,9 +235,11 @@ def test_url_classifier_on_names_it_has_not_seen(spark):
 
 
 # ---- 4: top k
-@pytest.mark.parametrize("page", [2048, 20])
-def test_top_k_equals_brute_force(spark, page, monkeypatch):
+@pytest.mark.parametrize(("page", "fanout"), [(2048, 32), (20, 4)])
+def test_top_k_equals_brute_force(spark, page, fanout, monkeypatch):
     monkeypatch.setattr(topk, "PAGE", page)
+    monkeypatch.setattr(topk, "FANOUT", fanout)
+    monkeypatch.setattr(topk, "BLOCK", 5)
     monkeypatch.setattr(topk, "LEAF", 8)
     r = np.random.default_rng(1)
     x = r.normal(size=(400, 6)) + np.repeat(r.normal(size=(8, 6)) * 4, 50, axis=0)
@@ -269,6 +271,33 @@ def test_top_k_of_ids_with_several_vectors(spark):
     assert sorted((r["rank"], r["vec_id"]) for r in got) == [(1, 50), (2, 50), (3, 8), (4, 7), (5, 6)]
 
 
+def test_top_k_skips_most_of_clustered_vectors(spark, monkeypatch):
+    """The tree has levels, and stored distances save nearly all inner products and centre distances."""
+    monkeypatch.setattr(topk, "PAGE", 200)
+    monkeypatch.setattr(topk, "FANOUT", 8)
+    monkeypatch.setattr(topk, "LEAF", 16)
+    r = np.random.default_rng(3)
+    x = np.repeat(r.normal(size=(60, 16)) * 2, 50, axis=0) + r.normal(size=(3000, 16)) * 0.1
+    rows = topk.quantised(spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    tree = topk.Tree(topk.distinct_vectors(rows, 6), topk.Space(16, float((np.floor(256 * x) ** 2).sum(axis=1).max())))
+    assert tree.routing.filter("node <> '0'").count() > 0 and tree.pages.count() > 15
+    found = topk.search(tree, rows.filter("vec_id % 50 = 0").select("v").distinct(), 6)
+    assert found.agg(F.sum("cost")).first()[0] < 0.35 * 60 * 3000  # 0.04 of 400 x 20,000 at full page size
+
+
+def test_top_k_of_huge_components(spark):
+    big = [[1e17, 1.0], [1e17, 2.0], [-3e17, 0.0], [1e30, 1.0], [0.0, 0.0], [1e7, -1e7]]
+    rows = [(50 * i, v) for i, v in enumerate(big)]
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    clip = lambda v: max(-topk.MOST_LONG, min(topk.MOST_LONG, v))
+    whole = [[clip(int(np.floor(256 * c))) for c in v] for v in big]
+    want = []
+    for i, q in enumerate(whole):
+        best = sorted((-clip(sum(a * b for a, b in zip(q, v))), 50 * j) for j, v in enumerate(whole) if j != i)[:5]
+        want += [(50 * i, k + 1, j, -m) for k, (m, j) in enumerate(best)]
+    assert sorted(tuple(r) for r in topk.top_k(df, df).select("query_id", "rank", "vec_id", "score").collect()) == sorted(want)
+
+
 # ---- 5: fingerprints
 def test_fingerprints(spark, docs):
     r = random.Random(2)
