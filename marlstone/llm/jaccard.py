@@ -45,7 +45,7 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 16, 4, 2_000_000
 #: Regions of ordinary shingles with more members than this are treated as those of frequent ones.
 SMALL = 96
 #: Members of a large region are compared in shares of about so many.
-SHARE = 1024
+SHARE, SALTS = 1024, 32
 #: Bits of the filter that keeps texts nobody asks for out of an exchange; its size is fixed.
 FILTER_BITS = 1 << 23
 KEPT_WORDS = 100_000
@@ -319,6 +319,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _by_pivot(members: DataFrame, regions: DataFrame) -> DataFrame:
+    """members with the columns of their region (one row a pivot). The members of a large region meet it in SALTS tasks."""
+    salted = regions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, ["pivot", "salt"]).drop("salt")
+
+
 def spread_join(names: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
     """names (doc_id, n, k1, k2) with `component` added: the class's label or, in a class of several documents without one,
     its smallest doc_id; null for lone documents.
@@ -377,11 +383,11 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     distance = distance.unionByName(distance.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     # The largest partner with which this pivot may be the first common one: nothing before it is shared.
     mine = mine.withColumn("cap", F.floor(7 * (F.col("n") - F.col("at")) / 3) - F.col("n"))
-    left = mine.join(open_, "pivot").join(centres, ["pivot", "band"]).join(distance.select(F.col("a").alias("rep"), F.col("b").alias("centre"), "d"), ["rep", "centre"], "left")
+    left = _by_pivot(mine, open_).join(centres, ["pivot", "band"]).join(distance.select(F.col("a").alias("rep"), F.col("b").alias("centre"), "d"), ["rep", "centre"], "left")
     left = materialise(left.select("pivot", "rep", "n", "cap", "label", "main", "centre", F.when(F.col("rep") == F.col("centre"), 0.0).otherwise(F.col("d")).alias("d")), "unsettled")
     # Members of a region are dealt out in shares; those outside its main component, the smaller side, go to each of them.
     span = left.groupBy("pivot").agg(F.min("n").alias("n0"), (1 + F.floor(F.count(F.lit(1)) / SHARE)).cast("int").alias("shares"))
-    able = left.join(span, "pivot").filter(F.col("cap") >= F.greatest("n0", F.ceil(3 * F.col("n") / 4)))
+    able = _by_pivot(left, span).filter(F.col("cap") >= F.greatest("n0", F.ceil(3 * F.col("n") / 4)))
     x = able.filter("label <> main").select("pivot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), *(F.col(c).alias("x" + c) for c in ("rep", "n", "cap", "label", "centre", "d")))
     y = able.select(F.col("pivot").alias("ypivot"), F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int").alias("yshare"), *(F.col(c).alias("y" + c) for c in ("rep", "n", "cap", "label", "main", "centre", "d")))
     fit = (F.col("xlabel") != F.col("ylabel")) & ((F.col("ylabel") == F.col("ymain")) | (F.col("xrep") < F.col("yrep")))
