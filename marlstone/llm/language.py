@@ -25,6 +25,8 @@ from pyspark.sql.window import Window
 from .common import sliced, table
 
 DOCS_PER_LANGUAGE, WORDS, GRAMS, ORDERS, KEPT_WORDS, LONG_WORD = 1500, 20_000, 30_000, 5, 60_000, 64
+#: A word is evidence of a learned language if it is known or has a known n-gram of this order or a higher one.
+TELLING = 4
 LETTERS = re.compile(r"[^\W\d_]+")
 NONE = "und"
 
@@ -78,20 +80,21 @@ class Scorer:
 
     def _reset(self) -> None:
         self.rows.clear()
-        self.matrix = np.zeros((1024, len(self.langs)), dtype=np.float64)
+        self.matrix = np.zeros((1024, len(self.langs) + 1), dtype=np.float64)
 
     def vector(self, word: str) -> np.ndarray:
+        """Log frequencies by language and, last, 1 if the word is evidence of a learned language."""
         known, values = self.model["words"]
         found = known.get(word)
         if found is not None:
-            return values[found]
+            return np.append(values[found], 1)
         edged = f" {word} "
         for order in range(min(ORDERS, len(edged)), 0, -1):
             known, values = self.model["grams"][order]
             hits = [v for i in range(len(edged) - order + 1) if (v := known.get(edged[i : i + order])) is not None]
             if hits:
-                return values[hits].mean(axis=0)
-        return np.zeros(len(self.langs))
+                return np.append(values[hits].mean(axis=0), order >= TELLING)
+        return np.zeros(len(self.langs) + 1)
 
     def row(self, word: str) -> int:
         n = len(self.rows)
@@ -101,13 +104,14 @@ class Scorer:
         self.rows[word] = n
         return n
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score and the share of words that are evidence of a learned language."""
         words = LETTERS.findall(text.lower()) if text else []
         if not words or not self.langs or not any(c.isalpha() for w in words for c in w):
-            return NONE, 0.0
+            return NONE, 0.0, 0.0
         if len(self.rows) > KEPT_WORDS:
             self._reset()
-        total = np.zeros(len(self.langs))
+        total = np.zeros(len(self.langs) + 1)
         index = list(map(self.rows.get, words))
         if None in index:
             for i, r in enumerate(index):
@@ -121,28 +125,31 @@ class Scorer:
         if index:
             total += np.bincount(index, minlength=len(self.rows)) @ self.matrix[: len(self.rows)] if len(index) > 4096 else self.matrix.take(index, axis=0).sum(axis=0)
         # The share of the best language, with the evidence of a long text counted as that of 20 words.
-        total = total * (min(len(words), 20) / len(words)) + self.model["prior"]
+        evidence = total[-1] / len(words)
+        total = total[:-1] * (min(len(words), 20) / len(words)) + self.model["prior"]
         p = np.exp(total - total.max())
         best = int(np.argmax(total))
-        return self.langs[best], float(p[best] / p.sum())
+        return self.langs[best], float(p[best] / p.sum()), float(evidence)
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """Adds lang_pred and score to docs (columns kept, other columns of these names replaced).
+    """Adds lang_pred, score and evidence (share of words known to any language) to docs (columns kept, other columns of these
+    names replaced).
 
-    `und` with score 0 where the text is null or has no letter, or the model knows no language. Whole texts are read.
+    `und` with score 0 where the text is null or has no letter, or the model knows no language. Whole texts are read. Repeated
+    rows give repeated results, an empty table an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and the number of languages
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    kept = docs.select(*names)
+    added = ["lang_pred", "score", "evidence"]
+    kept = docs.select(*(c for c in docs.columns if c not in added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in sliced(batches):
-            found = [scorer.predict(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            lang, score, evidence = zip(*(scorer.predict(t) for t in b.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(evidence, pa.float64())], names=[*b.schema.names, *added])
 
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.DoubleType())])
     return kept.mapInArrow(run, schema)
 
 
