@@ -5,27 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.files import shared_path
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.files import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: smallest node of its component, for every node of an edge (a, b)."""
-    both = _written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = _written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    """node, label: smallest node of its component, for every node of an edge (a, b). Each round's table is removed once the next
+    one is written."""
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumn("old", F.lit(None).cast(dict(edges.dtypes)["a"])), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        step = _written(hooked.join(roots, "label", "left").select("node", "old", F.least("label", F.coalesce("root", "label")).alias("label")), "labels")
-        labels = step.select("node", "label")
+        now = labels.select("node", "label")
+        near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        hooked = now.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        roots = now.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        step = written(hooked.join(roots, "label", "left").select("node", F.least("label", F.coalesce("root", "label")).alias("label"), "old"), "labels")
+        discard(labels)
+        labels = step
         if not step.filter("label <> old").limit(1).count():
-            return labels
+            discard(both)
+            return step.select("node", "label")
 
 
 def star_edges(members: DataFrame) -> DataFrame:

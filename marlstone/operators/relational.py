@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.files import written
+
 
 class CheckFailed(ValueError):
     """A declared property of the data does not hold."""
@@ -91,12 +93,22 @@ def require(violations: DataFrame, what: str) -> None:
         raise CheckFailed(what)
 
 
+def running_total(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """rows with `name`: the sum of `value` over all rows up to and with this one, in order of `by` (distinct). Ranges of rows add up
+    on their own; only their totals, a row a range, meet in one task."""
+    ranged = written(rows.repartitionByRange(*by).withColumn("__range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("__range").agg(F.sum(value).alias("__s"))
+    before = totals.select("__range", (F.sum("__s").over(Window.orderBy("__range")) - F.col("__s")).alias("__before"))
+    own = F.sum(value).over(Window.partitionBy("__range").orderBy(*by))
+    return ranged.withColumn("__own", own).join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__own")).select(*rows.columns, name)  # a row for each range
+
+
 def duplicate_groups(df: DataFrame, key: list[str], id_col: str) -> DataFrame:
-    """Rows whose key repeats: key, id, group (dense number by key), size."""
-    sized = df.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*key))).filter(F.col("size") > 1)
-    groups = sized.select(*key).distinct()
-    numbered = groups.withColumn("group", F.dense_rank().over(Window.orderBy(*key)).cast("long"))  # one row a group
-    return sized.join(numbered, key).select(*key, id_col, "group", "size")
+    """Rows whose key repeats: key, id, group (dense number by key), size. Groups are counted first, so that only keys that
+    repeat are joined back and none of them gathers its rows."""
+    groups = df.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1).withColumn("__one", F.lit(1))
+    numbered = running_total(groups, key, "__one", "group").drop("__one")
+    return df.join(numbered, key).select(*key, id_col, F.col("group").cast("long").alias("group"), "size")
 
 
 def audit_summary(audit: DataFrame) -> DataFrame:

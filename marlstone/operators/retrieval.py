@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.files import written
+
 K1, B, RRF_K = 1.5, 0.75, 60
 
 
+#: Pairs of query and token up to which queries are sent to every task; beyond that they are joined.
+MOST_ASKED = 500_000
+#: Cells of the table of tokens and queries up to which it is sent to every task (64 MB).
+MOST_WORTH = 8_000_000
+
+
 def postings(docs: DataFrame, tokens: Column, id_col: str) -> DataFrame:
     """id, token, tf, dl: one row for each document and token."""
     d = docs.select(F.col(id_col).alias("id"), tokens.alias("t")).select("id", F.size("t").alias("dl"), F.explode("t").alias("token"))
@@ -20,14 +32,84 @@ def postings(docs: DataFrame, tokens: Column, id_col: str) -> DataFrame:
 def bm25(post: DataFrame, queries: DataFrame, n_docs: DataFrame) -> DataFrame:
     """query, id, score of documents that share a token with the query. queries: query, token (distinct); n_docs: one row n,
     avgdl over all documents, empty ones included."""
-    df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    terms = queries.join(df, "token")  # only what queries ask for is looked up in the postings
-    hits = post.join(terms, "token").join(F.broadcast(n_docs))  # one row
+    asked = post.join(queries.select("token").distinct(), "token", "left_semi")
+    terms = queries.join(asked.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
+    hits = asked.join(terms, "token").join(F.broadcast(n_docs))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query", "id").agg(F.sum(part).alias("score"))
 
 
+def lexical(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query, rank, id, score of each query's k best documents by BM25. docs: id, t (array of tokens); queries: query, token
+    (distinct).
+
+    One pass over the corpus keeps a document's length and its counts of asked tokens, a row a document, and writes them; what a
+    token is worth comes from those rows. Then each task scores its documents against all queries and passes on only its
+    k best of each. More than MOST_ASKED pairs of query and token are joined instead.
+    """
+    pairs = queries.limit(MOST_ASKED + 1).toPandas()
+    if len(pairs) > MOST_ASKED:
+        post = postings(docs, F.col("t"), "id")
+        return top_k(bm25(post, queries, docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("t")).alias("avgdl"))), k)
+    if pairs.empty:
+        return docs.sparkSession.createDataFrame([], f"query long, rank long, id {dict(docs.dtypes)['id']}, score double")
+    words, term = np.unique(pairs["token"].to_numpy(dtype=object), return_inverse=True)
+    asked, query = np.unique(pairs["query"].to_numpy(), return_inverse=True)
+    vocabulary = pa.array(words.tolist(), pa.string())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("t")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            at = pc.index_in(lists.flatten(), value_set=vocabulary)
+            known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+            key, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes)[known] * len(words) + at.drop_null().to_numpy().astype(np.int64), return_counts=True)
+            ends = np.append(0, np.cumsum(np.bincount(key // len(words), minlength=len(sizes)))).astype(np.int32)
+            column = lambda x: pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes.astype(np.int32)), column(key % len(words)), column(tf)], names=["id", "dl", "terms", "tf"])
+
+    id_type = dict(docs.dtypes)["id"]
+    counted = written(docs.select("id", "t").mapInArrow(count, f"id {id_type}, dl int, terms array<int>, tf array<int>"), "counted")
+    n, mean = counted.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    df = np.zeros(len(words))
+    for r in counted.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # a row for each asked token
+        df[r["term"]] = r["count"]
+    worth = np.zeros((len(words), len(asked)))
+    worth[term, query] = np.log(1 + ((n or 0) - df[term] + 0.5) / (df[term] + 0.5)) * (K1 + 1)
+    shared = docs.sparkSession.sparkContext.broadcast((asked, worth)) if worth.size <= MOST_WORTH else None
+    if shared is None:
+        rows = counted.select("id", "dl", F.explode(F.arrays_zip("terms", "tf")).alias("x")).select("id", "dl", "x.*")
+        return top_k(_joined(rows, pairs.assign(term=term), df, n, mean), k)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, value = shared.value
+        for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
+            lists = b.column("terms")
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            tf = b.column("tf").flatten().to_numpy().astype(np.float64)
+            dl = b.column("dl").to_numpy()[doc]
+            x = np.zeros((len(sizes), len(value)))
+            x[doc, lists.flatten().to_numpy()] = tf / (tf + K1 * (1 - B + B * dl / mean))
+            s = x @ value
+            # All that reach the k-th score (to 9 places, as ranks go); at most a batch.
+            rounded = np.round(s, 9)
+            bar = np.partition(rounded, -k, axis=0)[-k] if len(s) > k else np.zeros(s.shape[1])
+            d, q = np.nonzero((rounded >= bar) & (s > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(names[q]), b.column("id").take(pa.array(d)), pa.array(s[d, q])], names=["query", "id", "score"])
+
+    return top_k(counted.mapInArrow(score, f"query {dict(queries.dtypes)['query']}, id {id_type}, score double"), k)
+
+
+def _joined(rows: DataFrame, pairs: pd.DataFrame, df: np.ndarray, n: int, mean: float) -> DataFrame:
+    """query, id, score by a join of counted terms with the pairs of query and term."""
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5)) * (K1 + 1)
+    terms = rows.sparkSession.createDataFrame(pd.DataFrame({"query": pairs["query"], "term": pairs["term"].astype("int32"), "worth": idf[pairs["term"]]}))
+    part = F.col("worth") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+    return rows.withColumnRenamed("terms", "term").join(terms, "term").groupBy("query", "id").agg(F.sum(part).alias("score"))
+
+
 def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     """query, rank, id, score: ties (to 9 places) by id."""
     w = Window.partitionBy("query").orderBy(F.round(score, 9).desc(), "id")

@@ -281,9 +281,8 @@ def w8(spark, sf):
     x = t(spark, sf, "part").select(F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
     # Average ranks from counts of distinct values: no window over all rows at once.
     def ranks(c: str, out: str) -> DataFrame:
-        g = x.groupBy(c).agg(F.count(F.lit(1)).alias("k"))
-        below = F.sum("k").over(Window.orderBy(c)) - F.col("k")
-        return g.select(c, (below + (F.col("k") + 1) / 2).alias(out))
+        g = R.running_total(x.groupBy(c).agg(F.count(F.lit(1)).alias("k")), [c], "k", "upto")
+        return g.select(c, (F.col("upto") - (F.col("k") - 1) / 2).alias(out))
     y = x.join(ranks("a", "ra"), "a").join(ranks("b", "rb"), "b")
     m = y.agg(F.count(F.lit(1)).alias("n"), *[F.avg(e).alias(k) for k, e in (("ma", F.col("ra")), ("mb", F.col("rb")), ("ab", F.col("ra") * F.col("rb")), ("aa", F.col("ra") ** 2), ("bb", F.col("rb") ** 2))])
     return m.select(r6(F.try_divide(F.col("ab") - F.col("ma") * F.col("mb"), F.sqrt((F.col("aa") - F.col("ma") ** 2) * (F.col("bb") - F.col("mb") ** 2)))).alias("rho"), "n")

@@ -32,13 +32,16 @@ def tokens_of(spark, sf):
     return R.postings(docs, toks, "doc_id"), asked, size
 
 
-def scored(spark, sf):
-    return R.bm25(*tokens_of(spark, sf))
+def lexical_top(spark, sf, k):
+    """query, rank, id, score: each passage's k best documents of those that share a token with it."""
+    toks = text.tokens(F.col("text"))
+    asked = t(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.explode(toks).alias("token")).distinct()
+    return R.lexical(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), toks.alias("t")), asked, k)
 
 
 def bm25_top(spark, sf, k):
     every = t(spark, sf, "benchmark").select(F.col("item_id").alias("query"))
-    return R.fill_zero(R.top_k(scored(spark, sf), k), every, t(spark, sf, "documents").select(F.col("doc_id").alias("id")), k)
+    return R.fill_zero(lexical_top(spark, sf, k), every, t(spark, sf, "documents").select(F.col("doc_id").alias("id")), k)
 
 
 def class_means(spark, sf):
@@ -61,7 +64,7 @@ def dense_for_items(spark, sf, k):
 
 
 def fused(spark, sf):
-    return R.rrf(R.top_k(scored(spark, sf), 100), dense_for_items(spark, sf, 100))
+    return R.rrf(lexical_top(spark, sf, 100), dense_for_items(spark, sf, 100))
 
 
 @query("f1_bm25_topk", f"WITH {_BM} SELECT query AS item_id, rank, id AS doc_id, round(score, 6) AS score FROM bm WHERE rank <= 10")

@@ -3,6 +3,7 @@ driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -12,13 +13,41 @@ from pyspark.sql.types import StructType
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir; that is set to a temporary folder only where it is unset."""
+    """A fresh path under spark.checkpoint.dir, removed when the process ends. Where that is unset, a temporary folder of this
+    machine on a local master; on a cluster that is an error, since every executor would write to a disk of its own."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
-    return f"{at.rstrip('/')}/marlstone/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{at.rstrip('/')}/marlstone/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path, if the session still can."""
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session is gone: the folder's owner cleans it
+        pass
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back; its attribute written_at is the path."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Remove what `written` wrote, once nothing will be computed from it any more."""
+    remove(table.sparkSession, table.written_at)
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:

@@ -139,20 +139,52 @@ def test_section_cleaning(spark):
     assert r["source"] == "both_identical" and r["text"] == "Same text."
 
 
-@pytest.mark.parametrize(("sentence", "state"), [("There is cardiomegaly.", "positive"), ("No cardiomegaly.", "negated"), ("Possible cardiomegaly.", "uncertain"), ("No change in cardiomegaly.", "positive"), ("Cardiomegaly is not seen.", "negated"), ("No effusion but cardiomegaly.", "positive"), ("Cardiomegaly cannot be excluded.", "uncertain"), ("The heart is fine.", None)])
-def test_assertions(sentence, state):
-    found = [m[2] for m in assertion.Extractor(assertion.CONCEPTS).mentions(sentence) if m[0] == "cardiomegaly"]
-    assert found == ([state] if state else [])
-
-
-def test_report_parser():
-    f, i, ok, flags = reports.parse("FINDINGS: clear.\nIMPRESSION: normal.")
-    assert (f, i, ok, flags) == ("clear.", "normal.", True, [])
-    assert reports.parse("just text")[3] == ["no_headings_whole_text_as_findings", "empty_impression"]
-    assert reports.parse("**FINDINGS:**\nline one\nline two\n**IMPRESSION:** fine")[:3] == ("line one line two", "fine", True)
-    assert reports.parse("FINDINGS: a\nIMPRESSION: b\nFINDINGS: c\nmore")[:2] == ("a", "b")
-    assert reports.parse("FINDINGS: a\nIMPRESSION: b\nB. RETRIEVED EVIDENCE x")[3] == ["echoed_input_removed"]
-    assert reports.parse(None)[2] is False
+MENTIONS = [
+    ("There is cardiomegaly.", "positive"), ("No cardiomegaly.", "negated"), ("Possible cardiomegaly.", "uncertain"), ("No change in cardiomegaly.", "positive"),
+    ("Cardiomegaly is not seen.", "negated"), ("No effusion but cardiomegaly.", "positive"), ("Cardiomegaly cannot be excluded.", "uncertain"), ("The heart is fine.", None),
+    # Commas and slashes do not use up the scope.
+    ("No mass, nodule, scar, cyst, bleb, granuloma, cardiomegaly.", "negated"), ("No a, b, c, d, e, f, g, h, i, j, k, cardiomegaly", "negated"), ("No a, b, c, d, e, f, g, h, i, j, k, l, cardiomegaly", "positive"),
+    ("No well-known x-ray follow-up a b c d e f g h cardiomegaly", "negated"), ("Cardiomegaly, (as above), is absent", "negated"), ("cardiomegaly a b c d e f absent", "positive"),
+    ("No mass. Cardiomegaly.", "positive"), ("No mass\ncardiomegaly", "positive"), ("écardiomegaly", None), ("No effusion; possible enlarged heart.", "uncertain"),
+]
+
+
+def test_assertions(spark):
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(MENTIONS)] + [(98, None), (99, "")], "doc_id long, text string")
+    got = {}
+    for r in assertion.mentions(df).filter("concept = 'cardiomegaly'").collect():
+        got.setdefault(r["doc_id"], []).append(r["status"])
+    assert got == {i: [state] for i, (_, state) in enumerate(MENTIONS) if state}
+    twice = spark.createDataFrame([(1, "No effusion, and Effusions but XXXX effusion.")], "doc_id long, text string")
+    rows = assertion.mentions(twice).collect()
+    assert sorted((r["match"], r["status"]) for r in rows) == [("Effusions", "negated"), ("effusion", "negated"), ("effusion", "positive")] and "xxxx" in rows[0]["sentence"]
+    lexicon = assertion.overlay(assertion.TRIGGERS, add={"negation_pre": ["bar"]})
+    assert [r["status"] for r in assertion.mentions(spark.createDataFrame([(1, "bar edema")], "doc_id long, text string"), triggers=lexicon).collect()] == ["negated"]
+    left = assertion.unmappable(spark.createDataFrame([(1, " Odd words here.  Edema is seen.\n\nAll clear! last"), (2, None)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["sentence"]) for r in left) == [(1, "Odd words here."), (1, "last")]
+
+
+REPORTS = [
+    ("FINDINGS: clear.\nIMPRESSION: normal.", "clear.", "normal.", True, ""),
+    ("just text", "just text", "", False, "no_headings_whole_text_as_findings;empty_impression"),
+    ("**FINDINGS:**\nline one\nline two\n**IMPRESSION:** fine", "line one line two", "fine", True, ""),
+    ("FINDINGS: a\nIMPRESSION: b\nFINDINGS: c\nmore\nIMPRESSION: d", "a", "b", True, "repeated_section_ignored;repeated_section_ignored"),
+    ("FINDINGS: a\nIMPRESSION: b\nB. RETRIEVED EVIDENCE x", "a", "b", True, "echoed_input_removed"),
+    (None, "", "", False, "no_headings_whole_text_as_findings;empty_findings;empty_impression"),
+    ("intro\r\n\nFINDING - a\nFINDINGS: b\n c \nIMPRESSIONS:\n* _\nd\nIMPRESSION e", "a b c", "* _ d e", False, "text_before_first_heading"),
+    ("IMPRESSION: only", "", "only", False, "empty_findings"),
+    ("FINDINGS: " + "x" * 400 + "\nIMPRESSION: y", "", "y", False, "text_before_first_heading;empty_findings"),
+    ("C. EVIDENCE SUMMARY", "", "", False, "echoed_input_removed;no_headings_whole_text_as_findings;empty_findings;empty_impression"),
+]
+
+
+def test_report_parser(spark):
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(REPORTS)], "id long, text string")
+    got = {r["id"]: (r["findings"], r["impression"], r["format_ok"], r["flags"]) for r in reports.parse_reports(df, "id").collect()}
+    for i, want in enumerate(REPORTS):
+        assert got[i] == want[1:], want[0]
+    clash = spark.createDataFrame([("FINDINGS: a\nIMPRESSION: b", 1)], "flags string, findings int")
+    assert [tuple(r) for r in reports.parsed(clash, "flags").select("findings", "impression").collect()] == [("a", "b")]
 
 
 def test_text_metrics(spark):
