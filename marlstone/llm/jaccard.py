@@ -282,27 +282,27 @@ def verify(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
         texts = texts.dropDuplicates(["doc_id"])
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
 
-        def of(i: int, text: str) -> np.ndarray:
+        def of(i: int, text: pa.StringScalar) -> np.ndarray:
             s = kept.get(i)
             if s is None:
-                if len(kept) >= 256:
+                if len(kept) >= 64:
                     kept.clear()
-                s = kept[i] = shingle_set(text)
+                s = kept[i] = shingle_set(text.as_py())
             return s
 
         for b in batches:
-            rows = []
-            for x, y, tx, ty in zip(b["a"], b["b"], b["ta"], b["tb"]):
-                u, v = of(x, tx), of(y, ty)
-                common = len(np.intersect1d(u, v, assume_unique=True))
-                union = len(u) + len(v) - common
-                rows.append((x, y, common, union))
-            yield pd.DataFrame(rows, columns=["a", "b", "common", "either"], dtype="int64")
-
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long, common long, either long")
+            common, either = [], []
+            ta, tb = b.column("ta"), b.column("tb")  # texts become Python strings one at a time
+            for k, (x, y) in enumerate(zip(b.column("a").to_pylist(), b.column("b").to_pylist())):
+                u, v = of(x, ta[k]), of(y, tb[k])
+                common.append(len(np.intersect1d(u, v, assume_unique=True)))
+                either.append(len(u) + len(v) - common[-1])
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(common, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "common", "either"])
+
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, common long, either long")
 
 
 def components(links: DataFrame) -> DataFrame:

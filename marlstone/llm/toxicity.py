@@ -55,7 +55,7 @@ def _features(text: str) -> Counter:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in sliced(batches):
+    for b in sliced(batches, 200):
         rows = [_features(t) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array([list(r) for r in rows], pa.list_(pa.string())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))], names=["doc_id", "grade", "words", "counts"])
 
