@@ -1,99 +1,77 @@
-"""Bootstrap comparisons and exact tests.
+"""Bootstrap comparisons, staged selection and exact tests.
 
-Draws are made where they are used: draw b is a function of seed and b alone, so every task can make it and all systems share it.
-Values by unit (query, group) are gathered into one array first; the number of units is a stated bound. For more units than that,
-`poisson_weights` gives independent weights by hash, without any gathering.
+A unit's multiplicity in draw b is Poisson(1), from a hash of seed, unit and draw: it is known wherever the unit is, all systems,
+classes and tasks share it, and nothing is gathered, however many units there are. A group bootstrap hashes the group's name.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from .relational import CheckFailed
+SEED = 42
 
-UNITS = 1_000_000
 
-
-def draw(n: int, seed: int, b: int) -> np.ndarray:
-    """Multiplicities of n units in bootstrap draw b."""
-    return np.bincount(np.random.default_rng([seed, b]).integers(0, n, n), minlength=n)
+def poisson_steps(most: int = 8) -> list[tuple[int, float]]:
+    """(k, P(X <= k)) of Poisson(1) for k < most; what is beyond counts as most."""
+    out, total, term = [], 0.0, math.exp(-1)
+    for k in range(most):
+        total += term
+        out.append((k, total))
+        term /= k + 1
+    return out
 
 
-def draws(spark: SparkSession, n: int, n_boot: int, seed: int) -> DataFrame:
-    """b, unit (0 .. n - 1), w for w > 0."""
+def weights(unit: Column, b: Column, seed: int = SEED) -> Column:
+    """The multiplicity of a unit (or group) in draw b."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), unit.cast("string"), b.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    steps = poisson_steps()
+    out = F.lit(len(steps))
+    for k, upper in reversed(steps):
+        out = F.when(u < upper, k).otherwise(out)
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for b in batch["id"]:
-                w = draw(n, seed, int(b))
-                at = np.flatnonzero(w)
-                yield pd.DataFrame({"b": b, "unit": at, "w": w[at]})
 
-    return spark.range(0, n_boot, 1, min(n_boot, 64)).mapInPandas(run, "b long, unit long, w long")
+def draws(units: DataFrame, n_boot: int, seed: int = SEED) -> DataFrame:
+    """b, unit, w for w > 0. units: unit."""
+    every = units.select("unit", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+    return every.select("b", "unit", weights(F.col("unit"), F.col("b"), seed).alias("w")).filter("w > 0")
 
 
-def mean_ci(values: DataFrame, n_boot: int = 1000, seed: int = 42) -> DataFrame:
+def mean_ci(values: DataFrame, n_boot: int = 1000, seed: int = SEED) -> DataFrame:
     """name, mean, low, high: percentile intervals of means over units; nulls are left out of each mean. values: name, unit, x.
-    All names share the draws, so differences of columns are paired."""
-    wide = values.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("name", "x"))).alias("m"))
-    rows = wide.orderBy("unit").limit(UNITS + 1).collect()
-    if len(rows) > UNITS:
-        raise CheckFailed(f"more than {UNITS} units; use poisson_weights")
-    names = sorted({k for r in rows for k in r["m"]})
-    x = np.array([[np.nan if r["m"].get(k) is None else float(r["m"][k]) for k in names] for r in rows], dtype=float).reshape(len(rows), len(names))
-    known, filled = (~np.isnan(x)).astype(float), np.nan_to_num(x)
-    shared = values.sparkSession.sparkContext.broadcast((known, filled))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k, f = shared.value
-        for batch in batches:
-            for b in batch["id"]:
-                w = draw(len(f), seed, int(b))
-                n = w @ k
-                with np.errstate(invalid="ignore"):
-                    yield pd.DataFrame({"name": names, "b": b, "mean": np.where(n > 0, (w @ f) / n, np.nan)})
-
-    boots = values.sparkSession.range(0, n_boot, 1, 16).mapInPandas(run, "name string, b long, mean double").filter(~F.isnan("mean"))
+    All names share the draws, so differences of columns are paired. A draw without any unit of a name is left out."""
+    by_unit = values.filter("x is not null").groupBy("unit").agg(F.collect_list(F.struct("name", "x")).alias("xs"))  # a value a system
+    drawn = by_unit.select("unit", "xs", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).select("b", "xs", weights(F.col("unit"), F.col("b"), seed).alias("w")).filter("w > 0")
+    boots = drawn.select("b", "w", F.explode("xs").alias("v")).groupBy("v.name", "b").agg((F.sum(F.col("w") * F.col("v.x")) / F.sum("w")).alias("mean"))
     ci = boots.groupBy("name").agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    seen = [(name, float(f.sum() / k.sum()) if k.sum() else None) for name, k, f in zip(names, known.T, filled.T)]
-    return values.sparkSession.createDataFrame(seen, "name string, mean double").join(ci, "name", "left").select("name", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    return values.groupBy("name").agg(F.avg("x").alias("mean")).join(ci, "name", "left").select("name", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
-def paired(values: DataFrame, a: str, b: str, n_boot: int = 1000, seed: int = 42) -> DataFrame:
+def differences(values: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """name ('a - b'), unit, x: paired differences, null where either is."""
+    names = sorted({n for p in pairs for n in p})
+    wide = values.filter(F.col("name").isin(names)).groupBy("unit").agg(*[F.max(F.when(F.col("name") == n, F.col("x"))).alias(f"s{i}") for i, n in enumerate(names)])
+    of = {n: F.col(f"s{i}") for i, n in enumerate(names)}
+    return wide.select("unit", F.explode(F.array(*[F.struct(F.lit(f"{a} - {b}").alias("name"), (of[a] - of[b]).alias("x")) for a, b in pairs])).alias("d")).select("d.name", "unit", "d.x")
+
+
+def paired(values: DataFrame, a: str, b: str, n_boot: int = 1000, seed: int = SEED) -> DataFrame:
     """name ('a - b'), mean, low, high of the paired difference."""
-    d = values.filter(F.col("name").isin(a, b)).groupBy("unit").agg((F.max(F.when(F.col("name") == a, F.col("x"))) - F.max(F.when(F.col("name") == b, F.col("x")))).alias("x"))
-    return mean_ci(d.select(F.lit(f"{a} - {b}").alias("name"), "unit", "x"), n_boot, seed)
+    return mean_ci(differences(values, [(a, b)]), n_boot, seed)
 
 
-def all_differences(values: DataFrame, n_boot: int = 1000, seed: int = 42) -> DataFrame:
+def all_differences(values: DataFrame, n_boot: int = 1000, seed: int = SEED) -> DataFrame:
     """Paired differences of all systems, over the units that every system has."""
-    systems = values.select("name").distinct().count()
-    common = values.filter("x is not null").groupBy("unit").agg(F.count_distinct("name").alias("k")).filter(F.col("k") == systems).select("unit")
-    v = values.join(common, "unit", "left_semi")
-    x, y = v.select("unit", F.col("name").alias("a"), F.col("x").alias("xa")), v.select("unit", F.col("name").alias("b"), F.col("x").alias("xb"))
-    return mean_ci(x.join(y, "unit").filter("a < b").select(F.concat("a", F.lit(" - "), "b").alias("name"), "unit", (F.col("xa") - F.col("xb")).alias("x")), n_boot, seed)
-
-
-def poisson_weights(group: Column, b: Column, seed: int = 42) -> Column:
-    """A Poisson(1) multiplicity for each group and draw, from a hash: group bootstrap without gathering groups."""
-    u = F.pmod(F.xxhash64(F.lit(seed), group.cast("string"), b), F.lit(1 << 40)) / float(1 << 40)
-    out, total, term = F.lit(8), 0.0, math.exp(-1)
-    steps = []
-    for k in range(8):
-        total += term
-        steps.append((k, total))
-        term /= k + 1
-    for k, upper in reversed(steps):
-        out = F.when(u < upper, k).otherwise(out)
-    return out
+    names = [r["name"] for r in values.select("name").distinct().orderBy("name").collect()]  # a row a system
+    common = values.filter("x is not null").groupBy("unit").agg(F.count_distinct("name").alias("k")).filter(F.col("k") == len(names)).select("unit")
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    return mean_ci(differences(values.join(common, "unit", "left_semi"), pairs), n_boot, seed)
 
 
 @pandas_udf(DoubleType())
@@ -111,13 +89,45 @@ def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.S
     return pd.Series([one(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, d)])
 
 
-def challenge(values: DataFrame, incumbent: str, challengers: list[str], n_boot: int = 1000, seed: int = 42) -> DataFrame:
-    """step, challenger, low, wins, incumbent: each challenger replaces the incumbent if the interval of its paired gain lies above
-    zero."""
+def challenge(values: DataFrame, incumbent: str, stages: list[tuple[str, list[str]]], n_boot: int = 1000, seed: int = SEED) -> DataFrame:
+    """step, stage, challenger, mean, low, wins, incumbent: staged selection. In each stage the challengers are compared one after
+    another with the incumbent; one replaces it if the interval of its paired gain lies above zero. All comparisons that can come
+    about are made in one pass over the values."""
+    order = [incumbent, *(c for _, cs in stages for c in cs)]
+    pairs = [(b, a) for i, a in enumerate(order) for b in order[i + 1 :] if a != b]
+    ci = {r["name"]: r for r in mean_ci(differences(values, pairs), n_boot, seed).collect()}  # a row a pair of systems
     rows = []
-    for step, name in enumerate(challengers, 1):
-        ci = paired(values, name, incumbent, n_boot, seed).first()
-        wins = ci is not None and ci["low"] is not None and ci["low"] > 0
-        incumbent = name if wins else incumbent
-        rows.append((step, name, None if ci is None else ci["low"], wins, incumbent))
-    return values.sparkSession.createDataFrame(rows, "step int, challenger string, low double, wins boolean, incumbent string")
+    for stage, challengers in stages:
+        for name in challengers:
+            found = ci.get(f"{name} - {incumbent}")
+            wins = found is not None and found["low"] is not None and found["low"] > 0
+            incumbent = name if wins else incumbent
+            rows.append((len(rows) + 1, stage, name, None if found is None else found["mean"], None if found is None else found["low"], wins, incumbent))
+    return values.sparkSession.createDataFrame(rows, "step int, stage string, challenger string, mean double, low double, wins boolean, incumbent string")
+
+
+#: What an advance to a larger K has to meet.
+LEAST_GAIN, MOST_FALL, MOST_DUPLICATES, MOST_WORDS = 0.05, 0.03, 0.50, 1000
+CONDITIONS = ["gain_interval_above_zero", "gain_large_enough", "similarity_kept", "duplicates_bounded", "templates_grow", "context_bounded"]
+
+
+def advance(values: DataFrame, ks: list[int], n_boot: int = 1000, seed: int = SEED) -> DataFrame:
+    """from_k, to_k, the six conditions, advance, selected: from the smallest K on, the smallest larger K that meets all conditions
+    is next, until none does. values: unit, k, coverage, similarity, duplicates, templates, words (nulls are left out of means)."""
+    ks = sorted(ks)
+    gains = differences(values.select(F.col("k").cast("string").alias("name"), "unit", F.col("coverage").alias("x")), [(str(b), str(a)) for i, a in enumerate(ks) for b in ks[i + 1 :]])
+    ci = {r["name"]: r for r in mean_ci(gains, n_boot, seed).collect()}  # a row a pair of Ks
+    mean = {r["k"]: r for r in values.groupBy("k").agg(*[F.avg(c).alias(c) for c in ("similarity", "duplicates", "templates", "words")]).collect()}  # a row a K
+    rows, at = [], ks[0]
+    while True:
+        passed = []
+        for k in (k for k in ks if k > at):
+            g, a, b = ci[f"{k} - {at}"], mean[at], mean[k]
+            holds = [g["low"] > 0, g["mean"] >= LEAST_GAIN, a["similarity"] - b["similarity"] <= MOST_FALL, b["duplicates"] <= MOST_DUPLICATES, b["templates"] - a["templates"] > 0, b["words"] <= MOST_WORDS]
+            rows.append((at, k, *map(bool, holds), all(holds)))
+            passed += [k] * all(holds)
+        if not passed:
+            break
+        at = min(passed)
+    out = values.sparkSession.createDataFrame(rows, "from_k int, to_k int, " + ", ".join(f"{c} boolean" for c in CONDITIONS) + ", advance boolean")
+    return out.withColumn("selected", F.lit(at))

@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 from .relational import CheckFailed
 
 
-def shuffle_key(seed: int, group: Column) -> Column:
-    return F.sha2(F.concat(F.lit(f"{seed}|"), group.cast("string")), 256)
+def shuffle_key(seed: int | Column, group: Column) -> Column:
+    return F.sha2(F.concat((seed if isinstance(seed, Column) else F.lit(seed)).cast("string"), F.lit("|"), group.cast("string")), 256)
 
 
 def _ratios(ratios: dict[str, float]) -> tuple[list[str], list[float]]:
@@ -27,16 +27,32 @@ def _fold(share: Column, names: list[str], bounds: list[float]) -> Column:
     return out
 
 
+def _share(rows: DataFrame, by: list[str], weight: str, seed: int | Column) -> DataFrame:
+    """rows with `share`: the running share of `weight` in hashed order of group, within each value of `by` (or all rows). The running
+    sum goes by the key's first byte first (256 sums), so no task holds all groups of a frequent value."""
+    g = rows.withColumn("key", shuffle_key(seed, F.col("group"))).withColumn("head", F.substring("key", 1, 2))
+    heads = g.groupBy(*by, "head").agg(F.sum(weight).alias("s"))
+    w = Window.partitionBy(*by)
+    before = heads.select(*by, "head", (F.sum("s").over(w.orderBy("head")) - F.col("s")).alias("before"), F.sum("s").over(w).alias("total"))  # 256 rows a value
+    run = F.sum(weight).over(Window.partitionBy(*by, "head").orderBy("key"))
+    return g.withColumn("run", run).join(before, [*by, "head"]).withColumn("share", (F.col("before") + F.col("run")) / F.col("total")).select(*rows.columns, "share")
+
+
 def random_split(groups: DataFrame, ratios: dict[str, float], seed: int) -> DataFrame:
-    """group, size, share, split: groups in hashed order fill the parts by their share of rows. The running sum goes by the key's
-    first byte first (256 sums), so no task holds all groups."""
+    """group, size, share, split: groups in hashed order fill the parts by their share of rows."""
     names, bounds = _ratios(ratios)
-    g = groups.withColumn("key", shuffle_key(seed, F.col("group"))).withColumn("head", F.substring("key", 1, 2))
-    heads = g.groupBy("head").agg(F.sum("size").alias("s"))
-    before = heads.select("head", (F.sum("s").over(Window.orderBy("head")) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy()).alias("total"))  # 256 rows
-    run = F.sum("size").over(Window.partitionBy("head").orderBy("key"))
-    share = (F.col("before") + run) / F.col("total")
-    return g.join(F.broadcast(before), "head").select("group", "size", share.alias("share")).withColumn("split", _fold(F.col("share"), names, bounds))
+    return _share(groups.select("group", "size"), [], "size", seed).withColumn("split", _fold(F.col("share"), names, bounds))
+
+
+def deviations(groups: DataFrame, count: str, ratios: dict[str, float], seeds: int) -> DataFrame:
+    """seed, worst: the largest relative deviation of a part's share of `count` in its rows from the overall one, for random splits
+    by each seed from 0 on. groups: group, size and the count. All seeds are split in one pass."""
+    names, bounds = _ratios(ratios)
+    g = groups.select("group", "size", count, F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
+    split = _share(g, ["seed"], "size", F.col("seed")).withColumn("split", _fold(F.col("share"), names, bounds))
+    parts = split.groupBy("seed", "split").agg((F.sum(count) / F.sum("size")).alias("x"))
+    overall = groups.agg((F.sum(count) / F.sum("size")).alias("overall"))
+    return parts.join(F.broadcast(overall)).groupBy("seed").agg(F.max(F.abs(F.col("x") - F.col("overall")) / F.col("overall")).alias("worst"))  # one row
 
 
 def stratum_split(groups: DataFrame, ratios: dict[str, float], seed: int) -> DataFrame:
@@ -50,39 +66,23 @@ def stratum_split(groups: DataFrame, ratios: dict[str, float], seed: int) -> Dat
     return r.select("group", "stratum", out.alias("split"))
 
 
-def stratified_split(groups: DataFrame, ratios: dict[str, float], seed: int, most: int = 200_000) -> DataFrame:
-    """group, split: iterative multi-label stratification. groups: group, size, labels (array of counts). The rule assigns one
-    group after another, so it runs on the driver over the group table, of at most `most` rows; more is an error."""
-    names, _ = _ratios(ratios)
-    rows = groups.select("group", "size", "labels").limit(most + 1).collect()
-    if len(rows) > most:
-        raise CheckFailed(f"more than {most} groups")
-    rows.sort(key=lambda r: str(r["group"]))
-    counts, sizes = np.array([r["labels"] for r in rows], dtype=float), np.array([r["size"] for r in rows], dtype=float)
-    share = np.array(list(ratios.values()))
-    rng = np.random.default_rng(seed)
-    visit = rng.permutation(len(rows))
-    want, room = share[:, None] * counts.sum(axis=0), share * sizes.sum()
-    part = np.full(len(rows), -1)
-
-    def place(g: int, need: np.ndarray) -> None:
-        top = np.flatnonzero(need == need.max())
-        top = top[room[top] == room[top].max()] if len(top) > 1 else top
-        k = int(top[0] if len(top) == 1 else rng.choice(top))
-        part[g] = k
-        want[k] -= counts[g]
-        room[k] -= sizes[g]
-
-    left = counts.sum(axis=0)
-    while (left > 0).any():
-        label = int(np.argmin(np.where(left > 0, left, np.inf)))
-        for g in visit[(part[visit] < 0) & (counts[visit, label] > 0)]:
-            place(g, want[:, label].copy())
-        left = counts[part < 0].sum(axis=0)
-    for g in visit[part[visit] < 0]:
-        place(g, room.copy())
-    spark = groups.sparkSession
-    return spark.createDataFrame([(r["group"], names[k]) for r, k in zip(rows, part.tolist())], f"group {dict(groups.dtypes)['group']}, split string")
+def stratified_split(groups: DataFrame, ratios: dict[str, float], seed: int) -> DataFrame:
+    """group, split: multi-label stratification, rarest label first. groups: group, size, labels (array of counts).
+
+    The group with several labels belongs to the one that fewest rows have (ties: the first); groups without any form a last
+    stratum. In each stratum groups in hashed order fill the parts by their share of the stratum's label count (of rows
+    in the last one), so every part gets its share of the rare labels first, which is what a rarest-first assignment of one
+    group after another is for, but all strata at once and without gathering groups.
+    """
+    names, bounds = _ratios(ratios)
+    totals = {r["i"]: r["n"] for r in groups.select(F.posexplode("labels").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()}  # a row a label
+    order = sorted((i for i, n in totals.items() if n), key=lambda i: (totals[i], i))
+    rank = F.array(*[F.lit(order.index(i) if i in order else len(order)) for i in range(len(totals))]) if totals else F.array().cast("array<int>")
+    strata = F.array_min(F.transform("labels", lambda n, i: F.when(n > 0, F.get(rank, i)).otherwise(F.lit(len(order)))))
+    place = F.get(F.array(*[F.lit(i) for i in order], F.lit(-1)), F.coalesce(strata, F.lit(len(order))))
+    g = groups.select("group", "size", "labels", place.alias("stratum"))
+    g = g.withColumn("weight", F.when(F.col("stratum") < 0, F.col("size")).otherwise(F.get("labels", F.col("stratum"))))
+    return _share(g.select("group", "stratum", "weight"), ["stratum"], "weight", seed).select("group", _fold(F.col("share"), names, bounds).alias("split"))
 
 
 def folds(group: Column, k: int, seed: int = 0) -> Column:

@@ -13,7 +13,7 @@ from ..streaming import incremental
 from .base import SCORES, r6, scores, t
 from .registry import query
 from .relational_queries import _KEY
-from .retrieval_queries import fused, gains, sets
+from .retrieval_queries import _BM, _M, _RRF, fused, gains, sets
 from ..operators import retrieval as ret
 
 RATIOS = {"train": 0.7, "val": 0.15, "test": 0.15}
@@ -35,7 +35,12 @@ def d5(spark, sf):
     return splits.random_split(_groups(spark, sf), RATIOS, 42).select("group", "size", r6("share").alias("share"), "split")
 
 
-@query("d6_stratified_group_split")
+_D6 = """g AS (SELECT l_suppkey AS "group", count(*) AS size, [count(*) FILTER (p_type = 'PROMO'), count(*) FILTER (p_type = 'ECONOMY'), count(*) FILTER (p_type = 'LARGE')] AS labels FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+tt AS (SELECT i, sum(labels[i]) AS n FROM g, range(1, 4) r(i) GROUP BY 1), gs AS (SELECT "group", size, i AS stratum, labels[i] AS weight FROM g, tt WHERE labels[i] > 0 AND n > 0 QUALIFY row_number() OVER (PARTITION BY "group" ORDER BY n, i) = 1 UNION ALL SELECT "group", size, 0, size FROM g WHERE list_sum(labels) = 0),
+sh AS (SELECT "group", stratum, sum(weight) OVER (PARTITION BY stratum ORDER BY sha256('42|' || "group"))::DOUBLE / sum(weight) OVER (PARTITION BY stratum) AS share FROM gs)"""
+
+
+@query("d6_stratified_group_split", f"WITH {_D6} SELECT \"group\", CASE WHEN share <= 0.7 THEN 'train' WHEN share <= 0.85 THEN 'val' ELSE 'test' END AS split FROM sh")
 def d6(spark, sf):
     g = t(spark, sf, "lineitem").join(t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("group")).agg(F.count(F.lit(1)).alias("size"), F.array(*[F.count_if(F.col("p_type") == x) for x in ("PROMO", "ECONOMY", "LARGE")]).alias("labels"))
     return splits.stratified_split(g, RATIOS, 42)
@@ -46,18 +51,16 @@ def d7(spark, sf):
     return splits.stratum_split(t(spark, sf, "customer").select(F.col("c_custkey").alias("group"), F.col("c_mktsegment").alias("stratum")), RATIOS, 7)
 
 
-@query("d10_split_strategy")
+@query("d10_split_strategy", """WITH g AS (SELECT o_custkey AS "group", count(*) AS size, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent FROM orders GROUP BY 1),
+s AS (SELECT seed, size, urgent, sum(size) OVER (PARTITION BY seed ORDER BY sha256(seed || '|' || "group"))::DOUBLE / sum(size) OVER (PARTITION BY seed) AS share FROM g, range(50) r(seed)),
+p AS (SELECT seed, CASE WHEN share <= 0.7 THEN 'train' WHEN share <= 0.85 THEN 'val' ELSE 'test' END AS split, sum(urgent)::DOUBLE / sum(size) AS x FROM s GROUP BY 1, 2), o AS (SELECT sum(urgent)::DOUBLE / sum(size) AS x FROM g),
+w AS (SELECT seed, round(max(abs(p.x - o.x) / o.x), 6) AS worst FROM p, o GROUP BY 1) SELECT seed::INT AS seed, worst, (SELECT arg_min(seed, (worst, seed)) FROM w)::INT AS chosen FROM w""")
 def d10(spark, sf):
-    """seed, worst relative deviation of the share of urgent orders, and which seed the rule (the smallest) picks."""
+    """seed, worst relative deviation of the share of urgent orders in a part, and the seed the rule (the smallest) picks."""
     g = t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("group")).agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
-    parts = None
-    for seed in range(10):
-        p = splits.random_split(g.select("group", "size"), RATIOS, seed).join(g.select("group", "urgent"), "group").groupBy("split").agg((F.sum("urgent") / F.sum("size")).alias("share")).withColumn("seed", F.lit(seed))
-        parts = p if parts is None else parts.unionByName(p)
-    overall = g.agg((F.sum("urgent") / F.sum("size")).alias("overall"))
-    worst = parts.join(F.broadcast(overall)).groupBy("seed").agg(r6(F.max(F.abs(F.col("share") - F.col("overall")) / F.col("overall"))).alias("worst"))  # one row
+    worst = splits.deviations(g, "urgent", RATIOS, 50).withColumn("worst", r6("worst"))
     best = worst.agg(F.min_by("seed", F.struct("worst", "seed")).alias("chosen"))
-    return worst.join(F.broadcast(best))
+    return worst.join(F.broadcast(best))  # one row
 
 
 @query("d11_group_folds", "SELECT c_custkey, (('0x' || substr(sha256('0|' || c_custkey), 1, 8))::BIGINT % 5)::INT AS fold FROM customer")
@@ -65,18 +68,36 @@ def d11(spark, sf):
     return t(spark, sf, "customer").select("c_custkey", splits.folds(F.col("c_custkey"), 5).alias("fold"))
 
 
-@query("n1_bootstrap_draws")
+def w_sql(unit: str, b: str) -> str:
+    """A unit's Poisson multiplicity in draw b."""
+    steps = " ".join(f"WHEN u < {p!r} THEN {k}" for k, p in resample.poisson_steps())
+    return f"list_transform([('0x' || substr(md5('42|' || {unit} || '|' || {b}), 1, 8))::BIGINT / 4294967296.0::DOUBLE], lambda u: CASE {steps} ELSE {len(resample.poisson_steps())} END)[1]"
+
+
+@query("n1_bootstrap_draws", f"SELECT b::INT AS b, sum(w)::BIGINT AS drawn, count(*)::BIGINT AS distinct_units FROM (SELECT b, {w_sql('item_id', 'b')} AS w FROM benchmark, range(200) r(b)) WHERE w > 0 GROUP BY 1")
 def n1(spark, sf):
-    n = t(spark, sf, "benchmark").count()
-    return resample.draws(spark, n, 200, 42).groupBy("b").agg(F.sum("w").alias("drawn"), F.count(F.lit(1)).alias("distinct_units"))
+    units = t(spark, sf, "benchmark").select(F.col("item_id").alias("unit"))
+    return resample.draws(units, 200).groupBy("b").agg(F.sum("w").cast("long").alias("drawn"), F.count(F.lit(1)).alias("distinct_units"))
 
 
-@query("n2_group_weights")
+@query("n2_group_weights", f"SELECT b::INT AS b, sum(w)::BIGINT AS weight, round(sum(w * o_totalprice) / sum(w), 2) AS mean_price FROM (SELECT b, o_totalprice, {w_sql('o_custkey', 'b')} AS w FROM orders, range(20) r(b)) GROUP BY 1")
 def n2(spark, sf):
-    """Poisson weights of customers on every order, for 20 draws."""
+    """Weights of customers on every order, for 20 draws."""
     o = t(spark, sf, "orders").select("o_custkey", "o_totalprice", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("b"))
-    w = resample.poisson_weights(F.col("o_custkey"), F.col("b"))
-    return o.withColumn("w", w).groupBy("b").agg(F.sum("w").alias("weight"), r6(F.sum(F.col("w") * F.col("o_totalprice")) / F.sum("w"), 2).alias("mean_price"))
+    o = o.withColumn("w", resample.weights(F.col("o_custkey"), F.col("b")))
+    return o.groupBy("b").agg(F.sum("w").cast("long").alias("weight"), r6(F.sum(F.col("w") * F.col("o_totalprice")) / F.sum("w"), 2).alias("mean_price"))
+
+
+_SYS = f"""{_M}, {_RRF[len(_BM) + 2:]}, lx AS (SELECT query AS unit, round(avg(gain) FILTER (rank <= 5), 9) AS five, round(max(gain) FILTER (rank = 1), 9) AS one FROM rk GROUP BY 1),
+sy AS (SELECT 'lexical5' AS name, unit, five AS x FROM lx UNION ALL SELECT 'lexical1', unit, one FROM lx UNION ALL SELECT 'fusion5', fr.query, round(avg(gain), 9) FROM fr JOIN ga ON ga.query = fr.query AND ga.id = fr.id WHERE fr.rank <= 5 GROUP BY 2)"""
+
+
+def ci_sql(values: str, n_boot: int) -> str:
+    """Intervals (table ci) of the values (a table name, unit, x)."""
+    return f"bt AS (SELECT name, b, sum(w * x) / nullif(sum(w), 0) AS m FROM (SELECT name, b, x, {w_sql('unit', 'b')} AS w FROM {values}, range({n_boot}) r(b) WHERE x IS NOT NULL) GROUP BY 1, 2), ci AS (SELECT v.name, mean, low, high FROM (SELECT name, avg(x) AS mean FROM {values} GROUP BY 1) v LEFT JOIN (SELECT name, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM bt GROUP BY 1) q USING (name))"
+
+
+_DIF = "pd AS (SELECT a.name || ' - ' || b.name AS name, a.unit, a.x - b.x AS x FROM sy a JOIN sy b ON a.unit = b.unit AND a.name <> b.name)"
 
 
 def _systems(spark, sf):
@@ -87,67 +108,100 @@ def _systems(spark, sf):
     q = sets(t(spark, sf, "benchmark"), "item_id", "query").filter("size(s) > 0").withColumnRenamed("s", "qs")
     f = ret.top_k(fused(spark, sf), 5).join(docs, "id").join(q, "query").select("query", F.when(F.size("s") == 0, 0.0).otherwise(ret.jaccard("qs", "s")).alias("gain"))
     fusion = f.groupBy(F.col("query").alias("unit")).agg(F.round(F.avg("gain"), 9).alias("x")).select(F.lit("fusion5").alias("name"), "unit", "x")
-    return lexical.unionByName(fusion)
+    return files.written(lexical.unionByName(fusion), "systems")
 
 
-@query("n3_confidence_intervals")
+@query("n3_confidence_intervals", f"WITH {_SYS}, {ci_sql('sy', 1000)} SELECT name, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM ci")
 def n3(spark, sf):
     c = resample.mean_ci(_systems(spark, sf))
     return c.select("name", *[r6(x).alias(x) for x in ("mean", "low", "high")])
 
 
-@query("n4_threshold_bootstrap")
+#: Draws of the threshold bootstraps, and when an interval counts as unstable (fixed values).
+DRAWS, WIDEST, WIDEST_SHARE = 100, 0.20, 1.0
+_WC = f"{SCORES}, ws AS (SELECT cls, b, y, p, {w_sql('vec_id', 'b')} AS w FROM sc, range({DRAWS}) r(b)), gr AS (SELECT cls, b, p, sum(y * w)::BIGINT AS g_pos, sum((1 - y) * w)::BIGINT AS g_neg FROM ws WHERE w > 0 GROUP BY 1, 2, 3), cd AS (SELECT cls, b, p, g_pos, g_neg, (sum(g_pos) OVER d)::BIGINT AS tp, (sum(g_neg) OVER d)::BIGINT AS fp, (sum(g_pos) OVER a)::BIGINT AS pos, (sum(g_neg) OVER a)::BIGINT AS neg FROM gr WINDOW d AS (PARTITION BY cls, b ORDER BY p DESC), a AS (PARTITION BY cls, b))"
+
+
+@query("n4_threshold_bootstrap", f"WITH {_WC}, yb AS (SELECT cls, b, CASE WHEN max(tp * neg - fp * pos) > 0 THEN arg_max(p, (tp * neg - fp * pos, tp, p)) END AS threshold FROM cd GROUP BY 1, 2), q AS (SELECT cls, count(threshold)::BIGINT AS defined, quantile_cont(threshold, 0.5) AS median, quantile_cont(threshold, 0.025) AS low, quantile_cont(threshold, 0.975) AS high, quantile_cont(threshold, 0.75) - quantile_cont(threshold, 0.25) AS iqr FROM yb GROUP BY 1) SELECT cls, defined, {DRAWS} - defined AS undefined, round(median, 6) AS median, round(low, 6) AS low, round(high, 6) AS high, round(iqr, 6) AS iqr, high - low > {WIDEST} OR high - low > {WIDEST_SHARE} * median AS unstable FROM q")
 def n4(spark, sf):
-    """cls, spread of Youden thresholds over 30 group draws (weights by hash; all classes share a draw)."""
-    s = scores(spark, sf).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(29))))
-    s = s.withColumn("w", resample.poisson_weights(F.col("vec_id"), F.col("b"))).filter("w > 0")
+    """Youden thresholds over group draws (all classes share a draw): how many are defined, their spread, and whether it is unstable by
+    the rule (wider than WIDEST, or than WIDEST_SHARE of the median)."""
+    s = scores(spark, sf).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
+    s = s.withColumn("w", resample.weights(F.col("vec_id"), F.col("b"))).filter("w > 0")
     y = K.youden(K.candidates(s, ["cls", "b"], F.col("w")), ["cls", "b"])
-    return y.groupBy("cls").agg(F.count("threshold").alias("defined"), r6(F.percentile("threshold", F.lit(0.5))).alias("median"), r6(F.percentile("threshold", F.lit(0.975)) - F.percentile("threshold", F.lit(0.025))).alias("width"))
+    q = y.groupBy("cls").agg(F.count("threshold").alias("defined"), F.percentile("threshold", F.array(*map(F.lit, (0.5, 0.025, 0.975, 0.25, 0.75)))).alias("q"))
+    at = dict(zip(("median", "low", "high", "q1", "q3"), (F.col("q")[i] for i in range(5))))
+    width = at["high"] - at["low"]
+    return q.select("cls", "defined", (DRAWS - F.col("defined")).alias("undefined"), *[r6(at[c]).alias(c) for c in ("median", "low", "high")], r6(at["q3"] - at["q1"]).alias("iqr"), ((width > WIDEST) | (width > WIDEST_SHARE * at["median"])).alias("unstable"))
 
 
-@query("n5_paired_models")
+@query("n5_paired_models", f"WITH {_WC.replace('FROM sc, range', 'FROM sc2, range').replace('ws AS', 'sc2 AS (SELECT * , 1 AS m FROM sc UNION ALL SELECT vec_id, cls, y, round(p, 1), 2 FROM sc), ws AS', 1).replace('SELECT cls, b, y, p, list', 'SELECT m, cls, b, y, p, list').replace('SELECT cls, b, p, sum', 'SELECT m, cls, b, p, sum').replace('GROUP BY 1, 2, 3', 'GROUP BY 1, 2, 3, 4').replace('SELECT cls, b, p, g_pos', 'SELECT m, cls, b, p, g_pos').replace('PARTITION BY cls, b', 'PARTITION BY m, cls, b')}, au AS (SELECT m, b, cls, sum(g_neg * (tp - g_pos + g_pos / 2.0::DOUBLE)) / nullif(max(pos * neg), 0) AS auroc FROM cd GROUP BY 1, 2, 3), ma AS (SELECT m, b, avg(auroc) AS x FROM au GROUP BY 1, 2), pr AS (SELECT b, max(x) FILTER (m = 1) - max(x) FILTER (m = 2) AS gain FROM ma GROUP BY 1) SELECT round(avg(gain), 6) AS mean_gain, round(avg((gain > 1e-9)::INT), 6) AS share_above_zero, count(*)::BIGINT AS draws FROM pr")
 def n5(spark, sf):
-    """Macro AUROC of the scores against a coarser version, over 30 shared draws: share of draws with a gain."""
-    s = scores(spark, sf).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(29))))
-    s = s.withColumn("w", resample.poisson_weights(F.col("vec_id"), F.col("b"))).filter("w > 0")
+    """Macro AUROC of the scores against a coarser version, over shared draws: share of draws with a gain."""
+    s = scores(spark, sf).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
+    s = s.withColumn("w", resample.weights(F.col("vec_id"), F.col("b"))).filter("w > 0")
     m = s.select("cls", "b", "y", "w", F.explode(F.array(F.struct(F.lit("fine").alias("model"), F.col("p")), F.struct(F.lit("coarse").alias("model"), F.round("p", 1).alias("p")))).alias("m")).select("cls", "b", "y", "w", "m.model", "m.p")
     macro = K.auc(K.candidates(m, ["model", "b", "cls"], F.col("w")), ["model", "b", "cls"]).groupBy("model", "b").agg(F.avg("auroc").alias("x"))
     pair = macro.groupBy("b").agg((F.max(F.when(F.col("model") == "fine", F.col("x"))) - F.max(F.when(F.col("model") == "coarse", F.col("x")))).alias("gain"))
-    return pair.agg(r6(F.avg("gain")).alias("mean_gain"), r6(F.avg((F.col("gain") > 0).cast("int"))).alias("share_above_zero"), F.count(F.lit(1)).alias("draws"))
+    return pair.agg(r6(F.avg("gain")).alias("mean_gain"), r6(F.avg((F.col("gain") > 1e-9).cast("int"))).alias("share_above_zero"), F.count(F.lit(1)).alias("draws"))
 
 
-@query("n6_cross_fitted_gain")
+_GATES = [round(0.05 * i, 2) for i in range(20)]
+_N6 = f"""{SCORES}, sf AS (SELECT *, ('0x' || substr(sha256('0|' || vec_id), 1, 8))::BIGINT % 3 AS fold FROM sc), tr AS (SELECT sf.*, o AS out FROM sf, range(3) r(o) WHERE fold <> o),
+ps AS (SELECT cls, out, p, y, row_number() OVER (PARTITION BY cls, out ORDER BY p) AS r, count(*) OVER (PARTITION BY cls, out) AS n FROM tr WHERE p >= 0.5), gt AS (SELECT DISTINCT cls, out, p AS gate FROM ps, unnest({_GATES}) u(q) WHERE r = floor((n - 1) * q) + 1),
+al AS (SELECT cls, out, sum(y)::BIGINT AS pos FROM tr GROUP BY 1, 2), f AS (SELECT gt.cls, gt.out, gate, sum(y)::BIGINT AS tp, count(*) AS kept, max(pos) AS pos FROM gt JOIN ps ON ps.cls = gt.cls AND ps.out = gt.out AND ps.p >= gate JOIN al ON al.cls = gt.cls AND al.out = gt.out GROUP BY 1, 2, 3),
+s AS (SELECT cls, out, gate, round(1.25::DOUBLE * tp / nullif(1.25::DOUBLE * tp + 0.25 * (pos - tp) + (kept - tp), 0), 12) AS f FROM f), ga2 AS (SELECT cls, out AS fold, arg_max(gate, (f, -gate)) AS gate FROM s GROUP BY 1, 2),
+k AS (SELECT sf.cls, y, p >= 0.5 AS op, p >= 0.5 AND coalesce(p >= gate, true) AS kept FROM sf LEFT JOIN ga2 ON ga2.cls = sf.cls AND ga2.fold = sf.fold),
+c AS (SELECT cls, sum((kept AND y = 1)::INT)::DOUBLE AS a, sum((kept AND y = 0)::INT)::DOUBLE AS b, sum((NOT kept AND y = 1)::INT)::DOUBLE AS d, sum((op AND y = 1)::INT)::DOUBLE AS e, sum((op AND y = 0)::INT)::DOUBLE AS g, sum((NOT op AND y = 1)::INT)::DOUBLE AS h FROM k GROUP BY 1)"""
+
+
+@query("n6_cross_fitted_gain", f"WITH {_N6} SELECT cls, round(1.25 * a / nullif(1.25 * a + 0.25 * d + b, 0) - 1.25 * e / nullif(1.25 * e + 0.25 * h + g, 0), 6) AS gain FROM c")
 def n6(spark, sf):
     """cls, F0.5 gain of gates chosen on the other folds over the operating point."""
     s = scores(spark, sf).withColumn("positive", F.col("p") >= 0.5).withColumn("fold", splits.folds(F.col("vec_id"), 3))
-    q = [round(0.05 * i, 2) for i in range(20)]
     train = s.withColumn("out", F.explode(F.array(*map(F.lit, range(3))))).filter(F.col("fold") != F.col("out"))
-    g = K.gate(train, ["cls", "out"], q).select("cls", F.col("out").alias("fold"), "gate")
+    g = K.gate(train, ["cls", "out"], _GATES).select("cls", F.col("out").alias("fold"), "gate")
     x = s.join(F.broadcast(g), ["cls", "fold"], "left")  # a row for each class and fold
     f = lambda keep: (lambda tp, fp, fn: F.try_divide(1.25 * tp, 1.25 * tp + 0.25 * fn + fp))(F.count_if(keep & (F.col("y") == 1)).cast("double"), F.count_if(keep & (F.col("y") == 0)).cast("double"), F.count_if(~keep & (F.col("y") == 1)).cast("double"))
     kept = F.col("positive") & F.coalesce(F.col("p") >= F.col("gate"), F.lit(True))
     return x.groupBy("cls").agg(r6(f(kept) - f(F.col("positive"))).alias("gain"))
 
 
-@query("n7_fisher_exact")
+@query("n7_fisher_exact", """WITH c AS (SELECT lang, count(*) FILTER (quality = 1 AND toxic = 1) AS a, count(*) FILTER (quality = 1 AND toxic = 0) AS b, count(*) FILTER (quality = 0 AND toxic = 1) AS c, count(*) FILTER (quality = 0 AND toxic = 0) AS d FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+x AS (SELECT c.*, x, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(c + d - (a + c) + x + 1) AS l FROM c, range(1000000) r(x) WHERE x <= least(a + b, a + c) AND x >= a + c - (c + d))
+SELECT lang, a, b, c, d, round(least(1.0, sum(CASE WHEN exp(l) <= p * (1 + 1e-7) THEN exp(l) ELSE 0 END)), 6) AS p FROM (SELECT *, max(exp(l)) FILTER (x = a) OVER (PARTITION BY lang) AS p FROM x) GROUP BY 1, 2, 3, 4, 5""")
 def n7(spark, sf):
     c = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id").groupBy("lang").agg(F.count_if(F.expr("quality = 1 and toxic = 1")).alias("a"), F.count_if(F.expr("quality = 1 and toxic = 0")).alias("b"), F.count_if(F.expr("quality = 0 and toxic = 1")).alias("c"), F.count_if(F.expr("quality = 0 and toxic = 0")).alias("d"))
     return c.select("lang", "a", "b", "c", "d", r6(resample.fisher_exact("a", "b", "c", "d")).alias("p"))
 
 
-@query("n8_challenger_selection")
+@query("n8_challenger_selection", f"""WITH {_SYS}, {_DIF}, {ci_sql('pd', 300)}, s1 AS (SELECT 'lexical5' AS challenger, mean, low, low > 0 AS wins, CASE WHEN low > 0 THEN 'lexical5' ELSE 'lexical1' END AS incumbent FROM ci WHERE name = 'lexical5 - lexical1'),
+s2 AS (SELECT 'fusion5' AS challenger, ci.mean, ci.low, ci.low > 0 AS wins, CASE WHEN ci.low > 0 THEN 'fusion5' ELSE s1.incumbent END AS incumbent FROM ci, s1 WHERE ci.name = 'fusion5 - ' || s1.incumbent)
+SELECT 1 AS step, 'depth' AS stage, challenger, round(mean, 6) AS mean, round(low, 6) AS low, wins, incumbent FROM s1 UNION ALL SELECT 2, 'retriever', challenger, round(mean, 6), round(low, 6), wins, incumbent FROM s2""")
 def n8(spark, sf):
-    return resample.challenge(_systems(spark, sf), "lexical1", ["lexical5", "fusion5"], 300)
+    c = resample.challenge(_systems(spark, sf), "lexical1", [("depth", ["lexical5"]), ("retriever", ["fusion5"])], 300)
+    return c.withColumn("mean", r6("mean")).withColumn("low", r6("low"))
+
+
+KS = [1, 3, 5, 10]
+_KV = f"""{_M}, kv AS (SELECT rk.query AS unit, k, round(len(list_intersect(any_value(q.s), list_distinct(flatten(list(d.s)))))::DOUBLE / len(any_value(q.s)), 9) AS coverage, round(avg(gain), 9) AS similarity, round(1 - count(DISTINCT array_to_string(d.tok, ' '))::DOUBLE / k, 9) AS duplicates, count(DISTINCT array_to_string(d.tok, ' '))::DOUBLE AS templates, sum(len(d.tok))::DOUBLE AS words
+FROM rk JOIN qs q ON q.query = rk.query JOIN ds d ON d.id = rk.id, unnest({KS}) u(k) WHERE rank <= k GROUP BY 1, 2), mk AS (SELECT k, avg(similarity) AS similarity, avg(duplicates) AS duplicates, avg(templates) AS templates, avg(words) AS words FROM kv GROUP BY 1),
+pd AS (SELECT b.k || ' - ' || a.k AS name, a.unit, b.coverage - a.coverage AS x FROM kv a JOIN kv b ON a.unit = b.unit AND a.k < b.k)"""
+_KA = "c AS (SELECT a.k::INT AS from_k, b.k::INT AS to_k, ci.low > 0 AS gain_interval_above_zero, ci.mean >= 0.05 AS gain_large_enough, a.similarity - b.similarity <= 0.03 AS similarity_kept, b.duplicates <= 0.5 AS duplicates_bounded, b.templates - a.templates > 0 AS templates_grow, b.words <= 1000 AS context_bounded FROM mk a JOIN mk b ON a.k < b.k JOIN ci ON ci.name = b.k || ' - ' || a.k), v AS (SELECT *, gain_interval_above_zero AND gain_large_enough AND similarity_kept AND duplicates_bounded AND templates_grow AND context_bounded AS advance FROM c), n AS (SELECT from_k, min(to_k) AS next FROM v WHERE advance GROUP BY 1), w(k) AS (SELECT 1 UNION ALL SELECT next FROM w JOIN n ON from_k = k)"
 
 
-@query("n9_advancement_rule")
+@query("n9_advancement_rule", f"WITH RECURSIVE {_KV}, {ci_sql('pd', 300)}, {_KA} SELECT v.*, (SELECT max(k) FROM w)::INT AS selected FROM v WHERE from_k IN (SELECT k FROM w)")
 def n9(spark, sf):
-    """Whether more context pays: the conditions are rows, and all must hold."""
-    c = resample.paired(_systems(spark, sf), "lexical5", "lexical1", 300)
-    return c.select(F.explode(F.array(F.struct(F.lit("gain_above_zero").alias("rule"), (F.col("low") > 0).alias("holds")), F.struct(F.lit("loss_bounded").alias("rule"), (F.col("low") > -0.05).alias("holds")), F.struct(F.lit("mean_positive").alias("rule"), (F.col("mean") > 0).alias("holds")))).alias("r")).select("r.*")
+    """Whether more context pays: six conditions for each step to a larger K, from the smallest on."""
+    toks = text.tokens(F.col("text"))
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5(F.array_join(toks, " ")).alias("norm"), F.size(toks).alias("n"))
+    g = gains(spark, sf).join(d, "id").withColumn("k", F.explode(F.array(*map(F.lit, KS)))).filter("rank <= k")
+    v = g.groupBy(F.col("query").alias("unit"), "k").agg(F.first("qs").alias("qs"), F.array_distinct(F.flatten(F.collect_list("s"))).alias("u"), F.round(F.avg("gain"), 9).alias("similarity"), F.count_distinct("norm").cast("double").alias("templates"), F.sum("n").cast("double").alias("words"))
+    v = v.select("unit", "k", F.round(F.size(F.array_intersect("qs", "u")) / F.size("qs"), 9).alias("coverage"), "similarity", F.round(1 - F.col("templates") / F.col("k"), 9).alias("duplicates"), "templates", "words")
+    return resample.advance(files.written(v, "depths"), KS, 300)
 
 
-@query("n10_all_differences")
+@query("n10_all_differences", f"WITH {_SYS}, {_DIF}, cm AS (SELECT unit FROM sy WHERE x IS NOT NULL GROUP BY 1 HAVING count(DISTINCT name) = 3), dc AS (SELECT pd.* FROM pd JOIN cm USING (unit) WHERE split_part(name, ' - ', 1) < split_part(name, ' - ', 2)), {ci_sql('dc', 300)} SELECT name, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM ci")
 def n10(spark, sf):
     return resample.all_differences(_systems(spark, sf), 300).select("name", *[r6(x).alias(x) for x in ("mean", "low", "high")])
 

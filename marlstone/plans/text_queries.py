@@ -84,9 +84,21 @@ def e10(spark, sf) -> DataFrame:
     return k.groupBy("item_id", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e11_report_parser")
+_BODY = "array_to_string(list_filter(list_transform(string_split(replace(text, chr(13), ''), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' ')"
+#: What a report is made to look like, by conversation: well formed, without headings, with text before and repeated after, echoing.
+_SHAPES = ["FINDINGS:\n{t}\nIMPRESSION: {r}", "{t}", "note\n**FINDINGS:**\n{t}\nIMPRESSION: {r}\nFINDINGS: again\nmore", "FINDINGS:\n{t}\nIMPRESSION - {r}\nB. RETRIEVED EVIDENCE x"]
+
+
+@query("e11_report_parser", f"""WITH c AS (SELECT conv_id * 1000 + turn AS row_id, conv_id % 4 AS kind, role, {_BODY} AS body FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)),
+f AS (SELECT row_id, body AS findings, CASE WHEN kind = 1 THEN '' ELSE role END AS impression, list_filter([CASE WHEN kind = 3 THEN 'echoed_input_removed' END, CASE WHEN kind = 2 THEN 'repeated_section_ignored' END, CASE WHEN kind = 1 THEN 'no_headings_whole_text_as_findings' END, CASE WHEN kind = 2 THEN 'text_before_first_heading' END, CASE WHEN body = '' THEN 'empty_findings' END, CASE WHEN kind = 1 THEN 'empty_impression' END], lambda x: x IS NOT NULL) AS flags FROM c)
+SELECT row_id, findings, impression, len(list_filter(flags, lambda x: x NOT IN ('echoed_input_removed', 'repeated_section_ignored'))) = 0 AS format_ok, array_to_string(flags, ';') AS flags FROM f""")
 def e11(spark, sf) -> DataFrame:
-    c = t(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.concat(F.lit("FINDINGS: "), "text", F.lit("\nIMPRESSION: "), "role").alias("text"))
+    made = F.lit(None).cast("string")
+    for k, shape in enumerate(_SHAPES):
+        before, after = shape.split("{t}")
+        ending = [F.lit(x) if i % 2 == 0 else F.col("role") for i, x in enumerate(after.replace("{r}", "\0{r}\0").split("\0"))]
+        made = F.when(F.col("conv_id") % 4 == k, F.concat(F.lit(before), F.coalesce("text", F.lit("")), *ending)).otherwise(made)
+    c = t(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), made.alias("text"))
     return reports.parse_reports(c, "row_id")
 
 
@@ -161,27 +173,58 @@ def e15(spark, sf) -> DataFrame:
 COMMON = {"article": ["the", "la", "der"], "verb": ["is", "are", "est", "ist"], "linking": ["and", "et", "und", "y"]}
 
 
-@query("e16_assertion_mentions")
+def _any_sql(patterns: list[str]) -> str:
+    return (r"(?i)\b(?:" + "|".join(f"(?:{p})" for p in patterns) + r")\b").replace("'", "''")
+
+
+def _mentions_sql(lexicon: dict[str, list[str]]) -> str:
+    """mn: item_id, concept, match, status, sentence. Matching is done on a copy whose letters outside ASCII are q, since word borders of
+    this engine know ASCII only; texts are cut from the original at the places found."""
+    rule = {k: _any_sql(v) for k, v in assertion.TRIGGERS.items()}
+    concepts = ", ".join(f"('{c}', '{_any_sql(p)}')" for c, p in lexicon.items())
+    words = lambda x: f"regexp_extract_all(lower({x}), '{assertion.WORD}')"
+    return f"""ss AS (SELECT item_id, unnest(regexp_split_to_array(regexp_replace(replace(coalesce(text, ''), 'XXXX', 'xxxx'), '([.;!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+')) AS sentence FROM benchmark),
+sh AS (SELECT *, regexp_replace(sentence, '[^\\x00-\\x7F]', 'q', 'g') AS plain FROM ss), hh AS (SELECT item_id, sentence, plain, concept, regexp_split_to_array(plain, pat) AS parts, regexp_extract_all(plain, pat) AS hits FROM sh, (VALUES {concepts}) c(concept, pat)),
+kk AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM hh), st AS (SELECT item_id, sentence, plain, concept, (list_sum(list_transform(parts[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0))::BIGINT AS a, length(hits[k]) AS n FROM kk),
+lr AS (SELECT *, length(regexp_split_to_array(substr(plain, 1, a), '{rule['scope_terminators']}')[-1]) AS l, length(regexp_split_to_array(substr(plain, a + n + 1), '{rule['scope_terminators']}')[1]) AS r FROM st),
+ba AS (SELECT *, regexp_replace(array_to_string({words('substr(sentence, a - l + 1, l)')}[-12:], ' '), '{rule['pseudo_negation']}', ' ', 'g') AS before, array_to_string({words('substr(sentence, a + n + 1, r)')}[1:6], ' ') AS after FROM lr),
+mn AS (SELECT item_id, concept, substr(sentence, a + 1, n) AS match, CASE WHEN regexp_matches(before, '{rule['negation_pre']}') OR regexp_matches(after, '^{rule['negation_post']}') OR regexp_matches(substr(after, 1, 60), '{rule['negation_post']}') THEN 'negated' WHEN regexp_matches(before, '{rule['uncertainty_pre']}') OR regexp_matches(after, '{rule['uncertainty_post']}') THEN 'uncertain' ELSE 'positive' END AS status, sentence FROM ba)"""
+
+
+def _status_sql(lexicon: dict[str, list[str]]) -> str:
+    """cs: item_id, concept, status for each passage and concept."""
+    names = ", ".join(f"('{c}')" for c in lexicon)
+    return f"{_mentions_sql(lexicon)}, cs AS (SELECT item_id, concept, coalesce(arg_max(status, CASE status WHEN 'positive' THEN 3 WHEN 'uncertain' THEN 2 ELSE 1 END), 'not_mentioned') AS status FROM benchmark CROSS JOIN (VALUES {names}) c(concept) LEFT JOIN mn USING (item_id, concept) GROUP BY 1, 2)"
+
+
+@query("e16_assertion_mentions", f"WITH {_mentions_sql(COMMON)} SELECT * FROM mn")
 def e16(spark, sf) -> DataFrame:
     return assertion.mentions(t(spark, sf, "benchmark"), COMMON, "item_id")
 
 
-@query("e17_concept_status")
+@query("e17_concept_status", f"WITH {_status_sql(COMMON)} SELECT * FROM cs")
 def e17(spark, sf) -> DataFrame:
     b = t(spark, sf, "benchmark")
     return assertion.status(b, assertion.mentions(b, COMMON, "item_id"), list(COMMON), "item_id")
 
 
-@query("e18_report_state")
+_LEXICON = assertion.overlay(COMMON, remove={"verb": ["est"]}, add={"verb": ["was"]})
+
+
+@query("e18_report_state", f"WITH {_status_sql(_LEXICON)}, ag AS (SELECT item_id, list_sort(coalesce(list(concept) FILTER (status IN ('positive', 'uncertain')), [])) AS stated, list_sort(coalesce(list(concept) FILTER (status = 'positive'), [])) AS definite FROM cs GROUP BY 1) SELECT item_id, stated, definite, CASE WHEN len(stated) > 0 THEN 'abnormal' WHEN regexp_matches(regexp_replace(text, '[^\\x00-\\x7F]', 'q', 'g'), '{_any_sql(assertion.NORMAL)}') THEN 'normal' ELSE 'indeterminate' END AS state FROM ag JOIN benchmark USING (item_id)")
 def e18(spark, sf) -> DataFrame:
     b = t(spark, sf, "benchmark")
-    lexicon = assertion.overlay(COMMON, remove={"verb": ["est"]}, add={"verb": ["was"]})
-    s = assertion.status(b, assertion.mentions(b, lexicon, "item_id"), list(lexicon), "item_id")
+    s = assertion.status(b, assertion.mentions(b, _LEXICON, "item_id"), list(_LEXICON), "item_id")
     sets = s.groupBy("item_id").agg(F.array_sort(F.collect_set(F.when(F.col("status").isin("positive", "uncertain"), F.col("concept")))).alias("stated"), F.array_sort(F.collect_set(F.when(F.col("status") == "positive", F.col("concept")))).alias("definite"))
-    state = F.when(F.size("stated") > 0, "abnormal").when(F.col("text").rlike(r"(?i)\b(?:normal|clear)\b"), "normal").otherwise("indeterminate")
+    state = F.when(F.size("stated") > 0, "abnormal").when(F.col("text").rlike(assertion.any_of(assertion.NORMAL)), "normal").otherwise("indeterminate")
     return sets.join(b, "item_id").select("item_id", "stated", "definite", state.alias("state"))
 
 
+@query("e18b_unmappable_sentences", f"WITH ss AS (SELECT item_id, regexp_split_to_array(regexp_replace(replace(coalesce(text, ''), 'XXXX', 'xxxx'), '([.;!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+') AS s FROM benchmark), u AS (SELECT item_id, unnest(range(0, len(s)))::INT AS position, regexp_replace(unnest(s), '^\\s+|\\s+$', '', 'g') AS sentence FROM ss) SELECT * FROM u WHERE sentence <> '' AND NOT regexp_matches(regexp_replace(sentence, '[^\\x00-\\x7F]', 'q', 'g'), '{_any_sql([*(p for ps in COMMON.values() for p in ps), *assertion.NORMAL])}')")
+def e18b(spark, sf) -> DataFrame:
+    return assertion.unmappable(t(spark, sf, "benchmark"), COMMON, id_col="item_id")
+
+
 @query("e19_phrases", "SELECT o_custkey, array_to_string(list_sort(list(DISTINCT lower(regexp_replace(o_orderpriority, '[_ ]+', ' ', 'g')))), ', ') AS phrase FROM orders GROUP BY 1")
 def e19(spark, sf) -> DataFrame:
     g = t(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("p"))
