@@ -87,8 +87,10 @@ def ngrams(toks: Column, n: int) -> Column:
 
 
 def json_field(x: Column, schema: str) -> Column:
-    """The JSON object in a text: the text itself, else its widest span in braces; null if neither parses."""
-    return F.coalesce(F.from_json(x, schema, {"mode": "PERMISSIVE"}), F.from_json(F.regexp_extract(x, r"(?s)\{.*\}", 0), schema))
+    """The JSON object in a text: the text itself, else its widest span in braces; null if neither is an object."""
+    span = F.regexp_extract(x, r"(?s)\{.*\}", 0)
+    is_object = lambda t: F.startswith(F.schema_of_variant(F.try_parse_json(t)), F.lit("OBJECT"))
+    return F.from_json(F.when(is_object(x), x).when(is_object(span), span), schema)
 
 
 def parse_terms(x: Column) -> Column:

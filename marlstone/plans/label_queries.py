@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import agents
 from ..functions import labels as L
 from ..operators import association as A
 from .base import MATRIX, SCORES, STATES, matrix, r6, scores, states, t
@@ -178,7 +179,40 @@ def k9(spark, sf):
     return g.select("l_partkey", "n", L.support_status(F.col("n")).alias("status"))
 
 
-@query("k10_action_parse", "SELECT event_id, CASE WHEN (props->>'$.k')::BIGINT >= 50 THEN 'approve' WHEN (props->>'$.k')::BIGINT >= 0 THEN 'revise' ELSE 'unusable' END AS action FROM events")
+_NAMES = ["PROMO", "LARGE", "ECONOMY", "SMALL", "STANDARD", "MEDIUM"]
+_LI = "li AS (SELECT l_orderkey AS id, l_linenumber AS ln, p_type AS f, least(l_quantity, 9)::INT AS q, CASE WHEN l_linestatus = 'O' THEN 'supported' ELSE 'partially_supported' END AS st FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+@query("k9b_evidence_validator", f"""WITH {_LI}, o AS (SELECT DISTINCT id FROM li), e AS (SELECT *, row_number() OVER (PARTITION BY id, f ORDER BY ln, q, st) AS r, list_sort(list_distinct(list_filter([ln::INT, q], lambda x: x BETWEEN 1 AND 5))) AS rk FROM li),
+p AS (SELECT o.id, n.f, n.pl, coalesce(rk, []) AS rk, st, e.id IS NULL AS omitted, CASE WHEN len(coalesce(rk, [])) >= 2 THEN 'supported' WHEN len(coalesce(rk, [])) = 1 THEN 'partially_supported' ELSE 'unsupported' END AS status FROM o CROSS JOIN (VALUES ('PROMO', 1), ('LARGE', 2)) n(f, pl) LEFT JOIN e ON e.id = o.id AND e.f = n.f AND e.r = 1),
+x AS (SELECT id, bool_or(r > 1 OR f NOT IN ('PROMO', 'LARGE')) AS extra, count(DISTINCT f) FILTER (f NOT IN ('PROMO', 'LARGE') AND f IN ({', '.join(f"'{n}'" for n in _NAMES)}) AND len(rk) > 0) AS candidates FROM e GROUP BY 1),
+g AS (SELECT id, string_agg(f || ':' || array_to_string(rk, ',') || ':' || status || ':' || coalesce(st, ''), ';' ORDER BY pl) AS entries, bool_or(omitted) AS omitted, bool_or(st IS DISTINCT FROM status) AS inconsistent FROM p GROUP BY 1)
+SELECT id, entries, candidates::INT AS candidates, array_to_string(list_filter([CASE WHEN extra THEN 'extra_or_duplicate_entry' END, CASE WHEN omitted THEN 'omitted_finding' END, CASE WHEN inconsistent THEN 'status_inconsistent_with_count' END, CASE WHEN omitted THEN 'summary_replaced' END], lambda v: v IS NOT NULL), ';') AS flags FROM g JOIN x USING (id)""")
+def k9b(spark, sf):
+    """An order's items as an answer's entries: two findings are asked for, the other types are extra entries and candidates."""
+    li = t(spark, sf, "lineitem").join(t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    entry = F.struct(F.col("l_linenumber").alias("ln"), F.col("p_type").alias("finding"), F.array(F.col("l_linenumber").cast("int"), F.least("l_quantity", F.lit(9)).cast("int")).alias("supporting_ranks"), F.when(F.col("l_linestatus") == "O", "supported").otherwise("partially_supported").alias("support_status"), F.lit("seen in these").alias("evidence_summary"))
+    a = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    a = a.select("id", F.concat(F.lit("Here it is: "), F.to_json(F.struct(F.col("e").alias("classifier_findings"), F.col("e").alias("retrieval_only_candidates")))).alias("raw"), F.array(*[F.struct(F.lit(n).alias("finding"), F.lit(0.5).alias("probability")) for n in ("LARGE", "PROMO")]).alias("pos"), F.lit(5).alias("k"), F.array().cast("array<string>").alias("texts"))
+    v = agents.validate_evidence(a, "raw", "pos", "k", "texts", _NAMES)
+    line = F.transform("entries", lambda e: F.concat(e["finding"], F.lit(":"), F.array_join(F.transform(e["ranks"], lambda r: r.cast("string")), ","), F.lit(":"), e["status"], F.lit(":"), F.coalesce(e["stated_status"], F.lit(""))))
+    return v.select("id", F.array_join(line, ";").alias("entries"), F.size("candidates").alias("candidates"), F.array_join("flags", ";").alias("flags"))
+
+
+_KIND = "(event_id % 6)"
+
+
+@query("k10_action_parse", f"""WITH e AS (SELECT event_id, event_type AS f, user_id::VARCHAR AS i, {_KIND} AS k FROM events)
+SELECT event_id, CASE WHEN k IN (0, 1, 4) THEN 'approve' WHEN k = 2 THEN 'revise' WHEN k = 3 THEN 'revise_unusable_kept_draft' ELSE 'unparseable_kept_draft' END AS action, CASE WHEN k = 2 THEN 'new ' || f ELSE f END AS findings, CASE WHEN k IN (1, 2) THEN 'excessive_certainty' ELSE '' END AS issues,
+CASE k WHEN 1 THEN 'approve_with_changed_copy_ignored;approve_with_issues' WHEN 3 THEN 'revise_without_complete_report' WHEN 4 THEN 'revise_but_identical' WHEN 5 THEN 'unparseable' ELSE '' END AS flags FROM e""")
 def k10(spark, sf):
-    k = F.from_json("props", "k bigint")["k"]
-    return t(spark, sf, "events").select("event_id", F.when(k >= 50, "approve").when(k >= 0, "revise").otherwise("unusable").alias("action"))
+    """Reviews of six kinds: approved, approved with another copy and issues, revised, revised in part, revised alike, no object."""
+    e = t(spark, sf, "events").select("event_id", F.col("event_type").alias("f"), F.col("user_id").cast("string").alias("i"), (F.col("event_id") % 6).alias("k"))
+    answer = lambda decision, f, i, *issues: F.to_json(F.struct(F.lit(decision).alias("decision"), f.alias("findings"), i.alias("impression"), F.array(*map(F.lit, issues)).cast("array<string>").alias("issues_detected")))
+    f, i = F.col("f"), F.col("i")
+    kinds = [answer("APPROVE", f, i), answer("APPROVE", F.lit("other"), i, "excessive_certainty", "unheard_of"), F.concat(F.lit("Well: "), answer("REVISE", F.concat(F.lit("new "), f), i, "excessive_certainty"), F.lit(" so")), answer("REVISE", f, F.lit("")), answer("REVISE", F.upper(f), F.concat(F.lit(" "), i)), F.lit("[1, 2] is no object")]
+    raw = kinds[-1]
+    for n, made in enumerate(kinds[:-1]):
+        raw = F.when(F.col("k") == n, made).otherwise(raw)
+    r = agents.parse_review(e.withColumn("raw", raw), "raw", "f", "i")
+    return r.select("event_id", "action", F.col("final_findings").alias("findings"), F.array_join("issues", ";").alias("issues"), F.array_join("flags", ";").alias("flags"))

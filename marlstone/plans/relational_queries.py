@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..operators import relational as R
+from ..sources import files
 from .base import STATES, r6, states, t
 from .registry import query
 
@@ -108,18 +109,38 @@ def a21(spark, sf):
     return t(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", n.alias("n_flags"), names.alias("flags"))
 
 
-@query("a22_text_flags", f"""WITH w AS (SELECT doc_id, text, {_WORDS} AS n, {_KEY} AS k FROM documents), q AS (SELECT quantile_cont(n, 0.99) AS q99 FROM w),
-c AS (SELECT k, count(*) AS c FROM w GROUP BY 1),
-f AS (SELECT doc_id, n, list_filter([CASE WHEN n = 0 THEN 'empty' END, CASE WHEN n BETWEEN 1 AND 3 THEN 'near_empty' END, CASE WHEN n BETWEEN 1 AND 5 THEN 'short' END, CASE WHEN n > q99 THEN 'long' END, CASE WHEN c > 1 THEN 'duplicate_text' END, CASE WHEN position(chr(10) IN text) = 0 THEN 'missing_section' END], lambda x: x IS NOT NULL) AS f FROM w JOIN c USING (k), q)
-SELECT doc_id, n::BIGINT AS words, array_to_string(f, ';') AS flags FROM f""")
+#: Fixed values of the text flags: words of near-empty and short texts, the quantile of long ones, the share of anonymised words.
+_A22 = ["empty", "near_empty", "short", "long", "missing_first", "missing_rest", "duplicate_text", "first_equals_rest", "high_anonymisation", "malformed", "no_page"]
+_KEY_OF = lambda c: _KEY.replace("text", c)
+
+
+@query("a22_text_flags", f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS n, sha256({_KEY}) AS k, split_part(coalesce(text, ''), chr(10), 1) AS a, substr(coalesce(text, ''), length(split_part(coalesce(text, ''), chr(10), 1)) + 2) AS b FROM documents), q AS (SELECT quantile_cont(n, 0.99) FILTER (n > 0) AS q99 FROM w),
+c AS (SELECT k, count(*) AS c FROM w WHERE n > 0 GROUP BY 1), g AS (SELECT DISTINCT page_id FROM pages),
+f AS (SELECT w.doc_id, n, [n = 0, n BETWEEN 1 AND 3, n BETWEEN 1 AND 5, n > q99, trim(a) = '', trim(b) = '', n > 0 AND coalesce(c, 0) > 1, trim(a) <> '' AND {_KEY_OF('a')} = {_KEY_OF('b')}, n > 0 AND len(regexp_extract_all(text, '\\bX{{2,}}\\b')) >= 0.05 * n, n > 0 AND (NOT regexp_matches(text, '[A-Za-z]{{2,}}') OR regexp_matches(text, '[\\x00-\\x08\\x0E-\\x1F]')), page_id IS NULL] AS f FROM w LEFT JOIN c ON c.k = w.k LEFT JOIN g ON g.page_id = w.doc_id, q)
+SELECT doc_id, n::BIGINT AS words, len(list_filter(f, lambda x: x))::BIGINT AS n_flags, array_to_string(list_filter(list_transform(range(1, 12), lambda i: CASE WHEN f[i] THEN ({_A22})[i] END), lambda x: x IS NOT NULL), ';') AS flags FROM f""")
 def a22(spark, sf):
-    w = t(spark, sf, "documents").select("doc_id", F.size(text.words(F.col("text"))).alias("n"), F.md5(text.duplicate_key(F.col("text"))).alias("k"), (F.instr("text", "\n") == 0).alias("one"))
-    limit = w.agg(F.percentile("n", F.lit(0.99)).alias("q99"))
-    copies = w.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
-    x = w.join(copies, "k").join(F.broadcast(limit))  # one row
+    """Eleven flags. What they need of a text is taken in one scan and written, so the text is read once; texts that repeat are counted by
+    hash, and only those that do are looked up again."""
+    x = F.coalesce("text", F.lit(""))
+    first = F.substring_index(x, "\n", 1)
+    rest = F.substring(x, F.char_length(first) + 2, F.char_length(x))
+    n = F.size(text.words(x))
+    bad = ~x.rlike("[A-Za-z]{2,}") | x.rlike(r"[\x00-\x08\x0E-\x1F]")
+    measured = t(spark, sf, "documents").select(
+        "doc_id", n.alias("n"), F.sha2(text.duplicate_key(x), 256).alias("k"), (F.trim(first) == "").alias("no_first"), (F.trim(rest) == "").alias("no_rest"),
+        (text.duplicate_key(first) == text.duplicate_key(rest)).alias("same"), F.regexp_count(x, F.lit(text.ANONYMISED)).alias("xx"), bad.alias("bad"),
+    )
+    w = files.written(measured, "measured")
+    limit = w.filter("n > 0").agg(F.percentile("n", F.lit(0.99)).alias("q99"))
+    copies = w.filter("n > 0").groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    paged = t(spark, sf, "pages").select(F.col("page_id").alias("doc_id")).distinct().withColumn("paged", F.lit(True))
+    # A text of very many copies meets its count in several tasks; documents of empty texts have no count.
+    salted = w.withColumn("salt", F.when(F.col("n") > 0, F.pmod(F.xxhash64("doc_id"), F.lit(16))).cast("int"))
+    x = salted.join(copies, ["k", "salt"], "left").join(paged, "doc_id", "left").join(F.broadcast(limit))  # one row
     n = F.col("n")
-    _, names = R.flag_list({"empty": n == 0, "near_empty": n.between(1, 3), "short": n.between(1, 5), "long": n > F.col("q99"), "duplicate_text": F.col("c") > 1, "missing_section": F.col("one")})
-    return x.select("doc_id", n.cast("long").alias("words"), names.alias("flags"))
+    rules = [n == 0, n.between(1, 3), n.between(1, 5), n > F.col("q99"), F.col("no_first"), F.col("no_rest"), F.col("c").isNotNull(), ~F.col("no_first") & F.col("same"), (n > 0) & (F.col("xx") >= 0.05 * n), (n > 0) & F.col("bad"), F.col("paged").isNull()]
+    count, names = R.flag_list(dict(zip(_A22, rules)))
+    return x.select("doc_id", n.cast("long").alias("words"), count.alias("n_flags"), names.alias("flags"))
 
 
 @query("a23_bands", "SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice < 200000 THEN 'middle' WHEN o_totalprice < 400000 THEN 'high' ELSE 'top' END AS band FROM orders")

@@ -163,15 +163,48 @@ def i7(spark, sf):
     return triples(spark, sf).withColumn("state", state).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("truth") >= 3).alias("truly_abnormal"), r6(F.avg((F.col("state") != "indeterminate").cast("int"))).alias("decided"))
 
 
-_FAIL = [("classifier_missed", "len(list_filter(truth, lambda x: NOT list_contains(clf, x))) > 0"), ("classifier_invented", "len(list_filter(clf, lambda x: NOT list_contains(truth, x))) > 0"), ("generator_dropped", "len(list_filter(clf, lambda x: NOT list_contains(gen, x))) > 0"), ("generator_invented", "len(list_filter(gen, lambda x: NOT list_contains(clf, x))) > 0"), ("empty_output", "len(gen) = 0")]
+#: Ten kinds of failure, as a condition in SQL and over columns; a row may have several. State: three sets or more are abnormal, none
+#: normal, else undecided. The context is what the five best documents hold.
+_EXTRA = lambda a, b: f"len(list_filter({a}, lambda x: NOT list_contains({b}, x))) > 0"
+_FAIL = [
+    ("classifier_error", "list_sort(clf) <> list_sort(truth)"), ("state_mismatch", "state <> 'undecided' AND (state = 'normal') <> (len(truth) = 0)"), ("retrieval_mismatch", "len(ctx) > 0 AND len(list_intersect(truth, ctx)) = 0"),
+    ("context_only_unsupported", "len(list_filter(gen, lambda x: list_contains(ctx, x) AND NOT list_contains(clf, x) AND NOT list_contains(truth, x))) > 0"), ("omission", _EXTRA("truth", "gen")), ("hallucination", _EXTRA("gen", "truth")),
+    ("abnormal_routed_normal_text", "state = 'abnormal' AND len(gen) = 0"), ("abstention", "state = 'undecided'"), ("corpus_limit", "NOT in_corpus"), ("reference_limit", "reference_limited"),
+]
+_TX = f"{_I}, cx AS (SELECT rk.query AS item_id, list_distinct(flatten(list(d.s))) AS ctx FROM rk JOIN ds d ON d.id = rk.id WHERE rank <= 5 GROUP BY 1), ks AS (SELECT DISTINCT array_to_string(list_sort(s), ',') AS k FROM ds), tx AS (SELECT tr.*, ctx, CASE WHEN len(clf) >= 3 THEN 'abnormal' WHEN len(clf) = 0 THEN 'normal' ELSE 'undecided' END AS state, array_to_string(list_sort(truth), ',') IN (SELECT k FROM ks) AS in_corpus, len(truth) = 1 AS reference_limited FROM tr JOIN cx USING (item_id)), fl AS (SELECT item_id, [{', '.join(c for _, c in _FAIL)}] AS f FROM tx)"
+
+
+def failures(spark, sf):
+    """item_id, f: an array of booleans in order of _FAIL."""
+    docs = sets(t(spark, sf, "documents"), "doc_id", "id")
+    context = bm25_top(spark, sf, 5).join(docs, "id").groupBy(F.col("query").alias("item_id")).agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("ctx"))
+    known = docs.select(F.array_sort("s").alias("key")).distinct().withColumn("in_corpus", F.lit(True))
+    x = triples(spark, sf).join(context, "item_id").withColumn("key", F.array_sort("truth")).join(known, "key", "left")
+    some = lambda a, b: F.size(F.array_except(a, b)) > 0
+    state = F.when(F.size("clf") >= 3, "abnormal").when(F.size("clf") == 0, "normal").otherwise("undecided")
+    rules = [
+        F.array_sort("clf") != F.array_sort("truth"), (state != "undecided") & ((state == "normal") != (F.size("truth") == 0)), (F.size("ctx") > 0) & ~F.arrays_overlap("truth", "ctx"),
+        F.size(F.array_except(F.array_except(F.array_intersect("gen", "ctx"), F.col("clf")), F.col("truth"))) > 0, some("truth", "gen"), some("gen", "truth"),
+        (state == "abnormal") & (F.size("gen") == 0), state == "undecided", F.col("in_corpus").isNull(), F.size("truth") == 1,
+    ]
+    return x.select("item_id", F.array(*rules).alias("f"))
+
+
+_NAMES = "[" + ", ".join(f"'{n}'" for n, _ in _FAIL) + "]"
 
 
-@query("i8_failure_taxonomy", f"WITH {_I} " + " UNION ALL ".join(f"SELECT '{n}' AS category, count(*) FILTER ({c})::BIGINT AS n FROM tr" for n, c in _FAIL))
+@query("i8_failure_taxonomy", f"WITH {_TX}, e AS (SELECT unnest({_NAMES}) AS category, unnest(f) AS hit FROM fl) SELECT category, count(*) FILTER (hit)::BIGINT AS n, round(100.0 * count(*) FILTER (hit) / count(*), 4)::DOUBLE AS pct FROM e GROUP BY 1 UNION ALL SELECT 'none_of_the_first_eight', count(*) FILTER (NOT list_contains(f[1:8], true))::BIGINT, round(100.0 * count(*) FILTER (NOT list_contains(f[1:8], true)) / count(*), 4)::DOUBLE FROM fl")
 def i8(spark, sf):
-    some = lambda a, b: F.size(F.array_except(a, b)) > 0
-    flags = {"classifier_missed": some("truth", "clf"), "classifier_invented": some("clf", "truth"), "generator_dropped": some("clf", "gen"), "generator_invented": some("gen", "clf"), "empty_output": F.size("gen") == 0}
-    one = triples(spark, sf).agg(*[F.count_if(c).alias(n) for n, c in flags.items()])
-    return one.unpivot([], list(flags), "category", "n")
+    none = ~F.exists(F.slice("f", 1, 8), lambda x: x)
+    names = [*(n for n, _ in _FAIL), "none_of_the_first_eight"]
+    one = failures(spark, sf).select(F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("category"), F.concat("f", F.array(none)).alias("hit"))).alias("x")).select("x.category", "x.hit")
+    return one.groupBy("category").agg(F.count_if("hit").alias("n"), F.round(100.0 * F.count_if("hit") / F.count(F.lit(1)), 4).alias("pct"))
+
+
+@query("i8b_failures_per_study", f"WITH {_TX} SELECT item_id, array_to_string(list_filter(list_transform(range(1, 11), lambda i: CASE WHEN f[i] THEN ({_NAMES})[i] END), lambda x: x IS NOT NULL), ';') AS categories FROM fl")
+def i8b(spark, sf):
+    named = F.filter(F.zip_with("f", F.array(*[F.lit(n) for n, _ in _FAIL]), lambda hit, n: F.when(hit, n)), lambda n: n.isNotNull())
+    return failures(spark, sf).select("item_id", F.array_join(named, ";").alias("categories"))
 
 
 @query("f6_agreement", f"WITH {_I}, k AS (SELECT unnest({_KW}) AS cls) SELECT cls, round(count(*) FILTER (list_contains(clf, cls) AND list_contains(truth, cls))::DOUBLE / nullif(count(*) FILTER (list_contains(clf, cls)), 0), 6) AS precision, round(count(*) FILTER (list_contains(clf, cls) AND list_contains(truth, cls))::DOUBLE / nullif(count(*) FILTER (list_contains(truth, cls)), 0), 6) AS recall FROM tr, k GROUP BY 1")

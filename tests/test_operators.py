@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.functions import assertion, labels, reports, text
+from marlstone.functions import agents, assertion, labels, reports, text
 from marlstone.operators import association, calibrate, classify, graph, relational, resample, retrieval, splits, textgen
 from marlstone.sources import files
 from marlstone.streaming import incremental
@@ -187,6 +187,34 @@ def test_report_parser(spark):
     assert [tuple(r) for r in reports.parsed(clash, "flags").select("findings", "impression").collect()] == [("a", "b")]
 
 
+def test_evidence_validator(spark):
+    texts = ["the cardiac silhouette is enlarged there is an effusion", "clear lungs"]
+    full = '{"classifier_findings": [{"finding": "b", "supporting_ranks": [4, 1, 2, 9, "2", 2.5, true], "support_status": "unsupported", "evidence_summary": "seen"}, {"finding": "a", "supporting_ranks": ["5"], "support_status": "partially_supported", "evidence_summary": "The cardiac silhouette is enlarged. There is more"}, {"finding": "b"}, {"finding": "z"}], "retrieval_only_candidates": [{"finding": "c", "supporting_ranks": []}, {"finding": "c", "supporting_ranks": [3], "evidence_summary": "%s"}, {"finding": "a", "supporting_ranks": [1]}, {"finding": "d", "supporting_ranks": [1, 2]}], "normal_report_ranks": [5, 0]}' % ("long " * 25)
+    pos = [("b", 0.81234), ("a", 0.33333)]
+    df = spark.createDataFrame([(1, full, pos, 5, texts), (2, "no json", pos, 5, texts), (3, None, [], 0, []), (4, 'x {"classifier_findings": []} y', pos[:1], 5, texts)], "id int, raw string, pos array<struct<finding: string, probability: double>>, k int, texts array<string>")
+    got = {r["id"]: r for r in agents.validate_evidence(df, "raw", "pos", "k", "texts", ["a", "b", "c", "d"]).collect()}
+    one = got[1]
+    assert [(e["finding"], e["ranks"], e["count"], e["status"], e["stated_status"], e["probability"]) for e in one["entries"]] == [("a", [5], 1, "partially_supported", "partially_supported", 0.3333), ("b", [1, 2, 4], 3, "supported", "unsupported", 0.8123)]
+    assert one["entries"][0]["summary"]["text"] == "Stated in 1 of 5 retrieved reports." and one["entries"][1]["summary"]["text"] == "seen" and one["normal_ranks"] == [5]
+    assert [(c["finding"], c["ranks"]) for c in one["candidates"]] == [("d", [1, 2]), ("c", [3])] and len(one["candidates"][1]["summary"]["text"].split()) == 20
+    assert one["flags"] == ["extra_or_duplicate_entry", "status_inconsistent_with_count", "summary_replaced", "summary_truncated"]
+    assert got[2]["flags"] == ["omitted_finding", "status_inconsistent_with_count", "summary_replaced", "unparseable"] and [e["status"] for e in got[2]["entries"]] == ["unsupported"] * 2
+    assert got[3]["entries"] == [] and got[4]["flags"] == ["omitted_finding", "status_inconsistent_with_count", "summary_replaced"]
+
+
+def test_review(spark):
+    rows = [
+        ('{"decision": "APPROVE", "findings": "a b.", "impression": "C", "issues_detected": ["none"]}', "approve", "A b", []),
+        ('{"decision": "REVISE", "findings": " new  text ", "impression": "i", "issues_detected": ["excessive_certainty", "odd"]}', "revise", "new text", []),
+        ('{"decision": "REVISE", "findings": "x"}', "revise_unusable_kept_draft", "A b", ["revise_without_complete_report"]),
+        ('{"decision": "REVISE", "findings": "A, B", "impression": "c"}', "approve", "A b", ["revise_but_identical"]),
+        ('{"findings": "x"}', "unparseable_kept_draft", "A b", ["missing_decision"]), ("[1]", "unparseable_kept_draft", "A b", ["unparseable"]), (None, "unparseable_kept_draft", "A b", ["unparseable"]),
+    ]
+    df = spark.createDataFrame([(i, r[0], "A b", "c") for i, r in enumerate(rows)], "id int, raw string, f string, i string")
+    got = {r["id"]: (r["action"], r["final_findings"], r["flags"]) for r in agents.parse_review(df, "raw", "f", "i").collect()}
+    assert got == {i: r[1:] for i, r in enumerate(rows)}
+
+
 def test_text_metrics(spark):
     same = "a b c d e f g h".split()
     df = spark.createDataFrame([(1, same, same), (2, "a b c d".split(), "a x c d".split()), (3, [], same)], "id long, h array<string>, r array<string>")
