@@ -118,22 +118,35 @@ def h4(spark, sf):
     return K.ece(K.reliability(scores(spark, sf), ["cls"], "vec_id"), ["cls"]).select("cls", r6("ece").alias("ece"))
 
 
-@query("h5_calibration_slope")
+_PT = f"{SCORES}, pt AS (SELECT cls, p, ln(p) - ln(1 - p) AS z, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS pos FROM sc GROUP BY 1, 2)"
+# The optimum by plain Newton steps from the start; both losses are convex.
+_PLATT = f"""{_PT}, nw(cls, a, b, k) AS (SELECT DISTINCT cls, 1.0::DOUBLE, 0.0::DOUBLE, 0 FROM pt UNION ALL SELECT cls, a - (h00 * g1 - h10 * g0) / (h11 * h00 - h10 * h10), b - (h11 * g0 - h10 * g1) / (h11 * h00 - h10 * h10), k + 1 FROM
+(SELECT cls, a, b, k, sum((q * n - pos) * z) AS g1, sum(q * n - pos) AS g0, sum(q * (1 - q) * n * z * z) AS h11, sum(q * (1 - q) * n * z) AS h10, sum(q * (1 - q) * n) AS h00 FROM (SELECT nw.*, z, n, pos, 1 / (1 + exp(-(a * z + b))) AS q FROM nw JOIN pt USING (cls) WHERE k < 30) GROUP BY 1, 2, 3, 4))"""
+_TEMP = f"""{_PT}, nw(cls, s, k) AS (SELECT DISTINCT cls, 1.0::DOUBLE, 0 FROM pt UNION ALL SELECT cls, s - g / h, k + 1 FROM (SELECT cls, s, k, sum((q * n - pos) * z) AS g, sum(q * (1 - q) * n * z * z) AS h FROM (SELECT nw.*, z, n, pos, 1 / (1 + exp(-s * z)) AS q FROM nw JOIN pt USING (cls) WHERE k < 30) GROUP BY 1, 2, 3)),
+be AS (SELECT cls, least(greatest(CASE WHEN s > 0 THEN 1 / s ELSE 20 END, 0.05), 20) AS t FROM nw WHERE k = 30)"""
+
+
+@query("h5_calibration_slope", f"WITH RECURSIVE {_PLATT} SELECT cls, round(a, 6) AS slope, round(b, 6) AS intercept FROM nw WHERE k = 30")
 def h5(spark, sf):
     return C.fit_platt(C.compact(scores(spark, sf))).select("cls", r6("a").alias("slope"), r6("b").alias("intercept"))
 
 
-@query("h6_temperature_fit")
+@query("h6_temperature_fit", f"WITH RECURSIVE {_TEMP} SELECT cls, round(max(t), 4) AS t, round(-sum(pos * ln(1 / (1 + exp(-z / t))) + (n - pos) * ln(1 - 1 / (1 + exp(-z / t)))) / sum(n), 6) AS nll, max(t) <= 0.05 * 1.001 OR max(t) >= 20 * 0.999 AS at_edge FROM be JOIN pt USING (cls) GROUP BY 1")
 def h6(spark, sf):
-    return C.fit_temperature(C.compact(scores(spark, sf))).select("cls", r6("t", 4).alias("t"), r6("nll").alias("nll"), "at_edge")
+    return C.fit_temperature(C.compact(scores(spark, sf)), 9).select("cls", r6("t", 4).alias("t"), r6("nll").alias("nll"), "at_edge")
 
 
-@query("h7_platt_fit")
+@query("h7_platt_fit", f"WITH RECURSIVE {_PLATT} SELECT cls, round(a, 6) AS a, round(b, 6) AS b, true AS converged, CASE WHEN a <= 0 THEN 'non_positive_slope' ELSE '' END AS flags FROM nw WHERE k = 30")
 def h7(spark, sf):
-    return C.fit_platt(C.compact(scores(spark, sf)))
+    return C.fit_platt(C.compact(scores(spark, sf))).select("cls", r6("a").alias("a"), r6("b").alias("b"), "converged", "flags")
+
+
+# The non-decreasing fit at a point is the largest of the smallest means of runs around it.
+_ISO = f"""{_PT}, ip AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(pos) OVER w AS cp FROM pt WINDOW w AS (PARTITION BY cls ORDER BY p)), pr AS (SELECT a.cls, a.i AS j, b.i AS k, (b.cp - a.cp + a.pos) / (b.cn - a.cn + a.n) AS m FROM ip a JOIN ip b ON a.cls = b.cls AND a.i <= b.i),
+mn AS (SELECT cls, j, k AS i, min(m) OVER (PARTITION BY cls, j ORDER BY k DESC) AS m FROM pr), ft AS (SELECT cls, i, max(m) AS f FROM mn GROUP BY 1, 2), bl AS (SELECT ft.cls, round(f, 9) AS g, max(f) AS f, min(z) AS lo, max(z) AS hi FROM ft JOIN ip ON ip.cls = ft.cls AND ip.i = ft.i GROUP BY 1, 2)"""
 
 
-@query("h8_isotonic_fit")
+@query("h8_isotonic_fit", f"WITH {_ISO} SELECT cls, round(lo, 6) AS x, round(f, 6) AS y FROM bl UNION ALL SELECT cls, round(hi, 6), round(f, 6) FROM bl WHERE hi > lo")
 def h8(spark, sf):
     return C.fit_isotonic(C.compact(scores(spark, sf))).select("cls", r6("x").alias("x"), r6("y").alias("y"))
 

@@ -97,7 +97,12 @@ def f3(spark, sf):
     return f.withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select(F.col("query").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), r6("score").alias("score"), F.col("rank_a").alias("bm25_rank"), F.col("rank_b").alias("dense_rank"))
 
 
-@query("f4_mmr")
+_MMR = f"""{_RRF}, vv AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), po AS (SELECT query, id, rank, v, score - min(score) OVER (PARTITION BY query) AS up, max(score) OVER (PARTITION BY query) - min(score) OVER (PARTITION BY query) AS width FROM fr JOIN vv USING (id) WHERE rank <= 30),
+ca AS (SELECT query, id, rank, CASE WHEN width > 0 THEN up / width ELSE 0 END AS rel FROM po), sm AS (SELECT x.query, x.id AS a, y.id AS b, list_inner_product(x.v, y.v) AS sim FROM po x JOIN po y ON x.query = y.query),
+mm(query, n, picked) AS (SELECT DISTINCT query, 0, []::BIGINT[] FROM ca UNION ALL SELECT query, n + 1, list_append(picked, arg_max(id, (value, -rank))) FROM (SELECT mm.query, n, picked, ca.id, ca.rank, CASE WHEN n = 0 THEN max(rel) ELSE 0.7 * max(rel) - 0.3 * max(sim) END AS value FROM mm JOIN ca ON ca.query = mm.query AND NOT list_contains(picked, ca.id) LEFT JOIN sm ON sm.query = mm.query AND sm.a = ca.id AND list_contains(picked, sm.b) WHERE n < 10 GROUP BY mm.query, n, picked, ca.id, ca.rank) GROUP BY query, n, picked)"""
+
+
+@query("f4_mmr", f"WITH RECURSIVE {_MMR}, la AS (SELECT query, arg_max(picked, n) AS picked FROM mm GROUP BY 1) SELECT query AS item_id, unnest(range(1, len(picked) + 1))::BIGINT AS rank, unnest(picked) AS doc_id FROM la")
 def f4(spark, sf):
     pool = R.top_k(fused(spark, sf), 30).join(vectors(spark, sf), "id")
     return R.mmr(pool, 0.7, 10).select(F.col("query").alias("item_id"), "rank", F.col("id").alias("doc_id"))
