@@ -112,3 +112,61 @@ def apply_isotonic(rows: DataFrame, knots: DataFrame, eps: float = 1e-6) -> Data
     left, right = F.try_element_at(below, F.lit(-1)), F.get(F.col("k"), F.size(below))
     q = F.when(left.isNull(), right["y"]).when(right.isNull(), left["y"]).otherwise(left["y"] + F.coalesce(F.try_divide(F.col("z") - left["x"], right["x"] - left["x"]), F.lit(0.0)) * (right["y"] - left["y"]))
     return j.withColumn("q", F.least(F.greatest(q, F.lit(eps)), F.lit(1 - eps))).drop("k")
+
+
+#: Fixed values of the choice among methods: how far from the best a simpler one may be, for how many classes a method must be chosen to be
+#: taken for all, and what that may cost any of them.
+TOLERANCE, UNIFORM_CLASSES, UNIFORM_LOSS = 0.005, 10 / 14, 0.01
+COMPLEXITY = ["raw", "temperature", "platt", "isotonic"]
+
+
+def out_of_fold(rows: DataFrame, folds: int, threshold: float) -> DataFrame:
+    """cls, method, log_loss, brier, pathological, mismatches. rows: cls, y, p, fold.
+
+    Losses are of calibrators fitted on the other folds. Guardrails: fits that are pathological (at an edge, not converged,
+    falling) in any fold or on all rows, and decisions at the threshold that the calibrator of all rows would change.
+    """
+    z = logit(F.col("p"))
+    fits = []
+    for k in [*range(folds), None]:
+        points = compact(rows if k is None else rows.filter(F.col("fold") != k))
+        t, ab = fit_temperature(points, 4, 16), fit_platt(points, 20)
+        both = t.select("cls", "t", "at_edge").join(ab.select("cls", "a", "b", "flags"), "cls")
+        test = (rows if k is None else rows.filter(F.col("fold") == k)).withColumn("z", z).join(F.broadcast(both), "cls")  # a row for each class
+        iso = fit_isotonic(points)
+        test = apply_isotonic(test, iso).withColumnRenamed("q", "iso")
+        test = apply_isotonic(test.withColumn("z0", F.col("z")).withColumn("z", logit(F.lit(threshold))), iso).withColumnRenamed("q", "iso_cut").withColumn("z", F.col("z0"))
+        cut = logit(F.lit(threshold))
+        of = {"raw": (F.col("p"), F.lit(threshold), F.lit(False)), "temperature": (sigmoid(F.col("z") / F.col("t")), sigmoid(cut / F.col("t")), F.col("at_edge")), "platt": (sigmoid(F.col("a") * F.col("z") + F.col("b")), sigmoid(F.col("a") * cut + F.col("b")), F.col("flags") != ""), "isotonic": (F.col("iso"), F.col("iso_cut"), F.lit(False))}
+        each = F.array(*[F.struct(F.lit(m).alias("method"), q.alias("q"), bad.alias("bad"), ((F.col("p") >= threshold) != (q >= c)).alias("changed")) for m, (q, c, bad) in of.items()])
+        fits.append(test.select("cls", "y", F.lit(k is None).alias("full"), F.explode(each).alias("m")).select("cls", "y", "full", "m.*"))
+    every = fits[0]
+    for f in fits[1:]:
+        every = every.unionByName(f)
+    c = F.least(F.greatest("q", F.lit(1e-15)), F.lit(1 - 1e-15))
+    held = ~F.col("full")
+    return every.groupBy("cls", "method").agg(
+        (-F.avg(F.when(held, F.when(F.col("y") == 1, F.log(c)).otherwise(F.log1p(-c))))).alias("log_loss"), F.avg(F.when(held, (F.col("q") - F.col("y")) ** 2)).alias("brier"),
+        F.bool_or("bad").alias("pathological"), F.count_if(F.col("full") & F.col("changed")).alias("mismatches"),
+    )
+
+
+def choose(compared: DataFrame, tolerance: float = TOLERANCE, share: float = UNIFORM_CLASSES, most_loss: float = UNIFORM_LOSS) -> DataFrame:
+    """compared (columns of out_of_fold) with eligible, own (the class's choice) and chosen added, a row each.
+
+    Eligible: no guardrail broken. A class's choice is the simplest eligible method within the tolerance of the best eligible log
+    loss and Brier score, else the one of least log loss; null if none is eligible. The method most classes choose (ties: the
+    simpler) is taken for all if that many choose it, every class may have it, and none loses more than most_loss by it.
+    """
+    order = F.array_position(F.array(*map(F.lit, COMPLEXITY)), F.col("method"))
+    eligible = ~F.col("pathological") & (F.col("mismatches") == 0)
+    x = compared.withColumn("eligible", eligible).withColumn("order", order)
+    best = x.filter("eligible").groupBy("cls").agg(F.min("log_loss").alias("ll"), F.min("brier").alias("br"), F.min_by("method", F.struct("log_loss", "order")).alias("least"))
+    near = x.filter("eligible").join(best, "cls").filter((F.col("log_loss") <= F.col("ll") * (1 + tolerance)) & (F.col("brier") <= F.col("br") * (1 + tolerance)))
+    own = best.join(near.groupBy("cls").agg(F.min_by("method", "order").alias("simple")), "cls", "left").select("cls", F.coalesce("simple", "least").alias("own"), "ll", "br")
+    votes = own.groupBy(F.col("own").alias("method")).agg(F.count(F.lit(1)).alias("votes")).withColumn("order", order)
+    top = votes.agg(F.max_by(F.struct("method", "votes"), F.struct("votes", -F.col("order"))).alias("v")).select("v.*")
+    loss = F.greatest(F.col("log_loss") / F.col("ll"), F.col("brier") / F.col("br")) - 1
+    uniform = x.join(F.broadcast(top), "method").join(own, "cls", "left").agg(F.first("method").alias("uniform"), F.first("votes").alias("votes"), F.count(F.lit(1)).alias("n"), F.bool_and("eligible").alias("all"), F.max(loss).alias("worst"))
+    uniform = uniform.select(F.when((F.col("votes") >= share * F.col("n")) & F.col("all") & (F.col("worst") <= most_loss), F.col("uniform")).alias("uniform"))
+    return x.join(own.select("cls", "own"), "cls", "left").join(F.broadcast(uniform)).withColumn("chosen", F.coalesce("uniform", "own")).drop("order", "uniform")  # one row

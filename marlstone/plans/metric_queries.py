@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.labels import logit, sigmoid
 from ..operators import calibrate as C
 from ..operators import classify as K
+from ..operators import splits
+from ..sources import files
 from .base import SCORES, r6, scores
 from .registry import query
 
@@ -163,17 +165,7 @@ def h9(spark, sf):
 
 @query("h10_method_comparison")
 def h10(spark, sf):
-    """Out-of-fold log loss of raw, temperature, Platt and isotonic scores, and the method chosen for each class."""
-    s = scores(spark, sf).withColumn("fold", F.pmod(F.xxhash64("vec_id"), F.lit(3)))
-    s = s.persist()
-    parts = []
-    for k in range(3):
-        fit, test = C.compact(s.filter(F.col("fold") != k)), s.filter(F.col("fold") == k).withColumn("z", logit(F.col("p")))
-        t, ab, iso = C.fit_temperature(fit, 4, 16), C.fit_platt(fit, 15), C.fit_isotonic(fit)
-        x = C.apply_isotonic(test.join(F.broadcast(t.select("cls", "t")), "cls").join(F.broadcast(ab.select("cls", "a", "b")), "cls"), iso)  # a row for each class
-        parts.append(x.select("cls", "y", F.explode(F.array(*[F.struct(F.lit(n).alias("method"), v.alias("q")) for n, v in (("raw", F.col("p")), ("temperature", sigmoid(F.col("z") / F.col("t"))), ("platt", sigmoid(F.col("a") * F.col("z") + F.col("b"))), ("isotonic", F.col("q")))])).alias("m")).select("cls", "y", "m.method", "m.q"))
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    c = F.least(F.greatest("q", F.lit(1e-15)), F.lit(1 - 1e-15))
-    loss = every.groupBy("cls", "method").agg(r6(-F.avg(F.when(F.col("y") == 1, F.log(c)).otherwise(F.log1p(-c)))).alias("log_loss"))
-    best = loss.groupBy("cls").agg(F.min_by("method", F.struct("log_loss", "method")).alias("chosen"))
-    return loss.join(F.broadcast(best), "cls")
+    """Out-of-fold losses and guardrails of raw, temperature, Platt and isotonic scores, and the method chosen for each class."""
+    s = files.written(scores(spark, sf).withColumn("fold", splits.folds(F.col("vec_id"), 3)), "scores")
+    x = files.written(C.out_of_fold(s, 3, 0.6), "compared")
+    return C.choose(x).withColumn("log_loss", r6("log_loss")).withColumn("brier", r6("brier"))

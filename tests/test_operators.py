@@ -282,6 +282,25 @@ def test_calibration(spark):
     assert q.select(F.max(F.abs(F.col("q") - F.col("p")))).first()[0] < 0.02
 
 
+def test_calibrator_choice(spark):
+    cols = "cls int, method string, log_loss double, brier double, pathological boolean, mismatches long"
+    row = lambda c, ll, br=None, bad=(), off=(): [(c, m, x, (br or ll)[i], m in bad, 1 * (m in off)) for i, (m, x) in enumerate(zip(calibrate.COMPLEXITY, ll))]
+    def chosen(rows, **kw):
+        return {(r["cls"]): (r["own"], r["chosen"]) for r in calibrate.choose(spark.createDataFrame(rows, cols), **kw).collect()}
+
+    # The simplest within half a per cent; not one that breaks a guardrail.
+    assert chosen(row(0, [0.60, 0.501, 0.50, 0.499])) == {0: ("temperature", "temperature")}
+    one = row(0, [0.60, 0.520, 0.500, 0.4980]) + row(1, [0.60, 0.520, 0.500, 0.4980], off=["isotonic"]) + row(2, [0.30, 0.31, 0.32, 0.33]) + row(3, [0.6, 0.50, 0.5, 0.5], bad=["temperature"])
+    assert {c: own for c, (own, _) in chosen(one).items()} == {0: "platt", 1: "platt", 2: "raw", 3: "platt"}
+    # Platt is chosen by three of four, but would cost class 2 more than one per cent.
+    assert chosen(one)[2][1] == "raw"
+    assert {v[1] for v in chosen(one, most_loss=0.10).values()} == {"platt"} and {v[1] for v in chosen(one, share=0.9, most_loss=0.10).values()} == {"platt", "raw"}
+    assert chosen(row(0, [0.5] * 4, bad=calibrate.COMPLEXITY))[0] == (None, None)
+    df = spark.createDataFrame([(0, int((i * 37) % 100 < 100 * p), p, i % 3) for p in (0.1, 0.3, 0.5, 0.7, 0.9) for i in range(100)], "cls int, y int, p double, fold int")
+    got = {r["method"]: r for r in calibrate.out_of_fold(df, 3, 0.5).collect()}
+    assert set(got) == set(calibrate.COMPLEXITY) and all(not r["pathological"] and r["mismatches"] == 0 for r in got.values()) and abs(got["raw"]["brier"] - got["platt"]["brier"]) < 0.01
+
+
 def test_bootstrap(spark):
     v = spark.createDataFrame([(n, u, float(u % 5 + (n == "b"))) for n in "ab" for u in range(50)], "name string, unit long, x double")
     p = resample.paired(v, "b", "a", 100).first()
