@@ -42,12 +42,22 @@ def t1b(spark, sf):
     return G.bleu(turns(spark, sf).select("id", "h", "r"), 4).select("id", r6("bleu").alias("bleu"))
 
 
-@query("t2_rouge_l")
+# A row of the table of common subsequences is the running maximum of what its token adds to the row above.
+_LCS = f"""{_P}, lc(id, i, row) AS (SELECT id, 0, list_transform(r, lambda x: 0) FROM pq UNION ALL SELECT id, i + 1, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) FROM
+(SELECT id, i, list_transform(range(1, len(r) + 1), lambda j: greatest(row[j], CASE WHEN r[j] = h[i + 1] THEN CASE WHEN j > 1 THEN row[j - 1] ELSE 0 END + 1 ELSE 0 END)) AS c FROM lc JOIN pq USING (id) WHERE i < len(h)))"""
+
+
+@query("t2_rouge_l", f"WITH RECURSIVE {_LCS} SELECT id, round(CASE WHEN len(h) > 0 AND len(r) > 0 THEN 2.0::DOUBLE * row[-1] / (len(h) + len(r)) ELSE 0 END, 6) AS rouge_l FROM lc JOIN pq USING (id) WHERE i = len(h)")
 def t2(spark, sf):
     return turns(spark, sf).select("id", r6(G.rouge_l("h", "r")).alias("rouge_l"))
 
 
-@query("t3_meteor_exact")
+# The first free equal token is the one that is as manieth of its word.
+_PAIRS = f"""{_P}, hw AS (SELECT id, w, i, row_number() OVER (PARTITION BY id, w ORDER BY i) AS k FROM (SELECT id, unnest(h) AS w, generate_subscripts(h, 1) AS i FROM pq)), rw AS (SELECT id, w, j, row_number() OVER (PARTITION BY id, w ORDER BY j) AS k FROM (SELECT id, unnest(r) AS w, generate_subscripts(r, 1) AS j FROM pq)),
+al AS (SELECT id, i, j, lag(i) OVER o AS pi, lag(j) OVER o AS pj FROM hw JOIN rw USING (id, w, k) WINDOW o AS (PARTITION BY id ORDER BY i)), mt AS (SELECT id, count(*)::DOUBLE AS m, 1 + count(*) FILTER (pi IS NOT NULL AND (i <> pi + 1 OR j <> pj + 1)) AS chunks FROM al GROUP BY 1)"""
+
+
+@query("t3_meteor_exact", f"WITH {_PAIRS} SELECT pq.id, round(CASE WHEN m IS NULL THEN 0 ELSE (m / len(h)) * (m / len(r)) / (0.9 * m / len(h) + 0.1 * m / len(r)) * (1 - 0.5 * power(chunks / m, 3)) END, 6)::DOUBLE AS meteor FROM pq LEFT JOIN mt ON mt.id = pq.id")
 def t3(spark, sf):
     return turns(spark, sf).select("id", r6(G.meteor_exact("h", "r")).alias("meteor"))
 
