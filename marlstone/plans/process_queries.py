@@ -227,9 +227,15 @@ def l3(spark, sf):
 
 @query("l4_manifest_check")
 def l4(spark, sf):
-    a = files.audit_files(spark, f"{sf}/region.parquet").unionByName(files.audit_files(spark, f"{sf}/nation.parquet"))
-    bad = files.verify_manifest(a, a.select("path", "sha256"))
-    return a.join(bad, "path", "left").select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256", F.coalesce("problem", F.lit("unchanged")).alias("state"))
+    """Every file of the folder against a manifest that states another hash for `labels`, leaves out `nation` and names a file that is
+    not there: the state of each."""
+    a = files.audit_files(spark, sf)
+    stated = F.when(F.contains("path", F.lit("/labels.parquet")), F.lit("0" * 64)).otherwise(F.col("sha256"))
+    ghost = spark.createDataFrame([(f"{sf}/gone.parquet", "0" * 64)], "path string, sha256 string")
+    manifest = a.filter(~F.contains("path", F.lit("/nation.parquet"))).select("path", stated.alias("sha256")).unionByName(ghost)
+    bad = files.verify_manifest(a, manifest)
+    every = a.select("path", "bytes", "sha256").join(bad, "path", "full")
+    return every.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256", F.coalesce("problem", F.lit("unchanged")).alias("state"))
 
 
 @query("l5_locked_partition", "SELECT o_orderstatus, count(*)::BIGINT AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
@@ -278,12 +284,26 @@ def l10(spark, sf):
 
 @query("a4_list_files")
 def a4(spark, sf):
-    return files.list_files(spark, f"{sf}/region.parquet").unionByName(files.list_files(spark, f"{sf}/nation.parquet")).select("file", "bytes")
+    """Every file of the folder."""
+    return files.list_files(spark, sf).select("file", "bytes")
 
 
 @query("a5_audit_files")
 def a5(spark, sf):
-    return files.audit_files(spark, f"{sf}/region.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256", "empty")
+    """Every file of the folder, hashed where it is read."""
+    return files.audit_files(spark, sf).select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256", "empty")
+
+
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+_VALUE = "CASE WHEN c_custkey % 3 = 0 THEN 'PATH_TO_' || c_custkey WHEN c_custkey % 5 = 0 THEN '' ELSE '/data/' || c_custkey END"
+
+
+@query("a8_config_check", f"""WITH e AS (SELECT c_custkey % 40 AS config, c_mktsegment AS key, max({_VALUE}) AS value FROM customer GROUP BY 1, 2), r AS (SELECT DISTINCT config, k.i, k.key FROM e, (VALUES {', '.join(f"({i}, '{k}')" for i, k in enumerate(_SEGMENTS))}) k(i, key)),
+x AS (SELECT r.config, coalesce(string_agg(r.key, ';' ORDER BY i) FILTER (coalesce(value, '') = ''), '') AS missing, coalesce(string_agg(r.key, ';' ORDER BY i) FILTER (value LIKE 'PATH_TO%' OR value LIKE '<%'), '') AS placeholders FROM r LEFT JOIN e ON e.config = r.config AND e.key = r.key GROUP BY 1) SELECT * FROM x WHERE missing <> '' OR placeholders <> ''""")
+def a8(spark, sf):
+    """Configurations (customers by number) that lack a required path or still have a template's."""
+    e = t(spark, sf, "customer").select((F.col("c_custkey") % 40).alias("config"), F.col("c_mktsegment").alias("key"), F.expr(_VALUE).alias("value"))
+    return catalog.problems(e, _SEGMENTS)
 
 
 @query("a7_json_lines", "SELECT conv_id, count(*)::BIGINT AS turns, max(length(text))::INT AS longest FROM conversations GROUP BY 1")

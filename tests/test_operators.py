@@ -353,3 +353,26 @@ def test_config(tmp_path):
         catalog.load_config(f, required=("b",))
     with pytest.raises(KeyError):
         c.path("z")
+
+
+def test_config(tmp_path, spark):
+    from marlstone.sources import catalog
+
+    (tmp_path / "c.json").write_text('{"paths": {"a": "/x", "b": "PATH_TO_B"}, "options": {"k": 1}}')
+    c = catalog.load_config(tmp_path / "c.json", ("a",))
+    assert c.path("a") == "/x" and c.options == {"k": 1}
+    with pytest.raises(ValueError, match="not set"):
+        catalog.load_config(tmp_path / "c.json", ("b",))
+    with pytest.raises(KeyError, match="no path"):
+        catalog.load_config(tmp_path / "c.json", ("z",))
+    with pytest.raises(FileNotFoundError):
+        catalog.load_config(tmp_path / "none.json")
+    e = spark.createDataFrame([(1, "a", "/x"), (1, "b", "<b>"), (2, "a", None), (2, "b", "/y"), (3, "a", "/x"), (3, "b", "/y")], "config int, key string, value string")
+    assert sorted(tuple(r) for r in catalog.problems(e, ["b", "a"]).collect()) == [(1, "", "b"), (2, "a", "")]
+
+
+def test_manifest_states(spark):
+    from marlstone.plans import catalog
+
+    got = {r["file"]: r["state"] for r in catalog.QUERIES["l4_manifest_check"](spark, "/root/testdata/sf0.001").collect()}
+    assert got.pop("gone.parquet") == "missing" and got.pop("labels.parquet") == "changed" and got.pop("nation.parquet") == "new" and set(got.values()) == {"unchanged"} and len(got) == 12
