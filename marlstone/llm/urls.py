@@ -54,15 +54,23 @@ def path_of(url: str) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _grams(text: Column, tag: str, n: int) -> Column:
-    chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
-    return F.transform(F.filter(F.transform(chars, lambda c, i: F.array_join(F.slice(chars, i + 1, n), "")), lambda g: F.length(g) == n), lambda g: F.pmod(F.xxhash64(F.lit(tag), g), F.lit(DIMENSIONS)).cast("int"))
+def _characters(text: Column) -> Column:
+    return F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
 
 
-def features(sizes: tuple[int, ...] = GRAMS) -> Column:
-    """Distinct numbers of the hashed n-grams of columns host (without a leading www) and path."""
-    host = F.regexp_replace("host", r"^www\.", "")
-    return F.array_distinct(F.concat(*(_grams(text, tag, n) for n in sizes for text, tag in ((host, "host"), (F.col("path"), "path")))))
+def _grams(chars: str, tag: str, n: int) -> Column:
+    """Numbers of the n-grams of an array column of characters."""
+    starts = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(tag), F.array_join(F.slice(F.col(chars), i, n), "")), F.lit(DIMENSIONS)).cast("int"))
+
+
+def add_features(df: DataFrame, where: Column | None = None, sizes: tuple[int, ...] = GRAMS) -> DataFrame:
+    """Adds `features`: distinct numbers of the hashed n-grams of columns host (without a leading www) and path; null where `where` does
+    not hold. The characters are columns of their own, so each text is split once, however long it is."""
+    keep = lambda x: x if where is None else F.when(where, x)
+    split = df.withColumn("__host", keep(_characters(F.regexp_replace("host", r"^www\.", "")))).withColumn("__path", keep(_characters(F.col("path"))))
+    grams = F.array_distinct(F.concat(*(_grams(chars, tag, n) for n in sizes for chars, tag in (("__host", "host"), ("__path", "path")))))
+    return split.withColumn("features", keep(grams)).drop("__host", "__path")
 
 
 def train(labelled: DataFrame, ridge: float = RIDGE, rounds: int = ROUNDS) -> list[float]:
@@ -71,7 +79,7 @@ def train(labelled: DataFrame, ridge: float = RIDGE, rounds: int = ROUNDS) -> li
     rows = labelled.filter("url is not null and block is not null").select(host_of("url").alias("host"), path_of("url").alias("path"), F.col("block").cast("double").alias("y"))
     if rows.limit(MOST_LABELLED + 1).count() > MOST_LABELLED:
         raise ValueError(f"more than {MOST_LABELLED} labelled rows")
-    gathered = rows.select("y", features().alias("f")).agg(F.sort_array(F.collect_list(F.struct("y", "f"))).alias("rows"))
+    gathered = add_features(rows).select("y", F.col("features").alias("f")).agg(F.sort_array(F.collect_list(F.struct("y", "f"))).alias("rows"))
     # Features that occur are numbered 0, 1, ...: only they have weights while the model is fitted.
     pairs = gathered.select(F.posexplode("rows").alias("i", "r")).select("i", "r.y", F.explode("r.f").alias("f")).withColumn("k", F.dense_rank().over(Window.orderBy("f")) - 1)
     lists = pairs.groupBy("k", "f").agg(F.sort_array(F.collect_list("i")).alias("has")).agg(F.sort_array(F.collect_list(F.struct("k", "f", "has"))).alias("x"))
@@ -115,7 +123,7 @@ def judge(pages: DataFrame, weights: list[float], rules: list[tuple[str, str, st
         hit = fits(host, prefix)
         rule, verdict = F.when(hit, F.lit(host + prefix)).otherwise(rule), F.when(hit, F.lit(what)).otherwise(verdict)
     ruled = df.withColumn("rule", rule).withColumn("ruled", verdict)
-    scored = ruled.withColumn("features", F.when(F.col("rule").isNull(), features())).withColumn("score", F.when(F.col("rule").isNull(), score(weights, F.col("features"))))
+    scored = add_features(ruled, F.col("rule").isNull()).withColumn("score", F.when(F.col("rule").isNull(), score(weights, F.col("features"))))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= cut, "block").otherwise("allow")).alias("verdict"), "score")
 
 

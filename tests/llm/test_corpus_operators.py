@@ -215,7 +215,9 @@ def test_url_training_equals_plain_gradient_descent(spark, monkeypatch):
     df = spark.createDataFrame(rows, "url string, block int")
     w = np.array(urls.train(df, rounds=7))
     parts = df.filter("url is not null and block is not null").select(urls.host_of("url").alias("host"), urls.path_of("url").alias("path"), "block")
-    found = parts.select("block", urls.features().alias("f")).collect()
+    found = urls.add_features(parts).select("block", F.col("features").alias("f")).collect()
+    grams = {"".join(c) for n in urls.GRAMS for c in zip(*("^site0.com$"[k:] for k in range(n)))}
+    assert len(urls.add_features(parts).filter("host = 'site0.com'").first()["features"]) <= len(grams) + sum(max(0, len("^/p0$") - n + 1) for n in urls.GRAMS)
     x = np.zeros((len(found), urls.DIMENSIONS))
     for i, r in enumerate(found):
         x[i, r["f"]] = 1 / np.sqrt(len(r["f"]))
