@@ -81,9 +81,15 @@ def norm_sentences(x: Column) -> Column:
     return F.transform(sentences(x), lambda s: F.array_join(F.regexp_extract_all(F.lower(s), F.lit("[a-z0-9]+"), F.lit(0)), " "))
 
 
+def bound(x: Column, use) -> Column:
+    """use(x), with x computed once: an expression inside a lambda would be computed anew for every element."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def ngrams(toks: Column, n: int) -> Column:
     """n-grams with multiplicity, as space-joined strings."""
-    return F.when(F.size(toks) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: F.array_join(F.slice(toks, i, n), " ")))
+    starts = lambda t: F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return bound(toks, lambda t: F.transform(starts(t), lambda i: F.array_join(F.slice(t, i, n), " ")))
 
 
 def json_field(x: Column, schema: str) -> Column:
