@@ -306,17 +306,21 @@ def verify(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the smallest node of its component, for every node that has a link (columns a, b)."""
+    """node, label: the smallest node of its component, for every node that has a link (columns a, b). Each round's table is removed
+    once the next one is written."""
     edges = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumn("old", F.lit(None).cast("long")), "labels")
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jumped = hooked.join(labels.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
+        now = labels.select("node", "label")
+        near = edges.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        hooked = now.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jumped = hooked.join(now.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
         step = materialise(jumped.select("node", F.least("label", F.coalesce("root", "label")).alias("label"), "old"), "labels")
-        labels = step.select("node", "label")
+        discard(labels)
+        labels = step
         if not step.filter("label <> old").limit(1).count():
-            return labels
+            discard(edges)
+            return step.select("node", "label")
 
 
 def _by_pivot(members: DataFrame, regions: DataFrame) -> DataFrame:
@@ -366,7 +370,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     banded = wide.withColumn("band", _band())
     star = banded.join(centres, ["pivot", "band"]).filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
     stars = _elsewhere(list_stars(lists), in_wide).filter(_enough(2 * F.col("c") + F.col("more"))).select("a", "b")
-    compared = materialise(verify(materialise(stars.unionByName(star).distinct(), "first"), named, repeated), "compared")
+    first = materialise(stars.unionByName(star).distinct(), "first")
+    compared = materialise(verify(first, named, repeated), "compared")
+    discard(first)
     linked = F.col("common") * 100 >= F.col("either") * 75
     links = compared.filter(linked).select("a", "b")
     labels = components(links)
@@ -395,9 +401,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     window = (F.col("xcentre") != F.col("ycentre")) | F.coalesce(F.abs(F.col("xd") - F.col("yd")) <= 0.25 + 1e-9, F.lit(True))
     across = x.join(y, (F.col("pivot") == F.col("ypivot")) & (F.col("share") == F.col("yshare")) & fit & sizes & window).select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b"))
     second = direct.unionByName(across).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    again = materialise(verify(materialise(second, "second"), named, repeated), "compared-more").filter(linked).select("a", "b")
+    second = materialise(second, "second")
+    more = materialise(verify(second, named, repeated), "compared-more")
+    again = more.filter(linked).select("a", "b")
     if again.limit(1).count():
         labels = components(links.unionByName(again))
+    for done in (met, lists, centres, left, second, more, compared):
+        discard(done)  # what follows reads names and labels only
     groups = names.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c"))
     out = spread_join(names, groups, labels)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"))
