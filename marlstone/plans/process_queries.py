@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
-from ..operators import graph, resample, splits
+from ..operators import graph, images, resample, splits
 from ..operators import classify as K
 from ..operators import relational as R
 from ..sources import catalog, files
 from ..streaming import incremental
 from .base import SCORES, r6, scores, t
 from .registry import query
-from .relational_queries import _KEY
+from .relational_queries import _KEY, _NAMED, _PIC, pictures
 from .retrieval_queries import _BM, _M, _RRF, fused, gains, sets
 from ..operators import retrieval as ret
 
@@ -219,10 +219,15 @@ def l2(spark, sf):
     return b.join(f, "label").select("vec_id", (F.bit_count(F.col("lo").bitwiseXOR(F.col("flo"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("fhi")))).alias("distance"))
 
 
-@query("l3_validator", "SELECT p_partkey, CASE WHEN p_size < 5 THEN 'too_small' WHEN p_retailprice > 1050 THEN 'too_dear' WHEN p_type = 'PROMO' THEN 'wrong_kind' END AS error, concat_ws(';', CASE WHEN p_size > 45 THEN 'large' END, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'rare_brand' END) AS warnings FROM part")
+# Errors by place; warnings count only before the place of the error.
+_ERR = [(0, "NOT there", "'missing_file'"), (1, "bytes = 0", "'zero_byte_file'"), (2, "NOT readable", "'unreadable_image'"), (3, "format NOT IN ('JPEG', 'PNG', 'BMP', 'TIFF')", "'unsupported_format'"), (4, "least(width, height) < 64 OR greatest(width, height) > 20000", "'invalid_dimensions'"), (5, "ratio < 0.25 OR ratio > 4", "'extreme_aspect_ratio'"), (9, "colour >= 40", "'strongly_colored_image'"), (11, "std < 2", "CASE WHEN mean <= 5 THEN 'fully_black_image' WHEN mean >= 250 THEN 'fully_white_image' ELSE 'constant_image' END"), (12, "white >= 0.9", "'nearly_white_image'"), (13, "black >= 0.9", "'nearly_black_image'")]
+_WRN = [("small_image", "pl > 6 AND least(width, height) < 256"), ("unusual_aspect_ratio", "pl > 7 AND (ratio < 0.5 OR ratio > 2)"), ("transparency", "pl > 8 AND transparent > 0.01"), ("color_content", "pl > 10 AND colour >= 10"), ("very_dark_image", "pl > 14 AND mean < 30"), ("very_bright_image", "pl > 15 AND mean > 225"), ("dominant_flat_region", "pl > 16 - 1 AND dominant >= 0.4")]
+
+
+@query("l3_validator", f"WITH {_PIC}, r AS (SELECT *, width::DOUBLE / height AS ratio FROM pic), a AS (SELECT *, CASE {' '.join(f'WHEN {c} THEN {i}' for i, c, _ in _ERR)} ELSE 99 END AS pl, CASE {' '.join(f'WHEN {c} THEN {n}' for _, c, n in _ERR)} END AS error FROM r) SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, error, array_to_string({_NAMED(_WRN)}, ';') AS warnings FROM a")
 def l3(spark, sf):
-    _, names = R.flag_list({"large": F.col("p_size") > 45, "rare_brand": F.col("p_brand").isin("Brand#1", "Brand#2")})
-    return t(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") < 5, "too_small").when(F.col("p_retailprice") > 1050, "too_dear").when(F.col("p_type") == "PROMO", "wrong_kind").alias("error"), names.alias("warnings"))
+    error, warnings = images.verdict(F.col("there"))
+    return pictures(spark, sf).select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", error.alias("error"), F.array_join(warnings, ";").alias("warnings"))
 
 
 @query("l4_manifest_check")
@@ -290,8 +295,8 @@ def a4(spark, sf):
 
 @query("a5_audit_files")
 def a5(spark, sf):
-    """Every file of the folder, hashed where it is read."""
-    return files.audit_files(spark, sf).select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256", "empty")
+    """Every file of the folder, hashed and, if it is an image, measured where it is read (these tables are no images)."""
+    return images.audit_images(spark, sf).withColumn("path", F.element_at(F.split("path", "/"), -1)).withColumnRenamed("path", "file")
 
 
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]

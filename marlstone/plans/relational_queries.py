@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..operators import images
 from ..operators import relational as R
 from ..sources import files
 from .base import STATES, r6, states, t
@@ -100,13 +101,28 @@ def a20(spark, sf):
     return states(spark, sf).select("doc_id", "label", F.coalesce(F.col("raw") == 1, F.lit(False)).alias("positive"))
 
 
-_FLAGS = [("many_parts", "l_quantity >= 45", "l_quantity >= 45"), ("discounted", "l_discount > 0.05", "l_discount > 0.05"), ("untaxed", "l_tax = 0", "l_tax = 0"), ("returned", "l_returnflag = 'R'", "l_returnflag = 'R'")]
+#: Line items as image files: each measure is one expression that both engines read.
+PICTURES = {
+    "bytes": "CAST((l_quantity - 1) * 100 AS BIGINT)", "readable": "l_orderkey % 11 <> 0", "format": "CASE WHEN l_orderkey % 13 = 0 THEN 'GIF' ELSE 'PNG' END", "mode": "CASE WHEN l_returnflag = 'R' THEN 'RGB' ELSE 'L' END",
+    "width": "CAST(l_quantity * 40 AS INT)", "height": "CAST(l_linenumber * 150 AS INT)", "mean": "l_discount * 2550", "std": "l_tax * 400", "white": "CASE WHEN l_partkey % 17 = 0 THEN 0.95 ELSE 0.1 END", "black": "CASE WHEN l_partkey % 19 = 0 THEN 0.95 ELSE 0.1 END",
+    "dominant": "l_discount * 5", "colour": "CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END", "transparent": "CASE WHEN l_suppkey % 7 = 0 THEN 0.5 ELSE 0 END", "there": "l_orderkey % 23 <> 0", "used": "l_orderkey % 29 <> 0", "meta": "l_partkey % 31 = 0", "ext": "CASE WHEN l_suppkey % 5 = 0 THEN 'PNG' WHEN l_suppkey % 5 = 1 THEN 'gif' ELSE 'png' END",
+}
+_PIC = "pic AS (SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, " + ", ".join(f"{e} AS {n}" for n, e in PICTURES.items()) + " FROM lineitem)"
+_NAMED = lambda flags: "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in flags) + "], lambda x: x IS NOT NULL)"
+_AUDIT_SQL = [
+    ("missing_file", "NOT there"), ("zero_byte", "there AND bytes = 0"), ("unreadable_or_corrupt", "there AND bytes > 0 AND NOT readable"), ("not_referenced", "NOT used"), ("metadata_file", "meta"), ("unusual_extension", "lower(ext) <> 'png'"), ("non_grayscale", "readable AND mode NOT IN ('L', 'I;16', 'I')"),
+    ("suspiciously_small", "readable AND least(width, height) < 128"), ("near_blank", "readable AND (std < 5 OR white >= 0.9 OR black >= 0.9)"), ("unusual_aspect_ratio", "readable AND (width::DOUBLE / height < 0.5 OR width::DOUBLE / height > 2)"),
+]
 
 
-@query("a21_quality_flags", f"SELECT l_orderkey, l_partkey, l_linenumber, len(f)::BIGINT AS n_flags, array_to_string(f, ';') AS flags FROM (SELECT *, list_filter([{', '.join(f'CASE WHEN {c} THEN {chr(39)}{n}{chr(39)} END' for n, _, c in _FLAGS)}], lambda x: x IS NOT NULL) AS f FROM lineitem)")
+def pictures(spark, sf) -> DataFrame:
+    return t(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", *[F.expr(e).alias(n) for n, e in PICTURES.items()])
+
+
+@query("a21_quality_flags", f"WITH {_PIC}, f AS (SELECT *, {_NAMED(_AUDIT_SQL)} AS f FROM pic) SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, len(f)::BIGINT AS n_flags, array_to_string(f, ';') AS flags FROM f")
 def a21(spark, sf):
-    n, names = R.flag_list({n: F.expr(c) for n, c, _ in _FLAGS})
-    return t(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", n.alias("n_flags"), names.alias("flags"))
+    n, names = R.flag_list(images.flags(F.col("there"), F.col("used"), F.col("meta"), F.col("ext"), F.lit("png")))
+    return pictures(spark, sf).select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", n.alias("n_flags"), names.alias("flags"))
 
 
 #: Fixed values of the text flags: words of near-empty and short texts, the quantile of long ones, the share of anonymised words.

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..operators import retrieval as R
+from ..sources import files
 from .base import r6, t
 from .registry import query
 
@@ -190,12 +191,18 @@ def m3(spark, sf):
     return possible.join(first, "query").select(F.col("query").alias("item_id"), F.when(ok, F.col("first").isNotNull().cast("int")).alias("hit"), r6(F.when(ok, F.coalesce(1.0 / F.col("first"), F.lit(0.0)))).alias("rr"))
 
 
-@query("m4_ranking_summary", f"WITH {_M} SELECT rk.query AS item_id, round(len(list_intersect(any_value(q.s), list_distinct(flatten(list(d.s)))))::DOUBLE / len(any_value(q.s)), 6) AS union_coverage, round(avg((gain = 0)::INT), 6) AS zero_overlap, round(1 - count(DISTINCT array_to_string(d.tok, ' '))::DOUBLE / 10, 6) AS duplicate_rate, count(DISTINCT array_to_string(d.tok, ' '))::BIGINT AS unique_templates, sum(len(d.tok))::BIGINT AS context_tokens FROM rk JOIN qs q ON q.query = rk.query JOIN ds d ON d.id = rk.id GROUP BY 1")
+@query("m4_ranking_summary", f"WITH {_M}, vv AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), pc AS (SELECT a.query, avg(list_cosine_similarity(x.v, y.v)) AS c FROM rk a JOIN rk b ON a.query = b.query AND a.id < b.id JOIN vv x ON x.id = a.id JOIN vv y ON y.id = b.id GROUP BY 1) SELECT rk.query AS item_id, round(len(list_intersect(any_value(q.s), list_distinct(flatten(list(d.s)))))::DOUBLE / len(any_value(q.s)), 6) AS union_coverage, round(avg((gain = 0)::INT), 6) AS zero_overlap, round(1 - count(DISTINCT array_to_string(d.tok, ' '))::DOUBLE / 10, 6) AS duplicate_rate, count(DISTINCT array_to_string(d.tok, ' '))::BIGINT AS unique_templates, sum(len(d.tok))::BIGINT AS context_tokens, round(any_value(pc.c), 6) AS mean_pairwise_cosine FROM rk JOIN qs q ON q.query = rk.query JOIN ds d ON d.id = rk.id LEFT JOIN pc ON pc.query = rk.query GROUP BY 1")
 def m4(spark, sf):
     toks = text.tokens(F.col("text"))
     d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5(F.array_join(toks, " ")).alias("norm"), F.size(toks).alias("n"))
-    g = gains(spark, sf).join(d, "id").groupBy("query").agg(F.first("qs").alias("qs"), F.array_distinct(F.flatten(F.collect_list("s"))).alias("u"), F.avg((F.col("gain") == 0).cast("int")).alias("z"), F.count_distinct("norm").alias("k"), F.sum("n").alias("context_tokens"))
-    return g.select(F.col("query").alias("item_id"), r6(F.size(F.array_intersect("qs", "u")) / F.size("qs")).alias("union_coverage"), r6("z").alias("zero_overlap"), r6(1 - F.col("k") / 10).alias("duplicate_rate"), F.col("k").alias("unique_templates"), "context_tokens")
+    top = files.written(gains(spark, sf), "top")
+    # The sum of all pairs' cosines is the square of the unit vectors' sum, less one for each.
+    v = vectors(spark, sf)
+    unit = top.select("query", "id").join(v.select("id", "v", F.sqrt(R.dot("v", "v")).alias("norm")), "id").select("query", F.posexplode("v").alias("i", "x"), "norm", F.lit(1).alias("one"))
+    sums = unit.groupBy("query", "i").agg(F.sum(F.col("x") / F.col("norm")).alias("s"), F.sum("one").alias("n")).groupBy("query").agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.max("n").alias("n"))
+    cosine = sums.filter("n > 1").select("query", ((F.col("ss") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("cosine"))
+    g = top.join(d, "id").groupBy("query").agg(F.first("qs").alias("qs"), F.array_distinct(F.flatten(F.collect_list("s"))).alias("u"), F.avg((F.col("gain") == 0).cast("int")).alias("z"), F.count_distinct("norm").alias("k"), F.sum("n").alias("context_tokens"))
+    return g.join(cosine, "query", "left").select(F.col("query").alias("item_id"), r6(F.size(F.array_intersect("qs", "u")) / F.size("qs")).alias("union_coverage"), r6("z").alias("zero_overlap"), r6(1 - F.col("k") / 10).alias("duplicate_rate"), F.col("k").alias("unique_templates"), "context_tokens", r6("cosine").alias("mean_pairwise_cosine"))
 
 
 @query("m5_random_expectation", f"WITH {_M} SELECT query AS item_id, round(avg(gain), 6) AS expected FROM ga GROUP BY 1")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import agents, assertion, labels, reports, text
-from marlstone.operators import association, calibrate, classify, graph, relational, resample, retrieval, splits, textgen
+from marlstone.operators import association, calibrate, classify, graph, images, relational, resample, retrieval, splits, textgen
 from marlstone.sources import files
 from marlstone.streaming import incremental
 
@@ -376,3 +376,52 @@ def test_manifest_states(spark):
 
     got = {r["file"]: r["state"] for r in catalog.QUERIES["l4_manifest_check"](spark, "/root/testdata/sf0.001").collect()}
     assert got.pop("gone.parquet") == "missing" and got.pop("labels.parquet") == "changed" and got.pop("nation.parquet") == "new" and set(got.values()) == {"unchanged"} and len(got) == 12
+
+
+def png(pixels, filters=None) -> bytes:
+    """Encode rows x columns x channels of bytes, each row with its filter."""
+    import zlib
+
+    import numpy as np
+
+    h, w, n = pixels.shape
+    flat, lines = pixels.reshape(h, w * n).astype(int), []
+    for y in range(h):
+        kind = (filters or [0])[y % len(filters or [0])]
+        left = np.concatenate([np.zeros(n, int), flat[y][:-n]]) if w > 1 else np.zeros(w * n, int)
+        up = flat[y - 1] if y else np.zeros(w * n, int)
+        corner = np.concatenate([np.zeros(n, int), up[:-n]]) if w > 1 else np.zeros(w * n, int)
+        p = left + up - corner
+        nearest = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        lines.append(bytes([kind]) + bytes(((flat[y] - [0, left, up, (left + up) // 2, nearest][kind]) % 256).astype("uint8")))
+    chunk = lambda k, d: len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big")
+    head = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([8, {1: 0, 3: 2, 2: 4, 4: 6}[n], 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+
+
+def test_images(spark, tmp_path):
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    for n in (1, 2, 3, 4):
+        x = r.integers(0, 256, (11, 9, n), dtype=np.uint8)
+        for kind in range(5):
+            assert (images.decode_png(png(x, [kind]))[1] == x).all()
+        assert (images.decode_png(png(x, [4, 3, 2, 1, 0]))[1] == x).all()
+    grey = png(r.integers(0, 256, (300, 300, 1), dtype=np.uint8))
+    made = {
+        "good.png": grey, "empty.png": b"", "cut.png": grey[:-30], "text.png": b"hello", "tiny.png": png(np.zeros((10, 10, 1), np.uint8)), "black.png": png(np.zeros((300, 300, 1), np.uint8)),
+        "white.png": png(np.full((300, 300, 1), 255, np.uint8)), "wide.png": png(r.integers(0, 256, (70, 300, 1), dtype=np.uint8)), "red.png": png(np.dstack([r.integers(0, 256, (300, 300)), np.zeros((300, 300)), np.zeros((300, 300))]).astype(np.uint8)), "small.png": png(r.integers(0, 256, (100, 150, 4), dtype=np.uint8) // np.array([1, 1, 1, 2], np.uint8)),
+    }
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    table = images.audit_images(spark, str(tmp_path)).withColumn("file", F.element_at(F.split("path", "/"), -1))
+    error, warnings = images.verdict(F.lit(True))
+    n, flags = relational.flag_list(images.flags(F.lit(True), F.lit(True), F.lit(False), F.regexp_extract("file", r"\.([A-Za-z0-9]+)$", 1), F.lit("png")))
+    got = {x["file"]: x for x in table.select("*", error.alias("error"), warnings.alias("warnings"), flags.alias("flags")).collect()}
+    assert {k: v["error"] for k, v in got.items()} == {
+        "good.png": None, "cut.png": "unreadable_image", "text.png": "unreadable_image", "tiny.png": "invalid_dimensions", "black.png": "fully_black_image", "white.png": "fully_white_image", "wide.png": "extreme_aspect_ratio", "red.png": "strongly_colored_image", "small.png": "strongly_colored_image",
+    }
+    assert got["good.png"]["warnings"] == [] and got["small.png"]["warnings"] == ["small_image", "transparency"] and got["good.png"]["flags"] == ""
+    assert got["black.png"]["flags"] == "near_blank" and got["cut.png"]["flags"] == "unreadable_or_corrupt" and got["small.png"]["flags"] == "non_grayscale;suspiciously_small" and got["wide.png"]["flags"] == "suspiciously_small;unusual_aspect_ratio"
+    assert abs(got["good.png"]["mean"] - 127.5) < 2 and got["good.png"]["sha256"] == __import__("hashlib").sha256(grey).hexdigest()
