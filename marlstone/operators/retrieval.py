@@ -51,7 +51,7 @@ def lexical(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     pairs = queries.limit(MOST_ASKED + 1).toPandas()
     if len(pairs) > MOST_ASKED:
         post = postings(docs, F.col("t"), "id")
-        return top_k(bm25(post, queries, docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("t")).alias("avgdl"))), k)
+        return top_k(bm25(post, queries, docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.coalesce(F.size("t"), F.lit(0))).alias("avgdl"))), k)
     if pairs.empty:
         return docs.sparkSession.createDataFrame([], f"query long, rank long, id {dict(docs.dtypes)['id']}, score double")
     words, term = np.unique(pairs["token"].to_numpy(dtype=object), return_inverse=True)
@@ -131,10 +131,20 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Dense queries sent to every task at a time.
+MOST_QUERIES = 2000
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query, rank, id, score by inner product. vectors: id, v; queries: query, q, few enough to be broadcast (stated by the
-    caller: a fixed set of queries); each task keeps its best k for each query before the exchange."""
-    return top_k(vectors.join(F.broadcast(queries)).select("query", "id", F.round(dot("v", "q"), 9).alias("score")), k)
+    """query, rank, id, score by inner product. vectors: id, v; queries: query, q. Queries go to the vectors in blocks of about
+    MOST_QUERIES, so none moves; each task keeps its best k for each query before the exchange."""
+    blocks = -(-queries.count() // MOST_QUERIES)
+    best = None
+    for b in range(max(blocks, 1)):
+        some = queries if blocks <= 1 else queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+        scored = top_k(vectors.join(F.broadcast(some)).select("query", "id", F.round(dot("v", "q"), 9).alias("score")), k)
+        best = scored if best is None else best.unionByName(scored)
+    return best
 
 
 def rrf(a: DataFrame, b: DataFrame, depth: int = 100, k: int = RRF_K) -> DataFrame:

@@ -425,3 +425,21 @@ def test_images(spark, tmp_path):
     assert got["good.png"]["warnings"] == [] and got["small.png"]["warnings"] == ["small_image", "transparency"] and got["good.png"]["flags"] == ""
     assert got["black.png"]["flags"] == "near_blank" and got["cut.png"]["flags"] == "unreadable_or_corrupt" and got["small.png"]["flags"] == "non_grayscale;suspiciously_small" and got["wide.png"]["flags"] == "suspiciously_small;unusual_aspect_ratio"
     assert abs(got["good.png"]["mean"] - 127.5) < 2 and got["good.png"]["sha256"] == __import__("hashlib").sha256(grey).hexdigest()
+
+
+def test_retrieval_of_many_queries(spark, monkeypatch):
+    """Queries in blocks, and lexical queries beyond what is sent to every task, give what one pass gives."""
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "id long, v array<double>")
+    q = spark.createDataFrame([(i, [1.0, float(i), -1.0]) for i in range(9)], "query long, q array<double>")
+    key = lambda df: sorted((r["query"], r["rank"], r["id"], round(r["score"], 8)) for r in df.collect())
+    one = key(retrieval.dense(v, q, 4))
+    docs = spark.createDataFrame([(i, [f"w{(i * k) % 11}" for k in range(1, 2 + i % 9)]) for i in range(80)] + [(99, []), (98, None)], "id long, t array<string>")
+    asked = spark.createDataFrame([(i, f"w{(i + j) % 13}") for i in range(8) for j in range(3)], "query long, token string")
+    first = key(retrieval.lexical(docs, asked, 5))
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 2)
+    assert key(retrieval.dense(v, q, 4)) == one and len(one) == 36
+    monkeypatch.setattr(retrieval, "MOST_WORTH", 0)
+    assert key(retrieval.lexical(docs, asked, 5)) == first and len(first) == 40
+    monkeypatch.setattr(retrieval, "MOST_ASKED", 5)
+    assert key(retrieval.lexical(docs, asked, 5)) == first
+    assert retrieval.lexical(docs, asked.limit(0), 5).count() == 0 and retrieval.lexical(docs.limit(0), asked, 5).count() == 0
