@@ -352,7 +352,30 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     shingle and no link. Rows that repeat a doc_id with one text are one document with a row each. Rows with a null doc_id
     link with nothing and have a null component_id. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
+    names, labels, _ = _search(docs, False)
+    out = spread_join(names, _groups(names), labels)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"))
+
+
+def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, similarity of every link between different sets, a < b; doc_id, representative of every row with a shingle and a
+    doc_id). Documents of equal sets are one class, named by its smallest doc_id: a and b are such names, so copies are not
+    expanded. Unlike jaccard_classes, which stops at components, this compares all pairs that the regions leave open, and takes
+    time by the number of links."""
+    names, _, links = _search(docs, True)
+    named = names.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    nobody = links.select(F.col("a").alias("node"), F.col("b").alias("label")).filter("false")
+    return links, spread_join(named, _groups(named), nobody).select("doc_id", F.coalesce("component", "doc_id").alias("representative"))
+
+
+def _groups(names: DataFrame) -> DataFrame:
+    """k1, k2, n, rep, c: the classes of equal sets, their smallest doc_id and their number of rows."""
+    return names.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c"))
+
+
+def _search(docs: DataFrame, every: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(names: doc_id, n, k1, k2; labels of linked representatives; with `every` all links: a, b, similarity). Without `every` pairs
+    already in one component are not compared."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.filter(F.col("doc_id").isNotNull())
     signed = materialise(signatures(docs, frequent_shingles(named)), "signatures")
@@ -375,7 +398,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     discard(first)
     linked = F.col("common") * 100 >= F.col("either") * 75
     links = compared.filter(linked).select("a", "b")
-    labels = components(links)
+    labels = links.select(F.col("a").alias("node"), F.col("b").alias("label")).filter("false") if every else components(links)
     # Then: what is still in different components. Small regions:
     numbered = lists.withColumn("list", F.xxhash64("members", "weight"))
     flat = numbered.select("list", "weight", F.explode("members").alias("m")).select("list", "weight", "m.n", "m.rep")
@@ -404,13 +427,14 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     second = materialise(second, "second")
     more = materialise(verify(second, named, repeated), "compared-more")
     again = more.filter(linked).select("a", "b")
-    if again.limit(1).count():
+    found = None
+    if every:
+        found = materialise(compared.unionByName(more).filter(linked).select("a", "b", (F.col("common") / F.col("either")).alias("similarity")), "links")
+    elif again.limit(1).count():
         labels = components(links.unionByName(again))
     for done in (met, lists, centres, left, second, more, compared):
-        discard(done)  # what follows reads names and labels only
-    groups = names.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c"))
-    out = spread_join(names, groups, labels)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"))
+        discard(done)  # what follows reads names, labels and links only
+    return names, labels, found
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

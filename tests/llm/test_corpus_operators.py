@@ -450,6 +450,26 @@ def test_jaccard_join_is_exact(spark, family_rows, monkeypatch, small, least, mo
     assert got == brute(family_rows)
 
 
+@pytest.mark.parametrize("small", [96, 3])
+def test_jaccard_links_are_all_links(spark, family_rows, monkeypatch, small):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard.frequent_shingles, "__defaults__", (1 if small == 3 else 16, 2, 2_000_000))
+    links, members = jaccard.jaccard_links(spark.createDataFrame([*family_rows, (None, "x y z")], "doc_id long, text string"))
+    sets = {}
+    for i, t in family_rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        if w:
+            sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    assert {(r["doc_id"], r["representative"]) for r in members.collect()} == {(i, first[s]) for i, s in sets.items()}
+    reps = sorted(first.values())
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for k, a in enumerate(reps) for b in reps[k + 1 :] if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    got = [((r["a"], r["b"]), r["similarity"]) for r in links.collect()]
+    assert dict(got) == pytest.approx(want) and len(got) == len(want) > 1000
+
+
 def test_jaccard_small_tables(spark, docs):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(docs.unionByName(docs)).collect()}
     assert got == brute(list(enumerate(TEXTS)))
