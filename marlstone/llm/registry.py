@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, jaccard, language, packing, topk, toxicity, training_order, urls, warc
+from . import audit, bpe, fingerprints, jaccard, language, lexical, packing, quality, topk, toxicity, training_order, urls, warc
 
 QUERIES = {
     "op1_training_order": training_order.op1_training_order,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_warc": warc.op9_warc,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_filter_audit": audit.op11_filter_audit,
+    "op12_quality": quality.op12_quality,
+    "op13_ranked_search": lexical.op13_ranked_search,
 }
 
 #: What SQL can express of the results, in plain SQL; the others are held against brute force in tests/llm.
@@ -40,4 +43,6 @@ WITH d AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
 f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id > first THEN first END AS refers_to FROM d LEFT JOIN f USING (payload_digest)""",
+    "op11_filter_audit": audit.ORACLE,
+    "op13_ranked_search": lexical.ORACLE,
 }

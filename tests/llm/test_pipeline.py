@@ -41,5 +41,5 @@ def test_language_stage_without_labels(spark):
 
 
 def test_registered():
-    assert [k for k in sorted(registry.QUERIES, key=lambda k: int(k[2:].split("_")[0]))] and {int(k[2:].split("_")[0]) for k in registry.QUERIES} == set(range(1, 11))
+    assert [k for k in sorted(registry.QUERIES, key=lambda k: int(k[2:].split("_")[0]))] and {int(k[2:].split("_")[0]) for k in registry.QUERIES} == set(range(1, 14))
     assert [n for n, _ in P.STAGES] == ["toxicity", "language ID", "n-gram Jaccard join", "best-fit packing"]
