@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import sliced, table
 
 EMBED, WIDTH, KERNELS, HIDDEN, BLOCK, PAD = 8, 5, 24, 12, 256, 256
-SAMPLE, CHUNKS, STEPS, BATCH, RATE, DECAY, SEED = 1500, 12, 1500, 32, 0.01, 1e-4, 7
+SAMPLE, CHUNKS, STEPS, BATCH, RATE, DECAY, SEED = 1500, 12, 900, 32, 0.01, 1e-4, 7
 CUT = 0.3
 #: Blocks that are convolved at once.
 AT_ONCE = 128
