@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import logit, sigmoid
+from ..sources import files
+from . import ordered
 
 T_BOUNDS = (0.05, 20.0)
 
@@ -83,35 +85,50 @@ def fit_platt(points: DataFrame, rounds: int = 40, tolerance: float = 1e-9) -> D
     return spark.createDataFrame([(c, a, b, c in done, flags(c, a)) for c, (a, b) in at.items()], "cls int, a double, b double, converged boolean, flags string")
 
 
-def fit_isotonic(points: DataFrame) -> DataFrame:
-    """cls, x, y: knots of the non-decreasing fit by pooling adjacent violators, over each class's distinct scores."""
+def _pool(b: pd.DataFrame) -> pd.DataFrame:
+    """Neighbouring blocks merged until their means rise."""
+    b = b.sort_values("lo")
+    kept: list[list[float]] = []  # n, pos, lo, hi
+    for n, pos, lo, hi in zip(b["n"], b["pos"], b["lo"], b["hi"]):
+        kept.append([n, pos, lo, hi])
+        while len(kept) > 1 and kept[-2][1] * kept[-1][0] >= kept[-1][1] * kept[-2][0]:
+            n2, pos2, _, last = kept.pop()
+            head = kept[-1]
+            head[0], head[1], head[3] = head[0] + n2, head[1] + pos2, last
+    n, pos, lo, hi = zip(*kept)
+    return pd.DataFrame({"cls": b["cls"].iloc[0], "lo": lo, "hi": hi, "n": n, "pos": pos})
 
-    def pool(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("z")
-        blocks: list[list[float]] = []  # mean, weight, first z, last z
-        for z, n, pos in zip(b["z"], b["n"], b["pos"]):
-            blocks.append([pos / n, n, z, z])
-            while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-                m, w, _, last = blocks.pop()
-                head = blocks[-1]
-                head[0] = (head[0] * head[1] + m * w) / (head[1] + w)
-                head[1] += w
-                head[3] = last
-        knots = sorted({(x, m) for m, _, lo, hi in blocks for x in (lo, hi)})
-        return pd.DataFrame({"cls": b["cls"].iloc[0], "x": [k[0] for k in knots], "y": [k[1] for k in knots]})
 
-    return points.groupBy("cls").applyInPandas(pool, "cls int, x double, y double")
+def fit_isotonic(points: DataFrame, share: int = ordered.SHARE) -> DataFrame:
+    """cls, x, y: knots of the non-decreasing fit by pooling adjacent violators, over each class's distinct scores.
+
+    Chunks of `share` neighbouring blocks are pooled each by itself, and again with chunks that begin half-way, until two rounds in a row
+    merge nothing: then every two neighbours have been in one chunk and rise. The order of merges does not change the fit.
+    A class of at most `share` blocks is one chunk, and done in one round.
+    """
+    blocks = files.written(points.select("cls", F.col("z").alias("lo"), F.col("z").alias("hi"), F.col("n").cast("double").alias("n"), F.col("pos").cast("double").alias("pos")), "blocks")
+    before, half, calm = None, False, 0
+    while calm < 2:
+        most = ordered.largest(blocks, ["cls"])
+        start = share // 2 if half and most > share else 0
+        chunk = F.floor((F.col("n_th") - 1 + start) / share)
+        dealt = ordered.numbered(blocks.withColumnRenamed("n", "weight"), ["cls"], "lo", share).withColumn("chunk", chunk).withColumnRenamed("weight", "n")
+        pooled = files.written(dealt.groupBy("cls", "chunk").applyInPandas(_pool, "cls int, lo double, hi double, n double, pos double"), "blocks")
+        files.discard(blocks)
+        blocks = pooled
+        if most <= share:
+            break
+        left = blocks.count()
+        calm = calm + 1 if left == before else 0
+        before, half = left, not half
+    ends = F.array_distinct(F.array("lo", "hi"))
+    return blocks.select("cls", F.explode(ends).alias("x"), (F.col("pos") / F.col("n")).alias("y"))
 
 
-def apply_isotonic(rows: DataFrame, knots: DataFrame, eps: float = 1e-6) -> DataFrame:
-    """Adds q, linear between knots and flat outside. rows: cls, z; the knots of a class are one array (bounded by the distinct
-    scores)."""
-    packed = knots.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("k"))
-    j = rows.join(F.broadcast(packed), "cls")
-    below = F.filter("k", lambda s: s["x"] <= F.col("z"))
-    left, right = F.try_element_at(below, F.lit(-1)), F.get(F.col("k"), F.size(below))
-    q = F.when(left.isNull(), right["y"]).when(right.isNull(), left["y"]).otherwise(left["y"] + F.coalesce(F.try_divide(F.col("z") - left["x"], right["x"] - left["x"]), F.lit(0.0)) * (right["y"] - left["y"]))
-    return j.withColumn("q", F.least(F.greatest(q, F.lit(eps)), F.lit(1 - eps))).drop("k")
+def apply_isotonic(rows: DataFrame, knots: DataFrame, eps: float = 1e-6, share: int = ordered.SHARE) -> DataFrame:
+    """Adds q, linear between knots and flat outside, by an as-of join. rows: cls, z; those of classes without knots are left out."""
+    q = ordered.interpolated(rows, knots, ["cls"], "z", share)
+    return q.withColumn("q", F.least(F.greatest("q", F.lit(eps)), F.lit(1 - eps)))
 
 
 #: Fixed values of the choice among methods: how far from the best a simpler one may be, for how many classes a method must be chosen to be
@@ -134,8 +151,9 @@ def out_of_fold(rows: DataFrame, folds: int, threshold: float) -> DataFrame:
         both = t.select("cls", "t", "at_edge").join(ab.select("cls", "a", "b", "flags"), "cls")
         test = (rows if k is None else rows.filter(F.col("fold") == k)).withColumn("z", z).join(F.broadcast(both), "cls")  # a row for each class
         iso = fit_isotonic(points)
-        test = apply_isotonic(test, iso).withColumnRenamed("q", "iso")
-        test = apply_isotonic(test.withColumn("z0", F.col("z")).withColumn("z", logit(F.lit(threshold))), iso).withColumnRenamed("q", "iso_cut").withColumn("z", F.col("z0"))
+        iso = files.written(iso, "knots")
+        at_cut = apply_isotonic(iso.select("cls").distinct().withColumn("z", logit(F.lit(threshold))), iso).select("cls", F.col("q").alias("iso_cut"))
+        test = apply_isotonic(test, iso).withColumnRenamed("q", "iso").join(F.broadcast(at_cut), "cls")  # a row for each class
         cut = logit(F.lit(threshold))
         of = {"raw": (F.col("p"), F.lit(threshold), F.lit(False)), "temperature": (sigmoid(F.col("z") / F.col("t")), sigmoid(cut / F.col("t")), F.col("at_edge")), "platt": (sigmoid(F.col("a") * F.col("z") + F.col("b")), sigmoid(F.col("a") * cut + F.col("b")), F.col("flags") != ""), "isotonic": (F.col("iso"), F.col("iso_cut"), F.lit(False))}
         each = F.array(*[F.struct(F.lit(m).alias("method"), q.alias("q"), bad.alias("bad"), ((F.col("p") >= threshold) != (q >= c)).alias("changed")) for m, (q, c, bad) in of.items()])

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..sources import files
+from . import ordered
 
-def candidates(rows: DataFrame, by: list[str], w: Column | None = None) -> DataFrame:
-    """by, p, tp, fp, pos, neg: cumulative counts at each distinct score, highest first. Scores are summed up before anything is
-    ordered, so the window sees distinct scores only."""
+
+def candidates(rows: DataFrame, by: list[str], w: Column | None = None, share: int = ordered.SHARE) -> DataFrame:
+    """by, p, tp, fp, pos, neg: cumulative counts at each distinct score, highest first. Scores are summed up, and written, before
+    anything is ordered; classes of very many distinct scores are summed range by range."""
     w = F.lit(1) if w is None else w
     g = rows.groupBy(*by, "p").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0)).alias("g_pos"), F.sum(F.when(F.col("y") == 0, w).otherwise(0)).alias("g_neg"))
-    down, all_ = Window.partitionBy(*by).orderBy(F.desc("p")), Window.partitionBy(*by)
-    return g.select(*by, "p", "g_pos", "g_neg", F.sum("g_pos").over(down).alias("tp"), F.sum("g_neg").over(down).alias("fp"), F.sum("g_pos").over(all_).alias("pos"), F.sum("g_neg").over(all_).alias("neg"))
+    r = ordered.running(files.written(g, "scores"), by, "p", ["g_pos", "g_neg"], share)
+    down = lambda c: F.col(f"{c}_all") - F.col(f"{c}_upto") + F.col(c)
+    return r.select(*by, "p", "g_pos", "g_neg", down("g_pos").alias("tp"), down("g_neg").alias("fp"), F.col("g_pos_all").alias("pos"), F.col("g_neg_all").alias("neg"))
 
 
 def auc(cand: DataFrame, by: list[str]) -> DataFrame:
@@ -29,11 +32,9 @@ def youden(cand: DataFrame, by: list[str], legacy: bool = False) -> DataFrame:
     """by, threshold, j, n_tied: the largest J > 0 in exact integers; ties to higher sensitivity, then the higher score (legacy:
     the higher score at once). Null where no score beats chance."""
     j = F.col("tp") * F.col("neg") - F.col("fp") * F.col("pos")
-    key = F.struct(j.alias("j"), "p") if legacy else F.struct(j.alias("j"), F.col("tp").alias("t"), "p")
-    best = Window.partitionBy(*by)
-    g = cand.withColumn("j", j).withColumn("top", F.max("j").over(best)).groupBy(*by).agg(F.max(key).alias("k"), F.count_if(F.col("j") == F.col("top")).alias("n_tied"), F.max("pos").cast("double").alias("pos"), F.max("neg").cast("double").alias("neg"))
-    ok = F.col("k.j") > 0
-    return g.select(*by, F.when(ok, F.col("k.p")).alias("threshold"), F.when(ok, F.col("k.j") / (F.col("pos") * F.col("neg"))).alias("j"), F.when(ok, F.col("n_tied")).alias("n_tied"))
+    g = ordered.largest_by(cand, by, j, F.struct((F.lit(0) if legacy else F.col("tp")).cast("long").alias("t"), "p", F.col("pos").cast("double").alias("pos"), F.col("neg").cast("double").alias("neg")))
+    ok = F.col("key") > 0
+    return g.select(*by, F.when(ok, F.col("then.p")).alias("threshold"), F.when(ok, F.col("key") / (F.col("then.pos") * F.col("then.neg"))).alias("j"), F.when(ok, F.col("n_tied")).alias("n_tied"))
 
 
 def f1_optimal(cand: DataFrame, by: list[str]) -> DataFrame:
@@ -58,13 +59,14 @@ def rates() -> dict[str, Column]:
     return {"precision": F.try_divide(d["tp"], d["tp"] + d["fp"]), "recall": recall, "specificity": specificity, "f1": F.try_divide(2 * d["tp"], 2 * d["tp"] + d["fp"] + d["fn"]), "balanced": (recall + specificity) / 2}
 
 
-def gate(rows: DataFrame, by: list[str], quantiles: list[float], beta: float = 0.5) -> DataFrame:
+def gate(rows: DataFrame, by: list[str], quantiles: list[float], beta: float = 0.5, share: int = ordered.SHARE) -> DataFrame:
     """by, gate, f: among quantiles (method lower) of the scores of positive decisions, the one with the highest F-beta, ties to
     the least strict. rows: by, y, p, positive. Recall counts all positives."""
     pos = rows.filter("positive")
     per = pos.groupBy(*by, "p").agg(F.sum("y").alias("tp"), F.count(F.lit(1)).alias("k"))
-    up, down = Window.partitionBy(*by).orderBy("p"), Window.partitionBy(*by).orderBy(F.desc("p"))
-    c = per.select(*by, "p", F.sum("k").over(up).alias("upto"), F.col("k"), F.sum("tp").over(down).alias("tp"), F.sum("k").over(down).alias("kept"), F.sum("k").over(Window.partitionBy(*by)).alias("n"))
+    c = ordered.running(files.written(per, "scores"), by, "p", ["tp", "k"], share)
+    down = lambda v: F.col(f"{v}_all") - F.col(f"{v}_upto") + F.col(v)
+    c = c.select(*by, "p", F.col("k_upto").alias("upto"), "k", down("tp").alias("tp"), down("k").alias("kept"), F.col("k_all").alias("n"))
     hit = F.exists(F.array(*map(F.lit, quantiles)), lambda q: (F.floor((F.col("n") - 1) * q) + 1 <= F.col("upto")) & (F.floor((F.col("n") - 1) * q) + 1 > F.col("upto") - F.col("k")))
     total = rows.groupBy(*by).agg(F.sum("y").alias("all_pos"))
     b2 = beta * beta
@@ -73,13 +75,14 @@ def gate(rows: DataFrame, by: list[str], quantiles: list[float], beta: float = 0
     return best.select(*by, (-F.col("k.m")).alias("gate"), F.col("k.f").alias("f"))
 
 
-def reliability(rows: DataFrame, by: list[str], order: str, bins: int = 10) -> DataFrame:
-    """by, bin, n, mean_predicted, observed, n_positive: bins of equal numbers in score order (ties by `order`), the first ones
+def reliability(rows: DataFrame, by: list[str], order: str, bins: int = 10, share: int = ordered.SHARE) -> DataFrame:
+    """by, bin, n, mean_predicted, observed, n_positive: bins of equal numbers in score order (ties by `order`, numeric), the first ones
     larger by one. A row's rank is the number of rows with lower scores, from sums by distinct score, and its place among equal
-    scores; no task sorts a whole class."""
-    per = rows.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("k"))
-    per = per.select(*by, "p", (F.sum("k").over(Window.partitionBy(*by).orderBy("p")) - F.col("k")).alias("before"), F.sum("k").over(Window.partitionBy(*by)).alias("total"))
-    ranked = rows.withColumn("i", F.row_number().over(Window.partitionBy(*by, "p").orderBy(order))).join(per, [*by, "p"]).withColumn("rank", F.col("before") + F.col("i"))
+    scores; no task sorts a whole class, nor more than `share` equal scores."""
+    kept = files.written(rows.select(*by, "p", "y", order), "rows")
+    per = files.written(kept.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("k")), "scores")
+    before = ordered.running(per, by, "p", ["k"], share).select(*by, "p", (F.col("k_upto") - F.col("k")).alias("before"), F.col("k_all").alias("total"))
+    ranked = ordered.attach(ordered.numbered(kept, [*by, "p"], order, share).drop("n_all"), before, [*by, "p"]).withColumn("rank", F.col("before") + F.col("n_th"))
     size, more = F.floor(F.col("total") / bins), F.col("total") % bins
     head = (size + 1) * more
     b = ranked.withColumn("bin", F.when(F.col("rank") <= head, F.ceil(F.col("rank") / (size + 1))).otherwise(more + F.ceil(F.try_divide((F.col("rank") - head).cast("double"), size.cast("double")))).cast("int"))

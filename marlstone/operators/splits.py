@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import files
+from . import ordered
 from .relational import CheckFailed
 
 
@@ -17,7 +23,7 @@ def shuffle_key(seed: int | Column, group: Column) -> Column:
 def _ratios(ratios: dict[str, float]) -> tuple[list[str], list[float]]:
     if abs(sum(ratios.values()) - 1) > 1e-9:
         raise ValueError("ratios must sum to 1")
-    return list(ratios), [float(x) for x in np.round(np.cumsum(list(ratios.values())), 12)]
+    return list(ratios), [float(x) for x in np.round(np.cumsum([float(r) for r in ratios.values()]), 12)]
 
 
 def _fold(share: Column, names: list[str], bounds: list[float]) -> Column:
@@ -55,34 +61,130 @@ def deviations(groups: DataFrame, count: str, ratios: dict[str, float], seeds: i
     return parts.join(F.broadcast(overall)).groupBy("seed").agg(F.max(F.abs(F.col("x") - F.col("overall")) / F.col("overall")).alias("worst"))  # one row
 
 
+def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows (with key) with rank (from 0, in order of key and group, within each value of `by`) and n. Rows are counted by the key's
+    beginning first (4096 counts a value), so no task ranks all rows of a frequent value."""
+    g = rows.withColumn("head", F.substring("key", 1, 3))
+    heads = g.groupBy(*by, "head").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*by)
+    before = heads.select(*by, "head", (F.sum("c").over(w.orderBy("head")) - F.col("c")).alias("before"), F.sum("c").over(w).alias("n"))
+    own = F.row_number().over(Window.partitionBy(*by, "head").orderBy("key", "group"))
+    return ordered.match(g.withColumn("own", own), before, [*by, "head"]).withColumn("rank", F.col("before") + F.col("own") - 1).drop("head", "own", "before")
+
+
 def stratum_split(groups: DataFrame, ratios: dict[str, float], seed: int) -> DataFrame:
     """group, stratum, split: in each stratum, hashed order cut at the rounded (half to even) cumulative shares."""
     names, bounds = _ratios(ratios)
-    w = Window.partitionBy("stratum")
-    r = groups.withColumn("r", F.row_number().over(w.orderBy(shuffle_key(seed, F.col("group")), "group"))).withColumn("n", F.count(F.lit(1)).over(w))
+    r = _ranked(groups.select("group", "stratum").withColumn("key", _key(seed)), ["stratum"])
     out = F.lit(names[-1])
     for name, upper in reversed(list(zip(names[:-1], bounds[:-1]))):
-        out = F.when(F.col("r") <= F.bround(F.lit(upper) * F.col("n")), name).otherwise(out)
+        out = F.when(F.col("rank") + 1 <= F.bround(F.lit(upper) * F.col("n")), name).otherwise(out)
     return r.select("group", "stratum", out.alias("split"))
 
 
+def _key(seed: int) -> Column:
+    """The place of a group in hashed order; a null group comes first."""
+    return F.coalesce(shuffle_key(seed, F.col("group")), F.lit(""))
+
+
+def deal(need: list[tuple[int, int]], weight: int, size: int, count: int) -> tuple[list[tuple[int, list[int]]], list[int]]:
+    """How `count` groups alike go to the parts one after another, each to the part of the largest need (then second need, then the first
+    part), which then needs (weight, size) less: (first rank, parts in turn) of each stretch, and how many each part gets.
+
+    The part in front is alone until its need has come down to the next one's; from then on they take turns, until both have come
+    down to the third's, and so on: as many stretches as parts, whatever the count.
+    """
+    if weight <= 0:  # nothing is used up: all to the part in front
+        front = max(range(len(need)), key=lambda k: (*need[k], -k))
+        return [(0, [front])], [count if k == front else 0 for k in range(len(need))]
+    taken = [0] * len(need)
+    head = lambda k: (need[k][0] - taken[k] * weight, need[k][1] - taken[k] * size, -k)
+    waiting = sorted(range(len(need)), key=head, reverse=True)
+    turns, stretches, at = [waiting.pop(0)], [], 0
+    while at < count:
+        turns.sort(key=head, reverse=True)
+        length = count - at
+        if waiting:
+            n, m, place = head(waiting[0])
+            picks = 0
+            for k in turns:
+                n_k, m_k, place_k = head(k)
+                full, rest = divmod(n_k - n, weight)
+                picks += max(0, full + (1 if rest else (m_k - full * size, place_k) > (m, place)))
+            length = min(length, picks)
+        stretches.append((at, list(turns)))
+        full, rest = divmod(length, len(turns))
+        for i, k in enumerate(turns):
+            taken[k] += full + (i < rest)
+        at += length
+        if waiting:
+            turns.append(waiting.pop(0))
+    return stretches, taken
+
+
 def stratified_split(groups: DataFrame, ratios: dict[str, float], seed: int) -> DataFrame:
-    """group, split: multi-label stratification, rarest label first. groups: group, size, labels (array of counts).
+    """group, split: iterative multi-label stratification. groups: group, size, labels (array of counts, nulls are 0).
 
-    The group with several labels belongs to the one that fewest rows have (ties: the first); groups without any form a last
-    stratum. In each stratum groups in hashed order fill the parts by their share of the stratum's label count (of rows
-    in the last one), so every part gets its share of the rare labels first, which is what a rarest-first assignment of one
-    group after another is for, but all strata at once and without gathering groups.
+    Again and again the label with the fewest rows in groups not yet assigned is taken (ties: the first one), and each group
+    with it goes to the part that still needs the label most (ties: that needs rows most, then the first part), which then needs
+    what the group has of every label, and its rows, less. Groups without any label go by rows. Within a round the
+    groups with most of the label come first, then the larger ones, then hashed order.
+
+    So a round is settled by how many groups there are of each (count of the label, size): only these counts, at most one for
+    each pair that occurs, and sums by part come to the driver; which part the i-th group of a kind gets follows from its rank.
+    Groups are never gathered, and a round is one pass over them. Ratios are taken as decimal fractions, so needs are whole numbers.
     """
-    names, bounds = _ratios(ratios)
-    totals = {r["i"]: r["n"] for r in groups.select(F.posexplode("labels").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()}  # a row a label
-    order = sorted((i for i, n in totals.items() if n), key=lambda i: (totals[i], i))
-    rank = F.array(*[F.lit(order.index(i) if i in order else len(order)) for i in range(len(totals))]) if totals else F.array().cast("array<int>")
-    strata = F.array_min(F.transform("labels", lambda n, i: F.when(n > 0, F.get(rank, i)).otherwise(F.lit(len(order)))))
-    place = F.get(F.array(*[F.lit(i) for i in order], F.lit(-1)), F.coalesce(strata, F.lit(len(order))))
-    g = groups.select("group", "size", "labels", place.alias("stratum"))
-    g = g.withColumn("weight", F.when(F.col("stratum") < 0, F.col("size")).otherwise(F.get("labels", F.col("stratum"))))
-    return _share(g.select("group", "stratum", "weight"), ["stratum"], "weight", seed).select("group", _fold(F.col("share"), names, bounds).alias("split"))
+    names, _ = _ratios(ratios)
+    shares = [Fraction(str(r)).limit_denominator(10**6) for r in ratios.values()]
+    unit = math.lcm(*(x.denominator for x in shares))
+    parts = [int(x * unit) for x in shares]
+    g = files.written(groups.select("group", F.col("size").cast("long").alias("size"), F.transform("labels", lambda n: F.coalesce(n, F.lit(0)).cast("long")).alias("labels")).withColumn("key", _key(seed)), "groups")
+    rows = g.agg(F.sum("size")).first()[0] or 0
+    left = {r["i"]: r["n"] for r in g.select(F.posexplode("labels").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()}  # a row a label
+    need = {i: [p * n for p in parts] for i, n in left.items()}
+    need_rows = [p * rows for p in parts]
+    open_, done = g, []
+
+    def settle(members: DataFrame, weight: Column, label: int | None) -> DataFrame:
+        kinds = members.groupBy(weight.alias("w"), "size").count().collect()  # a row for each pair of count and size
+        plan = []
+        for k in sorted(kinds, key=lambda k: (-k["w"], -k["size"])):
+            first = need_rows if label is None else need[label]
+            stretches, taken = deal(list(zip(first, need_rows)), unit * k["w"], unit * k["size"], k["count"])
+            plan.append((k["w"], k["size"], [{"start": a, "parts": p} for a, p in stretches]))
+            for i, c in enumerate(taken):
+                need_rows[i] -= unit * k["size"] * c
+                if label is not None:
+                    need[label][i] -= unit * k["w"] * c
+        table = g.sparkSession.createDataFrame(plan, "w long, size long, stretches array<struct<start:long,parts:array<int>>>")
+        ranked = _ranked(members.withColumn("w", weight), ["w", "size"]).join(table, ["w", "size"])
+        at = F.element_at(F.filter("stretches", lambda s: s["start"] <= F.col("rank")), -1)
+        part = F.get(at["parts"], ((F.col("rank") - at["start"]) % F.size(at["parts"])).cast("int"))
+        return files.written(ranked.select("group", "labels", part.alias("part")), "assigned")
+
+    while active := [i for i, n in left.items() if n > 0]:
+        label = min(active, key=lambda i: (left[i], i))
+        has = F.coalesce(F.get("labels", label), F.lit(0)) > 0
+        step = settle(open_.filter(has), F.get("labels", label), label)
+        for r in step.select("part", F.posexplode("labels").alias("i", "n")).groupBy("part", "i").agg(F.sum("n").alias("n")).collect():  # a row a part and label
+            left[r["i"]] -= r["n"]
+            if r["i"] != label:
+                need[r["i"]][r["part"]] -= unit * r["n"]
+        done.append(step)
+        open_ = open_.filter(~has)
+    done.append(settle(open_, F.col("size"), None))
+    every = reduce(DataFrame.unionByName, (d.select("group", "part") for d in done))
+    return every.select("group", F.get(F.array(*map(F.lit, names)), F.col("part")).alias("split"))
+
+
+def stratified_folds(rows: DataFrame, group: str, labels: dict[str, Column], k: int, seed: int) -> DataFrame:
+    """group, fold (0 to k - 1): folds of whole groups, stratified by how many valid positive rows of each label a group has. labels:
+    a condition each (null: not valid). An error where a group is null."""
+    per = rows.groupBy(F.col(group).alias("group")).agg(F.count(F.lit(1)).alias("size"), F.array(*(F.count_if(c) for c in labels.values())).alias("labels"))
+    split = stratified_split(per, {str(i): Fraction(1, k) for i in range(k)}, seed)
+    out = files.written(split.select("group", F.col("split").cast("int").alias("fold")), "folds")
+    check_leakage(out, "group", "fold")
+    return out
 
 
 def folds(group: Column, k: int, seed: int = 0) -> Column:

@@ -35,14 +35,31 @@ def d5(spark, sf):
     return splits.random_split(_groups(spark, sf), RATIOS, 42).select("group", "size", r6("share").alias("share"), "split")
 
 
-_D6 = """g AS (SELECT l_suppkey AS "group", count(*) AS size, [count(*) FILTER (p_type = 'PROMO'), count(*) FILTER (p_type = 'ECONOMY'), count(*) FILTER (p_type = 'LARGE')] AS labels FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
-tt AS (SELECT i, sum(labels[i]) AS n FROM g, range(1, 4) r(i) GROUP BY 1), gs AS (SELECT "group", size, i AS stratum, labels[i] AS weight FROM g, tt WHERE labels[i] > 0 AND n > 0 QUALIFY row_number() OVER (PARTITION BY "group" ORDER BY n, i) = 1 UNION ALL SELECT "group", size, 0, size FROM g WHERE list_sum(labels) = 0),
-sh AS (SELECT "group", stratum, sum(weight) OVER (PARTITION BY stratum ORDER BY sha256('42|' || "group"))::DOUBLE / sum(weight) OVER (PARTITION BY stratum) AS share FROM gs)"""
-
-
-@query("d6_stratified_group_split", f"WITH {_D6} SELECT \"group\", CASE WHEN share <= 0.7 THEN 'train' WHEN share <= 0.85 THEN 'val' ELSE 'test' END AS split FROM sh")
+def _greedy_sql(parts: list[int], labels: int, seed: int) -> str:
+    """Iterative stratification of table g ("group", size, labels) as it is told: one group a step, state in lists. Needs are
+    parts[k] of each label and of all rows; r has the groups in the order they are taken, with their parts (from 1)."""
+    unit, every = sum(parts), range(1, labels + 1)
+    ks = f"range(1, {len(parts) + 1})"
+    return f"""gk AS (SELECT *, sha256('{seed}|' || "group") AS key FROM g), tot AS (SELECT [{', '.join(f'sum(labels[{x}])::BIGINT' for x in every)}] AS n, sum(size)::BIGINT AS rows FROM g),
+r(i, lab, need, ns, done, folds) AS (SELECT 0, 0, list_transform({parts}, lambda p: list_transform(n, lambda x: p * x)), list_transform({parts}, lambda p: p * rows), []::BIGINT[], []::BIGINT[] FROM tot
+UNION ALL SELECT i + 1, lab, list_transform({ks}, lambda j: CASE WHEN j = k THEN list_transform(range(1, {labels + 1}), lambda x: need[j][x] - {unit} * m.l[x]) ELSE need[j] END),
+  list_transform({ks}, lambda j: ns[j] - CASE WHEN j = k THEN {unit} * m.s ELSE 0 END), list_append(done, m.g), list_append(folds, k) FROM (
+  SELECT *, -list_sort(list_transform({ks}, lambda j: {{'a': CASE WHEN lab > 0 THEN need[j][lab] ELSE ns[j] END, 'b': ns[j], 'c': -j}}), 'DESC')[1].c AS k FROM (
+  SELECT *, list_sort(list_transform(list_filter(items, lambda x: lab = 0 OR x.l[lab] > 0), lambda x: {{'w': CASE WHEN lab > 0 THEN -x.l[lab] ELSE 0 END, 'z': -x.s, 'key': x.key, 'g': x.g, 's': x.s, 'l': x.l}}))[1] AS m FROM (
+  SELECT i, need, ns, done, folds, items, CASE WHEN lab > 0 AND rem[lab] > 0 THEN lab ELSE coalesce(list_position(rem, list_min(list_filter(rem, lambda x: x > 0))), 0) END AS lab FROM (
+  SELECT r.i, any_value(r.lab) AS lab, any_value(r.need) AS need, any_value(r.ns) AS ns, any_value(r.done) AS done, any_value(r.folds) AS folds, [{', '.join(f'sum(gk.labels[{x}])::BIGINT' for x in every)}] AS rem,
+    list({{'g': gk."group", 's': gk.size, 'l': gk.labels, 'key': gk.key}}) AS items FROM r JOIN gk ON NOT list_contains(r.done, gk."group") GROUP BY r.i)))))"""
+
+
+_RARE = "l_quantity >= 49 AND l_discount >= 0.09"
+_D6 = f"""g AS (SELECT l_suppkey AS "group", count(*) AS size, [{', '.join(f"count(*) FILTER (p_type = '{x}' AND {_RARE})" for x in ('PROMO', 'ECONOMY', 'LARGE'))}] AS labels FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)"""
+
+
+@query("d6_stratified_group_split", f"WITH RECURSIVE {_D6}, {_greedy_sql([70, 15, 15], 3, 42)} SELECT unnest(done) AS \"group\", ['train', 'val', 'test'][unnest(folds)] AS split FROM r WHERE i = (SELECT count(*) FROM g)")
 def d6(spark, sf):
-    g = t(spark, sf, "lineitem").join(t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("group")).agg(F.count(F.lit(1)).alias("size"), F.array(*[F.count_if(F.col("p_type") == x) for x in ("PROMO", "ECONOMY", "LARGE")]).alias("labels"))
+    """Suppliers by their rare items (large quantities at a high discount) of three types."""
+    rare = F.expr(_RARE)
+    g = t(spark, sf, "lineitem").join(t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("group")).agg(F.count(F.lit(1)).alias("size"), F.array(*[F.count_if((F.col("p_type") == x) & rare) for x in ("PROMO", "ECONOMY", "LARGE")]).alias("labels"))
     return splits.stratified_split(g, RATIOS, 42)
 
 
@@ -63,9 +80,14 @@ def d10(spark, sf):
     return worst.join(F.broadcast(best))  # one row
 
 
-@query("d11_group_folds", "SELECT c_custkey, (('0x' || substr(sha256('0|' || c_custkey), 1, 8))::BIGINT % 5)::INT AS fold FROM customer")
+_D11 = "g AS (SELECT l_suppkey AS \"group\", count(*) AS size, [" + ", ".join(f"count(*) FILTER (l_linestatus = 'F' AND l_returnflag = '{x}' AND l_quantity >= 50)" for x in "ARN") + "] AS labels FROM lineitem GROUP BY 1)"
+
+
+@query("d11_group_folds", f"WITH RECURSIVE {_D11}, {_greedy_sql([1] * 5, 3, 11)} SELECT unnest(done) AS \"group\", (unnest(folds) - 1)::INT AS fold FROM r WHERE i = (SELECT count(*) FROM g)")
 def d11(spark, sf):
-    return t(spark, sf, "customer").select("c_custkey", splits.folds(F.col("c_custkey"), 5).alias("fold"))
+    """Suppliers in five folds by their valid (line status F) positive items: those of the largest quantity, by return flag."""
+    valid = lambda x: F.when(F.col("l_linestatus") == "F", (F.col("l_returnflag") == x) & (F.col("l_quantity") >= 50))
+    return splits.stratified_folds(t(spark, sf, "lineitem"), "l_suppkey", {x: valid(x) for x in "ARN"}, 5, 11)
 
 
 def w_sql(unit: str, b: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..operators import images
+from ..operators import ordered
 from ..operators import relational as R
 from ..sources import files
 from .base import STATES, r6, states, t
@@ -328,11 +329,8 @@ def w8(spark, sf):
 @query("w9_interpolation", "WITH k AS (SELECT c_nationkey::DOUBLE AS x, round(avg(c_acctbal), 6) AS y FROM customer GROUP BY 1), s AS (SELECT x, y, lead(x) OVER (ORDER BY x) AS x2, lead(y) OVER (ORDER BY x) AS y2 FROM k), q AS (SELECT p_partkey, p_size / 2.5 AS v FROM part) SELECT p_partkey, round(CASE WHEN s.x2 IS NULL THEN s.y ELSE s.y + (v - s.x) / (s.x2 - s.x) * (s.y2 - s.y) END, 6) AS value FROM q JOIN s ON v >= s.x AND (s.x2 IS NULL OR v < s.x2)")
 def w9(spark, sf):
     k = t(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("double").alias("x")).agg(F.round(F.avg("c_acctbal"), 6).alias("y"))
-    w = Window.orderBy("x")
-    s = k.select("x", "y", F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"))  # a row for each knot
     q = t(spark, sf, "part").select("p_partkey", (F.col("p_size") / 2.5).alias("v"))
-    j = q.join(F.broadcast(s), (F.col("v") >= F.col("x")) & (F.col("x2").isNull() | (F.col("v") < F.col("x2"))))
-    return j.select("p_partkey", r6(F.when(F.col("x2").isNull(), F.col("y")).otherwise(F.col("y") + (F.col("v") - F.col("x")) / (F.col("x2") - F.col("x")) * (F.col("y2") - F.col("y")))).alias("value"))
+    return ordered.interpolated(q, k, [], "v").select("p_partkey", r6("q").alias("value"))
 
 
 @query("u1_union_with_tag", "SELECT c_custkey AS key, 'customer' AS kind FROM customer UNION ALL SELECT s_suppkey, 'supplier' FROM supplier")

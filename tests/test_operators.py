@@ -247,7 +247,7 @@ def test_stratified_split(spark):
     g = spark.range(600).select(F.col("id").alias("group"), F.lit(2).alias("size"), F.array((F.col("id") % 3 == 0).cast("int"), (F.col("id") % 20 == 0).cast("int")).alias("labels"))
     s = splits.stratified_split(g, {"train": 0.7, "test": 0.3}, 5).join(g, "group").groupBy("split").agg(F.sum(F.col("labels")[0]).alias("a"), F.sum(F.col("labels")[1]).alias("b"), F.count(F.lit(1)).alias("n"))
     r = {x["split"]: x for x in s.collect()}
-    # Each stratum is cut to within one group; a label is spread over at most two strata here.
+    # Each label is within a group of its share.
     assert abs(r["train"]["a"] - 140) <= 2 and abs(r["train"]["b"] - 21) <= 1 and r["train"]["n"] + r["test"]["n"] == 600
 
 
