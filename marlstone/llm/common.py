@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +68,22 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def named(*names: str) -> list[Column]:
+    """Columns by their whole names: dots and back quotes in them are part of the name."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def without_names(df: DataFrame, taken: Iterable[str]) -> list[str]:
+    """Names of df's columns but those that Spark takes for one of `taken`, in whatever case."""
+    low = {t.lower() for t in taken}
+    return [c for c in df.columns if c.lower() not in low]
+
+
+def undotted(df: DataFrame) -> DataFrame:
+    """df with plain names for columns that mapInArrow cannot name; toDF names them back."""
+    return df.toDF(*(f"__c{i}" if "." in c or "`" in c else c for i, c in enumerate(df.columns)))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most `rows` rows, so that what is computed from one at a time stays small."""
     for b in batches:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialise, sliced, table
+from .common import discard, materialise, named, sliced, table
 
 SHINGLE = 5
 #: One document in SAMPLE is read to find frequent shingles; frequent: in FREQUENT of them. At most MOST_FREQUENT are told apart.
@@ -256,7 +256,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     are; only the others go through an exchange to find out. A null doc_id is never meant."""
     # Names that no column of the caller's has.
     word, bits, maybe, gone_mark = (_free(docs, x) for x in ("word", "bits", "maybe", "gone"))
-    cols = docs.columns
+    cols = named(*docs.columns)
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
     bit_table = gone.select((place / 64).cast("long").alias(word), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit")).groupBy(word).agg(F.bit_or("bit").alias(bits))
     marked = docs.withColumn(word, (place / 64).cast("long")).join(F.broadcast(bit_table), word, "left").withColumn(maybe, F.coalesce(F.getbit(bits, (place % 64).cast("int")) == 1, F.lit(False)))  # FILTER_BITS / 64 rows at most

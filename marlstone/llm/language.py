@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import sliced, table
+from .common import named, sliced, table, undotted, without_names
 
 DOCS_PER_LANGUAGE, WORDS, GRAMS, ORDERS, KEPT_WORDS, LONG_WORD = 1500, 20_000, 30_000, 5, 60_000, 64
 #: A word is evidence of a learned language if it is known or has a known n-gram of this order or a higher one.
@@ -44,7 +44,7 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, words: int = W
         return {"langs": []}
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
     sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    tokens = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter("word <> '' and length(word) <= 64")
+    tokens = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter("word <> ''")
     counts = tokens.groupBy("lang", "word").count()
     best = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).filter(F.col("k") <= words).select("lang", "word", "count")
     langs = sorted(sizes)
@@ -111,19 +111,17 @@ class Scorer:
             return NONE, 0.0, 0.0
         if len(self.rows) > KEPT_WORDS:
             self._reset()
-        total = np.zeros(len(self.langs) + 1)
-        index = list(map(self.rows.get, words))
-        if None in index:
-            for i, r in enumerate(index):
-                if r is None:
-                    w = words[i]
-                    if len(w) > LONG_WORD:
-                        total += self.vector(w)
-                    else:
-                        index[i] = self.rows[w] if w in self.rows else self.row(w)
-            index = [r for r in index if r is not None]
+        found = Counter(words)
+        total, index, counts = np.zeros(len(self.langs) + 1), [], []
+        for w, c in found.items():
+            if len(w) > LONG_WORD:
+                total += c * self.vector(w)
+            else:
+                r = self.rows.get(w)
+                index.append(self.row(w) if r is None else r)
+                counts.append(c)
         if index:
-            total += np.bincount(index, minlength=len(self.rows)) @ self.matrix[: len(self.rows)] if len(index) > 4096 else self.matrix.take(index, axis=0).sum(axis=0)
+            total += (np.array(counts, dtype=np.float64)[:, None] * self.matrix.take(index, axis=0)).sum(axis=0)
         # The share of the best language, with the evidence of a long text counted as that of 20 words.
         evidence = total[-1] / len(words)
         total = total[:-1] * (min(len(words), 20) / len(words)) + self.model["prior"]
@@ -141,7 +139,8 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and the number of languages
     added = ["lang_pred", "score", "evidence"]
-    kept = docs.select(*(c for c in docs.columns if c not in added))
+    names = without_names(docs, added)
+    kept = undotted(docs.select(*named(*names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -150,7 +149,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(evidence, pa.float64())], names=[*b.schema.names, *added])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.DoubleType())])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).toDF(*names, *added)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, table
+from .common import named, sliced, table, undotted, without_names
 
 EMBED, WIDTH, KERNELS, HIDDEN, BLOCK, PAD = 8, 5, 24, 12, 256, 256
 SAMPLE, CHUNKS, STEPS, BATCH, RATE, DECAY, SEED = 1500, 12, 900, 32, 0.01, 1e-4, 7
@@ -36,13 +36,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def blocks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts (a row a block, and WIDTH - 1 more to go on with), and each text's first block, with the end. Every text has a
-    block at least, and its last one has room for a filter's run over the end."""
+    """Symbols of all texts, block after block and WIDTH - 1 more, and each text's first block, with the end. Every text has a block at
+    least, and begins with WIDTH - 1 padding symbols: a filter that runs over the end of one text meets these, not the next text."""
     sizes = np.array([max(1, -(-(len(t) + WIDTH - 1) // BLOCK)) for t in texts], dtype=np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)])
     flat = np.full(int(first[-1]) * BLOCK + WIDTH - 1, PAD, dtype=np.int16)
     for at, t in zip(first, texts):
-        flat[at * BLOCK : at * BLOCK + len(t)] = np.frombuffer(t, dtype=np.uint8)
+        begin = at * BLOCK + WIDTH - 1
+        flat[begin : begin + len(t)] = np.frombuffer(t, dtype=np.uint8)
     return flat, first
 
 
@@ -195,17 +196,17 @@ def score(docs: DataFrame, model: dict | None, cut: float = CUT) -> DataFrame:
     Whole texts are read; a null text is empty and scored as such. Without a model every score is 0.5. Rows keep their
     place: no shuffle.
     """
-    names = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    kept = docs.select(*(F.col(f"`{c}`") for c in names))
+    names = without_names(docs, ("score", "predicted"))
+    kept = undotted(docs.select(*named(*names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = Network(model) if model is not None else None
         for b in sliced(batches, 100):
-            texts = [(t or "").encode() for t in b.column(b.schema.names.index("text")).to_pylist()]
+            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
             p = np.full(len(texts), 0.5) if network is None else network.scores(texts)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= cut).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= cut).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])).toDF(*names, "score", "predicted")
 
 
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,25 @@ class Space:
     def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T, 0))
 
+    @staticmethod
+    def some_distances(a: np.ndarray, b: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of the pairs that are open (a by b), the others infinite, and how many were formed for each row of a: those of open
+        pairs alone or, where most of the rows and columns with any are open, their whole block."""
+        out, formed = np.full(open_.shape, np.inf), np.zeros(len(a), dtype=np.int64)
+        rows, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+        if 4 * open_.sum() >= 3 * len(rows) * len(cols):
+            if len(rows):
+                block = np.ix_(rows, cols)
+                out[block] = np.where(open_[block], Space.distances(a[rows], b[cols]), np.inf)
+                formed[rows] = len(cols)
+            return out, formed
+        r, c = np.nonzero(open_)
+        for i in range(0, len(r), 65536):
+            at, to = r[i : i + 65536], c[i : i + 65536]
+            d = a[at] - b[to]
+            out[at, to] = np.sqrt(np.einsum("ij,ij->i", d, d))
+        return out, open_.sum(axis=1)
+
 
 def build_page(x: np.ndarray, centre: np.ndarray, space: Space, leaf: int | None = None) -> dict[str, np.ndarray]:
     """A page of the rows of x around a lifted centre. order: rows by leaf node; starts: first of each node, and the end; centres:
@@ -119,7 +138,7 @@ def build_page(x: np.ndarray, centre: np.ndarray, space: Space, leaf: int | None
 
 def search_page(q: np.ndarray, to_page: np.ndarray, kth: np.ndarray, page: dict, space: Space, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query row, score, entry) of every entry that may be among a query's k best, given its distance to the page's centre and
-    the score its k-th result has already (NaN: none), and how many distances and inner products each query took."""
+    the score its k-th result has already (NaN: none), and how many distances and inner products were formed for each query."""
     x, starts, centres, stored, apart = page["x"], page["starts"], page["centres"], page["stored"], page["apart"]
     flat = Space.flat(q)
     squares = (flat * flat).sum(axis=1)
@@ -129,11 +148,7 @@ def search_page(q: np.ndarray, to_page: np.ndarray, kth: np.ndarray, page: dict,
     limit = space.limit(squares, kth)
     # By the parent's distance first; only nodes it leaves open get a distance of their own.
     open_ = np.abs(to_page[:, None] - apart[None, :]) - radius[None, :] <= (limit + slack)[:, None]
-    cost = open_.sum(axis=1)
-    to_node = np.full(open_.shape, np.inf)
-    cols = np.flatnonzero(open_.any(axis=0))
-    if len(cols):
-        to_node[:, cols] = np.where(open_[:, cols], Space.distances(flat, centres[cols]), np.inf)
+    to_node, cost = Space.some_distances(flat, centres, open_)
     reach = to_node - radius[None, :] - slack[:, None]
     turn = np.argsort(reach, axis=1, kind="stable")
     best = np.full((len(q), k), -np.inf)
@@ -150,10 +165,12 @@ def search_page(q: np.ndarray, to_page: np.ndarray, kth: np.ndarray, page: dict,
             r, e = np.nonzero(np.abs(to_node[mine, c][:, None] - stored[None, a:b]) <= (limit[mine] + slack[mine])[:, None])
             if not len(r):
                 continue
-            np.add.at(cost, mine[r], 1)
-            if space.kind is np.float64 and 4 * len(r) >= len(mine) * (b - a):
-                s = (q[mine].astype(np.float64) @ x[a:b].astype(np.float64).T)[r, e].astype(np.int64)
+            some, these = np.unique(r), np.unique(e)
+            if space.kind is np.float64 and 4 * len(r) >= 3 * len(some) * len(these):
+                cost[mine[some]] += len(these)
+                s = (q[mine[some]].astype(np.float64) @ x[a + these].astype(np.float64).T)[np.searchsorted(some, r), np.searchsorted(these, e)].astype(np.int64)
             else:
+                np.add.at(cost, mine[r], 1)
                 s = np.concatenate([space.products(q[mine[r[i : i + 65536]]], x[a + e[i : i + 65536]]) for i in range(0, len(r), 65536)])
             keep = ~(s < kth[mine[r]])
             r, e, s = r[keep], e[keep], s[keep]
@@ -275,7 +292,7 @@ ASK = "v array<bigint>, node string, to double, reach double, ends boolean"
 
 def _children(tree: Tree, asks: DataFrame, nearest: bool) -> DataFrame:
     """v, node, to (distance to its centre), reach, ends, of each ask's children: the nearest one, or all within its bound (column kth).
-    asks: v, node, to, kth. cost counts the distances taken."""
+    asks: v, node, to, kth. cost counts the distances formed."""
     space = tree.space
 
     def work(rows: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
@@ -285,16 +302,25 @@ def _children(tree: Tree, asks: DataFrame, nearest: bool) -> DataFrame:
         s = side.iloc[0]
         radii, apart, names, ends = np.array(s["radii"]), np.array(s["apart"], dtype=np.float64), s["names"], s["ends"]
         to = rows["to"].to_numpy(dtype=np.float64)
-        # NaN (the root has no centre) rules nothing out.
-        shut = np.abs(to[:, None] - apart[None, :]) - radii[None, :] > (limit + slack)[:, None]
-        d = np.where(shut, np.inf, Space.distances(q, np.frombuffer(s["centres"]).reshape(-1, space.dim + 1)))
-        reach = d - radii[None, :] - slack[:, None]
+        centres = np.frombuffer(s["centres"]).reshape(-1, space.dim + 1)
+        gap = np.abs(to[:, None] - apart[None, :])  # NaN (the root has no centre) rules nothing out
         if nearest:
-            r, c = np.arange(len(d)), d.argmin(axis=1)
+            # The child whose stored distance is most like the query's own is measured first; the others only where they can be nearer.
+            every = np.arange(len(q))
+            guess = np.where(np.isnan(gap), 0.0, gap).argmin(axis=1)
+            first = np.zeros(gap.shape, dtype=bool)
+            first[every, guess] = True
+            d, formed = Space.some_distances(q, centres, first)
+            more, again = Space.some_distances(q, centres, ~(gap > (d[every, guess] + slack)[:, None]) & ~first)
+            d, formed = np.minimum(d, more), formed + again
+            r, c = every, d.argmin(axis=1)
+            reach = d - radii[None, :] - slack[:, None]
         else:
-            r, c = np.nonzero(~shut & (reach <= limit[:, None]))
+            d, formed = Space.some_distances(q, centres, ~(gap - radii[None, :] > (limit + slack)[:, None]))
+            reach = d - radii[None, :] - slack[:, None]
+            r, c = np.nonzero(np.isfinite(d) & (reach <= limit[:, None]))
         out = pd.DataFrame({"v": rows["v"].to_numpy()[r], "node": [names[i] for i in c], "to": d[r, c], "reach": reach[r, c], "ends": [bool(ends[i]) for i in c], "cost": 0})
-        out["cost"] = np.where(np.concatenate([[True], np.diff(r) > 0]) if len(r) else [], (~shut).sum(axis=1)[r], 0)
+        out["cost"] = np.where(np.concatenate([[True], np.diff(r) > 0]) if len(r) else [], formed[r], 0)
         return out
 
     return _paired(asks, tree.routing, BLOCK, work, ASK + ", cost long")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, table
+from .common import named, sliced, table, undotted, without_names
 
 SAMPLE, FEATURES, LEAST_Z, CUT, GRADES = 12_000, 128, 3.0, 0.5, 3
 PREFIXES, KEPT_WORDS, LONG_WORD = (3, 4, 5, 6, 7, 8), 60_000, 64
@@ -149,17 +149,17 @@ def judge(docs: DataFrame, model: dict, cut: float = CUT) -> DataFrame:
 
     A null or empty text has no feature and gets the prior. Rows keep their place: no shuffle.
     """
-    names = [c for c in docs.columns if c not in ("severity", "p_toxic", "toxic")]
-    kept = docs.select(*names)
+    names = without_names(docs, ("severity", "p_toxic", "toxic"))
+    kept = undotted(docs.select(*named(*names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judged = Judge(model)
         for b in sliced(batches):
             p = [judged.above(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([sum(x) for x in p], pa.float64()), pa.array([x[0] for x in p], pa.float64()), pa.array([x[0] >= cut for x in p], pa.bool_())], names=[*names, "severity", "p_toxic", "toxic"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([sum(x) for x in p], pa.float64()), pa.array([x[0] for x in p], pa.float64()), pa.array([x[0] >= cut for x in p], pa.bool_())], names=[*b.schema.names, "severity", "p_toxic", "toxic"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).toDF(*names, "severity", "p_toxic", "toxic")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,7 +310,8 @@ def test_top_k_skips_most_of_clustered_vectors(spark, monkeypatch):
     tree = topk.Tree(topk.distinct_vectors(rows, 6), topk.Space(16, float((np.floor(256 * x) ** 2).sum(axis=1).max())))
     assert tree.routing.filter("node <> '0'").count() > 0 and tree.pages.count() > 15
     found = topk.search(tree, rows.filter("vec_id % 50 = 0").select("v").distinct(), 6)
-    assert found.agg(F.sum("cost")).first()[0] < 0.35 * 60 * 3000  # 0.04 of 400 x 20,000 at full page size
+    formed = found.agg(F.sum("cost")).first()[0] / (60 * 3000)
+    assert formed < 0.35  # what is computed, not only what is asked for
 
 
 def test_top_k_of_huge_components(spark):
