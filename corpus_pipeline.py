@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.llm import jaccard, language, packing, toxicity
-from marlstone.llm.common import discard, materialise, table
+from marlstone.llm.common import discard, materialise, named, table
 from marlstone.llm.tokens import default_ranks
 
 
@@ -19,28 +19,29 @@ LEAST_EVIDENCE = 0.3
 
 
 def _aside(docs: DataFrame, taken: set[str]) -> tuple[DataFrame, dict[str, str]]:
-    """docs with columns of the names an operator adds put aside, and how to name them back."""
-    clash = {c: f"__aside_{c}" for c in docs.columns if c in taken}
+    """docs with columns of the names an operator adds (in any case) put aside, and how to name them back."""
+    clash = {c: f"__aside_{c}" for c in docs.columns if c.lower() in taken}
     return docs.withColumnsRenamed(clash), {v: k for k, v in clash.items()}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model does not judge toxic. Null and empty texts stay for the next stage."""
+    """Documents that the ordinal model does not judge toxic. Null and empty texts stay for the next stage, rows that repeat a document
+    share its fate, an empty table stays empty."""
     added = {"severity", "p_toxic", "toxic"}
     held, back = _aside(docs, added)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.judge(held, model).filter(~F.col("toxic")).drop(*added).withColumnsRenamed(back).select(*docs.columns)
+    return toxicity.judge(held, model).filter(~F.col("toxic")).drop(*added).withColumnsRenamed(back).select(*named(*docs.columns))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the model knows: null texts and texts without a letter go, and those of whose words less than
-    LEAST_EVIDENCE are known. Where no document has a language label nothing is learned and only texts without a letter go."""
+    LEAST_EVIDENCE are known. Rows that repeat a document share its fate. Where no document has a language label nothing is learned and only texts without a letter go."""
     added = {"lang_pred", "score", "evidence"}
     held, back = _aside(docs, added)
     model = language.train(docs.select("doc_id", "text", "lang"))
     if not model["langs"]:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return language.identify(held, model).filter((F.col("lang_pred") != language.NONE) & (F.col("evidence") >= LEAST_EVIDENCE)).drop(*added).withColumnsRenamed(back).select(*docs.columns)
+    return language.identify(held, model).filter((F.col("lang_pred") != language.NONE) & (F.col("evidence") >= LEAST_EVIDENCE)).drop(*added).withColumnsRenamed(back).select(*named(*docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,15 +52,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = classes.filter(F.col("component_id") != F.col("doc_id")).select("doc_id")
     kept = jaccard.without(docs, gone)
     if classes.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        place = next(c for c in (f"turn{'_' * k}" for k in range(len(kept.columns) + 1)) if c not in kept.columns)
-        named, rest = kept.filter(F.col("doc_id").isNotNull()), [F.col(f"`{c}`").cast("string").asc_nulls_first() for c in sorted(kept.columns) if c not in ("doc_id", "text")]
+        place = next(c for c in (f"turn{'_' * k}" for k in range(len(kept.columns) + 1)) if c not in {x.lower() for x in kept.columns})
+        with_id, rest = kept.filter(F.col("doc_id").isNotNull()), [named(c)[0].cast("string").asc_nulls_first() for c in sorted(kept.columns) if c not in ("doc_id", "text")]
         turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), *rest))
-        kept = named.withColumn(place, turn).filter(F.col(place) == 1).drop(place).unionByName(kept.filter(F.col("doc_id").isNull()))
+        kept = with_id.withColumn(place, turn).filter(F.col(place) == 1).drop(place).unionByName(kept.filter(F.col("doc_id").isNull()))
     return kept
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document and their places in sequences of 2048 tokens."""
+    """The pieces of every document and their places in sequences of 2048 tokens. A null or empty text is one piece, its end id; rows
+    that repeat a document are packed each; an empty table gives none."""
     return packing.pack_documents(docs, default_ranks())
 
 
