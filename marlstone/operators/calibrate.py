@@ -112,7 +112,7 @@ def fit_isotonic(points: DataFrame, share: int = ordered.SHARE) -> DataFrame:
         most = ordered.largest(blocks, ["cls"])
         start = share // 2 if half and most > share else 0
         chunk = F.floor((F.col("n_th") - 1 + start) / share)
-        dealt = ordered.numbered(blocks.withColumnRenamed("n", "weight"), ["cls"], "lo", share).withColumn("chunk", chunk).withColumnRenamed("weight", "n")
+        dealt = ordered.numbered(blocks, ["cls"], "lo", share).withColumn("chunk", chunk)
         pooled = files.written(dealt.groupBy("cls", "chunk").applyInPandas(_pool, "cls int, lo double, hi double, n double, pos double"), "blocks")
         files.discard(blocks)
         blocks = pooled

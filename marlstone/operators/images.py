@@ -9,12 +9,17 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+from . import ordered
+from .graph import components
+
 #: Limits of the audit's flags.
 AUDIT = {"small_side": 128, "least_ratio": 0.5, "most_ratio": 2.0, "low_std": 5.0, "saturated": 0.90}
 #: Limits of the verdict, hard ones first.
@@ -26,7 +31,7 @@ MAGIC = {"PNG": b"\x89PNG\r\n\x1a\n", "JPEG": b"\xff\xd8\xff", "BMP": b"BM", "TI
 BLACK, WHITE = 5, 250
 CHANNELS = {0: ("L", 1), 2: ("RGB", 3), 4: ("LA", 2), 6: ("RGBA", 4)}
 
-MEASURES = "path string, bytes long, sha256 string, format string, readable boolean, mode string, width int, height int, mean double, std double, white double, black double, dominant double, colour double, transparent double"
+MEASURES = "path string, bytes long, sha256 string, format string, readable boolean, mode string, width int, height int, mean double, std double, white double, black double, dominant double, colour double, transparent double, dhash string, dhash256 string"
 
 
 def decode_png(data: bytes) -> tuple[str, np.ndarray]:
@@ -86,10 +91,87 @@ def decode_png(data: bytes) -> tuple[str, np.ndarray]:
     return mode, out[1:].reshape(height, width, n)
 
 
+def grey_of(pixels: np.ndarray) -> np.ndarray:
+    """Grey levels (0 to 255) of rows x columns x channels; transparency is left out."""
+    if pixels.shape[2] < 3:
+        return pixels[:, :, 0].astype(np.int64)
+    return (pixels[:, :, :3].astype(np.int64) @ np.array([19595, 38470, 7471]) + 0x8000) >> 16  # fixed values: luma weights of 2^16
+
+
+def _triangles(wide: int, narrow: int) -> np.ndarray:
+    """Weights (narrow x wide, in units of 2^-22, each row about 2^22) of a resize from `wide` samples to `narrow` ones: triangles as
+    broad as a new sample, never less than an old one."""
+    scale = wide / narrow
+    reach = max(scale, 1.0)
+    out = np.zeros((narrow, wide))
+    for i in range(narrow):
+        centre = (i + 0.5) * scale
+        first, last = max(0, int(centre - reach + 0.5)), min(wide, int(centre + reach + 0.5))
+        w = np.maximum(0.0, 1 - np.abs(np.arange(first, last) + 0.5 - centre) / reach)
+        out[i, first:last] = w / w.sum()
+    return np.floor(out * (1 << 22) + 0.5).astype(np.int64)
+
+
+def resize(grey: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Smooth resize, rows first, both steps rounded to whole grey levels."""
+    narrow = lambda x: np.clip((x + (1 << 21)) >> 22, 0, 255)
+    across = narrow(grey.astype(np.int64) @ _triangles(grey.shape[1], width).T)
+    return narrow(_triangles(grey.shape[0], height) @ across)
+
+
+def dhash(pixels: np.ndarray, side: int = 8) -> str:
+    """Difference hash as hexadecimal text of side x side bits: whether each sample of the shrunk image is brighter than its left neighbour."""
+    small = resize(grey_of(pixels), side + 1, side)
+    return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
+
+
+def words_of(hashes: Column, bits: int) -> Column:
+    """A hash of hexadecimal text as an array of 32-bit numbers (as long)."""
+    return F.array(*(F.conv(F.substring(hashes, 8 * i + 1, 8), 16, 10).cast("long") for i in range(bits // 32)))
+
+
+def hamming(a: Column, b: Column) -> Column:
+    """Different bits of two arrays of equally many numbers."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+
+
+def near_hashes(hashes: DataFrame, radius: int, bits: int, equal: int = 2) -> DataFrame:
+    """a, b, distance: pairs a < b of different hashes (column hash: hexadecimal text of `bits` bits) at most `radius` bits apart, each once. Pass
+    distinct hashes; nulls and other lengths take no part.
+
+    The bits are cut into radius + equal bands; two hashes within the radius agree in at least `equal` of them, so they meet under
+    the values of some `equal` bands. A pair is taken at the first such choice of bands only. More equal bands make the
+    meeting places rarer and more numerous.
+    """
+    bands = radius + equal
+    if bands > bits:
+        raise ValueError("more bands than bits")
+    edges = [bits * i // bands for i in range(bands + 1)]
+    picks = list(combinations(range(bands), equal))
+    marked = hashes.filter(F.length("hash") == bits // 4).select("hash", words_of(F.col("hash"), bits).alias("w"))
+    marked = marked.withColumn("text", F.array_join(F.transform("w", lambda w: F.lpad(F.conv(w.cast("string"), 10, 2), 32, "0")), ""))
+    h = marked.select("hash", "w", F.array(*(F.conv(F.substring("text", a + 1, z - a), 2, 16) for a, z in zip(edges, edges[1:]))).alias("bands"))
+    keyed = h.select("hash", "w", "bands", F.explode(F.array(*(F.struct(F.lit(n).alias("pick"), F.concat_ws("|", *(F.col("bands")[i] for i in pick)).alias("key")) for n, pick in enumerate(picks)))).alias("p")).select("hash", "w", "bands", "p.*")
+    left, right = (keyed.select("pick", "key", *(F.col(c).alias(f"{c}_{side}") for c in ("hash", "w", "bands"))) for side in "ab")
+    # The first choice of bands at which two hashes agree is that of the first bands in which they do.
+    agree = F.slice(F.filter(F.transform(F.arrays_zip("bands_a", "bands_b"), lambda z, i: F.when(z["bands_a"] == z["bands_b"], i)), lambda i: i.isNotNull()), 1, equal)
+    chosen = F.get(F.array(*(F.array(*map(F.lit, pick)) for pick in picks)), F.col("pick"))
+    met = left.join(right, ["pick", "key"]).filter((F.col("hash_a") < F.col("hash_b")) & (agree == chosen))
+    return met.select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b"), hamming(F.col("w_a"), F.col("w_b")).alias("distance")).filter(F.col("distance") <= radius)
+
+
+def perceptual_groups(rows: DataFrame, radius: int, bits: int) -> DataFrame:
+    """id, hash, label: the smallest hash that can be reached by steps of at most `radius` bits. rows: id, hash. Equal hashes are one
+    in the search for neighbours; rows without a hash are left out."""
+    known = written(rows.filter(F.length("hash") == bits // 4).select("id", "hash"), "hashes")
+    linked = components(near_hashes(known.select("hash").distinct(), radius, bits).select("a", "b"))
+    return ordered.attach(known, known.select("hash").distinct().join(linked.withColumnRenamed("node", "hash"), "hash", "left").select("hash", F.coalesce("label", "hash").alias("label")), ["hash"])
+
+
 def measure(data: bytes) -> dict[str, object]:
     """Format, size and intensity measures of an image file's bytes; intensities are null where it is not readable."""
     kind = next((k for k, m in MAGIC.items() if data.startswith(m)), None)
-    none = dict.fromkeys(("mode", "width", "height", "mean", "std", "white", "black", "dominant", "colour", "transparent"))
+    none = dict.fromkeys(("mode", "width", "height", "mean", "std", "white", "black", "dominant", "colour", "transparent", "dhash", "dhash256"))
     try:
         mode, pixels = decode_png(data)
     except ValueError:
@@ -104,6 +186,7 @@ def measure(data: bytes) -> dict[str, object]:
     return {
         "format": kind, "readable": True, "mode": mode, "width": pixels.shape[1], "height": pixels.shape[0], "mean": float(grey.mean()), "std": float(grey.std()), "white": float((grey >= WHITE).mean()),
         "black": float((grey <= BLACK).mean()), "dominant": float(counts.max() / grey.size), "colour": colour, "transparent": float((pixels[:, :, -1] < 255).mean()) if mode.endswith("A") else 0.0,
+        "dhash": dhash(pixels, 8), "dhash256": dhash(pixels, 16),
     }
 
 

@@ -23,8 +23,8 @@ def match(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner")
     """left joined with right, null equal to null, once each column of `by`. Without `by`, right is one row."""
     if not by:
         return left.join(F.broadcast(right))  # one row
-    named = right.withColumnsRenamed({c: f"__{c}" for c in by})
-    return left.join(named, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]), how).drop(*(f"__{c}" for c in by))
+    named = right.withColumnsRenamed({c: f"__by_{c}" for c in by})
+    return left.join(named, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]), how).drop(*(f"__by_{c}" for c in by))
 
 
 def largest(rows: DataFrame, by: list[str]) -> int:
@@ -61,7 +61,7 @@ def running(rows: DataFrame, by: list[str], order: str, values: list[str], share
 
 def numbered(rows: DataFrame, by: list[str], order: str, share: int = SHARE) -> DataFrame:
     """rows with n_th (from 1 in each group) and n_all."""
-    return running(rows.withColumn("n", F.lit(1).cast("long")), by, order, ["n"], share).withColumnsRenamed({"n_upto": "n_th"}).drop("n")
+    return running(rows.withColumn("__n", F.lit(1).cast("long")), by, order, ["__n"], share).withColumnsRenamed({"__n_upto": "n_th", "__n_all": "n_all"}).drop("__n")
 
 
 def as_of(values: DataFrame, knots: DataFrame, by: list[str], value: str, knot: str, share: int = SHARE) -> DataFrame:
@@ -111,3 +111,24 @@ def largest_by(rows: DataFrame, by: list[str], key: Column, then: Column) -> Dat
     """by, key, n_tied, then: the largest key of each group, how many rows have it, and the largest `then` among them."""
     g = rows.groupBy(*by, key.alias("key")).agg(F.count(F.lit(1)).alias("n_tied"), F.max(then).alias("then"))
     return g.groupBy(*by).agg(F.max(F.struct("key", "n_tied", "then")).alias("k")).select(*by, "k.key", "k.n_tied", "k.then")
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, qs: list[float], share: int = SHARE) -> DataFrame:
+    """by, q: exact quantiles (array, in the order of qs; linear between neighbours) of each group's values; nulls are left out.
+
+    Values are counted, the counts summed range by range, and only the values that stand at an asked place are kept: no
+    task holds the distinct values of a group.
+    """
+    counted = files.written(rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__k")), "counts")
+    summed = running(counted, by, "__v", ["__k"], share)
+
+    def weight(q: Column) -> Column:
+        """How much of the quantile this value is: 1, or the part of each of the two neighbours."""
+        at = (F.col("__k_all") - 1) * q
+        low = F.floor(at)
+        holds = lambda i: ((i >= F.col("__k_upto") - F.col("__k")) & (i < F.col("__k_upto"))).cast("double")
+        return holds(low) * (1 - (at - low)) + holds(low + 1) * (at - low)
+
+    found = summed.select(*by, "__v", F.posexplode(F.transform(F.array(*map(F.lit, map(float, qs))), weight)).alias("__i", "__w")).filter("__w > 0")
+    each = found.groupBy(*by, "__i").agg(F.sum(F.col("__v") * F.col("__w")).alias("__x"))
+    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__x"))), lambda s: s["__x"]).alias("q"))  # len(qs) a group

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.files import written
+from . import ordered
 
 
 class CheckFailed(ValueError):
@@ -66,8 +67,8 @@ def value_counts(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    q = F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.99))))
-    g = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max"))
+    g = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    g = ordered.match(g, ordered.quantiles(df, by, x, [0.25, 0.5, 0.75, 0.99]), by, "left")
     return g.select(*by, "n", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("mean", "std", "min", "max")], *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3", "p99"))])
 
 
@@ -75,8 +76,8 @@ def count_summary(counts: DataFrame, n: str = "n") -> DataFrame:
     """One row about a column of counts: mean, quartiles, p95, max and shares of 0, 1, 2-3, 4-5, more."""
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
     x = F.col(n)
-    q = F.percentile(n, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95))))
-    g = counts.agg(F.round(F.avg(n), 6).alias("mean"), q.alias("q"), F.max(n).cast("long").alias("max"), share(x == 0).alias("share_0"), share(x == 1).alias("share_1"), share(x.between(2, 3)).alias("share_2_3"), share(x.between(4, 5)).alias("share_4_5"), share(x > 5).alias("share_over_5"))
+    g = counts.agg(F.round(F.avg(n), 6).alias("mean"), F.max(n).cast("long").alias("max"), share(x == 0).alias("share_0"), share(x == 1).alias("share_1"), share(x.between(2, 3)).alias("share_2_3"), share(x.between(4, 5)).alias("share_4_5"), share(x > 5).alias("share_over_5"))
+    g = g.join(F.broadcast(ordered.quantiles(counts, [], n, [0.25, 0.5, 0.75, 0.95])), how="left")  # one row
     return g.select("mean", *[F.round(F.col("q")[i], 6).alias(k) for i, k in enumerate(("p25", "p50", "p75", "p95"))], "max", "share_0", "share_1", "share_2_3", "share_4_5", "share_over_5")
 
 
@@ -105,10 +106,10 @@ def running_total(rows: DataFrame, by: list[str], value: str, name: str) -> Data
 
 def duplicate_groups(df: DataFrame, key: list[str], id_col: str) -> DataFrame:
     """Rows whose key repeats: key, id, group (dense number by key), size. Groups are counted first, so that only keys that
-    repeat are joined back and none of them gathers its rows."""
+    repeat are joined back, the rows of a frequent one in several tasks."""
     groups = df.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1).withColumn("__one", F.lit(1))
     numbered = running_total(groups, key, "__one", "group").drop("__one")
-    return df.join(numbered, key).select(*key, id_col, F.col("group").cast("long").alias("group"), "size")
+    return ordered.attach(df, numbered, key).select(*key, id_col, F.col("group").cast("long").alias("group"), "size")
 
 
 def audit_summary(audit: DataFrame) -> DataFrame:

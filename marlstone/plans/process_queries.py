@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
-from ..operators import graph, images, resample, splits
+from ..operators import graph, images, ordered, resample, splits
 from ..operators import classify as K
 from ..operators import relational as R
-from ..sources import catalog, files
+from ..sources import catalog, files, vectors
 from ..streaming import incremental
 from .base import SCORES, r6, scores, t
 from .registry import query
 from .relational_queries import _KEY, _NAMED, _PIC, pictures
-from .retrieval_queries import _BM, _M, _RRF, fused, gains, sets
+from .retrieval_queries import _BM, _DN, _M, _RRF, class_means, fused, gains, sets
+from .retrieval_queries import vectors as unit_vectors
 from ..operators import retrieval as ret
 
 RATIOS = {"train": 0.7, "val": 0.15, "test": 0.15}
@@ -241,6 +242,44 @@ def l2(spark, sf):
     return b.join(f, "label").select("vec_id", (F.bit_count(F.col("lo").bitwiseXOR(F.col("flo"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("fhi")))).alias("distance"))
 
 
+_RADIUS, _LEAST = 6, 50
+
+
+def _word_hashes(spark, sf):
+    """doc_id, hash: a text's words in 65 bins by their ends and length; each of the hash's 64 bits says whether a bin has more than the one
+    before it, as a difference hash does with brightness. Texts of fewer than 50 words have none."""
+    words = t(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    bins = words.groupBy("doc_id", ((F.ascii("w") * 3 + F.length("w") * 7 + F.ascii(F.right("w", F.lit(1)))) % 65).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = bins.groupBy("doc_id").agg(F.sum("n").alias("words"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("c")).filter(F.col("words") >= _LEAST)  # 65 bins at most
+    of = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda i: F.coalesce(F.element_at("c", i), F.lit(0)))
+    bits = F.transform(F.arrays_zip(F.slice("n", 2, 64).alias("b"), F.slice("n", 1, 64).alias("a")), lambda z: F.when(z["b"] > z["a"], "1").otherwise("0"))
+    half = lambda k: F.lpad(F.lower(F.conv(F.array_join(F.slice("bits", k, 32), ""), 2, 16)), 8, "0")
+    return counts.select("doc_id", of.alias("n")).select("doc_id", bits.alias("bits")).select("doc_id", F.concat(half(1), half(33)).alias("hash"))
+
+
+_HASHES = f"""wd AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), bn AS (SELECT doc_id, (ascii(w) * 3 + length(w) * 7 + ascii(right(w, 1))) % 65 AS bin, count(*) AS n FROM wd GROUP BY 1, 2),
+ok AS (SELECT doc_id FROM bn GROUP BY 1 HAVING sum(n) >= {_LEAST}), fl AS (SELECT p.doc_id, p.i, coalesce(n, 0) AS n FROM (SELECT doc_id, i FROM ok CROSS JOIN range(65) r(i)) p LEFT JOIN bn ON bn.doc_id = p.doc_id AND bn.bin = p.i),
+hs AS (SELECT doc_id, string_agg(CASE WHEN n > before THEN '1' ELSE '0' END, '' ORDER BY i)::BIT AS bits FROM (SELECT *, lag(n) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM fl) WHERE i > 0 GROUP BY 1),
+hd AS (SELECT bits, min(doc_id) AS id FROM hs GROUP BY 1), nr AS (SELECT a.id AS a, b.id AS b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM hd a JOIN hd b ON a.id <> b.id AND bit_count(xor(a.bits, b.bits)) <= {_RADIUS})"""
+
+
+@query("l2_near_hashes", f"WITH {_HASHES} SELECT a AS id_a, b AS id_b, distance FROM nr WHERE a < b")
+def l2_near(spark, sf):
+    """Pairs of different hashes at most 6 bits apart, each hash by the smallest document that has it."""
+    h = files.written(_word_hashes(spark, sf).groupBy("hash").agg(F.min("doc_id").alias("id")), "hashes")
+    of = lambda side: h.select(F.col("hash").alias(side), F.col("id").alias(f"id_{side}"))
+    j = images.near_hashes(h, _RADIUS, 64).join(of("a"), "a").join(of("b"), "b")
+    return j.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "distance")
+
+
+@query("d1_perceptual_groups", f"WITH RECURSIVE {_HASHES}, r(a, b) AS (SELECT id, id FROM hd UNION SELECT r.a, nr.b FROM r JOIN nr ON nr.a = r.b), g AS (SELECT a, min(b) AS first FROM r GROUP BY 1) SELECT doc_id, first, count(*) OVER (PARTITION BY first) AS size FROM hs JOIN hd USING (bits) JOIN g ON g.a = hd.id")
+def d1_perceptual(spark, sf):
+    """Groups of documents linked by hashes at most 6 bits apart, with their smallest document and size."""
+    g = files.written(images.perceptual_groups(_word_hashes(spark, sf).withColumnRenamed("doc_id", "id"), _RADIUS, 64), "groups")
+    sizes = g.groupBy("label").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
+    return ordered.attach(g, sizes, ["label"]).select(F.col("id").alias("doc_id"), "first", "size")
+
+
 # Errors by place; warnings count only before the place of the error.
 _ERR = [(0, "NOT there", "'missing_file'"), (1, "bytes = 0", "'zero_byte_file'"), (2, "NOT readable", "'unreadable_image'"), (3, "format NOT IN ('JPEG', 'PNG', 'BMP', 'TIFF')", "'unsupported_format'"), (4, "least(width, height) < 64 OR greatest(width, height) > 20000", "'invalid_dimensions'"), (5, "ratio < 0.25 OR ratio > 4", "'extreme_aspect_ratio'"), (9, "colour >= 40", "'strongly_colored_image'"), (11, "std < 2", "CASE WHEN mean <= 5 THEN 'fully_black_image' WHEN mean >= 250 THEN 'fully_white_image' ELSE 'constant_image' END"), (12, "white >= 0.9", "'nearly_white_image'"), (13, "black >= 0.9", "'nearly_black_image'")]
 _WRN = [("small_image", "pl > 6 AND least(width, height) < 256"), ("unusual_aspect_ratio", "pl > 7 AND (ratio < 0.5 OR ratio > 2)"), ("transparency", "pl > 8 AND transparent > 0.01"), ("color_content", "pl > 10 AND colour >= 10"), ("very_dark_image", "pl > 14 AND mean < 30"), ("very_bright_image", "pl > 15 AND mean > 225"), ("dominant_flat_region", "pl > 16 - 1 AND dominant >= 0.4")]
@@ -344,10 +383,21 @@ def a7(spark, sf):
 
 @query("a9_vector_store", "SELECT vec_id, len(embedding)::INT AS dim, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS norm2 FROM embeddings")
 def a9(spark, sf):
-    path = files.shared_path(spark, "vectors")
-    t(spark, sf, "embeddings").select("vec_id", "embedding").write.parquet(path)
-    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return spark.read.parquet(path).select("vec_id", F.size("embedding").alias("dim"), F.round(norm, 4).alias("norm2"))
+    """The vectors in an index folder written in two goes, read back once every part has been verified."""
+    path = files.shared_path(spark, "index")
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    vectors.append(e.filter("vec_id % 3 > 0"), path, parts=8)
+    vectors.append(e.filter("vec_id % 3 = 0"), path, parts=8)
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return vectors.load(spark, path).select(F.col("id").alias("vec_id"), F.size("v").alias("dim"), F.round(norm, 4).alias("norm2"))
+
+
+@query("a9_index_search", f"WITH {_DN} SELECT label, rank, id AS vec_id, round(score, 6) AS score FROM dr WHERE rank <= 10")
+def a9_search(spark, sf):
+    """The nearest vectors of each class's mean, from an index on disk."""
+    path = files.shared_path(spark, "index")
+    vectors.append(unit_vectors(spark, sf), path)
+    return ret.dense(vectors.load(spark, path).select("id", "v"), class_means(spark, sf).withColumnRenamed("label", "query"), 10).select(F.col("query").alias("label"), "rank", F.col("id").alias("vec_id"), r6("score").alias("score"))
 
 
 @query("a12_lossless_csv", "SELECT count(*)::BIGINT AS n, 0::BIGINT AS changed FROM orders")

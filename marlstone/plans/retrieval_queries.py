@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..operators import ordered
 from ..operators import retrieval as R
 from ..sources import files
 from .base import r6, t
@@ -232,7 +233,8 @@ def m8(spark, sf):
 @query("m9_domain_shift", "SELECT lang, round(avg(n_chars), 6) AS mean_chars, round(quantile_cont(n_chars, 0.5), 6) AS median_chars, round(avg((toxic = 1)::INT), 6) AS toxic_share, count(*)::BIGINT AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def m9(spark, sf):
     d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id", "left")
-    return d.groupBy("lang").agg(r6(F.avg("n_chars")).alias("mean_chars"), r6(F.percentile("n_chars", F.lit(0.5))).alias("median_chars"), r6(F.avg((F.col("toxic") == 1).cast("int"))).alias("toxic_share"), F.count(F.lit(1)).alias("n"))
+    g = d.groupBy("lang").agg(r6(F.avg("n_chars")).alias("mean_chars"), r6(F.avg((F.col("toxic") == 1).cast("int"))).alias("toxic_share"), F.count(F.lit(1)).alias("n"))
+    return ordered.match(g, ordered.quantiles(d, ["lang"], "n_chars", [0.5]).select("lang", r6(F.col("q")[0]).alias("median_chars")), ["lang"], "left")
 
 
 @query("t7_evidence_support", f"WITH {_M} SELECT rk.query AS item_id, k AS finding, count(*) FILTER (list_contains(d.s, k))::BIGINT AS support, count(*)::BIGINT AS of FROM rk JOIN ds d ON d.id = rk.id JOIN (SELECT query, unnest(s) AS k FROM qs) u ON u.query = rk.query WHERE rank <= 5 GROUP BY 1, 2")
