@@ -115,6 +115,7 @@ def largest_by(rows: DataFrame, by: list[str], key: Column, then: Column) -> Dat
 
 def quantiles(rows: DataFrame, by: list[str], value: str, qs: list[float], share: int = SHARE) -> DataFrame:
     """by, q: exact quantiles (array, in the order of qs; linear between neighbours) of each group's values; nulls are left out.
+    Groups without a value have no row; without `by` there is one row, null if there is no value.
 
     Values are counted, the counts summed range by range, and only the values that stand at an asked place are kept: no
     task holds the distinct values of a group.
@@ -131,4 +132,5 @@ def quantiles(rows: DataFrame, by: list[str], value: str, qs: list[float], share
 
     found = summed.select(*by, "__v", F.posexplode(F.transform(F.array(*map(F.lit, map(float, qs))), weight)).alias("__i", "__w")).filter("__w > 0")
     each = found.groupBy(*by, "__i").agg(F.sum(F.col("__v") * F.col("__w")).alias("__x"))
-    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__x"))), lambda s: s["__x"]).alias("q"))  # len(qs) a group
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("__i", "__x"))), lambda s: s["__x"])  # len(qs) a group
+    return each.groupBy(*by).agg(F.when(F.size(listed) > 0, listed).alias("q"))
