@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,22 +33,29 @@ def bleu(pairs: DataFrame, max_n: int) -> DataFrame:
     return out.select("id", F.when((F.col("lr") > 0) & mean.isNotNull(), F.exp(mean + penalty)).otherwise(0.0).alias("bleu"))
 
 
+def common_length(a, b) -> int:
+    """Length of the longest common subsequence. A row of the table is one number, whose zero bits are the places where the length grows; a
+    row follows from the last one by one addition, so a text costs a step for each token of the shorter one."""
+    short, long_ = (a, b) if len(a) <= len(b) else (b, a)
+    places: dict[str, int] = {}
+    for i, w in enumerate(long_):
+        places[w] = places.get(w, 0) | (1 << i)
+    full = (1 << len(long_)) - 1
+    row = full
+    for w in short:
+        hit = row & places.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(long_) - row.bit_count()
+
+
 @pandas_udf(DoubleType())
 def rouge_l(h: pd.Series, r: pd.Series) -> pd.Series:
-    """F1 of the longest common subsequence of two token arrays; a row of the table is one numpy step."""
+    """F1 of the longest common subsequence of two token arrays."""
 
     def one(a, b) -> float:
         if a is None or b is None or not len(a) or not len(b):
             return 0.0
-        code: dict[str, int] = {}
-        x = np.array([code.setdefault(w, len(code)) for w in a])
-        y = np.array([code.setdefault(w, len(code)) for w in b])
-        row = np.zeros(len(y) + 1, dtype=np.int64)
-        for w in x:
-            take = np.where(y == w, row[:-1] + 1, 0)
-            row[1:] = np.maximum.accumulate(np.maximum(row[1:], take))
-        common = int(row[-1])
-        return 0.0 if not common else 2 * common / (len(x) + len(y))
+        return 2 * common_length(a, b) / (len(a) + len(b))
 
     return pd.Series([one(a, b) for a, b in zip(h, r)])
 
