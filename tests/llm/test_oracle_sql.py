@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_oracle(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.execute(registry.ORACLE_SQL[name]).fetchall()
     columns = [d[0] for d in c.description]
