@@ -1,8 +1,9 @@
 """Image files: decoding and measures, quality flags, and a verdict with a reason.
 
-Measures need no image library: PNG files (8 bits a channel, not interlaced) are decoded with zlib and numpy where they are read;
-other formats count as known by their first bytes but not readable here. Flags and verdicts are column expressions over a table of
-measures, whatever made it.
+PNG files (8 bits a channel, not interlaced) are decoded with zlib and numpy where they are read, so that checksums are verified and
+transparency is kept; JPEG, BMP and TIFF files come from Spark's image source. That source also returns what it could save of a JPEG
+file that is cut off; such a file is not readable here, since its markers are followed to the end mark. Flags and verdicts are column
+expressions over a table of measures, whatever made it.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ WARN = {"small_side": 256, "least_ratio": 0.5, "most_ratio": 2.0, "dark": 30.0,
 #: First bytes of formats; grey levels that count as black and white.
 MAGIC = {"PNG": b"\x89PNG\r\n\x1a\n", "JPEG": b"\xff\xd8\xff", "BMP": b"BM", "TIFF": b"II*\x00", "GIF": b"GIF8"}
 BLACK, WHITE = 5, 250
+#: Formats that Spark's image source decodes; mode and order of its channels (blue, green, red, transparency) by their number.
+ELSEWHERE = ("JPEG", "BMP", "TIFF")
+DECODED = {1: ("L", [0]), 3: ("RGB", [2, 1, 0]), 4: ("RGBA", [2, 1, 0, 3])}
 CHANNELS = {0: ("L", 1), 2: ("RGB", 3), 4: ("LA", 2), 6: ("RGBA", 4)}
 
 MEASURES = "path string, bytes long, sha256 string, format string, readable boolean, mode string, width int, height int, mean double, std double, white double, black double, dominant double, colour double, transparent double, dhash string, dhash256 string"
@@ -168,14 +172,26 @@ def perceptual_groups(rows: DataFrame, radius: int, bits: int) -> DataFrame:
     return ordered.attach(known, known.select("hash").distinct().join(linked.withColumnRenamed("node", "hash"), "hash", "left").select("hash", F.coalesce("label", "hash").alias("label")), ["hash"])
 
 
-def measure(data: bytes) -> dict[str, object]:
-    """Format, size and intensity measures of an image file's bytes; intensities are null where it is not readable."""
-    kind = next((k for k, m in MAGIC.items() if data.startswith(m)), None)
-    none = dict.fromkeys(("mode", "width", "height", "mean", "std", "white", "black", "dominant", "colour", "transparent", "dhash", "dhash256"))
-    try:
-        mode, pixels = decode_png(data)
-    except ValueError:
-        return {"format": kind, "readable": False} | none
+def whole_jpeg(data: bytes) -> bool:
+    """Whether a JPEG file's markers lead from its start through a scan to its end mark. What follows that mark does not count."""
+    at, scanned = 2, False
+    while 0 <= at and at + 2 <= len(data) and data[at] == 0xFF:
+        kind = data[at + 1]
+        if kind == 0xD9:
+            return scanned
+        if kind == 0xFF:  # filling
+            at += 1
+            continue
+        at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+        if kind == 0xDA:  # coded data: in it FF stands before 0 or a restart mark
+            scanned, at = True, data.find(b"\xff", at)
+            while 0 <= at and at + 1 < len(data) and (data[at + 1] == 0 or 0xD0 <= data[at + 1] <= 0xD7):
+                at = data.find(b"\xff", at + 2)
+    return False
+
+
+def statistics(mode: str, pixels: np.ndarray) -> dict[str, object]:
+    """Size, intensity measures and hashes of decoded pixels."""
     rgb = pixels[:, :, :3].astype(np.float64) if mode.startswith("RGB") else None
     grey = np.round(rgb @ np.array([0.299, 0.587, 0.114])) if rgb is not None else pixels[:, :, 0].astype(np.float64)
     colour = 0.0
@@ -184,25 +200,67 @@ def measure(data: bytes) -> dict[str, object]:
         colour = float(np.hypot(rg.std(), yb.std()) + 0.3 * np.hypot(rg.mean(), yb.mean()))
     counts = np.bincount(grey.astype(np.uint8).ravel(), minlength=256)
     return {
-        "format": kind, "readable": True, "mode": mode, "width": pixels.shape[1], "height": pixels.shape[0], "mean": float(grey.mean()), "std": float(grey.std()), "white": float((grey >= WHITE).mean()),
+        "mode": mode, "width": pixels.shape[1], "height": pixels.shape[0], "mean": float(grey.mean()), "std": float(grey.std()), "white": float((grey >= WHITE).mean()),
         "black": float((grey <= BLACK).mean()), "dominant": float(counts.max() / grey.size), "colour": colour, "transparent": float((pixels[:, :, -1] < 255).mean()) if mode.endswith("A") else 0.0,
         "dhash": dhash(pixels, 8), "dhash256": dhash(pixels, 16),
     }
 
 
+def measure(data: bytes) -> dict[str, object]:
+    """Format, size and measures of an image file's bytes, null where it is not decoded here; `readable` is null where that is left
+    to Spark's image source."""
+    kind = next((k for k, m in MAGIC.items() if data.startswith(m)), None)
+    none = dict.fromkeys(("mode", "width", "height", "mean", "std", "white", "black", "dominant", "colour", "transparent", "dhash", "dhash256"))
+    if kind in ELSEWHERE:
+        return {"format": kind, "readable": None if kind != "JPEG" or whole_jpeg(data) else False} | none
+    try:
+        return {"format": kind, "readable": True} | statistics(*decode_png(data))
+    except ValueError:
+        return {"format": kind, "readable": False} | none
+
+
+def _rows_of(measures: list[dict[str, object]], kept: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+    out = pd.concat([kept, pd.DataFrame(measures, index=kept.index)], axis=1).reindex(columns=names)
+    return out.astype({"width": "Int32", "height": "Int32"} | ({"readable": "boolean"} if "readable" in names else {}))
+
+
+def decoded(spark: SparkSession, root: str) -> DataFrame:
+    """path, mode, width, ... dhash256 of the files under root that Spark's image source can decode, reduced where they are read."""
+    schema = "path string, " + MEASURES[MEASURES.index("mode string") :]
+    names = [c.split()[0] for c in schema.split(", ")]
+    found = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(root)
+    found = found.select(F.col("_metadata.file_path").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for h, w, n, data in zip(b["height"], b["width"], b["nChannels"], b["data"]):
+                pixels = np.frombuffer(data, dtype=np.uint8).reshape(h, w, n)
+                out.append(statistics(DECODED[n][0], pixels[:, :, DECODED[n][1]]))
+            yield _rows_of(out, b[["path"]], names)
+
+    return found.mapInPandas(run, schema)
+
+
 def audit_images(spark: SparkSession, root: str) -> DataFrame:
-    """A row of measures for every file under root, made where the file is read. Spark's file source leaves out empty files; a join
+    """A row of measures for every file under root. PNG files are measured where their bytes are hashed, others where Spark's image
+    source decodes them; the rows of both, without pixels, are joined by path. Spark's file source leaves out empty files; a join
     with what should be there finds them."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    found = found.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content")
     names = [c.split()[0] for c in MEASURES.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = pd.DataFrame([measure(bytes(x)) for x in b["content"]], index=b.index)
-            out = pd.concat([b.drop(columns="content"), rows], axis=1)[names]
-            yield out.astype({"width": "Int32", "height": "Int32"})
-
-    return found.mapInPandas(run, MEASURES)
+            yield _rows_of([measure(bytes(x)) for x in b["content"]], b.drop(columns="content"), names)
+
+    own = found.mapInPandas(run, MEASURES)
+    other = decoded(spark, root)
+    measured = [c for c in other.columns if c != "path"]
+    both = own.join(other.select("path", *(F.col(c).alias(f"{c}_o") for c in measured)), "path", "left")
+    left_open = F.col("readable").isNull()
+    taken = {c: F.when(left_open, F.col(f"{c}_o")).otherwise(F.col(c)) for c in measured}
+    return both.withColumns(taken | {"readable": F.coalesce("readable", F.col("height_o").isNotNull())}).select(*names)
 
 
 def flags(exists: Column, referenced: Column, metadata: Column, extension: Column, expected: Column) -> dict[str, Column]:
