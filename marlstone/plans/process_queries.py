@@ -8,7 +8,7 @@ from ..functions import labels, text
 from ..operators import graph, images, ordered, resample, splits
 from ..operators import classify as K
 from ..operators import relational as R
-from ..sources import catalog, files, vectors
+from ..sources import catalog, exact, files, vectors
 from ..streaming import incremental
 from .base import SCORES, r6, scores, t
 from .registry import query
@@ -409,6 +409,18 @@ def a12(spark, sf):
     return o.join(back, "o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") != F.col("back")).alias("changed"))
 
 
+_PART = 1 << 18
+
+
+@query("a12b_exact_parts", f"""WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, '{{"l_linenumber":' || l_linenumber || ',"l_orderkey":' || l_orderkey || ',"l_partkey":' || l_partkey || ',"l_returnflag":"' || l_returnflag || '"}}' AS line FROM lineitem),
+b AS (SELECT *, sum(length(line) + 1) OVER (ORDER BY o, n, line ROWS UNBOUNDED PRECEDING) - length(line) - 1 AS begins FROM l)
+SELECT (begins // {_PART})::BIGINT AS part, count(*)::BIGINT AS "rows", sum(length(line) + 1)::BIGINT AS bytes, sha256(string_agg(line || chr(10), '' ORDER BY o, n, line)) AS sha256 FROM b GROUP BY 1""")
+def a12b(spark, sf):
+    path = files.shared_path(spark, "parts")
+    exact.write_json(t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"), ["l_orderkey", "l_linenumber"], path, part_bytes=_PART)
+    return exact.read_parts(spark, path)
+
+
 @query("a13_canonical_json", "SELECT r_regionkey, '{\"r_name\":\"' || r_name || '\",\"r_regionkey\":' || r_regionkey || '}' AS js FROM region")
 def a13(spark, sf):
     r = t(spark, sf, "region")
