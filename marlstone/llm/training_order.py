@@ -8,8 +8,9 @@ number of bytes, in order, so record r begins at r x stride. A sequence's global
 record number: slots are 0 .. number of sequences - 1 without gaps, and any slot is found by one seek. A manifest beside the
 shards holds each one's first slot; MOST_SHARDS bounds it, beyond that shards grow.
 
-Tables with null doc_ids, or with ids too far apart for that, have their sequences counted and numbered 0 .. n - 1 instead, in
-order of doc_id (nulls last) and text, and range(n) is permuted.
+Tables with null doc_ids, with ids too far apart for that, or with an id on so many rows that one place would fill a good part of
+a shard, have their sequences counted and numbered 0 .. n - 1 instead, in order of doc_id (nulls last) and text, and range(n)
+is permuted.
 
 Record: doc_id (int64), piece (uint32), length (uint32; its highest bit is set where doc_id is null, which is 0 then), `width`
 ids (uint16 or uint32), all little-endian, one newline byte.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,8 @@ from .tokens import END_ID, default_ranks, ids_of
 
 WIDTH, SHARD_BYTES, MOST_SHARDS, HEAD, UNNAMED = 256, 8 << 20, 1 << 20, 16, 1 << 31
 MANIFEST = "_manifest"
+#: Records that a task holds as Python objects at a time; parts of a shard that the rows of one doc_id may fill at one place.
+MOST_HELD, CROWD = 4096, 4
 MASK = (1 << 64) - 1
 
 
@@ -65,13 +69,20 @@ def stride(width: int, wide: bool = False) -> int:
     return HEAD + width * (4 if wide else 2) + 1
 
 
+def _in_lots(numbered: Iterator[tuple[int, bytes]]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Numbers and records, at most MOST_HELD at a time, however many a document or a batch has."""
+    while lot := list(islice(numbered, MOST_HELD)):
+        numbers, records = zip(*lot)
+        yield list(numbers), list(records)
+
+
 def write_shards(docs: DataFrame, path: str, ranks: str, key: str = "order-0", width: int = WIDTH, shard_bytes: int = SHARD_BYTES, end_id: int = END_ID) -> int:
     """Write the shards under path; returns their number.
 
     Null and empty texts give one sequence that holds the end id alone. Repeated documents, and rows that repeat a doc_id,
     keep a sequence each (equal places in the order are settled by content). Rows with a null doc_id are documents of their own.
-    They, and ids that span 2^62 / pieces of the longest text or more, cost another exchange and two scratch tables. An empty
-    table writes nothing and returns 0.
+    They, ids that span 2^62 / pieces of the longest text or more, and ids so frequent that their rows' equal places would fill a
+    quarter of a shard, cost another exchange and two scratch tables. An empty table writes nothing and returns 0.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
     s = slim.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("t")), F.sum(F.octet_length("t")), F.count(F.lit(1)), F.count("doc_id")).first()
@@ -79,9 +90,11 @@ def write_shards(docs: DataFrame, path: str, ranks: str, key: str = "order-0", w
     if not n:
         return 0
     most = ((longest or 0) + 1 + width - 1) // width  # a token has a byte at least
-    domain = (high - low + 1) * most if named == n else 1 << 62
     wide = end_id > 0xFFFF
     size = stride(width, wide)
+    domain = (high - low + 1) * most if named == n else 1 << 62
+    if domain < 1 << 62 and slim.groupBy("doc_id").count().agg(F.max("count")).first()[0] * size * CROWD > shard_bytes:
+        domain = 1 << 62
     shards = max(1, min(MOST_SHARDS, -(-((total or 0) * size // (3 * width) + n * size // 2) // shard_bytes)))  # about three bytes a token, half a sequence of padding
     kind = "<u4" if wide else "<u2"
 
@@ -99,12 +112,8 @@ def write_shards(docs: DataFrame, path: str, ranks: str, key: str = "order-0", w
         return pd.DataFrame({"shard": shard.astype("int32"), "place": place, "record": records})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            numbers, records = [], []
-            for doc, text in zip(b["doc_id"].tolist(), b["t"]):
-                for piece, record in enumerate(records_of(doc, text)):
-                    numbers.append((doc - low) * most + piece)
-                    records.append(record)
+        rows = ((doc, text) for b in batches for doc, text in zip(b["doc_id"].tolist(), b["t"]))
+        for numbers, records in _in_lots(((doc - low) * most + piece, record) for doc, text in rows for piece, record in enumerate(records_of(doc, text))):
             yield deal(numbers, records, domain)
 
     if domain < 1 << 62:
@@ -139,11 +148,9 @@ def _counted(slim: DataFrame, records_of: Callable[..., Iterator[bytes]]) -> Dat
     placed = keyed.repartitionByRange("last", "doc_id", "name", "k").sortWithinPartitions("last", "doc_id", "name", "k")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = 0
-        for b in batches:
-            records = [r for last, doc, text in zip(b["last"].tolist(), b["doc_id"].tolist(), b["t"]) for r in records_of(doc, text, UNNAMED if last else 0)]
-            yield pd.DataFrame({"part": np.full(len(records), TaskContext.get().partitionId(), dtype="int32"), "at": np.arange(at, at + len(records)), "record": records})
-            at += len(records)
+        rows = (row for b in batches for row in zip(b["last"].tolist(), b["doc_id"].tolist(), b["t"]))
+        for at, records in _in_lots(enumerate(r for last, doc, text in rows for r in records_of(doc, text, UNNAMED if last else 0))):
+            yield pd.DataFrame({"part": np.full(len(records), TaskContext.get().partitionId(), dtype="int32"), "at": at, "record": records})
 
     counted = materialise(placed.select("last", "doc_id", "t").mapInPandas(run, "part int, at long, record binary"), "counted")
     discard(keyed)

@@ -132,6 +132,25 @@ def test_shards_of_null_and_wide_ids(spark, tmp_path):
     assert training_order.op1_training_order(spark, str(sf)).filter("doc_id is null").count() >= 43
 
 
+@pytest.mark.parametrize("equal", [True, False])
+def test_training_order_spreads_rows_of_one_id(spark, tmp_path, equal):
+    ranks = tokens.default_ranks()
+    rows = [(7, "the same text" if equal else f"text number {i}") for i in range(3000)] + [(i, f"another one {i}") for i in range(100, 400)]
+    got = []
+    for n in (1, 5):
+        path = str(tmp_path / f"s{n}")
+        shards = training_order.write_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), path, ranks, width=16, shard_bytes=10_000)
+        sizes = [r["records"] for r in training_order.manifest(spark, path).collect()]
+        assert shards > 8 and len(sizes) == shards and sum(sizes) == 3300 and max(sizes) < 1.5 * 3300 / shards
+        got.append([(r["slot"], r["doc_id"], r["ids"]) for r in training_order.read_slots(spark, path, width=16).orderBy("slot").collect()])
+    assert got[0] == got[1]
+
+
+def test_training_order_holds_few_records():
+    lots = [(len(a), len(b)) for a, b in training_order._in_lots((i, b"x") for i in range(2 * training_order.MOST_HELD + 5))]
+    assert lots == [(training_order.MOST_HELD,) * 2] * 2 + [(5, 5)] and not list(training_order._in_lots(iter([])))
+
+
 # ---- 6: packing
 def check_packing(rows, capacity):
     bins = defaultdict(list)
