@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.text import ngrams
 
@@ -81,6 +84,33 @@ def meteor_exact(h: pd.Series, r: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(h, r)])
 
 
+def _grams(t, n: int) -> Counter:
+    return Counter(zip(*(t[i:] for i in range(n))))
+
+
+@pandas_udf(StructType([*(StructField(c, DoubleType()) for c in ("bleu1", "bleu4")), *(StructField(c, LongType()) for c in ("n_long", "n_copied")), StructField("overlap_rate", DoubleType())]))
+def overlaps(h: pd.Series, r: pd.Series, hs: pd.Series, rs: pd.Series) -> pd.DataFrame:
+    """What `bleu` (for 1 and 4) and `copy_statistics` say of a text and its one source, in the row that holds both: tokens, tokens of the
+    source, and the normalised sentences of each."""
+
+    def one(a, b, said, source) -> tuple:
+        a, b = list(a), list(b)
+        logs, bleus = [], []
+        for n in range(1, 5):
+            x, y = _grams(a, n), _grams(b, n)
+            match = sum(min(c, y[g]) for g, c in x.items())
+            logs.append(math.log((match or EPS) / (len(a) - n + 1)) if len(a) >= n else None)
+        for n in (1, 4):
+            penalty = 0.0 if len(a) > len(b) else 1 - len(b) / max(len(a), 1)
+            bleus.append(math.exp(sum(logs[:n]) / n + penalty) if len(b) and None not in logs[:n] else 0.0)
+        long_, have = [s for s in said if s.count(" ") + 1 >= 6], set(source)
+        x, y = _grams(a, 8), _grams(b, 8)
+        overlap = sum(c for g, c in x.items() if g in y) / (len(a) - 7) if len(a) >= 8 else 0.0
+        return *bleus, len(long_), sum(s in have for s in long_), overlap
+
+    return pd.DataFrame([one(*x) for x in zip(h, r, hs, rs)], columns=["bleu1", "bleu4", "n_long", "n_copied", "overlap_rate"])
+
+
 def repeat_rate(sentences: Column) -> Column:
     """Share of normalised sentences that repeat another; 0 without any."""
     s = F.filter(sentences, lambda x: x != "")

@@ -82,18 +82,17 @@ def t5(spark, sf):
 def t6(spark, sf):
     """All measures of a generated text against its reference, a row a pair: length, overlap, repetition, copying, and the key words it
     states rightly, wrongly and not."""
-    p = turns(spark, sf)
+    p = turns(spark, sf).withColumns({"hs": text.norm_sentences(F.col("hyp")), "rs": text.norm_sentences(F.col("ref"))})
     key = lambda c: F.array_intersect(F.array(*map(F.lit, KEYS)), F.col(c))
     own = p.select(
-        "id", F.size("h").cast("long").alias("tokens"), F.size(text.norm_sentences(F.col("hyp"))).cast("long").alias("sentences"), r6(G.rouge_l("h", "r")).alias("rouge_l"), r6(G.meteor_exact("h", "r")).alias("meteor"),
-        r6(G.repeat_rate(text.norm_sentences(F.col("hyp")))).alias("repeated"), key("h").alias("stated"), key("r").alias("truth"),
+        "id", F.size("h").cast("long").alias("tokens"), F.size("hs").cast("long").alias("sentences"), r6(G.rouge_l("h", "r")).alias("rouge_l"), r6(G.meteor_exact("h", "r")).alias("meteor"),
+        r6(G.repeat_rate(F.col("hs"))).alias("repeated"), key("h").alias("stated"), key("r").alias("truth"), G.overlaps("h", "r", "hs", "rs").alias("o"),
     )
     counts = {"tp": F.size(F.array_intersect("stated", "truth")), "fp": F.size(F.array_except("stated", "truth")), "fn": F.size(F.array_except("truth", "stated"))}
     own = own.select("*", *[v.cast("long").alias(k) for k, v in counts.items()]).withColumn("hallucinates", F.col("fp") > 0).withColumn("omits", F.col("fn") > 0)
-    bleu = [G.bleu(p.select("id", "h", "r"), n).select("id", r6("bleu").alias(f"bleu{n}")) for n in (1, 4)]
-    as_text = lambda c, toks: p.select("id", text.norm_sentences(F.col(c)).alias("sentences"), F.col(toks).alias("tokens"))
-    copied = G.copy_statistics(as_text("hyp", "h"), as_text("ref", "r")).select("id", "n_long", "n_copied", r6("copied_rate").alias("copied_rate"), r6("overlap_rate").alias("overlap_rate"), "whole_copy")
-    return own.join(bleu[0], "id").join(bleu[1], "id").join(copied, "id")
+    nl, nc = F.col("o.n_long"), F.col("o.n_copied")
+    rate = F.coalesce(F.try_divide(nc.cast("double"), nl.cast("double")), F.lit(0.0))
+    return own.select("*", r6("o.bleu1").alias("bleu1"), r6("o.bleu4").alias("bleu4"), nl.alias("n_long"), nc.alias("n_copied"), r6(rate).alias("copied_rate"), r6("o.overlap_rate").alias("overlap_rate"), ((nl > 0) & (nl == nc)).alias("whole_copy")).drop("o")
 
 
 @query("t8_reference_leak", f"WITH s AS (SELECT item_id, unnest({_NS % 'text'}) AS s FROM benchmark), d AS (SELECT DISTINCT unnest({_NS % 'text'}) AS s FROM documents) SELECT item_id, count(*)::BIGINT AS sentences, count(d.s)::BIGINT AS leaked FROM s LEFT JOIN d USING (s) WHERE s.s <> '' GROUP BY 1")

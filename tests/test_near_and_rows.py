@@ -1,10 +1,17 @@
-"""Near hashes block by block."""
+"""Near hashes block by block, and evaluation rows without joins."""
 
 from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from marlstone.operators import images
+from marlstone.operators import textgen as G
+from marlstone.plans import textgen_queries as Q
+
+SF = "/root/testdata/sf0.001"
+
 
 def test_links_and_forest_of_cut_buckets(spark):
     """Whatever the size of blocks, links are those of all pairs and the forest joins what they join, in at most an edge a hash and block."""
@@ -30,3 +37,18 @@ def test_links_and_forest_of_cut_buckets(spark):
                     todo += near[x]
     groups = images.perceptual_groups(spark.createDataFrame([(i, name(v)) for i, v in enumerate(values)], "id long, hash string"), 6, 64)
     assert {x["hash"]: x["label"] for x in groups.collect()} == {name(v): name(least[v]) for v in values}
+
+
+def test_evaluation_row_reads_pairs_once(spark):
+    """Equal to the measures made by joins; nothing is joined or sent to the driver."""
+    made = Q.t6(spark, SF)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    p = Q.turns(spark, SF)
+    long_ = lambda c, toks: p.select("id", Q.text.norm_sentences(F.col(c)).alias("sentences"), F.col(toks).alias("tokens"))
+    want = G.copy_statistics(long_("hyp", "h"), long_("ref", "r"))
+    for n in (1, 4):
+        want = want.join(G.bleu(p.select("id", "h", "r"), n).withColumnRenamed("bleu", f"bleu{n}"), "id")
+    names = ["id", "bleu1", "bleu4", "n_long", "n_copied", "copied_rate", "overlap_rate", "whole_copy"]
+    rows = lambda df: sorted(tuple(x for x in r) for r in df.select(names).collect())
+    got, other = rows(made), rows(want)
+    assert len(got) == len(other) > 0 and all(abs(x - y) <= 1e-6 for a, b in zip(got, other) for x, y in zip(a, b))
