@@ -76,9 +76,14 @@ def f1(spark, sf):
 
 @query("j8_token_lookup", f"WITH {_BM} SELECT query AS item_id, token, df, count(*)::BIGINT AS hits, sum(tf)::BIGINT AS total FROM qt JOIN df USING (token) JOIN tf USING (token) GROUP BY 1, 2, 3")
 def j8(spark, sf):
-    post, asked, _ = tokens_of(spark, sf)
-    df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    return post.join(asked.join(df, "token"), "token").groupBy(F.col("query").alias("item_id"), "token", "df").agg(F.count(F.lit(1)).alias("hits"), F.sum("tf").alias("total"))
+    """What each passage's tokens find. Only asked tokens leave the task that reads a document, and they are counted by token before they meet
+    the passages."""
+    toks = text.tokens(F.col("text"))
+    asked = files.written(t(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.explode(toks).alias("token")).distinct(), "asked")
+    read = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(toks).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    tf = read.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    found = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    return asked.join(found, "token").select(F.col("query").alias("item_id"), "token", "df", F.col("df").alias("hits"), "total")
 
 
 @query("f2_dense_topk", f"WITH {_DN} SELECT label, rank, id AS vec_id, round(score, 6) AS score FROM dr WHERE rank <= 10")

@@ -52,3 +52,14 @@ def test_evaluation_row_reads_pairs_once(spark):
     rows = lambda df: sorted(tuple(x for x in r) for r in df.select(names).collect())
     got, other = rows(made), rows(want)
     assert len(got) == len(other) > 0 and all(abs(x - y) <= 1e-6 for a, b in zip(got, other) for x, y in zip(a, b))
+
+
+def test_lookup_passes_on_asked_tokens_only(spark, tmp_path):
+    """Rows of one doc_id count as one document; tokens nobody asks for are dropped where they are read."""
+    from marlstone.plans import catalog
+
+    spark.createDataFrame([(1, "a b a"), (1, "a x"), (2, "b y"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "a b zz"), (8, "b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    made = catalog.QUERIES["j8_token_lookup"](spark, str(tmp_path))
+    assert sorted(map(tuple, made.select("item_id", "token", "df", "hits", "total").collect())) == [(7, "a", 1, 1, 3), (7, "b", 2, 2, 2), (8, "b", 2, 2, 2)]
+    assert "LeftSemi" in made._jdf.queryExecution().optimizedPlan().toString()
