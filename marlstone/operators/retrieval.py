@@ -21,6 +21,8 @@ K1, B, RRF_K = 1.5, 0.75, 60
 MOST_ASKED = 500_000
 #: Cells of the table of tokens and queries up to which it is sent to every task (64 MB).
 MOST_WORTH = 8_000_000
+#: Documents counted in one go: their tokens are held several times over.
+LOT = 256
 
 
 def postings(docs: DataFrame, tokens: Column, id_col: str) -> DataFrame:
@@ -59,7 +61,7 @@ def lexical(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     vocabulary = pa.array(words.tolist(), pa.string())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, LOT) for whole in batches for at in range(0, whole.num_rows, LOT)):
             lists = b.column("t")
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             at = pc.index_in(lists.flatten(), value_set=vocabulary)

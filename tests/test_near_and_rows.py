@@ -63,3 +63,15 @@ def test_lookup_passes_on_asked_tokens_only(spark, tmp_path):
     made = catalog.QUERIES["j8_token_lookup"](spark, str(tmp_path))
     assert sorted(map(tuple, made.select("item_id", "token", "df", "hits", "total").collect())) == [(7, "a", 1, 1, 3), (7, "b", 2, 2, 2), (8, "b", 2, 2, 2)]
     assert "LeftSemi" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lexical_counts_in_lots(spark, monkeypatch):
+    """Documents are counted a lot at a time; results do not depend on its size."""
+    from marlstone.operators import retrieval
+
+    docs = spark.createDataFrame([(i, [f"w{(i * k) % 11}" for k in range(1, 2 + i % 9)]) for i in range(80)] + [(99, []), (98, None)], "id long, t array<string>").coalesce(1)
+    asked = spark.createDataFrame([(i, f"w{(i + j) % 13}") for i in range(8) for j in range(3)], "query long, token string")
+    key = lambda: sorted((r["query"], r["rank"], r["id"], round(r["score"], 8)) for r in retrieval.lexical(docs, asked, 5).collect())
+    whole = key()
+    monkeypatch.setattr(retrieval, "LOT", 3)
+    assert key() == whole and len(whole) == 40
