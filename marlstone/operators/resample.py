@@ -37,6 +37,15 @@ def weights(unit: Column, b: Column, seed: int = SEED) -> Column:
     return out
 
 
+def drawn(units: DataFrame, unit: str, n_boot: int, seed: int = SEED) -> DataFrame:
+    """units with b and w, a row for each draw that holds the unit: a hash a unit and draw."""
+    steps = poisson_steps()
+    of = lambda b: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(unit).cast("string"), b.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    every = F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda b: F.struct(b.alias("b"), of(b).alias("u")))
+    some = units.select("*", F.explode(F.filter(every, lambda x: x["u"] >= steps[0][1])).alias("x"))
+    return some.select(*units.columns, F.col("x.b").alias("b"), sum((F.col("x.u") >= upper).cast("int") for _, upper in steps).alias("w"))
+
+
 def draws(units: DataFrame, n_boot: int, seed: int = SEED) -> DataFrame:
     """b, unit, w for w > 0. units: unit."""
     every = units.select("unit", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
