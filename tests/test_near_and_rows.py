@@ -75,3 +75,14 @@ def test_lexical_counts_in_lots(spark, monkeypatch):
     whole = key()
     monkeypatch.setattr(retrieval, "LOT", 3)
     assert key() == whole and len(whole) == 40
+
+
+def test_files_and_environment_are_met_by_tasks(spark):
+    """Both read given tables in tasks: rows add up to the tables'."""
+    from marlstone.plans import catalog
+
+    held = {r["table"]: (r["rows"], r["keyed"], r["bytes"]) for r in catalog.QUERIES["a4_list_files"](spark, SF).collect()}
+    assert len(held) == 14 and all(held[n][0] == held[n][1] == spark.read.parquet(f"{SF}/{n}.parquet").count() and held[n][2] > 0 for n in held)
+    met = catalog.QUERIES["l10_environment"](spark, SF).collect()
+    orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert {r["name"]: r["rows"] for r in met} == dict.fromkeys(["spark", "python", "numpy", "pandas", "pyarrow"], orders) and dict((r["name"], r["value"]) for r in met)["spark"] == spark.version
