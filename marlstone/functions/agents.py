@@ -38,11 +38,14 @@ def _grams(x: Column) -> Column:
 def _summary(stated: Column, found: Column, k: Column, sources: Column) -> Column:
     """struct(text, truncated, replaced): one line of at most SUMMARY_WORDS words; one that is empty or shares SHARED_WORDS words in a
     row with a source gives way to a fixed sentence."""
-    words = text.words(stated)
-    line = F.array_join(F.slice(words, 1, SUMMARY_WORDS), " ")
-    replaced = (line == "") | F.arrays_overlap(_grams(line), F.flatten(F.transform(sources, _grams)))
     fixed = F.when(F.size(found) > 0, F.format_string("Stated in %d of %d retrieved reports.", F.size(found), k)).otherwise(F.lit("Not stated in any retrieved report."))
-    return F.struct(F.when(replaced, fixed).otherwise(line).alias("text"), (F.size(words) > SUMMARY_WORDS).alias("truncated"), replaced.alias("replaced"))
+
+    def of(words: Column, line: Column) -> Column:
+        made = lambda replaced: F.struct(F.when(replaced, fixed).otherwise(line).alias("text"), (F.size(words) > SUMMARY_WORDS).alias("truncated"), replaced.alias("replaced"))
+        return text.bound((line == "") | F.arrays_overlap(_grams(line), F.flatten(F.transform(sources, _grams))), made)
+
+    # Each is used several times, by an expression in a lambda: it is computed once.
+    return text.bound(text.words(stated), lambda words: text.bound(F.array_join(F.slice(words, 1, SUMMARY_WORDS), " "), lambda line: of(words, line)))
 
 
 def validate_evidence(df: DataFrame, raw: str, positives: str, k: str, sources: str, names: list[str]) -> DataFrame:
@@ -61,8 +64,9 @@ def validate_evidence(df: DataFrame, raw: str, positives: str, k: str, sources:
     out = out.withColumn("__kept", kept)
 
     def entry(p: Column) -> Column:
-        e = F.get(F.filter("__kept", lambda x: x["finding"] == p["finding"]), F.lit(0))
-        found = ranks(e["supporting_ranks"], F.col(k))
+        return text.bound(F.get(F.filter("__kept", lambda x: x["finding"] == p["finding"]), F.lit(0)), lambda e: text.bound(ranks(e["supporting_ranks"], F.col(k)), lambda found: made(p, e, found)))
+
+    def made(p: Column, e: Column, found: Column) -> Column:
         stated = F.when(e["support_status"].isin(STATUS), e["support_status"])
         return F.struct(
             p["finding"].alias("finding"), F.round(p["probability"], 4).alias("probability"), F.size(found).alias("count"), found.alias("ranks"),
@@ -75,7 +79,7 @@ def validate_evidence(df: DataFrame, raw: str, positives: str, k: str, sources:
     out = out.withColumn("__other", other)
     once = F.filter("__other", lambda e, i: F.array_position(F.transform("__other", lambda x: x["finding"]), e["finding"]) == i + 1)
     candidate = lambda e, found: F.struct((-F.size(found)).alias("order"), place(e["finding"]).alias("place"), e["finding"].alias("finding"), found.alias("ranks"), _summary(e["evidence_summary"], found, F.col(k), F.col(sources)).alias("summary"))
-    out = out.withColumn("candidates", F.array_sort(F.transform(once, lambda e: candidate(e, ranks(e["supporting_ranks"], F.col(k))))))
+    out = out.withColumn("candidates", F.array_sort(F.transform(once, lambda e: text.bound(ranks(e["supporting_ranks"], F.col(k)), lambda found: candidate(e, found)))))
     said = F.concat(F.transform("entries", lambda e: e["summary"]), F.transform("candidates", lambda e: e["summary"]))
     flags = F.concat(
         _when(F.col("__a").isNull(), "unparseable"),
