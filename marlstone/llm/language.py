@@ -73,6 +73,9 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, words: int = W
 
 
 class Scorer:
+    """Known words are rows of the model itself. Up to about KEPT_WORDS others are kept as rows of a matrix, so that their n-grams are looked
+    up once."""
+
     def __init__(self, model: dict):
         self.model, self.langs = model, model["langs"]
         self.rows: dict[str, int] = {}
@@ -82,28 +85,49 @@ class Scorer:
         self.rows.clear()
         self.matrix = np.zeros((1024, len(self.langs) + 1), dtype=np.float64)
 
+    def backoff(self, word: str) -> np.ndarray | None:
+        """Log frequencies by language of a word that is not known and, last, 1 if it is evidence of a learned language; none if no
+        character of it is known."""
+        edged = f" {word} "
+        for order in range(min(ORDERS, len(edged)), 0, -1):
+            known, values = self.model["grams"][order]
+            hits = [v for i in range(len(edged) - order + 1) if (v := known.get(edged[i : i + order])) is not None]
+            if hits:
+                out = np.empty(len(self.langs) + 1)
+                out[:-1] = np.add.reduce(values.take(hits, axis=0), axis=0) / np.float32(len(hits))
+                out[-1] = order >= TELLING
+                return out
+        return None
+
     def vector(self, word: str) -> np.ndarray:
         """Log frequencies by language and, last, 1 if the word is evidence of a learned language."""
         known, values = self.model["words"]
         found = known.get(word)
         if found is not None:
             return np.append(values[found], 1)
-        edged = f" {word} "
-        for order in range(min(ORDERS, len(edged)), 0, -1):
-            known, values = self.model["grams"][order]
-            hits = [v for i in range(len(edged) - order + 1) if (v := known.get(edged[i : i + order])) is not None]
-            if hits:
-                return np.append(values[hits].mean(axis=0), order >= TELLING)
-        return np.zeros(len(self.langs) + 1)
+        out = self.backoff(word)
+        return np.zeros(len(self.langs) + 1) if out is None else out
 
     def row(self, word: str) -> int:
         n = len(self.rows)
         if n >= len(self.matrix):
             self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[n] = self.vector(word)
+        out = self.backoff(word)
+        self.matrix[n] = 0 if out is None else out
         self.rows[word] = n
         return n
 
+    def vectors(self, index: list[int]) -> np.ndarray:
+        """The vectors of known words (their rows of the model) and of others (-1 less their rows of the matrix)."""
+        at = np.array(index)
+        out, other = np.empty((len(at), len(self.langs) + 1)), at < 0
+        values = self.model["words"][1]
+        if len(values):
+            out[:, :-1] = values.take(at, axis=0, mode="clip")
+        out[:, -1] = 1
+        out[other] = self.matrix.take(-1 - at[other], axis=0)
+        return out
+
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and the share of words that are evidence of a learned language."""
         words = LETTERS.findall(text.lower()) if text else []
@@ -112,16 +136,19 @@ class Scorer:
         if len(self.rows) > KEPT_WORDS:
             self._reset()
         found = Counter(words)
-        total, index, counts = np.zeros(len(self.langs) + 1), [], []
+        total, index, counts, known = np.zeros(len(self.langs) + 1), [], [], self.model["words"][0]
         for w, c in found.items():
             if len(w) > LONG_WORD:
                 total += c * self.vector(w)
             else:
-                r = self.rows.get(w)
-                index.append(self.row(w) if r is None else r)
+                k = known.get(w)
+                if k is None:
+                    r = self.rows.get(w)
+                    k = -1 - (self.row(w) if r is None else r)
+                index.append(k)
                 counts.append(c)
         if index:
-            total += (np.array(counts, dtype=np.float64)[:, None] * self.matrix.take(index, axis=0)).sum(axis=0)
+            total += (np.array(counts, dtype=np.float64)[:, None] * self.vectors(index)).sum(axis=0)
         # The share of the best language, with the evidence of a long text counted as that of 20 words.
         evidence = total[-1] / len(words)
         total = total[:-1] * (min(len(words), 20) / len(words)) + self.model["prior"]
