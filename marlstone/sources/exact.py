@@ -16,7 +16,10 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ from pyspark.sql.window import Window
 from .files import canonical_json, discard, lossless, written
 
 FORMAT, MANIFEST, HEADER, PART_BYTES = "marlstone_parts", "_manifest.json", "_header.gz", 64 << 20
+#: Bytes of text that move as one row.
+BLOCK_BYTES = 64 << 10
 MEMBERS = "part long, rows long, content binary"
 
 
@@ -93,24 +98,49 @@ class Parts(DataSource):
         return _Writer(self.options)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of one range, in order, as blocks of text of about BLOCK_BYTES: where a block begins in its range and its lines in it."""
+    begins = 0
+    for b in batches:
+        ended = pc.binary_join_element_wise(b.column("line"), "", "\n")
+        sizes = pc.binary_length(ended).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        starts, text = ends - sizes, ended.buffers()[2]
+        firsts = np.flatnonzero(np.diff(starts // BLOCK_BYTES, prepend=-1))
+        bounds = np.append(firsts, len(starts))
+        at = np.append(starts[firsts], ends[-1:])
+        within = starts - np.repeat(starts[firsts], np.diff(bounds))
+        columns = [b.column("range").take(pa.array(firsts)), pa.array(begins + starts[firsts]), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(within.astype(np.int32)))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([text.slice(x, y - x).to_pybytes() for x, y in zip(at.tolist(), at[1:].tolist())], pa.binary())], names=["range", "begins", "size", "starts", "text"])
+        begins += int(sizes.sum())
+
+
 def _cut(lines: DataFrame, part_bytes: int) -> DataFrame:
-    """part, place, line. lines: order (any type that sorts), line. Rows are numbered within ranges of the order, and the ranges' sizes, a
-    row for each, added before them. Equal lines of one place may swap, which changes nothing; so they are dealt out too."""
+    """part, begins, rows, text: pieces of parts. lines: line and, before it, columns to sort by. Lines are joined to blocks within ranges of the order, so that
+    only blocks move from then on, and the ranges' sizes, a row for each, added before them. Equal lines of one place may swap, which changes
+    nothing; so they are dealt out too."""
     keyed = written(lines.withColumn("k", F.monotonically_increasing_id()), "lines")
-    spread = keyed.repartitionByRange("order", "line", "k").sortWithinPartitions("order", "line", "k")
-    placed = written(spread.select(F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("place"), "line", (F.octet_length("line") + 1).cast("long").alias("size")), "lines")
-    sizes = placed.groupBy("range").agg(F.sum("size").alias("s"))
+    spread = keyed.repartitionByRange(*keyed.columns).sortWithinPartitions(*keyed.columns)
+    blocks = written(spread.select(F.spark_partition_id().alias("range"), "line").mapInArrow(_blocks, "range int, begins long, size long, starts array<int>, text binary"), "blocks")
+    sizes = blocks.groupBy("range").agg(F.sum("size").alias("s"))
     before = sizes.select("range", (F.sum("s").over(Window.orderBy("range")) - F.col("s")).alias("before"))  # a row for each range
-    begins = F.sum("size").over(Window.partitionBy("range").orderBy("place")) - F.col("size")
-    cut = placed.withColumn("begins", begins).join(F.broadcast(before), "range")  # a row for each range
-    out = cut.select(F.floor((F.col("before") + F.col("begins")) / part_bytes).alias("part"), "place", "line")
-    out.scratch = (keyed, placed)
+    placed = blocks.join(F.broadcast(before), "range").withColumn("base", F.col("before") + F.col("begins"))  # a row for each range
+    # A part has the lines that begin in it.
+    first, last = F.floor(F.col("base") / part_bytes), F.floor((F.col("base") + F.element_at("starts", -1)) / part_bytes)
+    part, base = F.col("part"), F.col("base")
+    own = lambda x: (base + x >= part * part_bytes) & (base + x < (part + 1) * part_bytes)
+    whole = first == last  # most blocks
+    pieces = placed.withColumn("part", F.explode(F.sequence(first, last))).withColumn("own", F.when(whole, F.col("starts")).otherwise(F.filter("starts", own))).filter(F.size("own") > 0)
+    after = F.coalesce(F.when(~whole, F.array_min(F.filter("starts", lambda x: base + x >= (part + 1) * part_bytes))), F.col("size").cast("int"))
+    start = F.element_at("own", 1)
+    out = pieces.select("part", (base + start).alias("begins"), F.size("own").alias("rows"), F.substring("text", start + 1, after - start).alias("text"))
+    out.scratch = (keyed, blocks)
     return out
 
 
-def _compressed(lines: pd.DataFrame) -> pd.DataFrame:
-    text = "".join(f"{x}\n" for x in lines.sort_values("place")["line"])
-    return pd.DataFrame({"part": lines["part"].iloc[:1], "rows": [len(lines)], "content": [gzip.compress(text.encode(), 9, mtime=0)]})
+def _compressed(pieces: pd.DataFrame) -> pd.DataFrame:
+    text = b"".join(pieces.sort_values("begins")["text"])
+    return pd.DataFrame({"part": pieces["part"].iloc[:1], "rows": [pieces["rows"].sum()], "content": [gzip.compress(text, 9, mtime=0)]})
 
 
 def write_lines(df: DataFrame, line: Column, order: list[str], path: str, header: str | None = None, part_bytes: int = PART_BYTES, suffix: str = ".gz") -> None:
@@ -126,7 +156,7 @@ def write_lines(df: DataFrame, line: Column, order: list[str], path: str, header
             system.delete_file(f.path)
     spark.dataSource.register(Parts)
     checked = F.coalesce(line, F.raise_error(F.lit("a line is null")).cast("string"))
-    cut = _cut(df.select(F.struct(*order).alias("order") if order else F.lit(0).alias("order"), checked.alias("line")), part_bytes)
+    cut = _cut(df.select(*(F.col(c).alias(f"by{i}") for i, c in enumerate(order)), checked.alias("line")), part_bytes)
     if header is not None:
         _put(f"{path}/{HEADER}", gzip.compress(f"{header}\n".encode(), 9, mtime=0))
     cut.groupBy("part").applyInPandas(_compressed, MEMBERS).write.format(FORMAT).option("path", path).option("suffix", suffix).mode("append").save()

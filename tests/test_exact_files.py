@@ -83,3 +83,26 @@ def test_failed_and_empty_writes(spark, tmp_path):
     assert gzip.decompress((tmp_path / "none.csv.gz").read_bytes()) == b"k,x\n" and exact.read_parts(spark, f"{tmp_path}/none").count() == 0
     with pytest.raises(Exception, match="a line is null"):
         exact.write_lines(df, F.lit(None).cast("string"), ["k"], f"{tmp_path}/null")
+
+
+def test_blocks_move_instead_of_lines(spark, tmp_path, monkeypatch):
+    """Lines are joined before they meet their part; where blocks and parts are cut changes no byte. Lines longer than a block or a part, empty
+    ones and ones with line ends of their own."""
+    texts = [["", "x", "é\nü", "long" * 40, "\n", "y" * 7][i % 6] for i in range(500)]
+    df = spark.createDataFrame([(i // 3, t) for i, t in enumerate(texts)], "id int, line string").repartition(3)
+    ordered = b"".join(f"{t}\n".encode() for _, t in sorted((i // 3, t.encode()) for i, t in enumerate(texts)) for t in [t.decode()])
+    cut = exact._cut(df.select(F.col("id").alias("order"), "line"), 1 << 20)
+    assert cut.agg(F.sum("rows")).first()[0] == 500 and cut.count() < 50
+    seen = []
+    for size in (exact.BLOCK_BYTES, 64):
+        monkeypatch.setattr(exact, "BLOCK_BYTES", size)
+        exact.write_lines(df, F.col("line"), ["id"], f"{tmp_path}/{size}", part_bytes=100)
+        found = bytes_of(tmp_path / str(size))
+        assert b"".join(gzip.decompress(c) for n, c in sorted(found.items()) if n.startswith("part")) == ordered
+        begins, parts = 0, set()
+        for _, t in sorted((i // 3, t.encode()) for i, t in enumerate(texts)):
+            parts.add(f"part-{begins // 100:09d}.gz")
+            begins += len(t) + 1
+        assert {n for n in found if n.startswith("part")} == parts
+        seen.append(found)
+    assert seen[0] == seen[1]
