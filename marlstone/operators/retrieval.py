@@ -21,8 +21,8 @@ K1, B, RRF_K = 1.5, 0.75, 60
 MOST_ASKED = 500_000
 #: Cells of the table of tokens and queries up to which it is sent to every task (64 MB).
 MOST_WORTH = 8_000_000
-#: Documents counted in one go: their tokens are held several times over.
-LOT = 256
+#: Documents counted in one go, and tokens up to which further documents join them: tokens are held several times over.
+LOT, LOT_TOKENS = 256, 1 << 18
 
 
 def postings(docs: DataFrame, tokens: Column, id_col: str) -> DataFrame:
@@ -42,6 +42,16 @@ def bm25(post: DataFrame, queries: DataFrame, n_docs: DataFrame) -> DataFrame:
     return hits.groupBy("query", "id").agg(F.sum(part).alias("score"))
 
 
+def lots(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in slices of at most LOT documents and LOT_TOKENS tokens; a longer document is a slice of its own."""
+    total = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(batch.column("t")), 0).to_numpy(zero_copy_only=False)))
+    at = 0
+    while at < batch.num_rows:
+        end = min(at + LOT, max(at + 1, int(np.searchsorted(total, total[at] + LOT_TOKENS, side="right")) - 1))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def lexical(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query, rank, id, score of each query's k best documents by BM25. docs: id, t (array of tokens); queries: query, token
     (distinct).
@@ -61,7 +71,7 @@ def lexical(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     vocabulary = pa.array(words.tolist(), pa.string())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(at, LOT) for whole in batches for at in range(0, whole.num_rows, LOT)):
+        for b in (lot for whole in batches for lot in lots(whole)):
             lists = b.column("t")
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             at = pc.index_in(lists.flatten(), value_set=vocabulary)

@@ -86,3 +86,26 @@ def test_files_and_environment_are_met_by_tasks(spark):
     met = catalog.QUERIES["l10_environment"](spark, SF).collect()
     orders = spark.read.parquet(f"{SF}/orders.parquet").count()
     assert {r["name"]: r["rows"] for r in met} == dict.fromkeys(["spark", "python", "numpy", "pandas", "pyarrow"], orders) and dict((r["name"], r["value"]) for r in met)["spark"] == spark.version
+
+
+def test_lots_are_bounded_in_tokens(spark, monkeypatch):
+    """Long documents are counted in smaller lots, one too long for any by itself; every document is in one lot, in order."""
+    import pyarrow as pa
+
+    from marlstone.operators import retrieval
+
+    texts = [["a"] * n if n is not None else None for n in (3, 0, 4, 1, 30, None, 2, 7, 8, 0, 0, 0, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.list_(pa.string()))], names=["id", "t"])
+    monkeypatch.setattr(retrieval, "LOT", 3)
+    monkeypatch.setattr(retrieval, "LOT_TOKENS", 8)
+    assert [b.column("id").to_pylist() for b in retrieval.lots(batch)] == [[0, 1, 2], [3], [4], [5, 6], [7], [8, 9, 10], [11, 12]]
+    assert [b.column("id").to_pylist() for b in retrieval.lots(batch.slice(3, 4))] == [[3], [4], [5, 6]]
+    assert not list(retrieval.lots(batch.slice(0, 0)))
+
+    docs = spark.createDataFrame([(i, [f"w{(i * k) % 11}" for k in range(1, 2 + i % 9)]) for i in range(80)] + [(99, []), (98, None)], "id long, t array<string>").coalesce(1)
+    asked = spark.createDataFrame([(i, f"w{(i + j) % 13}") for i in range(8) for j in range(3)], "query long, token string")
+    key = lambda: sorted((r["query"], r["rank"], r["id"], round(r["score"], 8)) for r in retrieval.lexical(docs, asked, 5).collect())
+    cut = key()
+    monkeypatch.setattr(retrieval, "LOT", 256)
+    monkeypatch.setattr(retrieval, "LOT_TOKENS", 1 << 18)
+    assert key() == cut and len(cut) == 40
